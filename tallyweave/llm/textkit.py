@@ -70,6 +70,17 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def row_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges whose whole texts hold about ``limit`` bytes (one text may be longer)."""
+    size = np.zeros(len(col) + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), out=size[1:])
+    i = 0
+    while i < len(col):
+        j = min(len(col), max(int(np.searchsorted(size, size[i] + limit, side="right")) - 1, i + 1))
+        yield i, j
+        i = j
+
+
 def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Whole texts in runs of about ``limit`` bytes (one text may be longer)."""
     buf, offs = buffers(col)
