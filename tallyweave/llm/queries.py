@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, quality, repeats, tokens
+from . import chat, decontaminate, jaccard, mixing, quality, repeats, tokens, urls
 from .runtime import fresh_path, written
 
 
@@ -35,6 +35,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(formatted)
 
 
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.trained(urls.labelled_urls(spark))
+    rows, n = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), model, URL_RULES)
+    return rows.select("page_id", *[F.col(n[c]).alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = repeats.repeats(table(spark, sf_dir, "documents"), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
@@ -47,5 +64,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op8_suffix_dedup, op9_quality_rules, op10_chat_formatting)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op4_url_filters, op5_benchmark_decontamination, op7_source_mixing, op8_suffix_dedup, op9_quality_rules, op10_chat_formatting)}
+SQL: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL, "op7_source_mixing": mixing.sql()}

@@ -1,5 +1,6 @@
 """Plain Python versions of the operators' results, for small tables."""
 
+import os
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -59,3 +60,14 @@ def quality(text):
             covered.update(range(i, i + 8))
     n = len(w)
     return {"n_words": n, "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": dups, "n_repeat_words": len(covered), "base_failed": n < 20 or 100 * len(covered) > 30 * n}
+
+
+def tables(sf_dir, *names):
+    """A DuckDB connection with views of the tables (files or folders of files)."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in names:
+        path = f"{sf_dir}/{t}.parquet"
+        con.sql(f"create view {t} as select * from read_parquet('{path}{'/*.parquet' if os.path.isdir(path) else ''}')")
+    return con
