@@ -111,32 +111,43 @@ class Scheme:
         return tk.mix(sig + U64(band * 0x165667B19E3779F9 & (2**64 - 1)))
 
 
-def described(num: int, den: int, k: int, with_signatures: bool) -> object:
-    """A UDF: text -> (size, set, signatures), or without the last."""
+def described(num: int, den: int, k: int, extra: str = "") -> object:
+    """A UDF: text -> (size, node), and its ``sigs`` or its ``packed`` text where asked for."""
     scheme = Scheme(num, den)
-    fields = "n long, node long" + (", sigs array<long>" if with_signatures else "")
+    kind = {"": "", "sigs": ",sigs:array<bigint>", "packed": ",packed:binary"}[extra]
 
-    @F.arrow_udf(f"struct<{fields.replace(' ', ':').replace(',:', ',')}>")
+    @F.arrow_udf(f"struct<n:bigint,node:bigint{kind}>")
     def udf(text: pa.Array) -> pa.Array:
-        size, node, sigs = [], [], []
+        size, node, sigs, packed = [], [], [], []
         for buf, offs in tk.chunks(text):
             sets = tk.shingle_sets(buf, offs, k)
             size += [len(s) for s in sets]
             sums = np.array([int(tk.mix(s).sum(dtype=U64)) if len(s) else 0 for s in sets], dtype=U64)
             node.append(tk.mix(sums + np.array([len(s) for s in sets], dtype=U64)).view(np.int64))
-            if with_signatures:
+            if extra == "sigs":
                 sigs += [scheme.signatures(s) for s in sets]
+            elif extra:
+                packed += [pack(buf[a:z]) for a, z in zip(offs[:-1], offs[1:], strict=True)]
         cols = [pa.array(size, pa.int64()), pa.array(np.concatenate(node) if node else np.zeros(0, np.int64))]
-        names = ["n", "node"]
-        if with_signatures:
+        if extra == "sigs":
             values, at = tk.csr([s.view(np.int64) for s in sigs], np.int64)
             cols.append(tk.list_array(values, at))
-            names.append("sigs")
-        return pa.StructArray.from_arrays(cols, names)
+        elif extra:
+            cols.append(pa.array(packed, pa.binary()))
+        return pa.StructArray.from_arrays(cols, ["n", "node", extra][: len(cols)])
 
     return udf
 
 
+def pack(text: np.ndarray) -> bytes:
+    """A text's bytes, compressed: what the shuffles of whole texts carry."""
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(text.tobytes(), asbytes=True)
+
+
+def unpack(packed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """BITS bits for each set, from its hashes."""
     out = np.zeros((len(sets), BITS // 64), U64)
@@ -190,7 +201,8 @@ def compare(num: int, den: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in tk.groups(batches, keys):
-            sets = [s for c in tk.chunks(g["text"].combine_chunks()) for s in tk.shingle_sets(*c, k)]
+            texts = pa.array([unpack(x) for x in g["packed"].to_pylist()], pa.binary())
+            sets = [s for c in tk.chunks(texts) for s in tk.shingle_sets(*c, k)]
             node = g["node"].to_numpy()
             tile, i, j = g["tile"].to_numpy(), g["i"][0].as_py(), g["j"][0].as_py()
             order = np.flatnonzero(tile == i) if i != j else np.arange(len(node))
@@ -211,7 +223,7 @@ def classes(df: DataFrame, text: Column, num: int = 9, den: int = 10, k: int = 3
     are no nodes.
     """
     spark = prepare(df.sparkSession)
-    full, brief = described(num, den, k, True), described(num, den, k, False)
+    full, brief, whole = described(num, den, k, "sigs"), described(num, den, k), described(num, den, k, "packed")
     sets = df.select(full(text).alias("x")).select("x.*")
     first = Window.partitionBy("node").orderBy("n")
     sigs = sets.where(F.size("sigs") > 0).withColumn("rn", F.row_number().over(first)).where("rn = 1").select("node", "n", F.explode("sigs").alias("sig"))
@@ -219,7 +231,7 @@ def classes(df: DataFrame, text: Column, num: int = 9, den: int = 10, k: int = 3
     near = written(least.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "near")
     cluster = written(components(near).select("node", F.col("component").alias("cluster")), "clusters")
 
-    texts = df.select(text.alias("text")).withColumn("x", brief(F.col("text"))).select(F.col("x.node").alias("node"), F.col("x.n").alias("n"), "text").where("n > 0")
+    texts = df.select(whole(text).alias("x")).select("x.*").where("n > 0")
     texts = texts.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn").join(cluster, "node")
     texts = written(texts, "near-texts")
 
@@ -232,9 +244,9 @@ def classes(df: DataFrame, text: Column, num: int = 9, den: int = 10, k: int = 3
     a, b = spans.alias("a"), spans.alias("b")
     pairs = a.join(b, F.expr(f"a.cluster = b.cluster and a.tile <= b.tile and a.most * {den} >= b.least * {num}")).select(F.col("a.cluster").alias("cluster"), F.col("a.tile").alias("i"), F.col("b.tile").alias("j"))
     of_tile = pairs.select("cluster", F.col("i").alias("tile"), "i", "j").unionByName(pairs.where("i <> j").select("cluster", F.col("j").alias("tile"), "i", "j"))
-    rows = texts.select("node", "text").join(tiles.drop("n"), "node").join(of_tile, ["cluster", "tile"])
+    rows = texts.select("node", "packed").join(tiles.drop("n"), "node").join(of_tile, ["cluster", "tile"])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("cluster", "i", "j", "tile", "node", "text").repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    rows = rows.select("cluster", "i", "j", "tile", "node", "packed").repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     links = rows.mapInArrow(compare(num, den, k), "a long, b long")
     return components(links), brief
 
