@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ from pyspark.sql.window import Window
 from . import textkit as tk
 from .runtime import prepare
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 JOINED_WORDS = 500
+STOPPED = r"([\pL\pN])([.,])([ \t\n\v\f\r]|$)"
 
 #: encoding: Parquet writer options of the ids.
 ENCODINGS = {
@@ -46,14 +48,17 @@ class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
     Right for tokenizers that cut at white space before they merge; with
-    ``apart=False`` a text is encoded as a whole instead.
+    ``apart=False`` a text is encoded as a whole instead.  With ``lower`` (for
+    tokenizers that lower-case letters and cut between a letter or digit and
+    a stop) words differ neither in ASCII case nor by a stop at their end, so
+    that there are fewer of them.
     """
 
-    def __init__(self, path: str, apart: bool = True):
+    def __init__(self, path: str, apart: bool = True, lower: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.apart = Tokenizer.from_file(path), apart
+        self.tokenizer, self.apart, self.lower = Tokenizer.from_file(path), apart, lower
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -70,10 +75,13 @@ class WordEncoder:
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids)."""
-        text = pc.fill_null(text.cast(pa.large_string()), "")
+        text = pc.fill_null(text.cast(pa.string()), "")
         if not self.apart:
             lists = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(text.to_pylist(), add_special_tokens=False)]
             return tk.csr(lists, "<u4")
+        # The string of a special token stays as it is, as it is none in capitals.
+        if self.lower and not pc.any(pc.match_substring(text, "<|")).as_py():
+            text = pc.replace_substring_regex(pc.ascii_lower(text), STOPPED, r"\1 \2\3")
         split = pc.ascii_split_whitespace(text)
         offs = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
@@ -96,6 +104,12 @@ class WordEncoder:
         return ids, ends[offs - offs[0]]
 
 
+@cache
+def encoder(path: str, apart: bool, lower: bool) -> WordEncoder:
+    """One for each Python worker: its tasks share the words it knows."""
+    return WordEncoder(path, apart, lower)
+
+
 def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """An end id after each document."""
     if end_id is None:
@@ -103,11 +117,11 @@ def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int | None) -> tuple[np.
     return np.insert(ids, offs[1:], end_id), offs + np.arange(len(offs))
 
 
-def encoded(path: str, end_id: int | None, apart: bool):
+def encoded(path: str, end_id: int | None, apart: bool, lower: bool):
     """mapInArrow over sorted rows: ids, and their place within the task's shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, total = WordEncoder(path, apart), TaskContext.get().partitionId(), 0
+        encode, shard, total = encoder(path, apart, lower), TaskContext.get().partitionId(), 0
         for b in batches:
             text = b.column(1)
             for a, z in tk.row_chunks(text):
@@ -119,7 +133,7 @@ def encoded(path: str, end_id: int | None, apart: bool):
     return run
 
 
-def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = (), apart: bool = True, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 2000) -> None:
+def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = (), apart: bool = True, lower: bool = True, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 2000) -> None:
     """Encode every row of ``df`` and write the folder ``path``.
 
     Rows come in ascending doc_id order, null doc_ids first, rows with equal
@@ -135,7 +149,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int | None =
     kinds = {f.name: f.dataType for f in rows.schema}
     out = T.StructType([T.StructField("doc_id", kinds["doc_id"]), T.StructField("shard", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("meta", kinds["meta"]), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     options = {"parquet.block.size": str(row_group_bytes), "parquet.page.row.count.limit": str(page_rows)} | ENCODINGS[encoding]
-    rows.select("doc_id", "text", "meta").mapInArrow(encoded(vocabulary, end_id, apart), out).write.options(**options).parquet(f"{path}/tokens")
+    rows.select("doc_id", "text", "meta").mapInArrow(encoded(vocabulary, end_id, apart, lower), out).write.options(**options).parquet(f"{path}/tokens")
     sums = spark.read.schema(out).parquet(f"{path}/tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n_ids"))
     # One row for each write task, so this one window over all of them stays small.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
