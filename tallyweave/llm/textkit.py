@@ -106,13 +106,13 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of every word."""
+def words(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of every word; ``between`` marks the bytes of no word."""
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~SPACE[buf]
+    solid = ~between[buf]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offs] = True
     first = solid.copy()
