@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import facts, texts
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+FLAGSHIP: Query = facts.shared_topn_residual
+__all__ = ["FLAGSHIP", "facts", "oracle_sql", "queries", "texts"]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
