@@ -72,7 +72,7 @@ KINDS = {"english": {r"[ \n]the[ .,]": 2, r"[ \n]of[ .,]": 1}, "german": {r"[ \n
 with s as (select doc_id, unnest([{'score': 2 * n(text, '[ \n]the[ .,]') + n(text, '[ \n]of[ .,]'), 'kind': 'english'}, {'score': 2 * n(text, '[ \n]der[ .,]') + n(text, '[ \n]und[ .,]'), 'kind': 'german'}, {'score': 2 * n(text, '[ \n]les[ .,]') + n(text, '[ \n]une[ .,]'), 'kind': 'french'}, {'score': 2 * n(text, '[ \n]los[ .,]') + n(text, '[ \n]del[ .,]'), 'kind': 'spanish'}]) as k from documents),
 r as (select doc_id, k.score as score, k.kind as kind, row_number() over (partition by doc_id order by k.score desc, k.kind desc) as rn from s)
 select a.doc_id, case when a.score >= 4 and a.score - b.score >= 2 then a.kind else 'unknown' end as kind from r a join r b on a.doc_id = b.doc_id and a.rn = 1 and b.rn = 2
-""".replace("n(text, ", "len(regexp_extract_all(text, "). replace("\\b')", "\\b'))"))
+""".replace("n(text, ", "len(regexp_extract_all(text, ").replace("[ .,]')", "[ .,]'))"))
 def form_kind_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", verify.scored_kind(F.col("text"), KINDS, 4, 2).alias("kind"))
 
