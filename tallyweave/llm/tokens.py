@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from . import textkit as tk
 from .runtime import prepare
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 3_000_000
 JOINED_WORDS = 500
 STOPPED = r"([\pL\pN])([.,])([ \t\n\v\f\r]|$)"
 
@@ -59,19 +59,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.apart, self.lower = Tokenizer.from_file(path), apart, lower
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), JOINED_WORDS):
-            some = words[at : at + JOINED_WORDS]
+    def forget(self) -> None:
+        """Known words: sorted 64-bit hashes, and where in ``ids`` the ids of each are."""
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def learn(self, words: list[str], hashes: np.ndarray) -> None:
+        at, size = [], []
+        for i in range(0, len(words), JOINED_WORDS):
+            some = words[i : i + JOINED_WORDS]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
             first = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
             starts = np.zeros(len(some) + 1, np.int64)
             np.cumsum([len(w) + 1 for w in some], out=starts[1:])
             cuts = np.searchsorted(first, starts)
-            for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
-                self.known[w] = ids[a:b].tobytes()
+            if self.used + len(first) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(first), "<u4")])
+            self.ids[self.used : self.used + len(first)] = got.ids
+            at.append(cuts[:-1] + self.used)
+            size.append(np.diff(cuts))
+            self.used += len(first)
+        order = np.argsort(hashes)
+        where = np.searchsorted(self.hashes, hashes[order])
+        self.at = np.insert(self.at, where, np.concatenate(at)[order])
+        self.size = np.insert(self.size, where, np.concatenate(size)[order])
+        self.hashes = np.insert(self.hashes, where, hashes[order])
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """The row of each of some different words among the known ones; those that are new are learned."""
+        buf, offs = tk.buffers(words)
+        h = tk.span_hash(tk.prefix(buf), offs[:-1], offs[1:])
+        if not len(h):
+            return np.zeros(0, np.int64)
+
+        def new() -> np.ndarray:
+            at = np.searchsorted(self.hashes, h)
+            return np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != h) if len(self.hashes) else np.arange(len(h))
+
+        missing = new()
+        if len(missing) and len(self.hashes) + len(missing) > CACHE_WORDS:
+            self.forget()
+            missing = new()
+        if len(missing):
+            self.learn(words.take(pa.array(missing)).to_pylist(), h[missing])
+        return np.searchsorted(self.hashes, h)
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids)."""
@@ -85,22 +118,13 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(text)
         offs = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        missing = [w for w in words if w and w not in self.known]
-        if missing and len(self.known) + len(missing) > CACHE_WORDS:
-            self.known = {}
-            missing = [w for w in words if w]
-        self.learn(missing)
-        each = [self.known[w] if w else b"" for w in words]
-        flat = np.frombuffer(b"".join(each), dtype="<u4")
-        size = np.array([len(b) // 4 for b in each], dtype=np.int64)
-        at = np.concatenate([[0], np.cumsum(size)])[:-1]
+        row = self.rows(coded.dictionary)
         code = coded.indices.to_numpy()
         if not len(code):
             return np.zeros(0, "<u4"), np.zeros(len(text) + 1, np.int64)
-        n = size[code]
+        n = self.size[row][code]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(at[code] - ends[:-1], n) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(self.at[row][code] - ends[:-1], n) + np.arange(ends[-1])]
         return ids, ends[offs - offs[0]]
 
 
