@@ -82,7 +82,7 @@ def audited(df: DataFrame, formulas: Sequence[Formula] = WORKBOOK, tolerance: fl
     stored = df.withColumns({v: F.col(k) for k, v in again.items() if k in df.columns})
     checked = evaluated(stored, formulas)
     wrong = F.array_compact(F.array(*[F.when(closure(F.col(n), F.col(a), tolerance) == "open", F.lit(n)) for n, a in again.items() if n in df.columns]))
-    return checked.withColumns({n: F.col(a) for n, a in again.items() if n in df.columns}).withColumn("mismatches", wrong).drop(*again.values())
+    return checked.withColumn("mismatches", wrong).withColumns({n: F.col(a) for n, a in again.items() if n in df.columns}).drop(*again.values())
 
 
 def solved_residual(df: DataFrame, into: str, total: str, parts: Sequence[str]) -> DataFrame:
