@@ -36,7 +36,7 @@ from . import textkit as tk
 from .runindex import MOST_TEXTS, RunIndex
 from .runtime import prepare, written
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 INDEX_BYTES = 1 << 20
 U64 = np.uint64
 _PLACE = U64((1 << 31) - 1)
@@ -204,7 +204,7 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pairs), pa.array(kept, pa.binary())], names)
 
 
-def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 32, group_bytes: int = GROUP_BYTES) -> Repeats:
+def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 128, group_bytes: int = GROUP_BYTES) -> Repeats:
     """Find each byte of ``text`` that a ``length``-byte string covers which starts elsewhere too.
 
     Null texts are empty; rows with equal texts repeat each other; texts
@@ -245,7 +245,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     return Repeats(narrow, result, table)
 
 
-def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 32, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 128, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row for each row of ``df``: doc_id, n_bytes, spans and the kept bytes."""
     got = repeats(df, doc_id, text, length, gram, group_bytes)
     return got.documents.join(got.texts, "key").drop("key")
