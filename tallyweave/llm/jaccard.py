@@ -8,6 +8,7 @@ threshold ``num / den``.  The plan, which loses no link:
    ``d`` shingles at most, so when hashes are dealt into ``d + K`` parts, at
    least K parts are equal.  A node emits a signature for every choice of K
    parts of its band, and of the next band if a larger partner may be there.
+   Shingles that many documents have (boilerplate) are left out of them.
 3. Nodes that share a signature form clusters, and each cluster is cut into
    tiles by set size.  Pairs of tiles whose sizes allow a link are compared:
    hashed bitmaps bound the overlap from above by bit counts, and what passes
@@ -36,8 +37,14 @@ from .components import components
 from .runtime import free_name, prepare, written
 
 BAND_RATIO = 1.4
-SPARE = 3
-WEAK = 2
+#: A set with a larger share of rare shingles emits no signatures of the whole.
+MANY_RARE = 0.75
+#: A shingle is common from so many documents on; the most common ones count, as many as one worker can hold.
+COMMON_DOCS = 20
+MOST_COMMON = 1_000_000
+BLOCK_SHINGLES = 1_500_000
+NODE_BITS = 1 << 27
+FEW_NODES = 32
 BITS = 1024
 TILE_DOCS = 1000
 TILE_SHINGLES = 400_000
@@ -56,6 +63,11 @@ class Scheme:
         """Most shingles by which sets of at most ``b`` differ: 2 b (1 - t) / (1 + t)."""
         return 2 * b * (self.den - self.num) // (self.den + self.num)
 
+    @staticmethod
+    def spare(d: int) -> int:
+        """Equal parts of partners beyond the first."""
+        return 3 + d // 8
+
     @cache
     def start(self, band: int) -> int:
         """The smallest size in a band; band 0 starts where unequal sets can link."""
@@ -78,24 +90,34 @@ class Scheme:
         """(parts, K, choices of K parts or None where K is 1, inner bounds)."""
         d = self.differ(self.start(band + 1) - 1)
         k = {0: 1, 1: 4, 2: 3}.get(d, 2 if d <= 7 else 1)
-        m = d + k if k > 1 else d + 1 + SPARE
+        m = d + k if k > 1 else d + 1 + self.spare(d)
         chosen = np.array(list(combinations(range(m), k))) if k > 1 else None
         assert chosen is None or len(chosen) == comb(m, k)
         inner = np.array([(i << 64) // m for i in range(1, m)], dtype=U64)
         return m, k, chosen, inner
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """All signatures of a sorted set."""
+    def signatures(self, s: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """All signatures of a sorted set.
+
+        Without its common shingles a set still differs from a partner by
+        ``d`` at most, so signatures of the rare ones alone lose nothing, as
+        long as both partners emit them.  A set with few common shingles emits
+        only those, one with many only signatures of the whole set, and sets
+        in between emit both: the shares are such that partners always meet.
+        """
         n = len(s)
         if n < self.start(0):
             return np.zeros(0, U64)
+        rare = s if common is None or not len(common) else s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
+        t = self.num / self.den
+        kinds = [(rare, 1)] if len(rare) >= (MANY_RARE - (1 - t)) * t * n - 1 else []
+        if len(rare) <= MANY_RARE * n + 1 and len(rare) < n:
+            kinds.append((s, 2))
         band = self.band(n)
-        out = [self.of_band(s, band)]
-        if n * self.den // self.num >= self.start(band + 1):
-            out.append(self.of_band(s, band + 1))
-        return np.concatenate(out)
+        bands = [band, band + 1] if n * self.den // self.num >= self.start(band + 1) else [band]
+        return np.concatenate([self.of_band(x, b, kind) for x, kind in kinds for b in bands])
 
-    def of_band(self, s: np.ndarray, band: int) -> np.ndarray:
+    def of_band(self, s: np.ndarray, band: int, kind: int) -> np.ndarray:
         m, k, chosen, inner = self.parts(band)
         at = np.concatenate([[0], np.searchsorted(s, inner), [len(s)]])
         total = np.zeros(len(s) + 1, U64)
@@ -105,40 +127,152 @@ class Scheme:
         if chosen is not None:
             sig = part[chosen].sum(axis=1, dtype=U64)
         else:
-            # One of at least SPARE + 1 equal parts is not weak unless a set has more weak parts than SPARE.
-            weak = size <= WEAK
-            sig = part if weak.sum() > SPARE else part[~weak]
-        return tk.mix(sig + U64(band * 0x165667B19E3779F9 & (2**64 - 1)))
+            # Partners have spare + 1 equal parts, and equal parts are of equal size: the spare
+            # smallest ones of a set, which match by chance most often, are not needed.
+            sig = part[size >= np.sort(size)[m - k - self.differ(self.start(band + 1) - 1)]]
+        return tk.mix(sig + U64((band * 4 + kind) * 0x165667B19E3779F9 & (2**64 - 1)))
 
 
-def described(num: int, den: int, k: int, extra: str = "") -> object:
-    """A UDF: text -> (size, node), and its ``sigs`` or its ``packed`` text where asked for."""
-    scheme = Scheme(num, den)
-    kind = {"": "", "sigs": ",sigs:array<bigint>", "packed": ",packed:binary"}[extra]
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """One hash for each set: equal sets are one node."""
+    size = np.array([len(s) for s in sets], dtype=U64)
+    sums = np.array([int(tk.mix(s).sum(dtype=U64)) if len(s) else 0 for s in sets], dtype=U64)
+    return tk.mix(sums + size).view(np.int64)
+
 
-    @F.arrow_udf(f"struct<n:bigint,node:bigint{kind}>")
+def described(k: int) -> object:
+    """A UDF: text -> (size, node)."""
+
+    @F.arrow_udf("struct<n:bigint,node:bigint>")
     def udf(text: pa.Array) -> pa.Array:
-        size, node, sigs, packed = [], [], [], []
-        for buf, offs in tk.chunks(text):
-            sets = tk.shingle_sets(buf, offs, k)
+        size, node = [], [np.zeros(0, np.int64)]
+        for chunk in tk.chunks(text):
+            sets = tk.shingle_sets(*chunk, k)
             size += [len(s) for s in sets]
-            sums = np.array([int(tk.mix(s).sum(dtype=U64)) if len(s) else 0 for s in sets], dtype=U64)
-            node.append(tk.mix(sums + np.array([len(s) for s in sets], dtype=U64)).view(np.int64))
-            if extra == "sigs":
-                sigs += [scheme.signatures(s) for s in sets]
-            elif extra:
-                packed += [pack(buf[a:z]) for a, z in zip(offs[:-1], offs[1:], strict=True)]
-        cols = [pa.array(size, pa.int64()), pa.array(np.concatenate(node) if node else np.zeros(0, np.int64))]
-        if extra == "sigs":
-            values, at = tk.csr([s.view(np.int64) for s in sigs], np.int64)
-            cols.append(tk.list_array(values, at))
-        elif extra:
-            cols.append(pa.array(packed, pa.binary()))
-        return pa.StructArray.from_arrays(cols, ["n", "node", extra][: len(cols)])
+            node.append(nodes_of(sets))
+        return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(np.concatenate(node))], ["n", "node"])
 
     return udf
 
 
+def signed(num: int, den: int, k: int, common):
+    """mapInArrow over texts: (sig, node), once for equal sets of a task."""
+    scheme = Scheme(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        boilerplate = None if common is None else common.value
+        for b in batches:
+            for chunk in tk.chunks(b.column(0)):
+                sets = tk.shingle_sets(*chunk, k)
+                sigs, nodes = [], []
+                for s, node in zip(sets, nodes_of(sets).tolist(), strict=True):
+                    if len(s) and node not in seen:
+                        seen.add(node)
+                        sigs.append(scheme.signatures(s, boilerplate))
+                        nodes.append(np.full(len(sigs[-1]), node))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+
+    return run
+
+
+def sketched(k: int, bits):
+    """mapInArrow over texts: (node, n, bitmap) of those whose node may be in the bitmap of nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk in tk.chunks(b.column(0)):
+                sets = tk.shingle_sets(*chunk, k)
+                node, size = nodes_of(sets), np.array([len(s) for s in sets], dtype=np.int64)
+                take = maybe_in(bits.value, node, size)
+                maps = bitmaps([sets[i] for i in take])
+                yield pa.RecordBatch.from_arrays([pa.array(node[take]), pa.array(size[take]), pa.array([m.tobytes() for m in maps], pa.binary())], ["node", "n", "bits"])
+
+    return run
+
+
+def maybe_in(bits: np.ndarray, node: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of nodes that are no empty sets and have their bit."""
+    at = np.mod(node, NODE_BITS)
+    return np.flatnonzero((size > 0) & ((bits[at // 64] >> (at % 64).astype(U64)) & U64(1)).astype(bool))
+
+
+def bounded_pairs(num: int, den: int):
+    """mapInArrow over (a, b, sizes, bitmaps): the pairs whose bit counts allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = {c: b.column(b.schema.get_field_index(c)) for c in ("n_a", "n_b", "bits_a", "bits_b")}
+            x, y = (np.frombuffer(b"".join(col[c].to_pylist()), U64).reshape(b.num_rows, -1) for c in ("bits_a", "bits_b"))
+            n = [col[c].to_numpy() for c in ("n_a", "n_b")]
+            both = n[0] + n[1]
+            most = (both - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+            keep = pa.array((most * (num + den) >= num * both) & (np.minimum(*n) * den >= np.maximum(*n) * num))
+            yield b.select(["a", "b"]).filter(keep)
+
+    return run
+
+
+def node_bits(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of NODE_BITS bits of which each node sets one: of bounded size whatever the number of nodes."""
+    at = F.pmod("node", F.lit(NODE_BITS))
+    words = nodes.select((at / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(NODE_BITS // 64, U64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(U64)
+    return out
+
+
+def packed(k: int, bits):
+    """mapInArrow over texts: (node, n, packed text) of those whose node may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for buf, offs in tk.chunks(b.column(0)):
+                sets = tk.shingle_sets(buf, offs, k)
+                node, size = nodes_of(sets), np.array([len(s) for s in sets], dtype=np.int64)
+                take = maybe_in(bits.value, node, size)
+                texts = [pack(buf[offs[i] : offs[i + 1]]) for i in take]
+                yield pa.RecordBatch.from_arrays([pa.array(node[take]), pa.array(size[take]), pa.array(texts, pa.binary())], ["node", "n", "packed"])
+
+    return run
+
+
+def repeated_shingles(k: int):
+    """mapInArrow over texts: shingles that come up twice in a block of BLOCK_SHINGLES, with their counts.
+
+    A shingle that is common in a corpus does so in some blocks at least.
+    What is missed makes signatures weaker and changes no result.
+    """
+
+    def counted(block: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(block), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words[n > 1].view(np.int64)), pa.array(n[n > 1])], ["w", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = [np.zeros(0, U64)], 0
+        for b in batches:
+            for chunk in tk.chunks(b.column(0)):
+                sets = tk.shingle_sets(*chunk, k)
+                block += sets
+                held += sum(len(s) for s in sets)
+                if held > BLOCK_SHINGLES:
+                    yield counted(block)
+                    block, held = [np.zeros(0, U64)], 0
+        yield counted(block)
+
+    return run
+
+
+def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of shingles that many documents have, MOST_COMMON at most."""
+    rows = texts.mapInArrow(repeated_shingles(k), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_DOCS)
+    top = rows.orderBy(F.desc("n"), "w").limit(MOST_COMMON).select("w").toArrow()
+    return np.sort(top["w"].to_numpy().view(U64))
+
+
 def pack(text: np.ndarray) -> bytes:
     """A text's bytes, compressed: what the shuffles of whole texts carry."""
     return len(text).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(text.tobytes(), asbytes=True)
@@ -216,22 +350,52 @@ def compare(num: int, den: int, k: int):
     return run
 
 
-def classes(df: DataFrame, text: Column, num: int = 9, den: int = 10, k: int = 3) -> tuple[DataFrame, object]:
+def stars(shared: DataFrame) -> DataFrame:
+    """Each node with the smallest one of each of its signatures: enough to connect all of them."""
+    return shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+
+
+def pruned(shared: DataFrame, texts: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """Candidate edges: of signatures that few nodes have, all pairs whose bitmaps allow a link; of others, stars.
+
+    Chance matches of weak signatures would chain unrelated texts into one
+    cluster that grows with the corpus; bit counts end nearly all of them.
+    """
+    few = shared.where(F.col("size") <= FEW_NODES).groupBy("sig").agg(F.array_sort(F.collect_set("node")).alias("v"))
+    pairs = F.flatten(F.transform("v", lambda x: F.transform(F.filter("v", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = written(few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    bits = texts.sparkSession.sparkContext.broadcast(node_bits(nodes))
+    maps = texts.mapInArrow(sketched(k, bits), "node long, n long, bits binary").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    maps = written(maps, "bitmaps")
+    side = lambda x: maps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    kept = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded_pairs(num, den), "a long, b long")
+    return kept.unionByName(stars(shared.where(F.col("size") > FEW_NODES))).distinct()
+
+
+def classes(df: DataFrame, text: Column, num: int = 9, den: int = 10, k: int = 3, boilerplate: bool = False) -> tuple[DataFrame, object]:
     """(node, component) of every node that links to another, and the UDF for nodes.
 
     Nodes without a link are not listed.  Texts without words have n = 0 and
-    are no nodes.
+    are no nodes.  ``boilerplate`` finds common shingles first, by one more
+    pass: worth it for low thresholds, where signatures rest on few shingles.
     """
     spark = prepare(df.sparkSession)
-    full, brief, whole = described(num, den, k, "sigs"), described(num, den, k), described(num, den, k, "packed")
-    sets = df.select(full(text).alias("x")).select("x.*")
-    first = Window.partitionBy("node").orderBy("n")
-    sigs = sets.where(F.size("sigs") > 0).withColumn("rn", F.row_number().over(first)).where("rn = 1").select("node", "n", F.explode("sigs").alias("sig"))
-    least = sigs.select("node", F.min("node").over(Window.partitionBy("sig")).alias("least"), "n")
-    near = written(least.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "near")
+    sc = spark.sparkContext
+    rows = df.select(text.alias("text"))
+    common = sc.broadcast(common_shingles(rows, k)) if boilerplate else None
+    sigs = rows.mapInArrow(signed(num, den, k, common), "sig long, node long")
+    by_sig = Window.partitionBy("sig")
+    shared = sigs.withColumn("least", F.min("node").over(by_sig)).withColumn("most", F.max("node").over(by_sig)).withColumn("size", F.count("*").over(by_sig)).where("least <> most")
+    if boilerplate:
+        near = written(pruned(written(shared, "shared"), rows, num, den, k), "near")
+    else:
+        near = written(stars(shared), "near")
     cluster = written(components(near).select("node", F.col("component").alias("cluster")), "clusters")
 
-    texts = df.select(whole(text).alias("x")).select("x.*").where("n > 0")
+    # Only texts of clusters are shuffled: a bitmap of bounded size keeps back the rest, the join decides.
+    first = Window.partitionBy("node").orderBy("n")
+    texts = rows.mapInArrow(packed(k, sc.broadcast(node_bits(cluster))), "node long, n long, packed binary")
     texts = texts.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn").join(cluster, "node")
     texts = written(texts, "near-texts")
 
@@ -244,11 +408,11 @@ def classes(df: DataFrame, text: Column, num: int = 9, den: int = 10, k: int = 3
     a, b = spans.alias("a"), spans.alias("b")
     pairs = a.join(b, F.expr(f"a.cluster = b.cluster and a.tile <= b.tile and a.most * {den} >= b.least * {num}")).select(F.col("a.cluster").alias("cluster"), F.col("a.tile").alias("i"), F.col("b.tile").alias("j"))
     of_tile = pairs.select("cluster", F.col("i").alias("tile"), "i", "j").unionByName(pairs.where("i <> j").select("cluster", F.col("j").alias("tile"), "i", "j"))
-    rows = texts.select("node", "packed").join(tiles.drop("n"), "node").join(of_tile, ["cluster", "tile"])
+    pieces = texts.select("node", "packed").join(tiles.drop("n"), "node").join(of_tile, ["cluster", "tile"])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("cluster", "i", "j", "tile", "node", "packed").repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    links = rows.mapInArrow(compare(num, den, k), "a long, b long")
-    return components(links), brief
+    pieces = pieces.select("cluster", "i", "j", "tile", "node", "packed").repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    links = pieces.mapInArrow(compare(num, den, k), "a long, b long")
+    return components(links), described(k)
 
 
 def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, k: int = 3) -> DataFrame:
@@ -274,7 +438,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     Rows without words are all kept.  Among rows that tie in doc_id and
     text exactly one stays.
     """
-    linked, brief = classes(df, F.col(text), num, den, k)
+    linked, brief = classes(df, F.col(text), num, den, k, boilerplate=True)
     node, n, rn, keep_node, keep_id, x = (free_name(df, c) for c in ("node", "n_sh", "rn", "keep_node", "keep_id", "described"))
     sized = df.withColumn(x, brief(F.col(text)))
     nodes = written(sized.where(F.col(f"{x}.n") > 0).groupBy(F.col(f"{x}.node").alias("node")).agg(F.min(doc_id).alias("least")), "nodes")

@@ -38,20 +38,46 @@ def test_classes_match_all_pairs(spark, num, den, k):
     assert sorted(tuple(r) for r in got) == expected(docs, num, den, k)
 
 
-def test_signatures_lose_no_link():
+@pytest.mark.parametrize(("num", "common_share"), [(9, 0), (8, 0), (8, 0.2), (8, 0.5), (9, 0.4), (8, 0.8)])
+def test_signatures_lose_no_link(num, common_share):
     import numpy as np
 
     rnd = np.random.default_rng(5)
-    scheme = jaccard.Scheme(9, 10)
+    scheme = jaccard.Scheme(num, 10)
+    links = 0
     for _ in range(400):
         n = int(rnd.integers(9, 700))
         a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
         cut = int(rnd.integers(0, scheme.differ(len(a)) + 1))
         add = int(rnd.integers(0, scheme.differ(len(a)) + 1))
         b = np.unique(np.concatenate([rnd.permutation(a)[cut:], rnd.integers(0, 2**64, add, dtype=np.uint64)]))
+        either = np.union1d(a, b)
+        common = np.sort(rnd.permutation(either)[: int(len(either) * min(1, max(0, common_share + rnd.normal(0, 0.15))))]) if common_share else None
         both = jaccard.overlap(a, b)
-        if 10 * both >= 9 * (len(a) + len(b) - both):
-            assert set(scheme.signatures(a).tolist()) & set(scheme.signatures(b).tolist()) or set(a.tolist()) == set(b.tolist())
+        if 10 * both >= num * (len(a) + len(b) - both):
+            links += 1
+            assert set(scheme.signatures(a, common).tolist()) & set(scheme.signatures(b, common).tolist()) or set(a.tolist()) == set(b.tolist())
+    assert links > 50
+
+
+@pytest.mark.parametrize("few", [1, 3, 32])
+def test_boilerplate_and_pruning_keep_the_classes(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "COMMON_DOCS", 4)
+    monkeypatch.setattr(jaccard, "FEW_NODES", few)
+    rnd = random.Random(few)
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = []
+    for i, text in near_copies(few, 40):
+        docs.append((i, f"{text} {passage}" if rnd.random() < 0.5 else text))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    linked, brief = jaccard.classes(df, df["text"], 8, 10, 5, boilerplate=True)
+    of_node = {r.node: r.component for r in linked.collect()}
+    got = [(r.x.n, of_node.get(r.x.node, r.x.node)) for r in df.select("doc_id", brief("text").alias("x")).orderBy("doc_id").collect()]
+    want = link_classes(docs, 8, 10, 5)
+    assert [n for n, _ in got] == [n for n, _ in want]
+    for i, (n, members) in enumerate(want):
+        if n:
+            assert {j for j, (m, c) in enumerate(got) if m and c == got[i][1]} == set(members)
 
 
 def test_tiles_split_a_large_cluster(spark, monkeypatch):
