@@ -174,3 +174,19 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "shard", "piece")
     return rows.mapInArrow(digests, DIGEST)
+
+
+_RESTS_SQL = "|".join(x for r in _RESTS.values() for x in r).replace("'", "''")
+#: The digests of ``conversations`` and a conversation -7 as DuckDB SQL.
+SQL = rf"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+  select *, {len(START) + len(END) + 2} + length(role) + length(regexp_replace(text, '([<\[])(\\*)({_RESTS_SQL})', '\1\2\\\3', 'g')) as n from c
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(n) as bigint) as formatted_chars
+from e group by conv_id
+"""

@@ -75,4 +75,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op3_toxicity, op4_url_filters, op5_benchmark_decontamination, op6_html_extraction, op7_source_mixing, op8_suffix_dedup, op9_quality_rules, op10_chat_formatting)}
-SQL: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL, "op7_source_mixing": mixing.sql()}
+SQL: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL, "op7_source_mixing": mixing.sql(), "op10_chat_formatting": chat.SQL}

@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 from tallyweave.llm import chat
 from tallyweave.llm.queries import op10_chat_formatting
 
+from .brute import tables
+
 ALPHABET = st.lists(st.sampled_from([*chat.CONTROLS, "\\", "<", "[", "|", ">", "n", "\n", "é", "im_start|>", "<\\", "s>", "INST]"]), max_size=12).map("".join)
 
 
@@ -55,3 +57,9 @@ def test_query(spark, sf_dir):
     assert sorted((tuple(r)[:5] for r in got), key=str) == expected(rows)
     per_turn = len(chat.START) + len(chat.END) + 2
     assert {r.conv_id: r.formatted_chars for r in got}[-7] == 2 * per_turn + len("user") + len("assistant") + 2 * (len(text) + 3)
+
+
+def test_query_matches_sql(spark, sf_dir):
+    want = tables(sf_dir, "conversations").sql(chat.SQL)
+    got = sorted(tuple(r) for r in op10_chat_formatting(spark, sf_dir).select(*want.columns).collect())
+    assert got == sorted(want.fetchall())
