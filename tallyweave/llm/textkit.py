@@ -7,6 +7,7 @@ needed: UTF-8 continuation bytes never look like white space.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 _LOWER = np.arange(256)
@@ -70,6 +72,13 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def release() -> None:
+    """Give freed memory back: a worker lives on between tasks, next to others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def row_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose whole texts hold about ``limit`` bytes (one text may be longer)."""
     size = np.zeros(len(col) + 1, np.int64)
@@ -79,6 +88,7 @@ def row_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         j = min(len(col), max(int(np.searchsorted(size, size[i] + limit, side="right")) - 1, i + 1))
         yield i, j
         i = j
+    release()
 
 
 def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -90,6 +100,7 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray
         j = min(n, max(j, i + 1))
         yield buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    release()
 
 
 def prefix(buf: np.ndarray, lower: bool = False) -> np.ndarray:

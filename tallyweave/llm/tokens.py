@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from . import textkit as tk
 from .runtime import prepare
 
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 500_000
 JOINED_WORDS = 500
 STOPPED = r"([\pL\pN])([.,])([ \t\n\v\f\r]|$)"
 
@@ -148,7 +148,7 @@ def encoded(path: str, end_id: int | None, apart: bool, lower: bool):
         encode, shard, total = encoder(path, apart, lower), TaskContext.get().partitionId(), 0
         for b in batches:
             text = b.column(1)
-            for a, z in tk.row_chunks(text):
+            for a, z in tk.row_chunks(text, 4 * tk.CHUNK_BYTES):
                 ids, offs = with_end(*encode(text.slice(a, z - a)), end_id)
                 cols = [b.column(0).slice(a, z - a), pa.array(np.full(z - a, shard, np.int32)), pa.array(offs[:-1] + total), pa.array(np.diff(offs)), b.column(2).slice(a, z - a), tk.list_array(ids.astype(np.int32), offs)]
                 total += int(offs[-1])
