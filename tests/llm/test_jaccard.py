@@ -80,9 +80,17 @@ def test_boilerplate_and_pruning_keep_the_classes(spark, monkeypatch, few):
             assert {j for j, (m, c) in enumerate(got) if m and c == got[i][1]} == set(members)
 
 
-def test_tiles_split_a_large_cluster(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE_DOCS", 4)
-    docs = near_copies(3, 12)
+@pytest.mark.parametrize("tile_docs", [2, 4, 7])
+def test_tiles_split_a_large_cluster(spark, monkeypatch, tile_docs):
+    monkeypatch.setattr(jaccard, "TILE_DOCS", tile_docs)
+    rnd = random.Random(tile_docs)
+    base = [f"b{i}" for i in range(150)]
+    family = []
+    for i in range(60):  # one chain of near copies, whose ends are far apart
+        at = rnd.randrange(150)
+        base = [*base[:at], f"n{i}", *base[at + 1 :]]
+        family.append((5000 + i, " ".join(base)))
+    docs = near_copies(3, 12) + family
     got = jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in got) == expected(docs, 9, 10, 3)
 
