@@ -3,9 +3,11 @@
 Each document gets a few integer measures.  For every (language, source) a
 histogram sketch of each ratio is kept: a value is cut to its six leading
 bits, so a quantile is off by 1/32 at most, and sketches merge by adding
-counts.  Thresholds are outer fences of the sketched quartiles, never tighter
-than a floor; a group with few documents takes its language's sketch, a
-language with few the one of the whole corpus.
+counts.  Thresholds are outer fences of the sketched quartiles.  Where both
+quartiles lie in one bin they say nothing of the spread; the fence is then no
+tighter than a sketched tail quantile and a small margin.  A group with few
+documents takes its language's sketch, a language with few the one of the
+whole corpus.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ _SYMBOL[list(SYMBOLS)] = True
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 MEASURES = T.StructType([T.StructField(c, T.LongType()) for c in FIELDS])
 
-#: name: (numerator, denominator, lowest upper fence, highest lower fence); all in thousandths.
+#: name: (numerator, denominator, tail percentile, margin in thousandths, whether low values are fenced too).
+#: A tail must lie below the share of junk that a group may have: symbols are what junk has most of.
 RATIOS = {
-    "symbols": ("n_symbols", "n_words", 100, None),
-    "length": ("word_chars", "n_words", 9000, 2500),
-    "dup_lines": ("n_dup_lines", "n_lines", 400, None),
-    "repeats": ("n_repeat_words", "n_words", 300, None),
-    "upper": ("n_upper", "word_chars", 300, None),
+    "symbols": ("n_symbols", "n_words", 80, 20, False),
+    "length": ("word_chars", "n_words", 99, 100, True),
+    "dup_lines": ("n_dup_lines", "n_lines", 99, 50, False),
+    "repeats": ("n_repeat_words", "n_words", 99, 50, False),
+    "upper": ("n_upper", "word_chars", 99, 10, False),
 }
 
 
@@ -96,7 +99,7 @@ def base_failed(m: str) -> Column:
 
 def ratio(m: str, name: str) -> Column:
     """A ratio in thousandths, rounded down; 0 where nothing is counted."""
-    top, under, _, _ = RATIOS[name]
+    top, under = RATIOS[name][:2]
     return F.when(F.col(f"{m}.{under}") > 0, F.expr(f"(1000 * `{m}`.{top}) div `{m}`.{under}")).otherwise(F.lit(0).cast("long"))
 
 
@@ -121,11 +124,14 @@ def fences(measured: DataFrame, m: str, lang: str, source: str, min_docs: int, s
     pairs = F.array(*[F.struct(F.lit(r).alias("ratio"), bin_of(ratio(m, r)).alias("bin")) for r in RATIOS])
     counts = measured.where(~base_failed(m)).select(F.col(lang).alias("l"), F.col(source).alias("s"), F.explode(pairs).alias("p")).groupBy("l", "s", "p.ratio", "p.bin").agg(F.count("*").alias("n"))
 
+    def of_ratio(k: int) -> Column:
+        return F.create_map(*[x for r, v in RATIOS.items() for x in (F.lit(r), F.lit(v[k]))])[F.col("ratio")]
+
     def quartiles(sketch: DataFrame, by: list[str], level: str) -> DataFrame:
         w = Window.partitionBy(*by, "ratio")
         run = sketch.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bin")))
         q = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bin")))
-        return run.groupBy(*by, "ratio").agg(F.max("total").alias(f"n_{level}"), q(25).alias(f"a_{level}"), q(75).alias(f"b_{level}"))
+        return run.groupBy(*by, "ratio").agg(F.max("total").alias(f"n_{level}"), q(25).alias(f"a_{level}"), q(75).alias(f"b_{level}"), q(100 - of_ratio(2)).alias(f"y_{level}"), q(of_ratio(2)).alias(f"z_{level}"))
 
     by_lang = counts.groupBy("l", "ratio", "bin").agg(F.sum("n").alias("n"))
     by_all = by_lang.groupBy("ratio", "bin").agg(F.sum("n").alias("n"))
@@ -134,11 +140,12 @@ def fences(measured: DataFrame, m: str, lang: str, source: str, min_docs: int, s
     three = three.withColumnRenamed("ratio", "r3")
     q = one.join(two, F.col("l").eqNullSafe(F.col("l2")) & (F.col("ratio") == F.col("r2"))).join(three, F.col("ratio") == F.col("r3"))
     pick = lambda c: F.when(F.col("n_g") >= min_docs, F.col(f"{c}_g")).when(F.col("n_l") >= min_docs, F.col(f"{c}_l")).otherwise(F.col(f"{c}_c"))
-    low, high = pick("a"), bin_top(pick("b"))
-    floors = F.create_map(*[x for r, v in RATIOS.items() for x in (F.lit(r), F.lit(v[2]))])
-    ceils = F.create_map(*[x for r, v in RATIOS.items() for x in (F.lit(r), F.lit(v[3] if v[3] is not None else -1))])
-    upper = F.greatest(high + spread * (high - low), floors[F.col("ratio")].cast("long"))
-    lower = F.least(low - spread * (high - low), ceils[F.col("ratio")].cast("long"))
+    low, high, margin = pick("a"), bin_top(pick("b")), of_ratio(3)
+    beyond = F.greatest(spread * (high - low), margin)
+    flat = pick("a") == pick("b")
+    upper = F.when(flat, F.greatest(high + beyond, bin_top(pick("z")) + margin)).otherwise(high + beyond)
+    lower = F.when(flat, F.least(low - beyond, pick("y") - margin)).otherwise(low - beyond)
+    lower = F.when(of_ratio(4), lower).otherwise(F.lit(-1))
     return q.select("l", "s", "ratio", upper.alias("hi"), lower.alias("lo")).groupBy("l", "s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ratio", F.struct("lo", "hi"))))).alias("fence"))
 
 

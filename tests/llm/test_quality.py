@@ -34,3 +34,18 @@ def test_query(spark, sf_dir):
     got = [(labels[r.doc_id], r.kept) for r in op9_quality_rules(spark, sf_dir).collect() if r.doc_id in labels]
     good = [k for q, k in got if q == 1]
     assert sum(good) >= 0.95 * len(good)
+
+
+def test_fences_tighter_than_any_constant(spark):
+    """A group of even documents rejects what lies far outside it, up and down, though a mixed corpus has such documents."""
+    words = lambda i, n: " ".join(f"{'v' * (n + (i + k) % 2)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60 + i % 3))
+    rows = [(i, words(i, 3), "en", "a") for i in range(150)]
+    odd = {900: words(0, 6), 901: words(0, 1), 902: words(0, 3).upper(), 903: words(0, 3) + " #" * 4, 904: words(0, 3) + "\n" + "one two\n" * 3, 905: words(0, 3) + " a b c d e f g h" * 2}
+    rows += [(i, t, "en", "a") for i, t in odd.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality_report(df).collect()}
+    assert all(got[i].kept for i in range(150))
+    assert [i for i in odd if got[i].kept or got[i].base_failed] == []
+    # The same documents are ordinary in a group of their own kind.
+    long = spark.createDataFrame([(i, words(i, 6), "en", "b") for i in range(150)] + rows[:150], df.schema)
+    assert all(r.kept for r in quality.quality_report(long).collect())
