@@ -4,8 +4,9 @@ A text becomes a list of tokens.  Numbers, names and units are typed: their
 tokens carry a mark and, in the template, count as the mark alone.  Windows of
 ``width`` template tokens are hash-joined with those of the benchmark, so a
 question comes up again with other numbers or names.  A document leaks an item
-when its windows cover enough of the item's and the slots are filled
-consistently: equal values stay equal and different ones stay different.
+when its windows cover enough of the item's and, at one alignment at least,
+the slots inside matching windows are filled consistently: equal values stay
+equal and different ones stay different.
 
 Names are capitalised words that follow a lower-case word, a number or a comma
 on the same line; a unit is a word of ``UNITS`` right after a number.
@@ -95,26 +96,64 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     found = covered.join(sized(counts), "item").where(F.col("matched") >= share * F.col("item_windows"))
     found = written(found.select("text_key", "item", "item_windows", "matched"), "candidates")
 
-    # Slots: only for items that have any, at the alignment that matches most windows.
-    slotted = items.where(F.exists("tpl", lambda x: x.isin(NAME, NUMBER, UNIT))).select("item", F.col("raw").alias("b_raw"), F.col("tpl").alias("b_tpl"))
-    pairs = written(found.join(sized(slotted.select("item")), "item", "left_semi").select("text_key", "item"), "slot-pairs")
+    # Slots: only for items that have any.
+    slotted = items.where(F.exists("tpl", lambda x: x.isin(NAME, NUMBER, UNIT)))
+    pairs = written(found.join(sized(slotted.select("item")), "item", "left_semi").select("text_key", "item", "item_windows"), "slot-pairs")
     if not pairs.isEmpty():
-        shifts = aligned.join(sized(pairs), ["text_key", "item"], "left_semi").groupBy("text_key", "item", "shift").agg(F.count("*").alias("n"))
-        best = shifts.groupBy("text_key", "item").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
-        wanted = written(best, "alignments")
-        texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).join(sized(wanted), "text_key").groupBy("text_key", "item", "shift").agg(F.first("text").alias("text"))
-        joined = texts.withColumn("d_raw", tokens(marked(F.col("text")))).join(sized(slotted), "item")
-        both = F.transform(F.sequence(F.lit(1), F.size("b_raw")), lambda i: F.struct(F.get("b_tpl", i - 1).alias("t"), F.get("b_raw", i - 1).alias("b"), F.get("d_raw", i - 1 + F.col("shift")).alias("d")))
-        slots = F.filter(both, lambda x: x["t"].isin(NAME, NUMBER, UNIT) & x["d"].startswith(x["t"]))
-        one = joined.select("text_key", "item", F.array_distinct(F.transform(slots, lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))).alias("s"))
-        consistent = (F.size("s") == F.size(F.array_distinct("s.b"))) & (F.size("s") == F.size(F.array_distinct("s.d")))
-        checked = one.select("text_key", "item", F.size("s").alias("slots"), consistent.alias("consistent"))
+        own = written(aligned.join(sized(pairs), ["text_key", "item"]), "alignments")
+        checked = slot_checks(own, docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")), slotted, width, share)
         found = found.join(checked, ["text_key", "item"], "left").where(F.coalesce("consistent", F.lit(True))).drop("consistent")
     else:
         found = found.withColumn("slots", F.lit(None).cast("int"))
     return written(found.join(sized(items.select("item", "item_id")), "item").select("text_key", "item_id", "item_windows", "matched", F.coalesce("slots", F.lit(0)).alias("slots")), "leaks")
 
 
+def alignments(own: DataFrame, width: int, share: float) -> DataFrame:
+    """(text_key, item, kind, anchor, at, shift): all ways to lay an item on a text that are checked.
+
+    0: a shift that reaches the share by itself.  1: one that does not, with
+    the nearest shifts up to half the item away, as words put in or left out
+    make them.  2: each window at its longest shift, for scattered pieces.
+    """
+    keys, shift = ["text_key", "item"], F.col("shift")
+    counts = own.groupBy(*keys, "item_windows", "shift").agg(F.count("*").alias("n"))
+    enough = F.col("n") >= share * F.col("item_windows")
+    whole = own.join(counts.where(enough).select(*keys, "shift"), [*keys, "shift"]).select(*keys, F.lit(0).alias("kind"), shift.alias("anchor"), "at", "shift")
+
+    reach = F.expr(f"(item_windows + {width}) div 2")
+    near = F.floor(shift / reach)
+    anchors = counts.where(~enough).select(*keys, shift.alias("anchor"), F.explode(F.array(near - 1, near, near + 1)).alias("near"))
+    away = F.abs(shift - F.col("anchor"))
+    pieces = own.withColumn("near", near).join(anchors, [*keys, "near"]).where(away <= reach)
+    pieces = pieces.groupBy(*keys, "item_windows", "anchor", "at").agg(F.min_by("shift", F.struct(away.alias("away"), shift.alias("shift"))).alias("shift"))
+    covering = pieces.groupBy(*keys, "item_windows", "anchor").agg(F.count("*").alias("n")).where(enough).select(*keys, "anchor")
+    pieced = pieces.join(covering, [*keys, "anchor"]).select(*keys, F.lit(1).alias("kind"), "anchor", "at", "shift")
+
+    longest = own.join(counts.select(*keys, "shift", "n"), [*keys, "shift"]).groupBy(*keys, "at").agg(F.max_by("shift", F.struct(F.col("n"), (-shift).alias("first"))).alias("shift"))
+    return whole.unionByName(pieced).unionByName(longest.select(*keys, F.lit(2).alias("kind"), F.lit(0).alias("anchor"), "at", "shift"))
+
+
+def slot_checks(own: DataFrame, texts: DataFrame, slotted: DataFrame, width: int, share: float) -> DataFrame:
+    """(text_key, item, consistent, slots): whether any alignment fills the slots inside its matching windows consistently.
+
+    ``own`` has the matching windows (text_key, item, shift, at, item_windows).
+    """
+    keys = ["text_key", "item", "kind", "anchor"]
+    laid = written(alignments(own, width, share), "laid")
+    spots = slotted.select("item", "w", F.posexplode("raw").alias("p", "b")).where(F.substring("b", 1, 1).isin(NAME, NUMBER, UNIT))
+    spots = spots.select("item", "p", "b", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("w") + 1), F.col("p"))).alias("at"))
+    wanted = own.select("text_key").distinct()
+    filled = texts.withColumn("text_key", F.xxhash64("text")).join(sized(wanted), "text_key", "left_semi").dropDuplicates(["text_key"])
+    filled = filled.select("text_key", F.posexplode(tokens(marked(F.col("text")))).alias("pos", "d")).where(F.substring("d", 1, 1).isin(NAME, NUMBER, UNIT))
+    slots = laid.join(sized(spots), ["item", "at"]).select(*keys, "b", (F.col("p") + F.col("shift")).alias("pos")).distinct()
+    slots = slots.join(filled, ["text_key", "pos"]).select(*keys, "b", "d").distinct()
+    slots = slots.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("b").alias("n_b"), F.countDistinct("d").alias("n_d"))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    fits = (n == F.coalesce("n_b", F.lit(0))) & (n == F.coalesce("n_d", F.lit(0)))
+    judged = laid.select(*keys).distinct().join(slots, keys, "left")
+    return judged.groupBy("text_key", "item").agg(F.max(fits).alias("consistent"), F.max(F.when(fits, n)).cast("int").alias("slots"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """A row for each document and benchmark item that it leaks; rows of equal texts all come up."""
     found = leaks(docs, benchmark, text=text, **options)

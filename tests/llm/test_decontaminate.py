@@ -47,3 +47,18 @@ def test_query_matches_sql(spark, sf_dir):
     want = con.sql(f"select doc_id, item_id, item_windows, matched, slots from ({decontaminate.SQL}) order by all").fetchall()
     got = op5_benchmark_decontamination(spark, sf_dir).select("doc_id", "item_id", "item_windows", "matched", "slots").collect()
     assert sorted(tuple(r) for r in got) == want and want
+
+
+def test_any_consistent_alignment_counts(spark, monkeypatch):
+    """A drill sheet's later copy, part of an item beside other text, a word put in; values that change between pieces of less than the share are no leak."""
+    broken = ITEM.replace("has 12", "has 40").replace("after 12", "after 41").replace("Tom keep", "Jim keep")
+    half = ITEM.split(", so")[0]
+    other = ", so odd that nine Bob Jones 77 lost it as well as 99"
+    put = ITEM.replace("5 kg", "very nearly 5 kg")
+    docs = [(1, f"{broken} {ITEM}"), (2, f"{broken}\n{broken}\n{put}\n{broken}"), (3, f"{half}, so many red things as Bob has 77 now"), (4, put), (5, f"{broken} {broken}"), (6, put.replace("has 12", "has 40")), (7, half + other), (8, ITEM.replace("corn to Mary", "corn and beans to Mary").replace("after 12", "after 13"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r.slots for r in decontaminate.contaminated(df, items).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 6, 7] and min(got.values()) > 0  # 6: its second piece alone is more than half
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: r.slots for r in decontaminate.contaminated(df, items).collect()} == got
