@@ -40,8 +40,16 @@ NAMES = frozenset(
     "ad ads adbox adslot advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 
-_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|head|title"
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z!?][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+#: Their content is text, not tags; without a closing tag it is the rest of the page.
+_RAW = "script|style|textarea|title"
+#: Their content is dropped, up to their own end or that of an element around them.
+FOREIGN = frozenset(("svg", "math"))
+DROPPED = FOREIGN | frozenset("canvas head iframe noscript object select template".split())
+#: Start tags that leave a head open; elements of foreign content that hold blocks; other tags of blocks.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+HOLDS_BLOCKS = frozenset(("annotation-xml", "desc", "foreignobject"))
+BLOCKS = CONTAINERS | frozenset("h1 h2 h3 h4 h5 h6 hr p pre".split())
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?!title\s*/>)({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z!?][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,16 +86,30 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # tag, unwanted, number of the main element or 0
     linked, in_link, mains, heading, at = 0, 0, 0, False, 0
+    dropped: int | None = None  # depth of the outermost dropped element that is open
 
     def close() -> None:
         nonlocal parts, linked, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, linked, stack[-1][2] if stack else 0, any(s[1] for s in stack), heading))
+            found.append(Block(text, linked, stack[-1][2] if stack else 0, any(s[1] for s in stack[:dropped]), heading))
         parts, linked = [], 0
 
+    def leave(depth: int) -> None:
+        nonlocal dropped
+        del stack[depth:]
+        if dropped is not None and depth <= dropped:
+            dropped = None
+
+    def opened(*tags: str) -> int | None:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in tags), None)
+
     def add(text: str) -> None:
         nonlocal linked
+        if dropped is not None:
+            if stack[-1][0] != "head" or not text.strip():
+                return
+            leave(len(stack) - 1)
         parts.append(text)
         if in_link:
             linked += len("".join(html.unescape(text).split()))
@@ -99,6 +121,25 @@ def blocks(page: str) -> list[Block]:
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if dropped is not None and not m[2]:
+            if tag == "body" and (depth := opened("head")) is not None:
+                leave(depth)
+            elif stack[-1][0] == "head" and tag not in IN_HEAD:
+                leave(len(stack) - 1)
+            while dropped is not None and stack[-1][0] in FOREIGN and tag in BLOCKS:
+                leave(len(stack) - 1)
+        if tag in DROPPED or dropped is not None:
+            if m[2]:
+                if (tag in DROPPED or tag in CONTAINERS or tag in HOLDS_BLOCKS) and (depth := opened(tag)) is not None:
+                    if dropped is not None and depth < dropped:
+                        close()
+                        in_link = 0
+                    leave(depth)
+            elif (tag in DROPPED or tag in CONTAINERS or tag in HOLDS_BLOCKS) and not m[4].endswith("/"):
+                if dropped is None:
+                    dropped = len(stack)
+                stack.append((tag, True, stack[-1][2] if stack else 0))
+            continue
         if tag == "a":
             in_link = 0 if m[2] else 1
         if tag in INLINE:
@@ -114,9 +155,8 @@ def blocks(page: str) -> list[Block]:
         if tag not in CONTAINERS:
             continue
         if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if (depth := opened(tag)) is not None:
+                leave(depth)
         elif not m[4].endswith("/"):
             inside = stack[-1][2] if stack else 0
             if tag in MAIN and not inside:

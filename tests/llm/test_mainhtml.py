@@ -48,3 +48,18 @@ def test_query_gives_the_articles(spark, sf_dir):
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id].html, re.DOTALL)[1].replace("<br>", " ")
         parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|li|ul)>", article))
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+def test_open_and_empty_elements_keep_the_article():
+    """Only raw text runs on to the end of the page; a head ends where blocks begin, an empty icon holds nothing."""
+    p = PROSE.strip()
+    article = f"<article><h1>Big</h1><p>{p}</p>%s<p>{p}</p></article>"
+    want = f"Big\n{p}\n{p}"
+    plain = article % ""
+    for head in ("<head><title>t</title>", "<head><title>t</title><meta name=a><noscript><link href=x></noscript>", "<HEAD><title>t</title><noscript><link href=x>", "<head>"):
+        assert mainhtml.main_text(f"<html>{head}<body>{plain}</body></html>") == want
+    assert mainhtml.main_text(f"<html><head><title>t</title>{plain}") == want
+    for icon in ("<svg/>", "<svg width=1 />", "<math/>", "<svg><path d=x>", "<svg><title/><path/></svg>", "<svg>a<svg>b</svg>c</svg>", "<svg><foreignObject><div>a<p>b</p></div></foreignObject>c</svg>", "<div><object><b>x</b></div>", "<div><canvas>x</div>", "<div><select><option>x</div>", "<div><iframe src=x></div>", "<noscript><p>x</p></noscript>", "<template><div>x</div></template>"):
+        assert mainhtml.main_text(f"<html><head></head><body>{article % icon}</body></html>") == want, icon
+    assert mainhtml.main_text(f"<article><p>{p} a<svg><path/></svg>b</p></article>") == f"{p} ab"
+    assert mainhtml.main_text(f"<article><p>{p}</p><script>x<p>{p}</p>") == p
