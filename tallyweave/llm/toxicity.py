@@ -1,18 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models of a text's words.
 
 Two models, one of toxic and one of ordinary text, are counted from labelled
-rows.  As in Kneser-Ney smoothing, an expression counts once for each context
-it comes up in, the context being the document, so a word repeated a hundred
-times in one junk text is no evidence.  An absolute discount is taken from
-every count, and what it frees goes to a back-off distribution that both
-classes share: document counts over the whole corpus, labelled or not.  An
-expression seen in no more contexts than the discount has the same (shared)
-probability in both models.
-
-The models are compared by length-normalised log-likelihood ratios: that of
-the whole text and that of its strongest passage of ``STRONGEST`` words.  A
-logistic curve over both, fitted to labelled rows scored without their own
-counts, turns them into a score.
+rows.  Each is an interpolated Kneser-Ney model of three orders:
+
+* a word after the word before it, by the number of documents that have the pair;
+* a word, by its continuation count: the number of different words it follows;
+* a word's stem (its first bytes), by the pairs of all words that share it.
+
+An absolute discount is taken from every count, and what it frees goes to the
+next lower order.  Below the stems lies one distribution for both classes:
+continuation counts over the whole corpus, labelled or not (the words before a
+word are told apart by a sketch of 64 bits; a word whose sketch is full counts
+its documents).  Words and stems hand down the share that both classes have
+together, so an expression that neither model knows speaks for no class.
+
+A text is scored by length-normalised log-likelihood ratios of the two models:
+that of the whole text and that of its ``STRONGEST`` strongest words.  A
+logistic curve over both turns them into a score.  It is fitted to labelled
+rows that are scored by models without their fold.
 """
 
 from __future__ import annotations
@@ -31,12 +36,18 @@ from pyspark.sql import types as T
 from . import textkit as tk
 from .runtime import prepare, written
 
-DISCOUNT = 2
+#: Taken from counts of words and stems, and from counts of pairs.
+DISCOUNT, PAIR_DISCOUNT = 3, 6
+STEM_BYTES = 6
 STRONGEST = 2
+FOLDS = 3
 #: The models are fitted on at most so many labelled rows (those with the
-#: smallest hashes of their ids), which bounds the expressions of the models.
-MOST_LABELLED = 500_000
+#: smallest hashes of their ids); all counts below the classes cover all rows.
+MOST_LABELLED = 50_000
+#: Most rows of a model's table that workers hold; pairs with the least evidence go first.
+MOST_ROWS = 3_000_000
 BROADCAST_LABELS = 2_000_000
+U64 = np.uint64
 
 LETTERLESS = np.ones(256, dtype=bool)
 LETTERLESS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -44,67 +55,110 @@ LETTERLESS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 FEATURES = T.StructType([T.StructField("strongest", T.DoubleType()), T.StructField("whole", T.DoubleType())])
 
 
-def expressions(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of every word: runs of ASCII letters and digits and of other characters, A-Z lower-cased."""
+def expressions(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, stem, word before, document) of every word: runs of ASCII letters and digits and of other characters, A-Z lower-cased."""
     start, end, doc = tk.words(buf, offs, LETTERLESS)
-    return tk.span_hash(tk.prefix(buf, lower=True), start, end), doc
+    p = tk.prefix(buf, lower=True)
+    w = tk.span_hash(p, start, end)
+    s = tk.span_hash(p, start, np.minimum(end, start + STEM_BYTES))
+    before = np.zeros(len(w), U64)
+    before[1:] = np.where(doc[1:] == doc[:-1], w[:-1], U64(0))
+    return w, s, before, doc
 
 
-def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (text, toxic or null): documents of each class, and all, that have an expression."""
+def pair(before: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return tk.mix(before * U64(0x9E3779B97F4A7C15) + w)
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (text, toxic, fold): documents of each class and fold that have a pair of words."""
+    for b in batches:
+        toxic, fold = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+        for i, j in tk.row_chunks(b.column(0)):
+            w, s, v, doc = expressions(*tk.buffers(b.column(0).slice(i, j - i)))
+            kind = toxic[i:j] * FOLDS + fold[i:j]
+            once = np.unique(tk.with_doc(pair(v, w), doc), return_index=True)[1]
+            tagged = tk.with_doc(pair(v, w)[once], kind[doc[once]])
+            _, first, n = np.unique(tagged, return_index=True, return_counts=True)
+            at = once[first]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (v, w, s)], pa.array(kind[doc[at]].astype(np.int32)), pa.array(n)], ["v", "w", "s", "kind", "n"])
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (text): every word with its stem, its documents and a sketch of the words before it."""
     for b in batches:
-        toxic = b.column(1).to_numpy(zero_copy_only=False)
         for i, j in tk.row_chunks(b.column(0)):
-            h, doc = expressions(*tk.buffers(b.column(0).slice(i, j - i)))
-            _, first = np.unique(tk.with_doc(h, doc), return_index=True)
-            h, label = h[first], toxic[i:j][doc[first]]
-            words, at = np.unique(h, return_inverse=True)
-            n = [np.bincount(at, weights=m, minlength=len(words)).astype(np.int64) for m in (label == 0, label == 1, np.ones(len(h)))]
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *map(pa.array, n)], ["w", "n0", "n1", "n"])
+            w, s, v, doc = expressions(*tk.buffers(b.column(0).slice(i, j - i)))
+            once = np.unique(tk.with_doc(w, doc), return_index=True)[1]
+            words, first, at = np.unique(w, return_index=True, return_inverse=True)
+            sketch = np.zeros(len(words), U64)
+            np.bitwise_or.at(sketch, at, U64(1) << (tk.mix(v) & U64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(s[first].view(np.int64)), pa.array(sketch.view(np.int64)), pa.array(np.bincount(at[once], minlength=len(words)).astype(np.int64))], ["w", "s", "sketch", "docs"])
+
+
+def at_most(df: DataFrame, evidence: str, most: int) -> DataFrame:
+    """The rows above the least evidence for which no more than ``most`` are left."""
+    sizes = df.groupBy(F.least(evidence, F.lit(10_000)).alias("e")).count().orderBy(F.desc("e")).collect()  # 10,000 rows at most
+    left, floor = 0, 10_001
+    for r in sizes:
+        if left + r["count"] > most:
+            break
+        left, floor = left + r["count"], r["e"]
+    return df.where(F.col(evidence) >= floor)
+
+
+@dataclass
+class Table:
+    """Values by hash; ``find`` gives positions, one past the end for what is not there."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: list[np.ndarray], default: list[float]) -> Table:
+        keys = keys.view(U64)
+        order = np.argsort(keys)
+        return cls(keys[order], np.concatenate([np.stack(values, axis=1)[order], [default]]).astype(np.float32))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return self.values[np.zeros(len(h), np.int64)]
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return self.values[np.where(self.keys[at] == h, at, len(self.keys))]
 
 
 @dataclass
 class Model:
-    """Expressions above the discount, sorted by hash, with counts and shared back-off."""
-
-    words: np.ndarray
-    n0: np.ndarray
-    n1: np.ndarray
-    shared: np.ndarray
-    total0: float
-    total1: float
-    freed: float
-
-    def ratios(self, at: np.ndarray, without0: np.ndarray | int = 0, without1: np.ndarray | int = 0) -> np.ndarray:
-        """log P(toxic) - log P(ordinary) of expressions, some counts taken off."""
-        n0, n1 = self.n0[at] - without0, self.n1[at] - without1
-        back = self.freed * self.shared[at]
-        toxic = np.maximum(n1 - DISCOUNT, 0) / max(self.total1, 1.0) + back
-        plain = np.maximum(n0 - DISCOUNT, 0) / max(self.total0, 1.0) + back
-        return np.where(n0 + n1 > DISCOUNT, np.log(toxic / plain), 0.0)
-
-    def features(self, text: pa.Array, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(strongest passage, whole text) of each text; with ``label``, without the text's own counts."""
-        strongest, whole = [], []
-        done = 0
+    """What each class gives: pairs above the discount, the share handed down after a word,
+    known words, and stems (against the shared distribution) for unknown words."""
+
+    pairs: Table
+    before: Table
+    words: Table
+    stems: Table
+
+    def ratios(self, w: np.ndarray, s: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """log P(toxic) - log P(ordinary) of every word after the one before it."""
+        low = self.words.find(w)
+        unknown = np.isnan(low[:, 0])
+        both = self.pairs.find(pair(v, w)) + self.before.find(v) * low
+        both[unknown] = self.stems.find(s[unknown])
+        return np.log(both[:, 1] / both[:, 0])
+
+    def features(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(strongest words, whole text) of each text."""
+        strongest, whole = [np.zeros(0)], [np.zeros(0)]
         for buf, offs in tk.chunks(text):
             n = len(offs) - 1
-            h, doc = expressions(buf, offs)
-            llr = np.zeros(len(h))
-            if len(self.words) and len(h):
-                at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-                known = self.words[at] == h
-                own = (0, 0) if label is None else tuple((label[done:][doc] == c).astype(np.int64) for c in (0, 1))
-                llr = np.where(known, self.ratios(at, *own), 0.0)
+            w, s, v, doc = expressions(buf, offs)
+            llr = self.ratios(w, s, v).astype(np.float64)
             count = np.bincount(doc, minlength=n)
             whole.append(np.bincount(doc, weights=llr, minlength=n) / np.maximum(count, 1))
             order = np.lexsort((-llr, doc))
-            rank = np.arange(len(h)) - (np.cumsum(count) - count)[doc[order]]
+            rank = np.arange(len(w)) - (np.cumsum(count) - count)[doc[order]]
             top = order[(rank < STRONGEST) & (llr[order] > 0)]
             strongest.append(np.bincount(doc[top], weights=llr[top], minlength=n) / STRONGEST)
-            done += n
-        z = np.zeros(0)
-        return np.concatenate([z, *strongest]), np.concatenate([z, *whole])
+        return np.concatenate(strongest), np.concatenate(whole)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -113,39 +167,86 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, most: int) -> DataFrame:
-    """(text, toxic) of the rows to learn from; ids with several labels are toxic if one says so."""
+    """(text, toxic, fold) of the rows to learn from; ids with several labels are toxic if one says so."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     if n > most:
         h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
         known = known.where(h < int((1 << 40) * most / n))
-    known = known.select(F.col("doc_id").alias("label_id"), "toxic")
+    known = known.select(F.col("doc_id").alias("label_id"), "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
     if min(n, most) <= BROADCAST_LABELS:
         known = F.broadcast(known)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return rows.join(known, rows["id"] == known["label_id"]).select("text", "toxic")
-
-
-def fitted(docs: DataFrame, train: DataFrame, text: str = "text") -> Model:
-    """Count both classes over ``train`` and the shared contexts over all of ``docs``."""
-    kind = "w long, n0 long, n1 long, n long"
-    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "n")]
-    classes = written(train.mapInArrow(count_contexts, kind).groupBy("w").agg(*sums), "class-contexts")
-    corpus = written(docs.select(F.col(text).alias("text"), F.lit(None).cast("int").alias("toxic")).mapInArrow(count_contexts, kind).groupBy("w").agg(F.sum("n").alias("n")), "corpus-contexts")
-    total0, total1, freed = classes.agg(F.sum("n0"), F.sum("n1"), F.sum(F.least("n0", F.lit(DISCOUNT)) + F.least("n1", F.lit(DISCOUNT)))).first()
-    everything = corpus.agg(F.sum("n")).first()[0] or 1
-    # The expressions of at most MOST_LABELLED texts that more than DISCOUNT of them have.
-    rows = classes.where(f"n0 + n1 > {DISCOUNT}").select("w", "n0", "n1").join(corpus, "w").select("w", "n0", "n1", "n").toArrow()
-    col = {c: rows[c].to_numpy() for c in rows.column_names}
-    words = col["w"].view(np.uint64)
-    order = np.argsort(words)
-    seen = (total0 or 0) + (total1 or 0)
-    return Model(words[order], col["n0"][order].astype(np.int32), col["n1"][order].astype(np.int32), (col["n"][order] / everything).astype(np.float32), float(total0 or 0), float(total1 or 0), (freed or 0) / seen if seen else 1.0)
+    return rows.join(known, rows["id"] == known["label_id"]).select("text", "toxic", "fold")
+
+
+def fitted(docs: DataFrame, train: DataFrame, text: str = "text") -> list[Model]:
+    """The model of all of ``train``, then for each fold the one without it.
+
+    Counted together: a column for each model and class.  What comes to the
+    driver is bounded by ``MOST_ROWS`` for each table and by the labelled rows.
+    """
+    models = range(FOLDS + 1)  # the last one leaves out nothing
+    counted = train.mapInArrow(count_pairs, "v long, w long, s long, kind int, n long").groupBy("v", "w", "s")
+    fold, label = F.col("kind") % FOLDS, F.floor(F.col("kind") / FOLDS)
+    sums = [F.coalesce(F.sum(F.when((fold != m) & (label == c), F.col("n"))), F.lit(0)).cast("int").alias(f"n{c}_{m}") for m in models for c in (0, 1)]
+    pairs = written(counted.agg(*sums), "class-pairs")
+    corpus = docs.select(F.col(text).alias("text")).mapInArrow(count_words, "w long, s long, sketch long, docs long").groupBy("w", "s").agg(F.bit_or("sketch").alias("sketch"), F.sum("docs").alias("docs"))
+    full = F.bit_count("sketch")
+    follows = F.when(full < 60, -64 * F.log((64 - full) / 64)).otherwise(F.greatest("docs", F.lit(177)))
+    corpus = written(corpus.select("w", "s", follows.alias("follows")), "corpus-words")
+    of_stems = corpus.groupBy("s").agg(F.sum("follows").alias("stem_follows"))
+    everything = float(of_stems.agg(F.sum("stem_follows")).first()[0] or 1)
+
+    names = [f"n{c}_{m}" for m in models for c in (0, 1)]
+    evidence = (F.col(f"n0_{FOLDS}") + F.col(f"n1_{FOLDS}")).alias("evidence")
+    above = lambda x, d: F.greatest(F.col(x) - d, F.lit(0))
+
+    def some(df: DataFrame, keys: list[str], discount: int, own: DataFrame | None = None) -> dict[str, np.ndarray]:
+        """What one class or the other has above the discount, by name: at most MOST_ROWS rows."""
+        rows = at_most(df.select(*keys, *names, evidence).where(f"evidence > {discount}"), "evidence", MOST_ROWS).drop("evidence")
+        got = (rows if own is None else rows.join(own, keys[0])).toArrow()
+        return {c: got[c].to_numpy() for c in got.column_names}
+
+    def totals(df: DataFrame) -> dict[str, float]:
+        got = df.agg(*[F.sum(x).alias(f"c_{x}") for x in names], *[F.sum(above(x, DISCOUNT)).alias(f"d_{x}") for x in names]).first()
+        return {c: float(v or 0) for c, v in got.asDict().items()}
+
+    words = written(pairs.groupBy("w", "s").agg(*[F.sum((F.col(x) > 0).cast("int")).alias(x) for x in names]), "class-words")
+    stems = written(words.groupBy("s").agg(*[F.sum(x).alias(x) for x in names]), "class-stems")
+    # Only words that some pair above the discount follows need their own share to hand down.
+    mass = [x for n in names for x in (F.sum(n).alias(n), F.sum(above(n, PAIR_DISCOUNT)).alias(f"d_{n}"))]
+    first = pairs.groupBy("v").agg(*mass).where(" or ".join(f"d_{n} > 0" for n in names))
+    before = at_most(first.withColumn("evidence", evidence), "evidence", MOST_ROWS).drop("evidence").toArrow()
+    tables = {"w": some(words, ["w", "s"], DISCOUNT, corpus.select("w", "follows")), "s": some(stems, ["s"], DISCOUNT, of_stems), "p": some(pairs, ["v", "w"], PAIR_DISCOUNT), "v": {c: before[c].to_numpy() for c in before.column_names}}
+    sums_w, sums_s = totals(words), totals(stems)
+    return [model_of(tables, sums_w, sums_s, everything, m) for m in (FOLDS, *range(FOLDS))]
+
+
+def model_of(tables: dict[str, dict[str, np.ndarray]], sums_w: dict[str, float], sums_s: dict[str, float], everything: float, m: int) -> Model:
+    """The model whose counts are in the columns of ``m``."""
+    names = [f"n{c}_{m}" for c in (0, 1)]
+    w, s, v, p = (tables[k] for k in "wsvp")
+
+    def level(t: dict[str, np.ndarray], sums: dict[str, float], lower: list[np.ndarray]) -> list[np.ndarray]:
+        """Discounted counts of each class, and the share of both handed down to ``lower``."""
+        share = 1 - sum(sums[f"d_{x}"] for x in names) / max(sum(sums[f"c_{x}"] for x in names), 1)
+        return [(1 - share) * np.maximum(t[x] - DISCOUNT, 0) / max(sums[f"d_{x}"], 1) + share * low for x, low in zip(names, lower, strict=True)]
+
+    shared = s["stem_follows"] / everything
+    of_stem = [x / shared for x in level(s, sums_s, [shared, shared])]
+    stems = Table.of(s["s"], of_stem, [1.0, 1.0])
+    factor = stems.find(w["s"].view(U64)).astype(np.float64)
+    words = Table.of(w["w"], level(w, sums_w, [w["follows"] / everything * factor[:, c] for c in (0, 1)]), [np.nan, np.nan])
+    before = Table.of(v["v"], [1 - v[f"d_{x}"] / np.maximum(v[x], 1) for x in names], [1.0, 1.0])
+    seen = Table.of(v["v"], [v[x] for x in names], [np.inf, np.inf]).find(p["v"].view(U64)).astype(np.float64)
+    tops = [np.maximum(p[x] - PAIR_DISCOUNT, 0) / np.maximum(seen[:, c], 1) for c, x in enumerate(names)]
+    return Model(Table.of(pair(p["v"].view(U64), p["w"].view(U64)).view(np.int64), tops, [0.0, 0.0]), before, words, stems)
 
 
 def scorer(df: DataFrame, model: Model):
-    """A UDF: text -> both ratios."""
+    """A UDF: text -> its ratios."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(FEATURES)
@@ -155,15 +256,19 @@ def scorer(df: DataFrame, model: Model):
     return udf
 
 
-def own_counts_off(df: DataFrame, model: Model):
-    """mapInArrow over (text, toxic): both ratios without the row's own counts."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def without_fold(df: DataFrame, models: list[Model]):
+    """mapInArrow over (text, toxic, fold): ratios by the model without the row's fold."""
+    shared = df.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = b.column(1).to_numpy(zero_copy_only=False)
-            strongest, whole = shared.value.features(b.column(0), label)
-            yield pa.RecordBatch.from_arrays([pa.array(strongest), pa.array(whole), pa.array(label.astype(np.float64))], ["strongest", "whole", "label"])
+            fold = b.column(2).to_numpy(zero_copy_only=False)
+            for f in range(FOLDS):
+                rows = np.flatnonzero(fold == f)
+                if len(rows):
+                    mine = b.take(pa.array(rows))
+                    got = shared.value[f].features(mine.column(0))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, got), mine.column(1).cast(pa.float64())], [*FEATURES.names, "label"])
 
     return run
 
@@ -171,19 +276,22 @@ def own_counts_off(df: DataFrame, model: Model):
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most_labelled: int = MOST_LABELLED) -> DataFrame:
     """A row for each document: doc_id, held_out and a score from 0 to 1.
 
-    Only texts enter a score.  A null or empty text gets the score of a text
-    without known expressions.  Where the labels to learn from are of one
-    class only or missing, every score is the share of toxic ones (or 0).
+    Only texts enter a score.  A null or empty text, or one without known
+    expressions, has ratios of 0.  Repeated rows count and come back as often
+    as they are there; very long texts are scored whole.  Where the labels to
+    learn from are of one class only or missing, every score is the share of
+    toxic ones (or 0).
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     train = labelled(docs, labels, doc_id, text, most_labelled)
-    model = fitted(docs, train, text)
-    seen = written(train.select("text", "toxic").mapInArrow(own_counts_off(docs, model), "strongest double, whole double, label double"), "ratios")
+    model, *others = fitted(docs, train, text)
+    seen = written(train.mapInArrow(without_fold(docs, others), ", ".join(f"{c} double" for c in (*FEATURES.names, "label"))), "ratios")
     classes = {r.label: r["count"] for r in seen.groupBy("label").count().collect()}
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), scorer(docs, model)(F.col(text)).alias("x"))
     if len(classes) < 2:
         return rows.select("doc_id", "held_out", F.lit(float(max(classes, default=0.0))).alias("score"))
-    curve = LogisticRegression(maxIter=100, regParam=1e-6).fit(VectorAssembler(inputCols=["strongest", "whole"], outputCol="features").transform(seen))
-    a, b = (float(c) for c in curve.coefficients)
-    z = F.lit(a) * F.col("x.strongest") + F.lit(b) * F.col("x.whole") + F.lit(float(curve.intercept))
+    curve = LogisticRegression(maxIter=100, regParam=1e-4).fit(VectorAssembler(inputCols=FEATURES.names, outputCol="features").transform(seen))
+    z = F.lit(float(curve.intercept))
+    for name, weight in zip(FEATURES.names, curve.coefficients, strict=True):
+        z = z + F.lit(float(weight)) * F.col(f"x.{name}")
     return rows.select("doc_id", "held_out", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("score"))
