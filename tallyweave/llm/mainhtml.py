@@ -1,9 +1,16 @@
 """Main text of web pages by two passes of block rules.
 
 The page is cut into blocks at block-level tags.  The first pass decides each
-block by where it stands, its share of linked characters, its length and its
-density of stop words; short blocks without a clear sign stay open.  In the
-second pass an open block takes the label of the nearest decided neighbours.
+block by its share of linked characters, its length and its density of stop
+words; what stands in menus, notices, forms and the like is none.  Blocks
+without a clear sign stay open: short ones, and those with few stop words (a
+table, a list of names, a language that the list lacks).  In the second pass an
+open block takes the label of the nearest decided neighbours.
+
+``article`` and ``main`` elements are no proof.  Only if most of the text that
+the first pass accepts (``MOST_IN_MAIN``) stands inside them, what stands
+outside is taken for the page's frame; a page whose only ``article`` is a teaser
+keeps its body.
 """
 
 from __future__ import annotations
@@ -22,7 +29,8 @@ from .runtime import free_name, prepare
 MOST_LINKED = 0.5
 SHORT_CHARS = 70
 LONG_CHARS = 200
-STOPS_LOW, STOPS_HIGH = 0.2, 0.3
+STOPS_NONE, STOPS_LOW, STOPS_HIGH = 0.05, 0.2, 0.3
+MOST_IN_MAIN = 2 / 3
 
 STOP_WORDS = frozenset(
     "the of and to a in that is was for it with as his on be at by i this had not are but from or have an they which you were her all she there would their we him been has when who will more no if out so "
@@ -168,23 +176,41 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def first_pass(b: Block, has_main: bool) -> bool | None:
+def density(b: Block) -> float:
+    words = _WORD.findall(b.text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
+def first_pass(b: Block, known: bool) -> bool | None:
+    """``known``: whether the page is in a language of the stop words."""
     solid = len(b.text) - b.text.count(" ")
-    if b.never or has_main and not b.main or b.linked > MOST_LINKED * solid:
+    if b.never or b.linked > MOST_LINKED * solid:
         return False
     if len(b.text) < SHORT_CHARS:
         return None
-    if b.main:
-        return True
-    words = _WORD.findall(b.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if density >= STOPS_HIGH or density >= STOPS_LOW and len(b.text) >= LONG_CHARS:
+    stops = density(b)
+    if stops >= STOPS_HIGH or stops >= STOPS_LOW and (b.main or len(b.text) >= LONG_CHARS):
         return True
-    return None if density >= STOPS_LOW else False
+    if len(b.text) >= LONG_CHARS and stops < STOPS_NONE and not b.main:
+        return not known
+    return None
+
+
+def classified(found: list[Block]) -> None:
+    """The first pass over a page's blocks."""
+    content = [b for b in found if not b.never and len(b.text) >= SHORT_CHARS]
+    known = any(density(b) >= STOPS_LOW for b in content)
+    for b in found:
+        b.label = first_pass(b, known)
+    inside, outside = (sum(len(b.text) for b in found if b.label and bool(b.main) == m) for m in (True, False))
+    if inside and inside >= MOST_IN_MAIN * (inside + outside) or not inside + outside and any(b.main and not b.never for b in found):
+        for b in found:
+            if not b.main:
+                b.label = False
 
 
 def second_pass(found: list[Block]) -> list[bool]:
-    """Labels of all blocks: open ones follow the nearest decided ones of their main element or, outside any, of the page."""
+    """Labels of all blocks: open ones follow the nearest decided ones of their main element or, outside any, of the page; menus and the like are nobody's neighbours."""
     n = len(found)
     before, after = [-1] * n, [n] * n
     for order, out in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -192,7 +218,7 @@ def second_pass(found: list[Block]) -> list[bool]:
         for i in order:
             if (k := last.get(found[i].main)) is not None:
                 out[i] = k
-            if found[i].label is not None and not (found[i].main and found[i].never):
+            if found[i].label is not None and not found[i].never:
                 last[found[i].main] = i
     labels = []
     for i, b in enumerate(found):
@@ -202,7 +228,7 @@ def second_pass(found: list[Block]) -> list[bool]:
         up = found[before[i]].label if before[i] >= 0 else None
         down = found[after[i]].label if after[i] < n else None
         if up is None and down is None:
-            labels.append(bool(b.main))
+            labels.append(True)  # nothing speaks against it
         elif up is None or down is None or up == down:
             labels.append(bool(down if up is None else up))
         elif b.heading:
@@ -215,9 +241,7 @@ def second_pass(found: list[Block]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The page's main blocks, one a line; empty if there are none."""
     found = blocks(page or "")
-    has_main = any(b.main and not b.never for b in found)
-    for b in found:
-        b.label = first_pass(b, has_main)
+    classified(found)
     return "\n".join(b.text for b, keep in zip(found, second_pass(found), strict=True) if keep)
 
 
@@ -229,7 +253,8 @@ def extracted(page: pa.Array) -> pa.Array:
 def extract(df: DataFrame, html_column: str = "html", into: str = "text") -> DataFrame:
     """``df`` with the main text of each page in a new column (another name if ``into`` is taken).
 
-    Every row comes back; a null or empty page has an empty text.
+    Every row comes back; a null or empty page has an empty text.  Equal pages
+    have equal texts; a very long page is read whole, by one task.
     """
     prepare(df.sparkSession)
     return df.withColumn(free_name(df, into), extracted(F.col(html_column)))

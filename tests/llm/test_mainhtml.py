@@ -63,3 +63,34 @@ def test_open_and_empty_elements_keep_the_article():
         assert mainhtml.main_text(f"<html><head></head><body>{article % icon}</body></html>") == want, icon
     assert mainhtml.main_text(f"<article><p>{p} a<svg><path/></svg>b</p></article>") == f"{p} ab"
     assert mainhtml.main_text(f"<article><p>{p}</p><script>x<p>{p}</p>") == p
+
+
+def test_pages_without_article(spark, sf_dir):
+    """Known answers with the article tags taken off: nothing foreign comes in, and little is lost."""
+    lost = extra = total = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        want = set(mainhtml.main_text(r.html).split("\n"))  # the article: see the test above
+        got = set(mainhtml.main_text(re.sub(r"<(/?)article>", r"<\1div>", r.html)).split("\n"))
+        lost += sum(map(len, want - got))
+        extra += sum(map(len, got - want))
+        total += sum(map(len, want))
+    assert lost <= 0.05 * total and extra <= 0.01 * total
+
+
+def test_a_teaser_article_does_not_take_the_page():
+    teaser = f"<article><h2>Read on</h2><p>{PROSE}</p></article>"
+    body = "".join(f"<p>{PROSE * 2}</p>" for _ in range(4))
+    got = mainhtml.main_text(f"<body>{body}{teaser}</body>").split("\n")
+    assert got.count((PROSE * 2).strip()) == 4
+    # an article that holds most of the text leaves the frame out
+    frame = f"<div><p>{PROSE}</p></div>"
+    got = mainhtml.main_text(f"<body>{frame}<article>{body}</article>{frame}</body>").split("\n")
+    assert got == [(PROSE * 2).strip()] * 4
+
+
+def test_stop_words_decide_long_blocks():
+    names = "Xanthippe Quorn Blixen Zweig Oblomov Krazny Vulpine Thaxter Morvern Glim " * 4
+    page = "<body><p>{0}</p><div>{1}</div><div>{1}</div><p>{0}</p></body>".format(PROSE, names)
+    assert mainhtml.main_text(page).split("\n") == [PROSE.strip()] * 2
+    assert mainhtml.main_text(f"<body><article><p>{PROSE}</p><p>{names}</p></article></body>").split("\n") == [PROSE.strip(), names.strip()]
+    assert mainhtml.main_text(f"<body><p>{names}</p></body>") == names.strip()  # no language that the list knows
