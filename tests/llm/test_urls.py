@@ -29,7 +29,7 @@ def test_parts_and_rules(spark):
         host, path = parts(r["url"])
         assert (r[n["host"]], r[n["path"]]) == (host, path)
         want, verdict = rule(host, path)
-        assert r[n["rule"]] == want and r[n["verdict"]] == (verdict or ("block" if r[n["p"]] >= 0.8 else "allow"))
+        assert r[n["rule"]] == want and r[n["verdict"]] == (verdict or ("block" if r[n["p"]] >= urls.THRESHOLD else "allow"))
     assert out.limit(0).collect() == []
 
 
@@ -43,6 +43,25 @@ def test_held_out_hosts(spark):
     assert [got[u] for u in bad] == ["block"] * 4 and [got[u] for u in good] == ["allow"] * 5
 
 
+def test_precision_and_recall_on_held_out_names(spark):
+    """Hosts and paths that training has not seen, of every fold: both kinds of bad urls, and paths alone decide."""
+    rows = urls.labelled_urls(spark)
+    caught = bad = wrong = blocked = 0
+    for f in range(urls.FOLDS):
+        out, n = urls.judged(rows.where(f"fold = {f}"), urls.trained(rows.where(f"fold <> {f}")))
+        got = [(r.label == 1, r[n["verdict"]] == "block") for r in out.collect()]
+        bad += sum(y for y, _ in got)
+        caught += sum(y and p for y, p in got)
+        blocked += sum(p for _, p in got)
+        wrong += sum(p and not y for y, p in got)
+    assert caught >= 0.6 * bad and wrong <= 0.03 * blocked, (caught, bad, wrong, blocked)
+    model = urls.trained(rows)
+    same = "https://www.town-library.test"
+    df = spark.createDataFrame([(same + p,) for p in ("/casino-bonus/slots", "/cheap-pills/buy", "/history/of-the-mill", "/en/55")], "url string")
+    out, n = urls.judged(df, model)
+    assert [r[n["verdict"]] for r in out.collect()] == ["block", "block", "allow", "allow"]
+
+
 def test_query(spark, sf_dir):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = op4_url_filters(spark, sf_dir).collect()
