@@ -43,7 +43,7 @@ STRONGEST = 2
 FOLDS = 3
 #: The models are fitted on at most so many labelled rows (those with the
 #: smallest hashes of their ids); all counts below the classes cover all rows.
-MOST_LABELLED = 50_000
+MOST_LABELLED = 20_000
 #: Most rows of a model's table that workers hold; pairs with the least evidence go first.
 MOST_ROWS = 3_000_000
 BROADCAST_LABELS = 2_000_000
@@ -81,7 +81,7 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tagged = tk.with_doc(pair(v, w)[once], kind[doc[once]])
             _, first, n = np.unique(tagged, return_index=True, return_counts=True)
             at = once[first]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (v, w, s)], pa.array(kind[doc[at]].astype(np.int32)), pa.array(n)], ["v", "w", "s", "kind", "n"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (v, w, s)], pa.array(kind[doc[at]].astype(np.int32)), pa.array(n.astype(np.int32))], ["v", "w", "s", "kind", "n"])
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,8 @@ def fitted(docs: DataFrame, train: DataFrame, text: str = "text") -> list[Model]
     driver is bounded by ``MOST_ROWS`` for each table and by the labelled rows.
     """
     models = range(FOLDS + 1)  # the last one leaves out nothing
-    counted = train.mapInArrow(count_pairs, "v long, w long, s long, kind int, n long").groupBy("v", "w", "s")
+    # Dealt out before they are summed: a column for each model would make wide rows of the shuffle.
+    counted = train.mapInArrow(count_pairs, "v long, w long, s long, kind int, n int").repartition("v", "w", "s").groupBy("v", "w", "s")
     fold, label = F.col("kind") % FOLDS, F.floor(F.col("kind") / FOLDS)
     sums = [F.coalesce(F.sum(F.when((fold != m) & (label == c), F.col("n"))), F.lit(0)).cast("int").alias(f"n{c}_{m}") for m in models for c in (0, 1)]
     pairs = written(counted.agg(*sums), "class-pairs")
