@@ -6,11 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Numbers on a line that name a form and are no amounts.
-FORM_NUMBERS = (1040, 1041, 1065, 1120, 1125, 4562, 4797, 8825, 8949)
+FORM_NUMBERS = (1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220)
+# Amounts in this range are years, not dollars.
 FIRST_YEAR, LAST_YEAR = 1990, 2035
-
-#: Grouped by commas, stops or single spaces, or plain; in brackets or with a minus if negative.
-GROUPED = r"(?<![\d.,])\(?-?\$?\s?(?:\d{1,3}(?:(?:,\s?|\.)\d{3})+|\d+)(?:\.\d{1,2})?\)?(?![\d%])"
+# An amount has nine digits at most.
+MOST_DIGITS = 9
+
+# How amounts look on a line: grouped by commas or stops, grouped by blanks (not right after "line"), plain.
+RUN = r"(?i)\d{1,3}(?:[.,]\d{3})+(?:\.\d{2})?|(?<!line\s)\d{1,3}(?:\s+\d{3})+(?:\.\d{2})?|\d[\d,]{1,}(?:\.\d{2})?"
+# The same with short cells that end in a stop (``8.``), as attachments print them.
+CELL = r"(?i)\d{1,3}(?:[.,]\d{3})+(?:\.\d{2})?|(?<!line\s)\d{1,3}(?:\s+\d{3})+(?:\.\d{2})?|\d{1,7}\.(?!\d)|\d[\d,]{1,}(?:\.\d{2})?"
+# A blank after a thousands comma, as in ``2,539, 740``.
+SPLIT_GROUP = r"(\d{1,3}(?:,\d{3})*),\s+(\d{3})\b"
+# Where a row's own number, and numbers of rows, pages and statements, stand.
+LEADING = r"(?i)^\s*[\W_]*(\d{1,2})(?:[a-z])?(?=\s|[_\]\[|.:])"
+REFERENCES = (r"(?i)\[\s*(\d{1,3})[a-z]?(?=\s*[|\]])", r"(?i)\|\s*(\d{1,3})[a-z]?\s*(?=[_|])", r"(?i)\bline\s*(\d{1,3})\b", r"(?i)\bpage\s*(\d{1,3})\b", r"(?i)\b(?:stat(?:ement)?|stmt)\s*(\d{1,3})\b")
+GLUED = r"(?i)^\s*[\W_]*(\d{3,})\s+(?=[a-z])"
+BRACKETED = r"\[\s*(\d{1,3})\s*\]"
+ROW_NUMBERS = r"(?i)(?:^\s*[\W_]*|\[|\bline\s*)(\d{1,3})(?=\s|[_\]\[|.:,])"
+# Employer numbers, whole or cut.
+EIN = (r"\b\d{1,2}\s*[-–—]\s*\d{7}\b", r"\b-?\d{7}\b")
 
 
 def whole(amount: Column) -> Column:
@@ -18,50 +33,118 @@ def whole(amount: Column) -> Column:
     return F.floor(amount + F.lit(0.5)).cast("long")
 
 
+def all_of(line: Column, pattern: str, group: int = 0) -> Column:
+    return F.coalesce(F.regexp_extract_all(line, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
+
+
+def last(tokens: Column) -> Column:
+    return F.get(tokens, F.size(tokens) - 1)
+
+
 def parse_money(text: Column) -> Column:
-    """A whole amount; null for blanks, dashes and what is no number.
+    """A whole amount; null for blanks, a dash and what is no number.
 
-    Currency signs, commas and blanks go; stops before groups of three digits
-    are separators; an amount in brackets is negative.
+    Currency signs and commas go; stops before groups of three digits are
+    separators; an amount in brackets is negative, and halves go upwards.
     """
-    bare = F.regexp_replace(F.trim(text), r"[$,\s]", "")
-    negative = bare.rlike(r"^\(.*\)$") | bare.startswith("-")
-    digits = F.regexp_replace(bare, r"^[(\-]+|\)$", "")
-    digits = F.when(digits.rlike(r"^\d{1,3}(\.\d{3})+$"), F.regexp_replace(digits, r"\.", "")).otherwise(digits)
-    value = whole(F.when(digits.rlike(r"^\d+(\.\d*)?$|^\.\d+$"), digits).try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+    bare = F.trim(F.regexp_replace(F.trim(text), r"[$,]", ""))
+    bare = F.when(bare.rlike(r"^\d{1,3}(\.\d{3})+(?:\.\d{2})?$"), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
+    bracketed = bare.rlike(r"^\(.*\)$")
+    inner = F.trim(F.when(bracketed, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare))
+    number = F.when(inner.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), inner).try_cast("double")
+    return whole(F.when(bracketed, -number).otherwise(number))
+
+
+def grouped_by_blanks(text: Column) -> Column:
+    """``12 345`` as 12345; null for anything else."""
+    bare = F.trim(text)
+    return F.when(bare.rlike(r"^\d{1,3}(\s+\d{1,3})+$"), F.regexp_replace(bare, r"\s+", "")).try_cast("long")
+
+
+def amount_of(run: Column) -> Column:
+    return F.coalesce(parse_money(run), grouped_by_blanks(run))
+
+
+def is_form_number(amount: Column) -> Column:
+    return F.abs(amount).isin(*FORM_NUMBERS)
+
 
+def is_year(amount: Column) -> Column:
+    return F.abs(amount).between(FIRST_YEAR, LAST_YEAR)
 
-def money_tokens(line: Column, least_digits: int = 1) -> Column:
-    """All amounts of a line from left to right, without form numbers and percentages."""
-    runs = F.regexp_extract_all(line, F.lit(GROUPED), F.lit(0))
-    long_enough = F.filter(runs, lambda r: F.length(F.regexp_replace(r, r"\D", "")) >= least_digits)
-    values = F.transform(long_enough, parse_money)
-    return F.filter(values, lambda v: v.isNotNull() & ~v.isin(*FORM_NUMBERS))
+
+def is_reasonable(amount: Column) -> Column:
+    """Longer digit runs are amounts glued together."""
+    return F.abs(amount) < 10**MOST_DIGITS
+
+
+def digits(run: Column) -> Column:
+    return F.length(F.regexp_replace(run, r"\D", ""))
+
+
+def money_tokens(line: Column, least_digits: int = 2) -> Column:
+    """All amounts of a line from left to right, without form numbers."""
+    runs = F.filter(all_of(F.regexp_replace(line, SPLIT_GROUP, "$1,$2"), RUN), lambda r: digits(r) >= least_digits)
+    return F.filter(F.transform(runs, amount_of), lambda v: v.isNotNull() & ~is_form_number(v))
+
+
+def leading_number(line: Column) -> Column:
+    """The row number that a line begins with."""
+    return F.nullif(F.regexp_extract(line, LEADING, 1), F.lit("")).cast("long")
 
 
 def references(line: Column) -> Column:
     """Numbers that refer to rows, lines, pages or statements rather than amounts."""
-    leading = F.regexp_extract_all(line, F.lit(r"^\s*(\d{1,3})[a-z]?[\s.)|]"), F.lit(1))
-    bracketed = F.regexp_extract_all(line, F.lit(r"\[\s*(\d{1,3})\s*\]"), F.lit(1))
-    piped = F.regexp_extract_all(line, F.lit(r"\|\s*(\d{1,3})[a-z]?\s*\|"), F.lit(1))
-    named = F.regexp_extract_all(line, F.lit(r"(?i)\b(?:line|page|stmt|statement)s?\.?\s*(\d{1,3})\b"), F.lit(1))
-    return F.transform(F.concat(leading, bracketed, piped, named), lambda x: x.cast("long"))
+    found = F.concat(F.array(leading_number(line)), *[F.transform(all_of(line, p, 1), lambda x: x.cast("long")) for p in REFERENCES])
+    return F.array_distinct(F.array_compact(found))
 
 
-def amounts(line: Column, least_digits: int = 1) -> Column:
-    """The amounts of a line that are neither references nor years."""
+def substantial_tokens(line: Column) -> Column:
+    """The amounts of a line that refer to nothing."""
     refs = references(line)
-    return F.filter(money_tokens(line, least_digits), lambda v: ~F.array_contains(refs, F.abs(v)) & ~F.abs(v).between(FIRST_YEAR, LAST_YEAR))
+    glued = F.nullif(F.regexp_extract(line, GLUED, 1), F.lit("")).cast("long")
+    own = lambda v: (F.abs(v) == glued) & F.exists(refs, lambda r: F.endswith(F.abs(v).cast("string"), r.cast("string")))
+    return F.filter(money_tokens(line, 1), lambda v: ~F.array_contains(refs, F.abs(v)) & ~F.coalesce(own(v), F.lit(False)))
 
 
-def last_amount(tokens: Column) -> Column:
-    return F.get(tokens, F.size(tokens) - 1)
+amounts = substantial_tokens
 
 
-def largest_amount(tokens: Column) -> Column:
-    """The amount of largest magnitude, sign kept."""
-    return F.array_max(F.transform(tokens, lambda v: F.struct(F.abs(v).alias("size"), v.alias("v"))))["v"]
+def attachment_tokens(line: Column) -> Column:
+    """Amounts of an attachment's line, short cells with a stop included; all of them if only the row number is left."""
+    short = lambda r: F.trim(r).rlike(r"^\d{1,7}\.$")
+    runs = F.filter(all_of(F.regexp_replace(line, SPLIT_GROUP, "$1,$2"), CELL), lambda r: short(r) | (digits(r) >= 2))
+    values = F.filter(F.transform(runs, amount_of), lambda v: v.isNotNull() & ~is_form_number(v) & ~is_year(v))
+    lead = leading_number(line)
+    rest = F.filter(values, lambda v: F.abs(v) != lead)
+    return F.when(lead.isNotNull() & (F.size(rest) > 0), rest).otherwise(values)
+
+
+def tail_amount(line: Column) -> Column:
+    """The rightmost amount; none if the line holds but its own number."""
+    tokens = money_tokens(line)
+    only = F.array_distinct(F.transform(tokens, F.abs))
+    own = F.coalesce(leading_number(line) == F.get(only, 0), F.lit(False)) | F.array_contains(F.transform(all_of(line, BRACKETED, 1), lambda x: x.cast("long")), F.get(only, 0))
+    return F.when((F.size(only) == 1) & F.coalesce(own, F.lit(False)), F.lit(None).cast("long")).otherwise(last(tokens))
+
+
+def schedule_amount(line: Column) -> Column:
+    """The rightmost substantial amount; before a closing 0 on lines of accumulated depreciation."""
+    t = substantial_tokens(line)
+    less = line.rlike(r"(?i)less\s+accumulated\s+depreciation") & (F.size(t) >= 2) & (last(t) == 0)
+    return F.when(less, F.get(t, F.size(t) - 2)).otherwise(last(t))
+
+
+def tagged_amount(line: Column, tag: str) -> Column:
+    """The amount after a bracketed tag such as ``[1c]``."""
+    raw = F.trim(F.nullif(F.regexp_extract(line, rf"(?i)\[\Q{tag}\E\][^\d]{{0,48}}([\d\s,'\.]+)", 1), F.lit("")))
+    good = lambda v: F.when(is_reasonable(v) & ~is_form_number(v), v)
+    bare = F.regexp_replace(raw, r"\D", "")
+    return F.coalesce(good(amount_of(raw)), good(F.when(F.length(bare) >= 4, bare).try_cast("long")))
+
+
+def form_amount(line: Column, tag: str) -> Column:
+    return F.coalesce(tagged_amount(line, tag), schedule_amount(line), tail_amount(line))
 
 
 def only_amount(tokens: Column) -> Column:
@@ -69,6 +152,66 @@ def only_amount(tokens: Column) -> Column:
     return F.when(F.size(tokens) == 1, F.get(tokens, 0))
 
 
+def single_amount(line: Column, tag: str | None = None) -> Column:
+    """The tagged amount, or that of a line with exactly one: several are columns run together."""
+    only = only_amount(substantial_tokens(line))
+    return F.coalesce(tagged_amount(line, tag), only) if tag else only
+
+
+def last_amount(tokens: Column) -> Column:
+    return last(tokens)
+
+
+def largest_amount(tokens: Column) -> Column:
+    """The amount of largest magnitude, sign kept; of equal ones the first."""
+    size = F.array_max(F.transform(tokens, F.abs))
+    return F.get(F.filter(tokens, lambda v: F.abs(v) == size), 0)
+
+
+def keepable(amount: Column) -> Column:
+    """Worksheet dollars: no form number, year or glued run."""
+    return (F.abs(amount) >= 1) & is_reasonable(amount) & ~is_form_number(amount) & ~is_year(amount)
+
+
+def keepable_tokens(line: Column) -> Column:
+    """Substantial amounts of a worksheet line; a printed row number counts only beside another amount."""
+    rows = F.transform(all_of(line, ROW_NUMBERS, 1), lambda x: x.cast("long"))
+    every = F.filter(money_tokens(line), keepable)
+    return F.filter(substantial_tokens(line), lambda n: keepable(n) & (~F.array_contains(rows, F.abs(n)) | F.exists(every, lambda t: F.abs(t) != F.abs(n))))
+
+
+def is_row(line: Column, n: int) -> Column:
+    """Whether a form line has row number ``n`` in its head, with one digit of bleed at most."""
+    head = F.substring(line, 1, 35)
+    at = F.regexp_instr(head, F.lit(rf"(?i)(?<![\d.])\[?{n}(?:\](?!\d)|\b(?!\d))"))
+    lead = F.regexp_extract(head, r"^(\d{1,3})\b", 1)
+    return at.between(1, 31) | (lead == str(n)) | ((F.length(lead) == len(str(n)) + 1) & F.endswith(lead, F.lit(str(n))))
+
+
+def without_ein(line: Column) -> Column:
+    """A line without employer numbers (``12-3456789``)."""
+    return F.regexp_replace(F.regexp_replace(line, EIN[0], " "), EIN[1], " ")
+
+
+def money_line(line: Column) -> Column:
+    """The amount (a double) of a line that holds nothing else; null for percentages."""
+    t = F.trim(line)
+    bare = F.replace(F.regexp_replace(t, r"^\$", ""), F.lit(","), F.lit(""))
+    bracketed = bare.rlike(r"^\(.*\)$")
+    inner = F.trim(F.when(bracketed, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare))
+    number = F.when(inner.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$") & ~F.endswith(t, F.lit("%")), inner).try_cast("double")
+    return F.when(bracketed, -number).otherwise(number)
+
+
+def percent_line(line: Column) -> Column:
+    """A line's percentage as a ratio; a bare number from 0 to 100 is one too."""
+    t = F.regexp_replace(F.trim(line), r"^\$", "")
+    marked = F.replace(F.nullif(F.regexp_extract(t, r"(-?\d[\d,]*(?:\.\d+)?)\s*%", 1), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    tight = F.regexp_replace(t, r"\s", "")
+    bare = F.when(tight.rlike(r"^\(?-?\d[\d,]*(?:\.\d+)?\)?$"), F.regexp_replace(tight, r"[(),]", "")).try_cast("double")
+    return F.when(t.rlike(r"\d\s*%"), marked / 100).otherwise(F.when(bare.between(0, 100), bare / 100))
+
+
 def percents(line: Column) -> Column:
     """Percentages of a line as ratios; ``--`` stands for a missing one."""
     runs = F.regexp_extract_all(line, F.lit(r"(-?\d+(?:\.\d+)?)\s*%|--"), F.lit(0))

@@ -33,7 +33,7 @@ def line_hits(lines: DataFrame, rules: Sequence[LineRule], keys: Sequence[str],
     literals of one projection, so a line is tokenised once for all of them.
     """
     w = Window.partitionBy(*keys).orderBy(line_no)
-    own, after = A.amounts(F.col(line), 2), A.amounts(F.lead(line).over(w), 2)
+    own, after = A.substantial_tokens(F.col(line)), A.substantial_tokens(F.lead(line).over(w))
     rows = lines.withColumn("__own", own).withColumn("__t", F.when(F.size("__own") > 0, F.col("__own")).otherwise(F.coalesce(after, F.array().cast("array<bigint>"))))
     c = F.lower(F.col(line))
 
@@ -65,8 +65,8 @@ def block_totals(lines: DataFrame, keys: Sequence[str], order: str, header: Colu
 
 def carried_captions(lines: DataFrame, keys: Sequence[str], order: str, line: str = "line") -> DataFrame:
     """Amount lines with the caption that applies: their own, or the last one before without amounts."""
-    tokens = A.amounts(F.col(line))
-    caption = F.trim(F.regexp_replace(F.regexp_replace(F.col(line), A.GROUPED, " "), r"[\s$|.\-]+", " "))
+    tokens = A.substantial_tokens(F.col(line))
+    caption = F.trim(F.regexp_replace(F.regexp_replace(F.col(line), A.RUN, " "), r"[\s$|.\-]+", " "))
     rows = lines.withColumn("amounts", tokens).withColumn("__own", F.when(F.length(caption) >= 3, caption))
     return carried(rows, keys, [order], "__own", "caption").where((F.size("amounts") > 0) & F.col("caption").isNotNull()).drop("__own")
 

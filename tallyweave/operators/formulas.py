@@ -20,25 +20,26 @@ class Formula(NamedTuple):
     absolute: tuple[str, ...] = ()
 
 
-SLOTS = tuple(f"operating_expense_{i}" for i in range(1, 9))
+# The expense rows that are summed.
+SLOTS = ("officer_compensation", "salaries_wages", "advertising", "rent", "taxes_licenses", "bank_credit_card", "professional_fees", "utilities")
 
 # The sheet's computed rows, in the order in which they depend on each other.
 WORKBOOK = (
     Formula("gross_profit", ("sales",), ("cogs",)),
     Formula("depreciation_amortization", ("depreciation", "amortization")),
-    Formula("operating_expenses", SLOTS),
-    Formula("operating_profit", ("gross_profit", "other_operating_income"), ("depreciation_amortization", "operating_expenses", "other_operating_expenses")),
-    Formula("net_profit_before_tax", ("operating_profit", "other_income"), ("interest_expense", "other_expense")),
-    Formula("adjusted_profit", ("net_profit_before_tax", "owner_compensation")),
-    Formula("net_income", ("adjusted_profit", "extraordinary_gain"), ("taxes_paid", "extraordinary_loss")),
+    Formula("overhead_sga", SLOTS),
+    Formula("operating_profit", ("gross_profit", "other_operating_income"), ("depreciation_amortization", "overhead_sga", "other_operating_expenses")),
+    Formula("net_profit_before_taxes", ("operating_profit", "other_income"), ("interest_expense", "other_expenses")),
+    Formula("adjusted_net_profit_before_taxes", ("net_profit_before_taxes", "adjusted_owner_compensation")),
+    Formula("net_income", ("adjusted_net_profit_before_taxes", "extraordinary_gain"), ("taxes_paid", "extraordinary_loss")),
     Formula("total_current_assets", ("cash", "accounts_receivable", "inventory", "other_current_assets")),
     Formula("net_fixed_assets", ("gross_fixed_assets",), ("accumulated_depreciation",), absolute=("accumulated_depreciation",)),
     Formula("net_intangible_assets", ("gross_intangible_assets",), ("accumulated_amortization",), absolute=("accumulated_amortization",)),
     Formula("total_assets", ("total_current_assets", "net_fixed_assets", "net_intangible_assets", "other_assets"), present=("total_current_assets", "net_fixed_assets")),
     Formula("total_current_liabilities", ("accounts_payable", "short_term_debt", "current_portion_ltd", "other_current_liabilities")),
-    Formula("long_term_liabilities", ("long_term_debt", "other_long_term_liabilities")),
+    Formula("long_term_liabilities", ("notes_minus_short_term", "subordinated", "other_long_term_liabilities")),
     Formula("total_liabilities", ("total_current_liabilities", "long_term_liabilities")),
-    Formula("total_equity", ("common_stock", "retained_earnings", "unclassified_equity")),
+    Formula("total_equity", ("preferred_stock", "common_stock", "additional_paid_in_capital", "other_stock_equity", "unclassified_equity")),
     Formula("total_liabilities_equity", ("total_liabilities", "total_equity")),
 )
 

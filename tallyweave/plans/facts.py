@@ -312,13 +312,13 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with b as (select user_id, cast(floor(sum(value) + 0.5) as bigint) as value from events where event_type = 'purchase' group by 1),
-e as (select user_id, arg_max(cast(floor(value + 0.5) as bigint), event_id) as v from events where event_type = 'error' and event_id % 4 = 0 group by 1)
+e as (select user_id, arg_max(cast(floor(value + 0.5) as bigint), event_id) as v from events where event_type = 'error' group by 1)
 select b.user_id, coalesce(v, value) as value, v is not null as edited from b left join e using (user_id)
 """)
 def latest_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     base = events.where("event_type = 'purchase'").groupBy("user_id").agg(whole(F.sum("value")).alias("value"))
-    edits = events.where("event_type = 'error' and event_id % 4 = 0").select("user_id", "event_id", whole(F.col("value")).alias("v"))
+    edits = events.where("event_type = 'error'").select("user_id", "event_id", whole(F.col("value")).alias("v"))
     return merging.corrected(base, edits, ["user_id"], "value", "v", ["event_id"])
 
 
@@ -326,10 +326,10 @@ CAPS = {"error": 42, "signup": 58, "view": 72}
 
 
 @query("""
-select user_id, least(95, min(case event_type when 'error' then 42 when 'signup' then 58 when 'view' then 72 end)) as confidence, string_agg(distinct event_type, ',' order by event_type) as flags from events where event_id % 7 = 0 group by 1
+select user_id, least(95, min(case event_type when 'error' then 42 when 'signup' then 58 when 'view' then 72 end)) as confidence, string_agg(distinct event_type, ',' order by event_type) as flags from events group by 1
 """)
 def confidence_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = table(spark, sf_dir, "events").where("event_id % 7 = 0").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("flags"))
+    flags = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("flags"))
     return verify.capped(flags.withColumn("confidence", F.lit(95)), "confidence", "flags", CAPS).select("user_id", "confidence", F.concat_ws(",", "flags").alias("flags"))
 
 
@@ -353,9 +353,9 @@ def trust_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", tier.alias("tier"))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, rtrim(rtrim(printf('%.2f', round(round(l_discount, 4) * 100, 2)), '0'), '.') || '%' as discount, rtrim(rtrim(printf('%.4f', round(l_tax, 4)), '0'), '.') as tax, regexp_replace(cast(cast(floor(l_extendedprice + 0.5) as bigint) as varchar), '(\\d)(\\d{3})$', '\\1,\\2') as price from lineitem where l_quantity >= 50 and l_discount > 0")
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, rtrim(rtrim(printf('%.2f', round(round(l_discount, 4) * 100, 2)), '0'), '.') || '%' as discount, rtrim(rtrim(printf('%.4f', round(l_tax, 4)), '0'), '.') as tax, regexp_replace(cast(cast(floor(l_extendedprice + 0.5) as bigint) as varchar), '(\\d)(\\d{3})$', '\\1,\\2') as price from lineitem")
 def percent_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import labels
 
-    rows = lines(spark, sf_dir).where("l_quantity >= 50 and l_discount > 0")
+    rows = lines(spark, sf_dir)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", labels.percent_text(F.round("l_discount", 4)).alias("discount"), labels.ratio_text(F.col("l_tax")).alias("tax"), labels.grouped_text(F.col("amount")).alias("price"))

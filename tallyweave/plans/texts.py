@@ -78,8 +78,10 @@ def form_kind_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-with t as (select o_orderkey, year(o_orderdate) as y, case when o_orderkey % 3 = 0 then 'calendar year ' || year(o_orderdate) || ' filed in 2004 and 2004' when o_orderkey % 3 = 1 then 'from ' || (year(o_orderdate) - 1) || ' to ' || year(o_orderdate) || ', in all ' || (year(o_orderdate) - 1) else 'no date' end as text, 'scan_' || year(o_orderdate) || '.pdf' as file from orders)
-select o_orderkey, cast(case o_orderkey % 3 when 0 then y when 1 then y - 1 else y end as int) as year from t
+with t as (select o_orderkey, case when o_orderkey % 3 = 0 then 'calendar year ' || year(o_orderdate) || ' filed in 2004 and 2004' when o_orderkey % 3 = 1 then 'from ' || (year(o_orderdate) - 1) || ' to ' || year(o_orderdate) || ', in all ' || (year(o_orderdate) - 1) else 'no date' end as text, 'scan_' || year(o_orderdate) || '.pdf' as file from orders),
+n as (select o_orderkey, y, count(*) as n from (select o_orderkey, unnest(regexp_extract_all(text, '(?:19|20)[0-9]{2}')) as y from t) group by 1, 2),
+m as (select o_orderkey, arg_max(y, (n, y)) as y from n group by 1)
+select o_orderkey, cast(coalesce(nullif(regexp_extract(text, 'calendar year ((?:19|20)[0-9]{2})', 1), ''), m.y, nullif(regexp_extract(file, '((?:19|20)[0-9]{2})', 1), '')) as int) as year from t left join m using (o_orderkey)
 """)
 def year_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     y, k = F.year("o_orderdate"), F.col("o_orderkey") % 3
@@ -89,31 +91,21 @@ def year_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select page_id, length(html) // 100 as score from pages), l as (select * from p where page_id % 3 <> 0), r as (select page_id, score + page_id % 20 as score from p where page_id % 4 <> 0)
+with l as (select o_custkey as page_id, count(*) as score from orders where o_orderstatus = 'F' group by 1), r as (select o_custkey as page_id, 2 * count(*) as score from orders where o_orderstatus <> 'F' group by 1)
 select page_id, case when t then 'right' else 'left' end as side, case when t then b else a end as score from (
   select coalesce(l.page_id, r.page_id) as page_id, l.score as a, r.score as b, l.score is null or (l.score < 20 and r.score is not null and r.score >= l.score + 8) as t from l full join r on l.page_id = r.page_id)
 """)
 def page_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.floor(F.length("html") / 100).alias("score"))
-    right = p.where("page_id % 4 <> 0").withColumn("score", F.col("score") + F.col("page_id") % 20)
-    return merging.chosen_pages(p.where("page_id % 3 <> 0"), right, ["page_id"])
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page_id"), "o_orderstatus")
+    read = lambda test, weight: o.where(test).groupBy("page_id").agg((F.count("*") * weight).alias("score"))
+    return merging.chosen_pages(read("o_orderstatus = 'F'", 1), read("o_orderstatus <> 'F'", 2), ["page_id"])
 
 
-@query("select distinct page_id from pages where page_id % 2 = 0 and page_id not in (select page_id from pages where length(html) > 3000)")
+@query("select c_custkey as page_id from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def delta_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return merging.missing_pages(p.where("page_id % 2 = 0"), p.where(F.length("html") > 3000), ["page_id"])
-
-
-@query(r"""
-select c_custkey as key, trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(c_name, '#', ' Company, Inc. ')), '[^a-z0-9]+', ' ', 'g'), '\b(inc|incorporated|llc|llp|lp|ltd|limited|corp|corporation|company|co|pc|pllc)\b', ' ', 'g'), '\s+', ' ', 'g')) as label from customer
-union all
-select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower('The ' || p_name || ' and Other'), '[^a-z0-9]+', ' ', 'g'), '\b(a|an|and|of|on|or|the|to|for|other)\b', ' ', 'g'), '\s+', ' ', 'g')) from part
-""")
-def label_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), labels.client_key(F.replace(F.col("c_name"), F.lit("#"), F.lit(" Company, Inc. "))).alias("label"))
-    captions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), labels.caption_key(F.concat(F.lit("The "), "p_name", F.lit(" and Other"))).alias("label"))
-    return names.unionByName(captions)
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"))
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("page_id"))
+    return merging.missing_pages(wanted, done, ["page_id"])
 
 
 @query("select event_type, cast(json_extract_string(props, '$.k') as int) as k, count(*) as n from events group by 1, 2")

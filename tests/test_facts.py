@@ -42,7 +42,7 @@ def test_disagreement(spark):
 
 
 def test_workbook(spark):
-    df = spark.createDataFrame([(1, 100, 40, 5, None, 7, -3, 10, None), (2, None, None, None, None, None, None, None, 9)], "y int, sales long, cogs long, depreciation long, amortization long, operating_expense_1 long, accumulated_depreciation long, gross_fixed_assets long, other_assets long")
+    df = spark.createDataFrame([(1, 100, 40, 5, None, 7, -3, 10, None), (2, None, None, None, None, None, None, None, 9)], "y int, sales long, cogs long, depreciation long, amortization long, rent long, accumulated_depreciation long, gross_fixed_assets long, other_assets long")
     a, b = formulas.evaluated(df).orderBy("y").collect()
     assert (a.gross_profit, a.depreciation_amortization, a.operating_profit, a.net_income) == (60, 5, 48, 48)
     assert (a.net_fixed_assets, a.total_assets, a.total_liabilities) == (7, 7, None)
