@@ -10,10 +10,14 @@ threshold ``num / den``.  The plan, which loses no link:
    parts of its band, and of the next band if a larger partner may be there.
    Shingles that many documents have (boilerplate) are left out of them.
 3. Nodes that share a signature form clusters, and each cluster is cut into
-   tiles by set size.  Pairs of tiles whose sizes allow a link are compared:
-   hashed bitmaps bound the overlap from above by bit counts, and what passes
-   is intersected exactly.  Pairs already known to be connected are skipped.
-4. Components of the links give the classes.
+   tiles by set size.  Within tiles and from each tile to the next all pairs
+   are compared: hashed bitmaps bound the overlap from above by bit counts,
+   and what passes is intersected exactly.  Pairs already known to be connected
+   are skipped.
+4. Of the other pairs of tiles, those are compared whose sizes allow a link and
+   that are not of one and the same component by then.  A dense cluster so
+   costs about its tiles, not their square.
+5. Components of the links give the classes.
 
 Sets are told apart by 64-bit hashes: n different sets meet by chance with a
 probability of about n^2 / 2^65.
@@ -48,6 +52,7 @@ FEW_NODES = 32
 BITS = 1024
 TILE_DOCS = 1000
 TILE_SHINGLES = 400_000
+BROADCAST_SIZES = 200_000
 U64 = np.uint64
 
 
@@ -330,7 +335,7 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int,
 
 
 def compare(num: int, den: int, k: int):
-    """mapInArrow over rows sorted by pair: the links of each pair of tiles."""
+    """mapInArrow over rows sorted by pair: the links of each pair of tiles; with no second tile, of all rows."""
     keys = ["cluster", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +344,8 @@ def compare(num: int, den: int, k: int):
             sets = [s for c in tk.chunks(texts) for s in tk.shingle_sets(*c, k)]
             node = g["node"].to_numpy()
             tile, i, j = g["tile"].to_numpy(), g["i"][0].as_py(), g["j"][0].as_py()
-            order = np.flatnonzero(tile == i) if i != j else np.arange(len(node))
-            rest = np.flatnonzero(tile == j) if i != j else None
+            order = np.flatnonzero(tile == i) if j is not None else np.arange(len(node))
+            rest = np.flatnonzero(tile == j) if j is not None else None
             at = order if rest is None else np.concatenate([order, rest])
             got = tile_links([sets[x] for x in order], None if rest is None else [sets[x] for x in rest], num, den)
             if got:
@@ -399,20 +404,51 @@ def classes(df: DataFrame, text: Column, num: int = 9, den: int = 10, k: int = 3
     texts = texts.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn").join(cluster, "node")
     texts = written(texts, "near-texts")
 
-    by_size = Window.partitionBy("cluster").orderBy("n", "node")
-    upto = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tile = (F.expr(f"div(sum_n, {TILE_SHINGLES})") + F.expr(f"div(rn, {TILE_DOCS})")).alias("tile")
-    tiles = texts.select("cluster", "node", "n").withColumn("sum_n", F.sum("n").over(upto)).withColumn("rn", F.row_number().over(by_size).cast("long")).select("cluster", "node", "n", tile)
-    tiles = written(tiles, "tiles")
-    spans = tiles.groupBy("cluster", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    a, b = spans.alias("a"), spans.alias("b")
-    pairs = a.join(b, F.expr(f"a.cluster = b.cluster and a.tile <= b.tile and a.most * {den} >= b.least * {num}")).select(F.col("a.cluster").alias("cluster"), F.col("a.tile").alias("i"), F.col("b.tile").alias("j"))
-    of_tile = pairs.select("cluster", F.col("i").alias("tile"), "i", "j").unionByName(pairs.where("i <> j").select("cluster", F.col("j").alias("tile"), "i", "j"))
-    pieces = texts.select("node", "packed").join(tiles.drop("n"), "node").join(of_tile, ["cluster", "tile"])
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.select("cluster", "i", "j", "tile", "node", "packed").repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    links = pieces.mapInArrow(compare(num, den, k), "a long, b long")
-    return components(links), described(k)
+    tiles = written(tiled(texts), "tiles")
+    spans = written(tiles.groupBy("cluster", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most")), "spans")
+    after = spans.withColumn("next", F.lead("tile").over(Window.partitionBy("cluster").orderBy("tile")))
+    groups = after.select("cluster", "tile", F.col("tile").alias("i"), F.lit(None).cast("long").alias("j")).unionByName(after.where("next is not null").select("cluster", F.col("next").alias("tile"), F.col("tile").alias("i"), F.lit(None).cast("long").alias("j")))
+    near_links = written(compared(tiles, groups, num, den, k), "near-links")
+    if after.groupBy("cluster").count().where("count > 2").isEmpty():
+        return components(near_links), described(k)
+
+    # Tiles that are not neighbours: only where something is left to connect.
+    so_far = components(near_links)
+    of_tile = tiles.select("cluster", "tile", "node").join(so_far, "node", "left").groupBy("cluster", "tile").agg(F.min(F.coalesce("component", "node")).alias("one"), F.max(F.coalesce("component", "node")).alias("other"))
+    after = after.join(of_tile, ["cluster", "tile"])
+    a, b = after.alias("a"), after.alias("b")
+    reach = F.expr(f"a.cluster = b.cluster and b.tile > a.next and a.most * {den} >= b.least * {num} and not (a.one = a.other and b.one = b.other and a.one = b.one)")
+    pairs = written(a.join(b, reach).select(F.col("a.cluster").alias("cluster"), F.col("a.tile").alias("i"), F.col("b.tile").alias("j")), "tile-pairs")
+    groups = pairs.select("cluster", F.col("i").alias("tile"), "i", "j").unionByName(pairs.select("cluster", F.col("j").alias("tile"), "i", "j"))
+    return components(near_links.unionByName(compared(tiles, groups, num, den, k))), described(k)
+
+
+def tiled(texts: DataFrame) -> DataFrame:
+    """(cluster, tile, node, n, packed): tiles of about TILE_DOCS texts and TILE_SHINGLES shingles, in order of size.
+
+    No cluster meets in one task: tiles follow from how many texts of each
+    size a cluster has, and sizes of more than one tile are dealt out by hash.
+    """
+    sizes = texts.groupBy("cluster", "n").agg(F.count("*").alias("docs"))
+    weight = F.greatest(F.col("docs") / TILE_DOCS, F.col("docs") * F.col("n") / TILE_SHINGLES)
+    before = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("weight", weight).withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    sizes = written(sizes.select("cluster", "n", "docs", F.floor("before").alias("first"), F.ceil("weight").alias("parts")), "sizes")
+    # One in TILE_DOCS texts at most is a size of its own here.
+    many = sizes.where(f"docs > {TILE_DOCS}").select("cluster", "n", "first", "parts")
+    many = F.broadcast(many) if many.limit(BROADCAST_SIZES + 1).count() <= BROADCAST_SIZES else many
+    dealt = texts.join(many, ["cluster", "n"], "left")
+    rest = dealt.where("parts is null").drop("first", "parts").join(sizes.where(f"docs <= {TILE_DOCS}").select("cluster", "n", "first", "parts"), ["cluster", "n"])
+    both = dealt.where("parts is not null").unionByName(rest)
+    return both.select("cluster", (F.col("first") + F.pmod("node", "parts")).alias("tile"), "node", "n", "packed")
+
+
+def compared(tiles: DataFrame, groups: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """The links within each group: (cluster, i, j) lists its tiles."""
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = tiles.join(groups, ["cluster", "tile"]).select("cluster", "i", "j", "tile", "node", "packed")
+    pieces = pieces.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    return pieces.mapInArrow(compare(num, den, k), "a long, b long")
 
 
 def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, k: int = 3) -> DataFrame:
@@ -420,7 +456,8 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
 
     Null or empty texts have no shingles and a class of their own; repeated
     rows come back as often as they are in ``df``; null doc_ids are larger
-    than any other.
+    than any other.  Very long texts are compared whole.  Of ``df`` only the
+    two columns are read.
     """
     linked, brief = classes(df, F.col(text), num, den, k)
     rows = written(df.select(F.col(doc_id).alias("doc_id"), brief(F.col(text)).alias("x")).select("doc_id", F.col("x.n").alias("n_shingles"), F.col("x.node").alias("node")), "sized")

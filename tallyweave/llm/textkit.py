@@ -205,10 +205,11 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         new = np.zeros(b.num_rows, dtype=bool)
         for k in keys:
             c = b.column(b.schema.get_field_index(k))
-            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+            new[1:] |= pc.not_equal(c[1:].is_null(), c[:-1].is_null()).to_numpy(zero_copy_only=False)
         if held:
             last = held[-1]
-            new[0] = any(last.column(last.schema.get_field_index(k))[-1] != b.column(b.schema.get_field_index(k))[0] for k in keys)
+            new[0] = any(last.column(last.schema.get_field_index(k))[-1].as_py() != b.column(b.schema.get_field_index(k))[0].as_py() for k in keys)
         cuts = np.flatnonzero(new)
         at = 0
         for c in cuts:
