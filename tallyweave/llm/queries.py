@@ -67,7 +67,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
     digests = written(got.texts.select("key", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "repeat-digests")
     spark.sql(f"drop table {got.table}")
-    return got.documents.join(digests, "key").drop("key")
+    return got.documents.join(digests, "key").drop("key").withColumn("has_repeats", F.col("n_spans") > 0)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,13 @@ bytes.  The plan:
    repeated passage, is settled by its bytes: fragments are grouped by anchor,
    a run-length index is built over groups of bounded size, and its matching
    statistics mark the windows that match elsewhere.
-4. Anchor groups above the bound (one passage in very many contexts) are
-   settled by counting the hashes of their windows instead.
+4. Anchor groups above the bound (one passage in very many contexts) are split
+   by the bytes around the anchor: the windows of a fragment are dealt into
+   parts by where the anchor lies in them, and parts are grouped by the bytes
+   that all their windows hold.  Equal parts repeat as a whole, and the index
+   is built over these smaller groups as in step 3.  What is still too large
+   (very many parts that differ in a few bytes at their ends) is split once
+   more, into single windows, where equal bytes are all there is to compare.
 
 Hashes have 64 bits (texts: 128).
 """
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +44,8 @@ from .runtime import prepare, written
 
 GROUP_BYTES = 1 << 20
 INDEX_BYTES = 1 << 20
+#: Parts into which the windows of a large group are dealt.
+PARTS = 16
 U64 = np.uint64
 _PLACE = U64((1 << 31) - 1)
 
@@ -51,11 +59,11 @@ class Repeats(NamedTuple):
 
 
 def fragments(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor hash, fragment hash) of all fragments of a chunk."""
+    """(text, start, windows, anchor hash, fragment hash, place of the anchor) of all fragments of a chunk."""
     n, w = len(buf), length - gram + 1
     z = np.zeros(0, np.int64)
     if n < length:
-        return z, z, z, z, z
+        return z, z, z, z, z, z
     p = tk.prefix(buf)
     at = np.arange(n - gram + 1)
     grams = tk.span_hash(p, at, at + gram)
@@ -73,14 +81,14 @@ def fragments(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tupl
     text = np.searchsorted(offs, start, side="right") - 1
     whole = np.flatnonzero(start + length <= offs[text + 1])
     if not len(whole):
-        return z, z, z, z, z
+        return z, z, z, z, z, z
     text, anchor = text[whole], anchor[whole]
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate([first, [len(whole)]]))
     begin = whole[first]
     f = tk.span_hash(p, begin, begin + count + length - 1)
-    return text[first], begin - offs[text[first]], count, grams[anchor[first]].view(np.int64), f.view(np.int64)
+    return text[first], begin - offs[text[first]], count, grams[anchor[first]].view(np.int64), f.view(np.int64), anchor[first] - begin
 
 
 def find_fragments(length: int, gram: int):
@@ -88,27 +96,55 @@ def find_fragments(length: int, gram: int):
         for b in batches:
             for i, j in tk.row_chunks(b.column(1)):
                 key, buf = b.column(0).slice(i, j - i), tk.buffers(b.column(1).slice(i, j - i))
-                text, start, count, a, f = fragments(*buf, length, gram)
-                yield pa.RecordBatch.from_arrays([key.take(pa.array(text)), pa.array(start), pa.array(count), pa.array(a), pa.array(f)], ["key", "start", "windows", "anchor", "fragment"])
+                text, *fields = fragments(*buf, length, gram)
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(text)), *map(pa.array, fields)], ["key", "start", "windows", "anchor", "fragment", "at"])
 
     return run
 
 
+PIECE = "key binary, start long, windows long, at long, anchor long, settled boolean, large boolean, bytes binary"
+LISTED = ("start", "windows", "at", "anchor", "settled", "large")
+
+
 def cut_fragments(length: int):
-    """The bytes of the listed fragments of each text."""
+    """mapInArrow over (key, text, place of the text, listed): the bytes of the listed fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in tk.row_chunks(b.column(1)):
                 buf, offs = tk.buffers(b.column(1).slice(i, j - i))
-                listed = b.column(2).slice(i, j - i)
+                base, listed = b.column(2).slice(i, j - i).to_numpy(), b.column(3).slice(i, j - i)
                 flat = listed.flatten()
                 of = np.repeat(np.arange(j - i), listed.value_lengths().to_numpy(zero_copy_only=False))
-                start, windows = flat.field("start").to_numpy(), flat.field("windows").to_numpy()
                 raw = buf.tobytes()
-                lo = offs[of] + start
-                cut = [raw[x : x + n + length - 1] for x, n in zip(lo.tolist(), windows.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(of)), *[flat.field(c) for c in ("start", "windows", "anchor", "settled", "large")], pa.array(cut, pa.binary())], ["key", "start", "windows", "anchor", "settled", "large", "bytes"])
+                lo = (offs[:-1] - base)[of] + flat.field("start").to_numpy()
+                cut = [raw[x : x + n + length - 1] for x, n in zip(lo.tolist(), flat.field("windows").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(of)), *[flat.field(c) for c in LISTED], pa.array(cut, pa.binary())], ["key", *LISTED, "bytes"])
+
+    return run
+
+
+def find_parts(length: int, gram: int, step: int):
+    """mapInArrow over pieces: runs of ``step`` windows by where the anchor lies in them, grouped by the bytes they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
+            for i, j in tk.row_chunks(col["bytes"]):
+                buf, offs = tk.buffers(col["bytes"].slice(i, j - i))
+                windows, at, start = (col[c].slice(i, j - i).to_numpy() for c in ("windows", "at", "start"))
+                of = np.repeat(np.arange(j - i), windows)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+                part = (at[of] - nth) // step
+                first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (part[1:] != part[:-1])])) if len(of) else np.zeros(0, np.int64)
+                count = np.diff(np.concatenate([first, [len(of)]]))
+                of, nth, part = of[first], nth[first], part[first]
+                p, lo, anchor = tk.prefix(buf), offs[of] + nth, offs[of] + at[of]
+                shared = tk.span_hash(p, anchor - part * step, anchor - np.minimum(part * step + step - 1, length - gram) + length)
+                group = tk.mix(shared + part.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+                whole = tk.span_hash(p, lo, lo + count + length - 1).view(np.int64)
+                rows = pa.array(of)
+                yield pa.RecordBatch.from_arrays([*[col[c].slice(i, j - i).take(rows) for c in ("key", "start", "settled")], pa.array(start[of] + nth), pa.array(count), pa.array(at[of] - nth), pa.array(group), pa.array(whole)], ["key", "of", "done", "start", "windows", "at", "anchor", "fragment"])
 
     return run
 
@@ -152,20 +188,20 @@ def index_groups(length: int):
 
 
 def window_hashes(length: int):
-    """Hash of every window of each fragment: for groups above the bound."""
+    """mapInArrow over pieces: the hash of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in tk.row_chunks(b.column(6), limit=1 << 17):
-                buf, offs = tk.buffers(b.column(6).slice(i, j - i))
-                windows = b.column(2).slice(i, j - i).to_numpy()
+            col = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
+            for i, j in tk.row_chunks(col["bytes"], limit=1 << 17):
+                buf, offs = tk.buffers(col["bytes"].slice(i, j - i))
+                windows, start = (col[c].slice(i, j - i).to_numpy() for c in ("windows", "start"))
                 of = np.repeat(np.arange(j - i), windows)
                 nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
                 at = offs[of] + nth
                 h = tk.span_hash(tk.prefix(buf), at, at + length).view(np.int64)
-                take = pa.array(of)
-                lo = b.column(1).slice(i, j - i).to_numpy()[of] + nth
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(take), pa.array(lo), pa.array(h), b.column(4).slice(i, j - i).take(take)], ["key", "lo", "h", "settled"])
+                rows = pa.array(of)
+                yield pa.RecordBatch.from_arrays([col["key"].slice(i, j - i).take(rows), pa.array(start[of] + nth), pa.array(h), col["settled"].slice(i, j - i).take(rows)], ["key", "lo", "h", "settled"])
 
     return run
 
@@ -204,11 +240,43 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pairs), pa.array(kept, pa.binary())], names)
 
 
+def classified(found: DataFrame, length: int, group_bytes: int, name: str) -> DataFrame:
+    """Fragments that can repeat: ``settled`` if they repeat as a whole or are ``done``, ``large`` by their group's size.
+
+    One of equal fragments is ``sent`` where its bytes are needed: in groups
+    with something that is not settled.
+    """
+    same = found.groupBy("anchor", "fragment").agg(F.count("*").alias("n"), F.min("row").alias("one"), F.first("windows").alias("windows"), F.min(~F.col("done")).alias("open"))
+    same = written(same, "same").withColumn("left", F.col("open") & (F.col("n") == 1))
+    group = same.groupBy("anchor").agg(F.count("*").alias("m"), F.max("left").alias("left"), F.sum(F.col("windows") + length - 1).alias("size"))
+    group = group.where("m >= 2 and left").select("anchor", (F.col("size") > group_bytes).alias("large"))
+    status = same.join(group, "anchor", "left").where("n >= 2 or large is not null").select("anchor", "fragment", (F.col("n") >= 2).alias("twice"), F.when(F.col("large").isNotNull(), F.col("one")).alias("one"), "large")
+    keep = ["key", *(["of"] if "of" in found.columns else []), "start", "windows", "at", "anchor", "done"]
+    return written(found.join(status, ["anchor", "fragment"]).select(*keep, (F.col("twice") | F.col("done")).alias("settled"), "large", F.col("row").eqNullSafe(F.col("one")).alias("sent")), name)
+
+
+def of_whole(marked: DataFrame, length: int) -> DataFrame:
+    return marked.where("settled").select("key", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
+
+
+def indexed(pieces: DataFrame, length: int, n: int) -> DataFrame:
+    """What the run-length indexes of the groups find."""
+    return pieces.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(index_groups(length), "key binary, lo long, hi long")
+
+
+def single(pieces: DataFrame, length: int) -> DataFrame:
+    """Groups whose parts share all but a few bytes, window by window."""
+    hashed = pieces.mapInArrow(window_hashes(length), "key binary, lo long, h long, settled boolean")
+    twice = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h")
+    return hashed.where("not settled").join(twice, "h").select("key", "lo", (F.col("lo") + length).alias("hi"))
+
+
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 128, group_bytes: int = GROUP_BYTES) -> Repeats:
     """Find each byte of ``text`` that a ``length``-byte string covers which starts elsewhere too.
 
-    Null texts are empty; rows with equal texts repeat each other; texts
-    shorter than ``length`` have nothing to remove.  Spans are half-open byte
+    Null texts are empty; rows with equal texts repeat each other, whatever
+    their ids; texts shorter than ``length`` have nothing to remove, very long
+    ones are cut whole, in one task.  Other columns are not read.  Spans are half-open byte
     ranges that neither overlap nor touch.  ``table`` is a scratch table of
     the session's warehouse, to be dropped when the result has been used.
     """
@@ -220,27 +288,23 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     texts = spark.table(table)
     narrow = rows.select("doc_id", "key")
 
-    found = texts.select("key", "text").mapInArrow(find_fragments(length, gram), "key binary, start long, windows long, anchor long, fragment long")
-    found = written(found.withColumn("row", F.monotonically_increasing_id()), "fragments")
-    same = found.groupBy("anchor", "fragment").agg(F.count("*").alias("n"), F.min("row").alias("one"), F.first("windows").alias("windows"))
-    same = written(same, "same")
-    group = same.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"), F.sum(F.col("windows") + length - 1).alias("size"))
-    group = group.where("m >= 2 and single >= 1")
-    status = same.join(group.select("anchor", (F.col("size") > group_bytes).alias("large")), "anchor", "left").where("n >= 2 or large is not null")
-    status = status.select("anchor", "fragment", (F.col("n") >= 2).alias("settled"), F.when(F.col("large").isNotNull(), F.col("one")).alias("one"), "large")
-    marked = written(found.join(status, ["anchor", "fragment"]).select("key", "start", "windows", "anchor", "settled", "large", F.col("row").eqNullSafe(F.col("one")).alias("sent")), "marked")
-
-    listed = marked.where("sent").groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "settled", "large")).alias("listed"))
-    pieces = texts.join(listed, "key").select("key", "text", "listed")
-    pieces = written(pieces.mapInArrow(cut_fragments(length), "key binary, start long, windows long, anchor long, settled boolean, large boolean, bytes binary"), "pieces")
-    small = pieces.where("not large").repartition(n, "anchor").sortWithinPartitions("anchor")
-    matched = small.mapInArrow(index_groups(length), "key binary, lo long, hi long")
-    hashed = pieces.where("large").mapInArrow(window_hashes(length), "key binary, lo long, h long, settled boolean")
-    twice = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h")
-    counted = hashed.where("not settled").join(twice, "h").select("key", "lo", (F.col("lo") + length).alias("hi"))
-    whole = marked.where("settled").select("key", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
+    found = texts.select("key", "text").mapInArrow(find_fragments(length, gram), "key binary, start long, windows long, anchor long, fragment long, at long")
+    marked = classified(written(found.withColumn("row", F.monotonically_increasing_id()).withColumn("done", F.lit(False)), "fragments"), length, group_bytes, "marked")
+    listed = marked.where("sent").groupBy("key").agg(F.collect_list(F.struct(*LISTED)).alias("listed"))
+    pieces = written(texts.join(listed, "key").select("key", "text", F.lit(0).cast("long").alias("of"), "listed").mapInArrow(cut_fragments(length), PIECE), "pieces")
+    spans = [of_whole(marked, length), indexed(pieces.where("not large"), length, n)]
+
+    big = pieces.where("large")
+    if not big.isEmpty():
+        step = max(1, (length - gram + 1) // PARTS)
+        parts = big.mapInArrow(find_parts(length, gram, step), "key binary, of long, done boolean, start long, windows long, at long, anchor long, fragment long")
+        parts = classified(written(parts.withColumn("row", F.monotonically_increasing_id()), "parts"), length, group_bytes, "marked-parts")
+        listed = parts.where("sent").groupBy("key", F.col("of").alias("start")).agg(F.collect_list(F.struct(*LISTED)).alias("listed"))
+        smaller = big.select("key", "start", "bytes").join(listed, ["key", "start"]).select("key", "bytes", "start", "listed")
+        smaller = written(smaller.mapInArrow(cut_fragments(length), PIECE), "smaller-pieces")
+        spans += [of_whole(parts.where("not done"), length), indexed(smaller.where("not large"), length, n), single(smaller.where("large"), length)]
     copied = texts.where(f"copies >= 2 and octet_length(text) >= {length}").select("key", F.lit(0).cast("long").alias("lo"), F.octet_length("text").cast("long").alias("hi"))
-    spans = whole.unionByName(matched).unionByName(counted).unionByName(copied).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = reduce(DataFrame.unionByName, spans, copied).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     result = texts.select("key", "text").join(spans, "key", "left").select("key", "text", "spans").mapInArrow(cut_out, "key binary, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary")
     return Repeats(narrow, result, table)
 
@@ -248,4 +312,6 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 128, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row for each row of ``df``: doc_id, n_bytes, spans and the kept bytes."""
     got = repeats(df, doc_id, text, length, gram, group_bytes)
-    return got.documents.join(got.texts, "key").drop("key")
+    out = written(got.documents.join(got.texts, "key").drop("key"), "without-repeats")
+    df.sparkSession.sql(f"drop table {got.table}")
+    return out
