@@ -3,6 +3,12 @@
 Token counts per (source, language, topic) are raked to target marginals by
 iterative proportional fitting; a document is then sampled with its cell's
 probability by a hash of its id, so the sample does not depend on partitions.
+
+The weights are the tokens that the sample shall have of each cell, so none
+exceeds what the cell has: every step of the fitting scales one marginal to its
+target and cuts what is too much, and the next round makes up for it elsewhere.
+The targets themselves are within reach of each category: what a small one
+lacks is shared out among the others.
 """
 
 from __future__ import annotations
@@ -16,57 +22,72 @@ from .runtime import free_name, prepare, written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Exponents of the tempered targets: 1 keeps a marginal, 0 makes it even.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-ROUNDS, ROUNDS_A_TABLE, CAP_STEPS = 12, 4, 6
+#: The fitting ends when no marginal is off by more than EXACT of its target, or after so many rounds.
+ROUNDS, ROUNDS_A_TABLE, EXACT = 24, 12, 1e-10
 RATE = 0.8
 #: Cells up to here are broadcast to the documents; beyond, that join is shuffled.
 BROADCAST_CELLS = 1_000_000
+#: So few narrow cells are raked in one task, without moving them for each marginal.
+CELLS_A_TASK = 50_000
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shape(text: Column) -> Column:
-    """A stand-in for topics where a table has none: the kind of text."""
-    n = n_words(text)
+def shape(text: Column, n: Column) -> Column:
+    """A stand-in for topics where a table has none: the kind of a text of ``n`` words."""
     lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))), F.lit(0)) + 1
     return F.when(n < 50, "note").when(lines * 12 >= n, "list").when(n >= 1000, "long read").otherwise("article")
 
 
-def raked(cells: DataFrame, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``: tokens raked to the targets.
+def target_of(cells: DataFrame, d: str, power: float, total: float) -> DataFrame:
+    """(category, goal): tokens that the sample shall have of each category of ``d``.
 
-    The targets of a marginal are its token shares to the power of its
-    exponent.  Every round scales the weights to each marginal in turn.
+    Tempered shares of ``total``; categories that have less than their share
+    give all, those with the smallest ratio of tokens to share first.
     """
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    m = cells.groupBy(F.col(d).alias("category")).agg(F.sum("tokens").cast("double").alias("mass"))
+    every, upto = Window.partitionBy(), Window.orderBy("ratio", "category")
+    m = m.withColumn("share", F.pow("mass", F.lit(power))).withColumn("share", F.col("share") / F.sum("share").over(every)).withColumn("ratio", F.col("mass") / F.col("share"))
+    taken, left = F.coalesce(F.sum("mass").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), F.sum("share").over(upto.rowsBetween(0, Window.unboundedFollowing))
+    m = m.withColumn("scale", (F.lit(total) - taken) / left)
+    scale = F.first(F.when(F.col("scale") <= F.col("ratio"), F.col("scale")), ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return m.select("category", F.least(F.col("mass"), F.coalesce(scale, F.col("ratio")) * F.col("share")).alias(f"goal_{d}"))
+
+
+def raked(cells: DataFrame, rate: float = RATE, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``weight``: the tokens to be drawn of each."""
+    total = rate * float(cells.agg(F.sum("tokens")).first()[0] or 0)
     now = cells
     for d, power in temper.items():
-        mass = F.sum("tokens").over(Window.partitionBy(d)).cast("double")
-        now = now.withColumn(f"mass_{d}", F.pow(mass, F.lit(power)))
-        tempered = now.groupBy(d).agg(F.first(f"mass_{d}").alias("m")).agg(F.sum("m")).first()[0] or 1.0
-        now = now.withColumn(f"mass_{d}", F.col(f"mass_{d}") / F.lit(float(tempered)) * F.lit(total))
+        goal = target_of(cells, d, power, total)
+        now = now.join(goal, now[d].eqNullSafe(goal["category"])).drop("category")
     now = written(now.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    for r in range(rounds):
-        for d in temper:
-            now = now.withColumn("weight", F.col("weight") * F.col(f"mass_{d}") / F.sum("weight").over(Window.partitionBy(d)))
-        if (r + 1) % ROUNDS_A_TABLE == 0 or r + 1 == rounds:
-            now = written(now, "raked")
+    few = now.count() <= CELLS_A_TASK
+    for r in range(0, rounds, ROUNDS_A_TABLE):
+        now = now.coalesce(1) if few else now
+        for _ in range(min(ROUNDS_A_TABLE, rounds - r)):
+            for d in temper:
+                now = now.withColumn("weight", step(d))
+        now = written(now, "raked")
+        if worst(now, temper) <= EXACT:
+            break
     return now
 
 
-def calibrated(cells: DataFrame, rate: float = RATE) -> DataFrame:
-    """``cells`` with ``p``: probabilities in proportion to weight / tokens, at most 1,
-    scaled so that the expected sample has ``rate`` of all tokens."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    scale = rate
-    for _ in range(CAP_STEPS):
-        full = F.col("weight") * F.lit(scale) >= F.col("tokens")
-        capped, rest = cells.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("weight")))).first()
-        if not rest:
-            break
-        scale = (rate * total - float(capped or 0)) / rest
-    return cells.withColumn("p", F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(scale) / F.col("tokens")), 9))
+def step(d: str) -> Column:
+    """Weights scaled to the targets of ``d``, and cut at what there is."""
+    return F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"goal_{d}") / F.sum("weight").over(Window.partitionBy(d)))
+
+
+def worst(cells: DataFrame, temper: dict[str, float] = TEMPER) -> float:
+    """The largest relative distance of a marginal from its target."""
+    off = None
+    for d in temper:
+        one = cells.groupBy(d).agg(F.max(f"goal_{d}").alias("goal"), F.sum("weight").alias("have")).select((F.abs(F.col("have") - F.col("goal")) / F.col("goal")).alias("off"))
+        off = one if off is None else off.unionByName(one)
+    return float(off.agg(F.max("off")).first()[0] or 0)
 
 
 def drawn(doc_id: Column, seed: int) -> Column:
@@ -80,20 +101,27 @@ def with_decisions(df: DataFrame, doc_id: str = "doc_id", text: str = "text", so
 
     Null sources, languages and topics are categories of their own.  Documents
     without words weigh nothing: they come back with p = 1 and are kept.
-    Equal ids share their fate.
+    Equal ids share their fate; repeated rows count each; very long texts are
+    counted whole.
     """
-    spark = prepare(df.sparkSession)
-    kind = F.col(topic) if topic else shape(F.col(text))
+    prepare(df.sparkSession)
     n = {c: free_name(df, f"mix_{c}") for c in ("topic", "tokens", "p", "kept", "s", "l", "t")}
-    narrow = df.select(F.col(source).alias("source"), F.col(lang).alias("lang"), kind.alias("topic"), n_words(F.col(text)).alias("tokens"))
+    rows = df.withColumn(n["tokens"], n_words(F.col(text)))
+    rows = rows.withColumn(n["topic"], F.col(topic) if topic else shape(F.col(text), F.col(n["tokens"])))
+    return decided(rows, n, doc_id, source, lang, rate, seed), n
+
+
+def decided(rows: DataFrame, n: dict[str, str], doc_id: str, source: str, lang: str, rate: float, seed: int) -> DataFrame:
+    """Rows that have tokens and topic, with probability and decision."""
+    narrow = rows.select(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(n["topic"]).alias("topic"), F.col(n["tokens"]).alias("tokens"))
     cells = written(narrow.where("tokens > 0").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "mass")
-    p = written(calibrated(raked(cells), rate).select(F.col("source").alias(n["s"]), F.col("lang").alias(n["l"]), F.col("topic").alias(n["t"]), F.col("p").alias(n["p"])), "odds")
+    p = F.round(F.col("weight") / F.col("tokens"), 6)
+    p = written(raked(cells, rate).select(F.col("source").alias(n["s"]), F.col("lang").alias(n["l"]), F.col("topic").alias(n["t"]), p.alias(n["p"])), "odds")
     if p.count() <= BROADCAST_CELLS:
         p = F.broadcast(p)
-    rows = df.withColumn(n["topic"], kind).withColumn(n["tokens"], n_words(F.col(text)))
     rows = rows.join(p, rows[source].eqNullSafe(p[n["s"]]) & rows[lang].eqNullSafe(p[n["l"]]) & rows[n["topic"]].eqNullSafe(p[n["t"]]), "left").drop(n["s"], n["l"], n["t"])
     rows = rows.withColumn(n["p"], F.when(F.col(n["tokens"]) > 0, F.col(n["p"])).otherwise(F.lit(1.0)))
-    return rows.withColumn(n["kept"], drawn(F.col(doc_id), seed) < F.col(n["p"])), n
+    return rows.withColumn(n["kept"], drawn(F.col(doc_id), seed) < F.col(n["p"]))
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
@@ -102,11 +130,14 @@ def mixed(df: DataFrame, **options) -> DataFrame:
     return rows.where(F.col(n["kept"])).select(*df.columns)
 
 
-def report(df: DataFrame, **options) -> DataFrame:
-    """A row for each document: its cell, tokens, probability and decision."""
-    rows, n = with_decisions(df, **options)
-    names = {k: options.get(k, k) for k in ("doc_id", "source", "lang")}
-    return rows.select(*[F.col(c).alias(k) for k, c in names.items()], *[F.col(n[c]).alias(c) for c in ("topic", "tokens", "p", "kept")])
+def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, rate: float = RATE, seed: int = 7) -> DataFrame:
+    """A row for each document: its cell, tokens, probability and decision; texts are read once."""
+    prepare(df.sparkSession)
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(lang).alias("lang"), n_words(F.col(text)).alias("tokens"), F.col(text).alias("text"), *([F.col(topic).alias("topic")] if topic else []))
+    kind = F.col("topic") if topic else shape(F.col("text"), F.col("tokens"))
+    rows = written(rows.select("doc_id", "source", "lang", "tokens", kind.alias("topic")), "counted")
+    n = {"topic": "topic", "tokens": "tokens", "p": "p", "kept": "kept", "s": "s_", "l": "l_", "t": "t_"}
+    return decided(rows, n, "doc_id", "source", "lang", rate, seed).select("doc_id", "source", "lang", "topic", "tokens", "p", "kept")
 
 
 def sql(rate: float = RATE, seed: int = 7, rounds: int = ROUNDS) -> str:
@@ -115,21 +146,20 @@ def sql(rate: float = RATE, seed: int = 7, rounds: int = ROUNDS) -> str:
     steps = [
         f"""d as (select doc_id, source, lang, n as tokens, case when n < 50 then 'note' when lines * 12 >= n then 'list' when n >= 1000 then 'long read' else 'article' end as topic
   from (select doc_id, source, lang, {words} as n, coalesce(length(text) - length(replace(text, chr(10), '')), 0) + 1 as lines from documents))""",
-        "c as (select source, lang, topic, sum(tokens)::double as tokens from d where tokens > 0 group by all)",
+        "c as materialized (select source, lang, topic, sum(tokens)::double as tokens from d where tokens > 0 group by all)",
     ]
     for x, power in TEMPER.items():
-        steps.append(f"m_{x} as (select {x}, pow(t, {power}) / sum(pow(t, {power})) over () * sum(t) over () as mass from (select {x}, sum(tokens) as t from c group by {x}))")
-    joins = " ".join(f"join m_{x} on c.{x} is not distinct from m_{x}.{x}" for x in TEMPER)
-    steps.append(f"w0 as (select c.*, {', '.join(f'm_{x}.mass as mass_{x}' for x in TEMPER)}, c.tokens as weight from c {joins})")
+        steps.append(f"a_{x} as (select *, mass / share as ratio from (select x, mass, pow(mass, {power}) / sum(pow(mass, {power})) over () as share from (select {x} as x, sum(tokens) as mass from c group by 1)))")
+        steps.append(f"b_{x} as (select *, ({rate} * sum(mass) over () - coalesce(sum(mass) over (order by ratio, x rows between unbounded preceding and 1 preceding), 0)) / sum(share) over (order by ratio, x rows between current row and unbounded following) as scale from a_{x})")
+        steps.append(f"m_{x} as materialized (select x, least(mass, share * coalesce((select arg_min(scale, ratio) from b_{x} where scale <= ratio), ratio)) as goal from b_{x})")
+    joins = " ".join(f"join m_{x} on c.{x} is not distinct from m_{x}.x" for x in TEMPER)
+    steps.append(f"w0 as materialized (select c.*, {', '.join(f'm_{x}.goal as goal_{x}' for x in TEMPER)}, c.tokens as weight from c {joins})")
     k = 0
     for _ in range(rounds):
         for x in TEMPER:
-            steps.append(f"w{k + 1} as (select * replace (weight * mass_{x} / sum(weight) over (partition by {x}) as weight) from w{k})")
+            steps.append(f"w{k + 1} as {'materialized ' if k % 6 == 5 else ''}(select * replace (least(tokens, weight * goal_{x} / sum(weight) over (partition by {x})) as weight) from w{k})")
             k += 1
-    steps.append(f"s0 as (select {rate}::double as scale)")
-    for i in range(CAP_STEPS):
-        steps.append(f"s{i + 1} as (select coalesce(({rate} * sum(tokens) - coalesce(sum(tokens) filter (weight * scale >= tokens), 0)) / nullif(sum(weight) filter (weight * scale < tokens), 0), any_value(scale)) as scale from w{k}, s{i})")
-    steps.append(f"odds as (select source, lang, topic, round(least(1.0, weight * scale / tokens), 9) as p from w{k}, s{CAP_STEPS})")
+    steps.append(f"odds as (select source, lang, topic, round(weight / tokens, 6) as p from w{k})")
     steps.append("r as (select d.doc_id, d.source, d.lang, d.topic, d.tokens, case when tokens > 0 then p else 1.0 end as p from d left join odds on d.source is not distinct from odds.source and d.lang is not distinct from odds.lang and d.topic is not distinct from odds.topic)")
     drawn_sql = f"round(('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{seed}'), 1, 12))::bigint / {float(1 << 48)}, 9)"
     return f"with {', '.join(steps)} select *, {drawn_sql} < p as kept from r"
