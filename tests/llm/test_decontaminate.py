@@ -23,14 +23,14 @@ def case(spark):
 def test_copies_and_new_parameters(spark):
     docs, items = case(spark)
     got = ids(decontaminate.contaminated(docs, items))
-    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (13, 1), (8, 2), (8, 2), (9, 2), (9, 2), (2, 2), (2, 2)], key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (13, 1), (8, 2), (8, 2), (9, 2), (9, 2), (2, 2), (2, 2), (11, 5)], key=str)
 
 
 def test_filter(spark):
     docs, items = case(spark)
     kept = decontaminate.decontaminated(docs, items)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 10, 11, 12]
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 10, 12]
     assert decontaminate.decontaminated(docs.limit(0), items).collect() == []
     assert decontaminate.decontaminated(docs, items.limit(0)).count() == docs.count()
 
@@ -49,6 +49,26 @@ def test_query_matches_sql(spark, sf_dir):
     assert sorted(tuple(r) for r in got) == want and want
 
 
+def test_short_items_are_found_as_lines(spark):
+    docs = spark.createDataFrame([(1, "Tiny item, here!"), (2, "see:\ntiny ITEM here\nbye"), (3, "a tiny item here and more"), (4, "12"), (5, "1 2"), (6, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "tiny item here"), (2, "12"), (3, "..."), (4, None)], "item_id long, text string")
+    assert ids(decontaminate.contaminated(docs, items)) == [(1, 1), (2, 1), (4, 2)]
+
+
+def test_slots_match_sql(spark):
+    """Drill sheets, parts and broken copies, with the slot check in SQL."""
+    import duckdb
+
+    docs, items = case(spark)
+    d, b = docs.select("doc_id", "text").toPandas(), items.toPandas()  # noqa: F841  views of the SQL below
+    con = duckdb.connect()
+    con.register("documents", d)
+    con.register("benchmark", b)
+    want = sorted(con.sql(f"select doc_id, item_id, matched, slots from ({decontaminate.SQL})").fetchall(), key=str)
+    got = sorted(((r.doc_id, r.item_id, r.matched, r.slots) for r in decontaminate.contaminated(docs, items).collect()), key=str)
+    assert got == [tuple(None if x is None or x != x else int(x) for x in w) for w in want] and max(g[3] for g in got) > 0
+
+
 def test_any_consistent_alignment_counts(spark, monkeypatch):
     """A drill sheet's later copy, part of an item beside other text, a word put in; values that change between pieces of less than the share are no leak."""
     broken = ITEM.replace("has 12", "has 40").replace("after 12", "after 41").replace("Tom keep", "Jim keep")
