@@ -154,6 +154,8 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
     Every row comes back once.  A null or empty text has no words and fails
     the base rules; null languages and sources form groups of their own.
+    Repeated rows count each and share their verdict; a value that lies on a
+    fence passes; very long texts are measured whole.
     """
     prepare(df.sparkSession)
     m, kept, k1, k2, fence = (free_name(df, x) for x in ("measures", "method_keeps", "l_key", "s_key", "fence_map"))

@@ -23,11 +23,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a new temporary
-    folder is set for the session.
+    Only in a session of one machine that names none (a test) a new temporary
+    folder is set; on a cluster it would lie on the driver's own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -48,3 +48,19 @@ def test_stages_keep_odd_tables_whole(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, df, sf_dir).columns == df.columns
         assert corpus_pipeline.token_output(spark, df, sf_dir).count() == df.count()
+
+
+def test_stages_keep_long_tied_and_clashing_rows(spark, sf_dir):
+    """A very long text, ties in ids, repeated rows, columns with the operators' own names."""
+    words = [f"w{i}" for i in range(400)]
+    text = " ".join(words)
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (1, text + " x", "en", "s", 2), (2, " ".join(f"v{i}" for i in range(60_000)), "en", "s", 3), (3, "short", None, None, 4)]
+    odd = spark.createDataFrame([(*r, r[4], "t", "u") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, node long, topic string, text_key string")
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns
+        counts.append(out.count())
+    assert counts[1] == 3 and counts[2] == 5  # one of the three near copies, the long and the short text; no leaks
+    got = corpus_pipeline.token_output(spark, odd, sf_dir).collect()
+    assert len(got) == 5 and max(r.n_tokens for r in got) > 60_000

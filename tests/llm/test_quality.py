@@ -36,6 +36,26 @@ def test_query(spark, sf_dir):
     assert sum(good) >= 0.95 * len(good)
 
 
+def test_bad_texts_are_rejected(spark):
+    """Labels of the larger table: most bad texts that pass the base rules fall to the fences."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in op9_quality_rules(spark, sf).collect() if r.doc_id in labels]
+    bad = [r.kept for r in rows if labels[r.doc_id] == 0]
+    past = [r.kept for r in rows if labels[r.doc_id] == 0 and not r.base_failed]
+    good = [r.kept for r in rows if labels[r.doc_id] == 1]
+    assert len(bad) > 30 and sum(bad) <= 0.1 * len(bad) and sum(past) <= 0.15 * len(past) and sum(good) >= 0.95 * len(good)
+
+
+def test_odd_rows(spark):
+    """Ties, repeated rows, very long texts, nulls and clashing columns."""
+    rows = [(1, "a b c " * 10, "en", "s", 5), (1, "a b c " * 10, "en", "s", 5), (2, "w" * 300_000, "en", "s", 6), (3, "x y " * 100_000, None, None, 7), (None, None, "en", None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, fence_map int")
+    got = quality.quality_report(df).collect()
+    assert len(got) == 5 and sum(r.doc_id == 1 for r in got) == 2 and {r.n_words for r in got} == {30, 1, 200_000, 0}
+    assert quality.quality_filter(df).columns == df.columns
+
+
 def test_fences_tighter_than_any_constant(spark):
     """A group of even documents rejects what lies far outside it, up and down, though a mixed corpus has such documents."""
     words = lambda i, n: " ".join(f"{'v' * (n + (i + k) % 2)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60 + i % 3))
