@@ -101,3 +101,40 @@ def common_size(df: DataFrame, parts: Sequence[str], base: str, digits: int = 6)
 def ratios(df: DataFrame, specs: Mapping[str, tuple[str, str]], digits: int = 4) -> DataFrame:
     """Named ratios (numerator, denominator)."""
     return df.withColumns({n: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), digits) for n, (a, b) in specs.items()})
+
+
+def displayed(df: DataFrame, overrides: Mapping[str, str], baselines: Mapping[str, str] | None = None, formulas: Sequence[Formula] = WORKBOOK) -> DataFrame:
+    """``df`` evaluated, with a user's ``overrides`` (formula: column) on top and ``hints`` on what they hide.
+
+    A formula whose override or parsed baseline (formula: column) is off by
+    more than a dollar says what it expects.
+    """
+    out = evaluated(df, formulas)
+    off = lambda a, b: F.abs(a - b) > 1
+    expects = [F.when(off(F.col(o), F.col(f)), F.format_string(f"{f}: Formula expects %d", F.col(f))) for f, o in overrides.items()]
+    parsed = [F.when(off(F.col(f), F.col(b)), F.format_string(f"{f}: From extraction %d", F.col(b))) for f, b in (baselines or {}).items()]
+    hints = F.array_compact(F.array(*expects, *parsed)) if expects or parsed else F.array().cast("array<string>")
+    return out.withColumn("hints", hints).withColumns({f: F.coalesce(F.col(o), F.col(f)) for f, o in overrides.items()})
+
+
+def identity_warnings(df: DataFrame, ordinary_income: str, gross_profit: str, formulas: Sequence[Formula] = WORKBOOK) -> DataFrame:
+    """``df`` evaluated, with ``warnings``: where the sheet's profits are not what the form says.
+
+    Without taxes, extraordinary items and owner's compensation the net income
+    has to be the form's income too.
+    """
+    out = evaluated(df, formulas)
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in out.columns else F.lit(0)
+    say = lambda text, *cs: F.format_string(text, *[F.format_number(c, 0) for c in cs])
+    income, form_profit = F.col(ordinary_income), F.col(gross_profit)
+    before, net, profit = F.col("net_profit_before_taxes"), F.col("net_income"), F.col("gross_profit")
+    open_before = F.coalesce(before != income, F.lit(False))
+    plain = (n("taxes_paid") == 0) & (n("extraordinary_gain") - n("extraordinary_loss") + n("adjusted_owner_compensation") == 0)
+    slots = sum((n(c) for c in SLOTS), F.lit(0))
+    warnings = F.array_compact(F.array(
+        F.when(form_profit != profit, say("Gross profit mismatch: form %s vs sales−COGS %s", form_profit, profit)),
+        F.when(open_before, say("P&L does not close to Form ordinary income (workbook NPBT %s vs form %s, gap %s; top-8 sum %s, other_opex %s)", before, income, before - income, slots, n("other_operating_expenses"))),
+        F.when(open_before & F.col("other_operating_expenses").isNotNull(), say("other_operating_expenses may be wrong (gap %s)", before - income)),
+        F.when(~open_before & (net != income) & plain, say("Net income %s ≠ Form ordinary income %s (top-8 sum %s, other_opex %s)", net, income, slots, n("other_operating_expenses"))),
+    ))
+    return out.withColumn("warnings", warnings)

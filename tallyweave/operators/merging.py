@@ -79,7 +79,7 @@ def missing_pages(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> Da
 def switched(base: DataFrame, incoming: DataFrame, client: str, period: str) -> DataFrame:
     """The base without the periods that another client's incoming records take over."""
     taken = incoming.select(F.col(client).alias("__c"), F.col(period).alias("__p")).distinct()
-    return base.join(F.broadcast(taken), (F.col(period) == F.col("__p")) & (F.col(client) != F.col("__c")), "left_anti")
+    return base.join(taken, (F.col(period) == F.col("__p")) & (F.col(client) != F.col("__c")), "left_anti")
 
 
 def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, into: str) -> DataFrame:

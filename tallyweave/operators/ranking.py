@@ -31,11 +31,14 @@ def top_distinct(df: DataFrame, keys: Sequence[str], amount: str, n: int, larges
 
 
 def runner_up(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column]) -> DataFrame:
-    """(keys, value, other): the winner, and the first row in order with another value, if any."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("__n", F.row_number().over(w)).withColumn("__first", F.first(value).over(w))
-    other = F.min(F.when(F.col(value) != F.col("__first"), F.struct("__n", F.col(value).alias("v"))))
-    return ranked.groupBy(*keys).agg(F.first("__first").alias(value), other["v"].alias("other"))
+    """(keys, value, other): the winner, and the first row in order with another value, if any.
+
+    The first row of each value, then the first two of those: both limits work
+    before the shuffle, so no key's rows are sorted in one task.
+    """
+    two = best(best(df, [*keys, value], order), keys, order, 2, "__place")
+    at = lambda n: F.max(F.when(F.col("__place") == n, F.col(value)))
+    return two.groupBy(*keys).agg(at(1).alias(value), at(2).alias("other"))
 
 
 def shared_top(df: DataFrame, label: str, period: str, amount: str, n: int, scope: Sequence[str] = ()) -> DataFrame:
@@ -63,12 +66,16 @@ def residual(df: DataFrame, keys: Sequence[str], amount: str, chosen: Column) ->
     return sums.withColumn("residual", F.greatest(F.lit(0), F.col("total") - F.col("chosen")))
 
 
-def capped_sum(df: DataFrame, keys: Sequence[str], amount: str, order: Sequence[str], cap: int) -> DataFrame:
+def capped_sum(df: DataFrame, keys: Sequence[str], amount: str, order: Sequence[str], cap: int, most_rows: int = 100_000) -> DataFrame:
     """(keys, claimed, used): rows in order are added while the sum stays within ``cap``; one that would exceed it is skipped.
 
     Which rows count depends on those before them, so it folds over each key's
     ordered amounts: for keys of bounded size, such as the lines of an order.
+    A key of more than ``most_rows`` is an error.
     """
+    too_many = df.groupBy(*keys).count().where(F.col("count") > most_rows).limit(1).collect()
+    if too_many:
+        raise ValueError(f"more than {most_rows} rows of one key: {too_many[0].asDict()}")
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(amount).alias("amt"))))
     start = F.struct(F.lit(0).cast("long").alias("claimed"), F.lit(0).cast("long").alias("used"))
 

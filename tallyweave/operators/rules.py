@@ -22,6 +22,7 @@ INTEREST_CRUMB = r"(?i)million|form\s*8990|see instructions|163\s*\(\s*j\s*\)|se
 BAD_KEY = r"identification|incorporation|stock\s+owned|schedule\s*[a-z]|form\s*\d"
 PREPARER_KEY = r"^(\S+)\s+\1$|\b(pllc|cpa|p\.?c\.?)\b"
 ENTITY_KEY = r"\b(llc|inc|corp|corporation|company|services|service|supply)\b"
+GENERIC_WORDS = ("llc", "inc", "corp", "corporation", "company", "services", "service", "supply", "the", "and")
 ANCHORS = (("sales", r"(?i)\b(sales|gross\s+receipts|gross\s+income|total\s+income)\b"), ("cogs", r"(?i)\b(cogs|cost\s+of\s+goods|cost\s+of\s+sales)\b"), ("gross_fixed_assets", r"(?i)\b(fixed\s+assets|gross\s+fixed|property\s+plant)\b"), ("inventory", r"(?i)\b(inventory|inventories)\b"))
 REVIEW_FLAG = r"(?i)candidate_conflict|source_disagreement|formula.disagreement|formula_inconsistency|ocr_incomplete|verify manually|verify against|residual opex|low.trust|low_trust|ocr label|likely form line|structural|disagree|outside typical range|comparison_missing"
 FORM_LINE_2 = r"(?i)form\s*1120(?:-s)?\s*(?:page\s*1\s*)?line\s*2\b|page\s*1\s+block"
@@ -128,6 +129,23 @@ def key_quality(key: Column) -> Column:
     return decided([("unreliable", (t == "") | t.rlike(BAD_KEY) | t.rlike(PREPARER_KEY)), ("strong-entity", t.rlike(ENTITY_KEY) & t.rlike("[a-z]{3,}"))], "plausible")
 
 
+def shares_identity(a: Column, b: Column) -> Column:
+    """Whether two client keys can be one company: equal, one in the other, or a telling word in common."""
+    words = lambda k: F.filter(F.split(k, r"\s+"), lambda w: w.rlike("[a-z]{3,}") & ~w.isin(*GENERIC_WORDS))
+    return (a == b) | F.contains(a, b) | F.contains(b, a) | F.arrays_overlap(words(a), words(b))
+
+
+def other_company(existing: Column, incoming: Column, overlap: Column) -> Column:
+    """Whether an upload is of another company, whose years replace the ones there.
+
+    Only for keys that share nothing and are both reliable; years that do not
+    ``overlap`` are replaced only between two legal entities.
+    """
+    q = [key_quality(k) for k in (existing, incoming)]
+    sure = (q[0] != "unreliable") & (q[1] != "unreliable") & F.when(overlap, F.lit(True)).otherwise((q[0] == "strong-entity") & (q[1] == "strong-entity"))
+    return F.coalesce(~shares_identity(existing, incoming) & sure, F.lit(False))
+
+
 def preferred_identity(rows: DataFrame, keys: Sequence[str], client: str, order: Sequence[str]) -> DataFrame:
     """(keys, client, quality): the best identity of each group; of equal ones the first."""
     q = F.col("quality")

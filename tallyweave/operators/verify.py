@@ -64,9 +64,13 @@ def scored_kind(text: Column, kinds: Mapping[str, Mapping[str, int]], least: int
     It needs ``least`` points and ``lead`` more than the next; ties go nowhere.
     """
     scores = F.array(*[F.struct(sum((F.regexp_count(text, F.lit(p)) * w for p, w in rules.items()), F.lit(0)).alias("score"), F.lit(kind).alias("kind")) for kind, rules in kinds.items()])
-    ranked = F.sort_array(scores, asc=False)
-    clear = (F.get(ranked, 0)["score"] >= least) & (F.get(ranked, 0)["score"] - F.coalesce(F.get(ranked, 1)["score"], F.lit(0)) >= lead)
-    return F.when(clear, F.get(ranked, 0)["kind"]).otherwise(F.lit(otherwise))
+
+    def clear(ranked: Column) -> Column:
+        top, next_one = F.get(ranked, 0), F.coalesce(F.get(ranked, 1)["score"], F.lit(0))
+        return F.when((top["score"] >= least) & (top["score"] - next_one >= lead), top["kind"]).otherwise(F.lit(otherwise))
+
+    # Bound as a lambda's variable, the scores are computed once.
+    return F.get(F.transform(F.array(F.sort_array(scores, asc=False)), clear), 0)
 
 
 def inferred_year(text: Column, phrases: Sequence[str], file_name: Column | None = None) -> Column:

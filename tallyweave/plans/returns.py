@@ -377,3 +377,67 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("p_partkey") % 5, F.col("p_size").cast("string")
     line = F.when(k == 0, F.concat(F.lit("$"), n, F.lit(",000"))).when(k == 1, F.concat(F.lit("("), n, F.lit(",000)"))).when(k == 2, F.concat(n, F.lit(".0 %"))).when(k == 3, n).otherwise("Net sales")
     return table(spark, sf_dir, "part").select("p_partkey", amounts.money_line(line).alias("amount"), amounts.percent_line(line).alias("share"))
+
+
+@query(f"""
+with {CELLS_SQL}, w as (select client, year, max(value) filter (field_id = 'sales') as sales, max(value) filter (field_id = 'cogs') as cogs from cells group by 1, 2),
+g as (select *, case when sales is not null or cogs is not null then coalesce(sales, 0) - coalesce(cogs, 0) end as g from w),
+o as (select *, case when client % 3 = 0 then g + client % 5 end as override, case when client % 4 = 0 then g - client % 7 end as parsed from g)
+select client, year, coalesce(override, g) as gross_profit, array_to_string(list_filter([case when abs(override - g) > 1 then 'gross_profit: Formula expects ' || g end, case when abs(g - parsed) > 1 then 'gross_profit: From extraction ' || parsed end], lambda x: x is not null), '; ') as hints from o
+""")
+def formula_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = formulas.wide(cells(spark, sf_dir), ["client", "year"], ["sales", "cogs"])
+    g = F.col("gross_profit")
+    w = formulas.evaluated(w, formulas.WORKBOOK[:1]).withColumn("override", F.when(F.col("client") % 3 == 0, g + F.col("client") % 5)).withColumn("parsed", F.when(F.col("client") % 4 == 0, g - F.col("client") % 7))
+    out = formulas.displayed(w, {"gross_profit": "override"}, {"gross_profit": "parsed"}, formulas.WORKBOOK[:1])
+    return out.select("client", "year", "gross_profit", F.array_join("hints", "; ").alias("hints"))
+
+
+@query(f"""
+with f as ({_formula_sql()}), {CELLS_SQL}, w as (select client, year, sum(value) filter (field_id in {tuple(formulas.SLOTS)}) as slots, max(value) filter (field_id = 'other_operating_expenses') as other, max(value) filter (field_id = 'taxes_paid') as taxes from cells group by 1, 2),
+j as (select *, case when client % 3 = 0 then net_profit_before_taxes when client % 3 = 1 then net_profit_before_taxes + 10 end as income, case when client % 2 = 0 then gross_profit + client % 4 end as form from f join w using (client, year))
+select client, year, array_to_string(list_filter([
+  case when form <> gross_profit then 'Gross profit mismatch: form ' || format('{{:,}}', cast(form as bigint)) || ' vs sales−COGS ' || format('{{:,}}', cast(gross_profit as bigint)) end,
+  case when net_profit_before_taxes <> income then 'P&L does not close to Form ordinary income (workbook NPBT ' || format('{{:,}}', cast(net_profit_before_taxes as bigint)) || ' vs form ' || format('{{:,}}', cast(income as bigint)) || ', gap -10; top-8 sum ' || format('{{:,}}', cast(coalesce(slots, 0) as bigint)) || ', other_opex ' || format('{{:,}}', coalesce(other, 0)) || ')' end,
+  case when net_profit_before_taxes <> income and other is not null then 'other_operating_expenses may be wrong (gap -10)' end,
+  case when not coalesce(net_profit_before_taxes <> income, false) and net_income <> income and coalesce(taxes, 0) = 0 then 'Net income ' || format('{{:,}}', cast(net_income as bigint)) || ' ≠ Form ordinary income ' || format('{{:,}}', cast(income as bigint)) || ' (top-8 sum ' || format('{{:,}}', cast(coalesce(slots, 0) as bigint)) || ', other_opex ' || format('{{:,}}', coalesce(other, 0)) || ')' end], lambda x: x is not null), '; ') as warnings from j
+""")
+def identity_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = formulas.evaluated(formulas.wide(cells(spark, sf_dir), ["client", "year"], FIELDS))
+    k = F.col("client") % 3
+    w = w.withColumn("income", F.when(k == 0, F.col("net_profit_before_taxes")).when(k == 1, F.col("net_profit_before_taxes") + 10)).withColumn("form", F.when(F.col("client") % 2 == 0, F.col("gross_profit") + F.col("client") % 4))
+    return formulas.identity_warnings(w, "income", "form").select("client", "year", F.array_join("warnings", "; ").alias("warnings"))
+
+
+COMPANIES = ("hill services llc", "hill services", "green corp", "green", "blue supply inc", "smith smith", "schedule a", "red company")
+#: Of which pairs (existing, incoming) the second is another company where years overlap, and which of both are legal entities.
+ENTITIES, RELIABLE, STEMS = (0, 1, 2, 4, 7), (0, 1, 2, 3, 4, 7), ("hill", "hill", "green", "green", "blue", "smith", "schedule", "red")
+
+
+@query(f"""
+with k as (select o_orderkey, o_custkey % {len(COMPANIES)} as a, o_orderkey % {len(COMPANIES)} as b, o_orderkey % 2 = 0 as overlap from orders),
+n as (select unnest(range(0, {len(COMPANIES)})) as i, {sql_list(STEMS)}[i + 1] as stem, list_contains({list(ENTITIES)}, i) as entity, list_contains({list(RELIABLE)}, i) as reliable)
+select o_orderkey, x.stem <> y.stem and x.reliable and y.reliable and (overlap or (x.entity and y.entity)) as other from k join n x on x.i = a join n y on y.i = b
+""")
+def company_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    a, b = pick(COMPANIES, F.col("o_custkey") % len(COMPANIES)), pick(COMPANIES, F.col("o_orderkey") % len(COMPANIES))
+    return o.select("o_orderkey", rules.other_company(a, b, F.col("o_orderkey") % 2 == 0).alias("other"))
+
+
+@query("""
+with v as (select p_brand as section, p_type as label, count(*) as value from part group by 1, 2), s as (select section, label, value, row_number() over (order by section, label) as n from v)
+select cast(2 * n as int) as row, case when n % 4 = 0 then '  ' || label || chr(9) else '  ' || label || chr(9) || value end as line from s union all select cast(2 * n + 1 as int), '' from s union all select 0, 'All' || chr(9) || 'Count'
+""")
+def benchmark_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    from ..sources import sheets
+
+    values = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("section"), F.col("p_type").alias("label")).agg(F.count("*").cast("string").alias("value"))
+    n = F.row_number().over(Window.orderBy("section", "label"))  # a template: a few rows
+    rows = values.select(n.alias("n"), "section", "label", "value")
+    value = rows.select((2 * F.col("n")).alias("row"), F.lit("value").alias("kind"), "section", "label", F.lit(2).alias("indent"))
+    blank = rows.select((2 * F.col("n") + 1).alias("row"), F.lit("blank").alias("kind"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("indent"))
+    head = spark.createDataFrame([(0, "section", "All", None, 0)], "row int, kind string, section string, label string, indent int")
+    return sheets.template_lines(head.unionByName(value).unionByName(blank), rows.where("n % 4 <> 0"), "Count").select("row", "line")

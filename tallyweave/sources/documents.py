@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,3 +68,15 @@ def validated(files: DataFrame, name: str = "name", size: str = "size", mime: st
 def extracted(files: DataFrame, extract, schema: T.StructType | str) -> DataFrame:
     """Run a pluggable text extractor (an iterator of pandas frames to another) over binary rows."""
     return files.mapInPandas(extract, schema)
+
+
+def fixtures(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Golden rows from JSON files, one array or object each."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_or_recognised(reports: DataFrame, needed: Column, recognise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Reports, those that need it through a dearer recognition stage; a null condition counts as not needed."""
+    flag = F.coalesce(needed, F.lit(False))
+    return reports.where(~flag).unionByName(recognise(reports.where(flag)))

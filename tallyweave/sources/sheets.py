@@ -47,3 +47,25 @@ def json_rows(wide: DataFrame, periods: Sequence[int | str]) -> DataFrame:
     """(row, json): each sheet row as a JSON object, nulls included."""
     values = F.struct(*[F.col(str(p)).alias(str(p)) for p in periods])
     return wide.select("row", F.to_json(F.struct("field_id", "label", values.alias("values")), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def template_lines(layout: DataFrame, values: DataFrame, title: str) -> DataFrame:
+    """(row, label, value, line): a two-column sheet as its template lays it out, rows without a value included.
+
+    ``layout`` is a small dimension (row, kind, section, label, indent) whose
+    kind is ``blank``, ``section``, ``subheader`` or ``value``; ``values`` has
+    (section, label, value).  Layout rows stay in order whatever is missing.
+    """
+    found = values.select(F.col("section").alias("__s"), F.col("label").alias("__l"), "value")
+    both = layout.join(found, (F.col("section") == F.col("__s")) & (F.col("label") == F.col("__l")) & (F.col("kind") == "value"), "left")
+    label = F.when(F.col("kind") == "blank", "").when(F.col("kind") == "section", F.col("section")).otherwise(F.concat(F.repeat(F.lit(" "), F.coalesce("indent", F.lit(0))), "label"))
+    value = F.when(F.col("kind") == "section", title).when(F.col("kind") == "value", F.coalesce("value", F.lit(""))).otherwise("")
+    line = F.when(F.col("kind") == "blank", "").otherwise(F.concat(label, F.lit("\t"), value))
+    return both.select("row", label.alias("label"), value.alias("value"), line.alias("line")).orderBy("row")
+
+
+def table_lines(values: DataFrame, title: str, order: Sequence[Column]) -> DataFrame:
+    """(line): section, label and value of each row below a header."""
+    head = values.sparkSession.createDataFrame([(0, f"Section\tLabel\t{title}")], "at int, line string")
+    body = values.select(F.lit(1).alias("at"), *[c.alias(f"__o{i}") for i, c in enumerate(order)], tsv_line([F.col("section"), F.col("label"), F.col("value")]).alias("line"))
+    return head.unionByName(body, allowMissingColumns=True).orderBy("at", *[f"__o{i}" for i in range(len(order))]).select("line")

@@ -41,7 +41,12 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{there[-1]}")
 
     def write(self, df: DataFrame, version: int) -> None:
+        """Write a version and drop those that no re-run can ask for: all below the one before it."""
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        jvm = self.spark.sparkContext._jvm
+        for old in [v for v in self.versions() if v < version][:-1]:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def upsert_stream(stream: DataFrame, table: VersionedTable, keys: Sequence[str], value: str, confidence: str, order: Sequence[str], checkpoint: str):
@@ -71,13 +76,18 @@ def windowed_counts(events: DataFrame, time: str, width: str, by: Sequence[str]
     return rows.groupBy(F.window(time, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
-def progressive(state: DataFrame, tiers: Sequence[Callable[[DataFrame], DataFrame]], gaps: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Run dearer tiers only on what is still missing, until nothing is or a tier brings no more."""
+def progressive(state: DataFrame, tiers: Sequence[Callable[[DataFrame], DataFrame]], gaps: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], table: VersionedTable) -> DataFrame:
+    """Run dearer tiers only on what is still missing, until nothing is or a tier brings no more.
+
+    The state is written once for each tier, so a tier is not run again by
+    the counts and tiers after it.
+    """
     left = gaps(state).count()
-    for tier in tiers:
+    for n, tier in enumerate(tiers):
         if not left:
             break
-        state = merge(state, tier(gaps(state)))
+        table.write(merge(state, tier(gaps(state))), n)
+        state = table.read()
         now = gaps(state).count()
         if now >= left:
             break

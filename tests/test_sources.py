@@ -70,11 +70,11 @@ def test_upsert_stream_equals_batch(spark, tmp_path):
         incremental.upsert_stream(spark.readStream.schema(schema).parquet(source), table, ["k"], "value", "confidence", ["n"], str(tmp_path / "cp")).awaitTermination(120)
         one = spark.createDataFrame(part, schema).groupBy("k").agg(F.max_by(F.struct("value", "confidence"), F.struct("confidence", "n")).alias("w")).select("k", "w.*")
         want = upsert(want, one, ["k"])
-        assert len(table.versions()) == i + 1
+        assert table.versions() == [v for v in (i - 1, i) if v >= 0]  # older ones are gone
     assert sorted(map(str, table.read().collect())) == sorted(map(str, want.collect()))
 
 
-def test_progressive_stops(spark):
+def test_progressive_stops(spark, tmp_path):
     calls = []
 
     def tier(n, fills):
@@ -85,5 +85,21 @@ def test_progressive_stops(spark):
         return run
 
     state = spark.createDataFrame([(k, None, None) for k in (1, 2, 3)], "k int, value int, confidence int")
-    out = incremental.progressive(state, [tier(1, [1]), tier(2, [9]), tier(3, [2, 3])], lambda s: s.where("value is null"), lambda s, new: upsert(s, new, ["k"]))
+    out = incremental.progressive(state, [tier(1, [1]), tier(2, [9]), tier(3, [2, 3])], lambda s: s.where("value is null"), lambda s, new: upsert(s, new, ["k"]), incremental.VersionedTable(spark, f"file://{tmp_path}/state", "k int, value int, confidence int"))
     assert calls == [1, 2] and out.where("value is null").count() == 2
+
+
+def test_templates(spark):
+    layout = spark.createDataFrame([(1, "section", "Assets", None, 0), (2, "subheader", "Assets", "Current", 0), (3, "value", "Assets", "Cash", 2), (4, "value", "Assets", "Stock", 2), (5, "blank", None, None, 0)], "row int, kind string, section string, label string, indent int")
+    values = spark.createDataFrame([("Assets", "Cash", "12%"), ("Other", "Stock", "9")], "section string, label string, value string")
+    got = [tuple(r) for r in sheets.template_lines(layout, values, "Industry").select("line", "value").collect()]
+    assert got == [("Assets\tIndustry", "Industry"), ("Current\t", ""), ("  Cash\t12%", "12%"), ("  Stock\t", ""), ("", "")]
+    assert [r.line for r in sheets.table_lines(values, "Industry", [F.col("section")]).collect()] == ["Section\tLabel\tIndustry", "Assets\tCash\t12%", "Other\tStock\t9"]
+
+
+def test_fixtures_and_recognition(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1, "top": [5, 4]},\n {"id": 2, "top": []}]')
+    assert sorted((r.id, r.top) for r in documents.fixtures(spark, f"file://{tmp_path}/a.json", "id long, top array<long>").collect()) == [(1, [5, 4]), (2, [])]
+    reports = spark.createDataFrame([(1, 2), (2, 9), (3, None)], "id int, n_facts int")
+    got = documents.read_or_recognised(reports, F.col("n_facts") < 4, lambda df: df.select("id", (F.col("n_facts") * 10).alias("n_facts")))
+    assert sorted((r.id, r.n_facts) for r in got.collect()) == [(1, 20), (2, 9), (3, None)]
