@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ ROW_NUMBERS = r"(?i)(?:^\s*[\W_]*|\[|\bline\s*)(\d{1,3})(?=\s|[_\]\[|.:,])"
 EIN = (r"\b\d{1,2}\s*[-–—]\s*\d{7}\b", r"\b-?\d{7}\b")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def whole(amount: Column) -> Column:
     """Nearest whole number, halves upwards."""
     return F.floor(amount + F.lit(0.5)).cast("long")
@@ -38,7 +45,7 @@ def all_of(line: Column, pattern: str, group: int = 0) -> Column:
 
 
 def last(tokens: Column) -> Column:
-    return F.get(tokens, F.size(tokens) - 1)
+    return let(tokens, lambda t: F.get(t, F.size(t) - 1))
 
 
 def parse_money(text: Column) -> Column:
@@ -47,12 +54,14 @@ def parse_money(text: Column) -> Column:
     Currency signs and commas go; stops before groups of three digits are
     separators; an amount in brackets is negative, and halves go upwards.
     """
-    bare = F.trim(F.regexp_replace(F.trim(text), r"[$,]", ""))
-    bare = F.when(bare.rlike(r"^\d{1,3}(\.\d{3})+(?:\.\d{2})?$"), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
-    bracketed = bare.rlike(r"^\(.*\)$")
-    inner = F.trim(F.when(bracketed, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare))
-    number = F.when(inner.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), inner).try_cast("double")
-    return whole(F.when(bracketed, -number).otherwise(number))
+    number = lambda s: F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s).try_cast("double")
+
+    def of(bare: Column) -> Column:
+        stops = bare.rlike(r"^\d{1,3}(\.\d{3})+(?:\.\d{2})?$")
+        bracketed = F.startswith(bare, F.lit("(")) & F.endswith(bare, F.lit(")"))
+        return whole(F.when(bracketed, -number(F.trim(F.regexp_replace(bare, r"^\(|\)$", "")))).when(stops, F.replace(bare, F.lit("."), F.lit("")).try_cast("double")).otherwise(number(bare)))
+
+    return let(F.trim(F.regexp_replace(F.trim(text), r"[$,]", "")), of)
 
 
 def grouped_by_blanks(text: Column) -> Column:
@@ -101,10 +110,13 @@ def references(line: Column) -> Column:
 
 def substantial_tokens(line: Column) -> Column:
     """The amounts of a line that refer to nothing."""
-    refs = references(line)
-    glued = F.nullif(F.regexp_extract(line, GLUED, 1), F.lit("")).cast("long")
-    own = lambda v: (F.abs(v) == glued) & F.exists(refs, lambda r: F.endswith(F.abs(v).cast("string"), r.cast("string")))
-    return F.filter(money_tokens(line, 1), lambda v: ~F.array_contains(refs, F.abs(v)) & ~F.coalesce(own(v), F.lit(False)))
+
+    def without(refs: Column) -> Column:
+        glued = F.nullif(F.regexp_extract(line, GLUED, 1), F.lit("")).cast("long")
+        own = lambda v: (F.abs(v) == glued) & F.exists(refs, lambda r: F.endswith(F.abs(v).cast("string"), r.cast("string")))
+        return F.filter(money_tokens(line, 1), lambda v: ~F.array_contains(refs, F.abs(v)) & ~F.coalesce(own(v), F.lit(False)))
+
+    return let(references(line), without)
 
 
 amounts = substantial_tokens
@@ -115,24 +127,33 @@ def attachment_tokens(line: Column) -> Column:
     short = lambda r: F.trim(r).rlike(r"^\d{1,7}\.$")
     runs = F.filter(all_of(F.regexp_replace(line, SPLIT_GROUP, "$1,$2"), CELL), lambda r: short(r) | (digits(r) >= 2))
     values = F.filter(F.transform(runs, amount_of), lambda v: v.isNotNull() & ~is_form_number(v) & ~is_year(v))
-    lead = leading_number(line)
-    rest = F.filter(values, lambda v: F.abs(v) != lead)
-    return F.when(lead.isNotNull() & (F.size(rest) > 0), rest).otherwise(values)
+
+    def but_own(found: Column) -> Column:
+        rest = F.filter(found, lambda v: F.abs(v) != leading_number(line))
+        return F.when(leading_number(line).isNotNull() & (F.size(rest) > 0), rest).otherwise(found)
+
+    return let(values, but_own)
 
 
 def tail_amount(line: Column) -> Column:
     """The rightmost amount; none if the line holds but its own number."""
-    tokens = money_tokens(line)
-    only = F.array_distinct(F.transform(tokens, F.abs))
-    own = F.coalesce(leading_number(line) == F.get(only, 0), F.lit(False)) | F.array_contains(F.transform(all_of(line, BRACKETED, 1), lambda x: x.cast("long")), F.get(only, 0))
-    return F.when((F.size(only) == 1) & F.coalesce(own, F.lit(False)), F.lit(None).cast("long")).otherwise(last(tokens))
+
+    def of(tokens: Column) -> Column:
+        sizes = F.array_distinct(F.transform(tokens, F.abs))
+        own = F.coalesce(leading_number(line) == F.get(sizes, 0), F.lit(False)) | F.array_contains(F.transform(all_of(line, BRACKETED, 1), lambda x: x.cast("long")), F.get(sizes, 0))
+        return F.when((F.size(sizes) == 1) & F.coalesce(own, F.lit(False)), F.lit(None).cast("long")).otherwise(last(tokens))
+
+    return let(money_tokens(line), of)
 
 
 def schedule_amount(line: Column) -> Column:
     """The rightmost substantial amount; before a closing 0 on lines of accumulated depreciation."""
-    t = substantial_tokens(line)
-    less = line.rlike(r"(?i)less\s+accumulated\s+depreciation") & (F.size(t) >= 2) & (last(t) == 0)
-    return F.when(less, F.get(t, F.size(t) - 2)).otherwise(last(t))
+
+    def of(t: Column) -> Column:
+        less = line.rlike(r"(?i)less\s+accumulated\s+depreciation") & (F.size(t) >= 2) & (last(t) == 0)
+        return F.when(less, F.get(t, F.size(t) - 2)).otherwise(last(t))
+
+    return let(substantial_tokens(line), of)
 
 
 def tagged_amount(line: Column, tag: str) -> Column:
@@ -149,7 +170,7 @@ def form_amount(line: Column, tag: str) -> Column:
 
 def only_amount(tokens: Column) -> Column:
     """The amount of a line that has exactly one."""
-    return F.when(F.size(tokens) == 1, F.get(tokens, 0))
+    return let(tokens, lambda t: F.when(F.size(t) == 1, F.get(t, 0)))
 
 
 def single_amount(line: Column, tag: str | None = None) -> Column:
@@ -164,8 +185,12 @@ def last_amount(tokens: Column) -> Column:
 
 def largest_amount(tokens: Column) -> Column:
     """The amount of largest magnitude, sign kept; of equal ones the first."""
-    size = F.array_max(F.transform(tokens, F.abs))
-    return F.get(F.filter(tokens, lambda v: F.abs(v) == size), 0)
+
+    def of(found: Column) -> Column:
+        size = F.array_max(F.transform(found, F.abs))
+        return F.get(F.filter(found, lambda v: F.abs(v) == size), 0)
+
+    return let(tokens, of)
 
 
 def keepable(amount: Column) -> Column:
@@ -175,9 +200,12 @@ def keepable(amount: Column) -> Column:
 
 def keepable_tokens(line: Column) -> Column:
     """Substantial amounts of a worksheet line; a printed row number counts only beside another amount."""
-    rows = F.transform(all_of(line, ROW_NUMBERS, 1), lambda x: x.cast("long"))
-    every = F.filter(money_tokens(line), keepable)
-    return F.filter(substantial_tokens(line), lambda n: keepable(n) & (~F.array_contains(rows, F.abs(n)) | F.exists(every, lambda t: F.abs(t) != F.abs(n))))
+
+    def of(found: Column) -> Column:
+        rows, every = found["rows"], found["every"]
+        return F.filter(substantial_tokens(line), lambda n: keepable(n) & (~F.array_contains(rows, F.abs(n)) | F.exists(every, lambda t: F.abs(t) != F.abs(n))))
+
+    return let(F.struct(F.transform(all_of(line, ROW_NUMBERS, 1), lambda x: x.cast("long")).alias("rows"), F.filter(money_tokens(line), keepable).alias("every")), of)
 
 
 def is_row(line: Column, n: int) -> Column:

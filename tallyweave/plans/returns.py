@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, labels
 from ..functions.amounts import whole
-from ..operators import candidates, formulas, rules, trust
+from ..operators import candidates, compare, formulas, rules, trust
 from .registry import query, table
 
 FIELDS = ("sales", "cogs", "rent", "depreciation", "amortization", "officer_compensation", "salaries_wages", "advertising", "taxes_licenses", "bank_credit_card", "professional_fees", "utilities", "interest_expense", "taxes_paid", "other_income", "other_operating_expenses", "cash", "accounts_receivable", "inventory", "other_current_assets", "gross_fixed_assets", "accumulated_depreciation", "accumulated_amortization", "other_assets", "accounts_payable", "short_term_debt", "other_current_liabilities", "notes_minus_short_term", "common_stock", "other_stock_equity", "unclassified_equity")
@@ -441,3 +441,94 @@ def benchmark_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = rows.select((2 * F.col("n") + 1).alias("row"), F.lit("blank").alias("kind"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("indent"))
     head = spark.createDataFrame([(0, "section", "All", None, 0)], "row int, kind string, section string, label string, indent int")
     return sheets.template_lines(head.unionByName(value).unionByName(blank), rows.where("n % 4 <> 0"), "Count").select("row", "line")
+
+
+@query("""
+select o_orderkey, cast(case o_orderkey % 6 when 0 then y when 1 then y + 1 when 2 then y + 1 when 3 then y when 4 then y end as int) as year from (select o_orderkey, year(o_orderdate) + 10 as y from orders)
+""")
+def tax_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, k = F.year("o_orderdate") + 10, F.col("o_orderkey") % 6
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    text = (
+        F.when(k == 0, say("Filed 2030. Calendar year ", y, " and 2030"))
+        .when(k == 1, say("years ", y, " - ", y + 1, " and ", y, " ", y))
+        .when(k == 2, say("Worksheet of ", y, " ", y, " with ", y + 1))
+        .when(k == 3, say("seen ", y, " ", y, " then ", y + 1))
+        .otherwise("no date here")
+    )
+    name = F.when(k == 4, say("return_", y - 1, "_", y, ".pdf")).otherwise(F.lit("return.pdf"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", compare.tax_year(text, name).alias("year"))
+
+
+@query("""
+with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_orderkey + l_linenumber) % 5 as k, l_suppkey % 2 as col, 2000 + cast(floor(l_extendedprice + 0.5) as bigint) as p, 2100 + cast(floor(l_extendedprice * (1 - l_discount) / 2 + 0.5) as bigint) as q from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when k = 0 and col = 1 then null when k = 0 then p when k = 1 then p when col = 0 then p else q end as amount
+from r where not (p in (1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220) or q in (1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220) or p - q in (0, 1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220) or abs(p - q) < 2100 or p between 1990 and 2035 or q between 1990 and 2035)
+""")
+def comparison_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worksheet rows of two years, some with a column of changes or totals, some with a blank current year; form numbers and years are left to ``money_tokens``."""
+    rows = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).alias("k"), (F.col("l_suppkey") % 2).cast("int").alias("col"), (2000 + whole(F.col("l_extendedprice"))).alias("p"), (2100 + whole(F.col("l_extendedprice") * (1 - F.col("l_discount")) / 2)).alias("q"))
+    gap = F.abs(F.col("p") - F.col("q"))
+    rows = rows.where(~(amounts.is_form_number(F.col("p")) | amounts.is_form_number(F.col("q")) | amounts.is_form_number(gap) | (gap < 2100) | amounts.is_year(F.col("p")) | amounts.is_year(F.col("q"))))
+    n = lambda c: F.format_number(c, 0)
+    p, q = F.col("p"), F.col("q")
+    line = (
+        F.when(F.col("k") == 0, F.concat(F.lit("Rents "), n(p), F.lit("  -"), n(p)))
+        .when(F.col("k") == 1, F.concat(F.lit("Rents "), n(p)))
+        .when(F.col("k") == 2, F.concat(F.lit("Rents "), n(p), F.lit(" | "), n(q)))
+        .when(F.col("k") == 3, F.concat(F.lit("Rents "), n(p), F.lit(" | "), n(q), F.lit(" | "), n(gap)))
+        .otherwise(F.concat(F.lit("Rents "), n(p), F.lit(" | "), n(q), F.lit(" | "), n(p + q)))
+    )
+    return rows.select(*LINE_KEYS, compare.comparison_amount(line, F.col("col")).alias("amount"))
+
+
+@query("""
+with t as (select p_brand, p_type, min(p_size) as a, max(p_size) as z from part group by 1, 2)
+select p_brand, p_type as label, round(z / 100.0, 6) as ratio from t where p_type not like 'S%'
+""")
+def common_size_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section of percentages between a header and a terminator for each brand; what stands before and after is none."""
+    t = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.min("p_size").alias("a"), F.max("p_size").alias("z"))
+    row = F.concat(F.col("p_type"), F.lit(" "), F.col("a").cast("string"), F.lit("% -- "), F.col("z").cast("string"), F.lit(".0 %"))
+    inside = t.where("p_type not like 'S%'").select("p_brand", F.concat(F.lit("2"), F.col("p_type")).alias("at"), row.alias("line"))
+    outside = t.where("p_type like 'S%'").select("p_brand", F.concat(F.when(F.col("a") % 2 == 0, "0").otherwise("4"), F.col("p_type")).alias("at"), row.alias("line"))
+    again = inside.select("p_brand", F.concat("at", F.lit("~")).alias("at"), F.replace("line", F.lit(".0 %"), F.lit("9 %")).alias("line"))
+    mark = lambda at, line: t.select("p_brand").distinct().select("p_brand", F.lit(at).alias("at"), F.lit(line).alias("line"))
+    lines = inside.unionByName(outside).unionByName(again).unionByName(mark("1", "Income Statement Data 12/31/2020 Industry*")).unionByName(mark("3", "Industry Scorecard"))
+    out = compare.section_ratios(lines, ["p_brand"], "at", F.col("line").rlike("(?i)income statement data"), F.col("line").rlike("(?i)^industry scorecard"), 2)
+    return out.select("p_brand", "label", "ratio")
+
+
+@query(f"""
+with {CELLS_SQL}, s as (select client, year, field_id, v, family, chosen, row_number() over (partition by client, year, field_id order by family, v) as ord from snaps),
+c as (select *, case when family = 'ocr' then 'comparison' when family = 'schedule-l' then 'form4562' else family end as fam, cast(60 + v % 40 as int) as conf from s),
+ok as (select *, case fam when 'form' then 1 when 'form4562' then 2 when 'statement' then 3 else 4 end as place from c where v <> chosen + 7 and v < 1000000000 and not (fam = 'comparison' and (v between 2020 and 2035 or v in (1986, 1987)))),
+g as (select *, place = 4 and count(*) over (partition by client, year, field_id, v, place = 4) > 1 as agreed from ok)
+select client, year, field_id, v as value, fam as family from (select *, row_number() over (partition by client, year, field_id order by place, agreed desc, case when agreed then conf end desc nulls last, ord) as rn from g) where rn = 1
+""")
+def cross_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    own = cells(spark, sf_dir)
+    reads = snapshots(own).join(own.select("client", "year", "field_id", F.col("value").alias("chosen")), ["client", "year", "field_id"])
+    order = F.row_number().over(Window.partitionBy("client", "year", "field_id").orderBy("family", "value"))
+    fam = F.when(F.col("family") == "ocr", "comparison").when(F.col("family") == "schedule-l", "form4562").otherwise(F.col("family"))
+    rows = reads.withColumn("ord", order).select("client", "year", "field_id", "value", F.lit("line 14").alias("source"), fam.alias("family"), (60 + F.col("value") % 40).cast("int").alias("confidence"), "ord", F.array(F.col("chosen") + 7).alias("traps"))
+    return compare.cross_referenced(rows, ["client", "year", "field_id"]).drop("source")
+
+
+@query(f"""
+with {CELLS_SQL}, {SOURCE_SQL}, e as (select * replace (case when field_id = 'depreciation' and client % 3 = 0 then coalesce((select max(value) from cells o where o.client = c.client and o.year = c.year and o.field_id = 'gross_fixed_assets'), value) when field_id = 'common_stock' and client % 2 = 0 then coalesce((select max(value) from cells o where o.client = c.client and o.year = c.year and o.field_id = 'unclassified_equity'), value) else value end as value) from cells c),
+j as (select *, {SUSPICIOUS_SQL} as odd from e join src using (i))
+select client, year, field_id, value, case when odd then 'suspicious magnitude/source'
+  when field_id = 'depreciation' and exists (select 1 from e o where o.client = j.client and o.year = j.year and o.field_id in ('accumulated_depreciation', 'gross_fixed_assets') and o.value = j.value) then 'matched balance-sheet line'
+  when field_id = 'amortization' and exists (select 1 from e o where o.client = j.client and o.year = j.year and o.field_id = 'accumulated_amortization' and o.value = j.value) then 'matched balance-sheet line'
+  when field_id = 'common_stock' and weak and exists (select 1 from e o where o.client = j.client and o.year = j.year and o.field_id in ('unclassified_equity', 'other_stock_equity') and o.value = j.value) then 'weak duplicate' end as cleared from j
+""")
+def coherence_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = cells(spark, sf_dir)
+    of = lambda f: own.where(F.col("field_id") == f).select("client", "year", F.col("value").alias(f))
+    rows = own.join(of("gross_fixed_assets"), ["client", "year"], "left").join(of("unclassified_equity"), ["client", "year"], "left")
+    value = F.when((F.col("field_id") == "depreciation") & (F.col("client") % 3 == 0), F.coalesce("gross_fixed_assets", "value")).when((F.col("field_id") == "common_stock") & (F.col("client") % 2 == 0), F.coalesce("unclassified_equity", "value")).otherwise(F.col("value"))
+    rows = rows.withColumn("value", value).drop("gross_fixed_assets", "unclassified_equity")
+    return compare.coherent(rows, ["client"], "year").select("client", "year", "field_id", "value", "cleared")
