@@ -61,13 +61,29 @@ def family(source: Column) -> Column:
     return first_rule(said(source), FAMILIES, "other")
 
 
-def suspicious(field: Column, value: Column, source: Column, year: Column) -> Column:
+def facts_of(source: Column) -> dict[str, Column]:
+    """What a source's wording says, by name: to be projected once where several rules ask for it."""
+    s = said(source)
+    return {
+        "weak": is_weak(source), "residual": is_residual(source), "sure": is_authoritative(source), "family": family(source), "closes": s.rlike(CLOSES), "subtractive": s.rlike(SUBTRACTIVE), "line18": s.rlike(LINE_18),
+        "comparison": s.rlike("(?i)comparison"), "structured": s.rlike("(?i)structured financial"), "top8": s.rlike(r"(?i)^Operating expenses \(top-8"), "expenses": s.rlike(r"(?i)^Operating expenses \("), "coherence": s.rlike("(?i)^Coherence:"),
+    }
+
+
+def with_facts(df: DataFrame, source: str = "source") -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with a column for each of the source's facts, and those columns."""
+    facts = facts_of(F.col(source))
+    return df.withColumns({f"__{k}": c for k, c in facts.items()}), {k: F.col(f"__{k}") for k in facts}
+
+
+def suspicious(field: Column, value: Column, source: Column, year: Column, facts: dict[str, Column] | None = None) -> Column:
     """Values that are more likely a form, year or row number, or a crumb, than dollars."""
     size, s = F.abs(A.whole(value.cast("double"))), said(source)
+    weak, sure = (facts["weak"], facts["sure"]) if facts else (is_weak(source), is_authoritative(source))
     crumb = lambda most: size.between(1, most)
     row = F.nullif(F.regexp_extract(s, r"(?i)\bline\s*(\d{1,3})\b", 1), F.lit("")).cast("long")
     of_interest = s.rlike(r"(?i)^\s*\d{1,3}\s+interest|million|form\s*8990|163\s*\(\s*j\s*\)|section\s*163|business\s+interest\s+limitation") | ((size == 163) & s.rlike(r"(?i)(?:^|[^\d])163(?:[^\d]|$)|8990|limitation"))
-    weak_crumbs = field.isin("cogs", "rent", "sales", "depreciation") & crumb(99) & ~is_authoritative(source)
+    weak_crumbs = field.isin("cogs", "rent", "sales", "depreciation") & crumb(99) & ~sure
     signs = [
         A.is_form_number(size),
         F.coalesce((size == year) | (size == year % 100) | (year.isNotNull() & size.between(2020, 2035)), F.lit(False)) & (year != 0),
@@ -80,7 +96,7 @@ def suspicious(field: Column, value: Column, source: Column, year: Column) -> Co
         field.isin(*TRAPS) & crumb(99),
         field.isin("common_stock", "preferred_stock") & crumb(99) & ~s.rlike(r"(?i)schedule\s*l"),
         (field == "other_income") & (value == 0) & s.rlike(r"(?i)summary zero|multi-line") & ~s.rlike(r"(?i)form 1120 line 10|comparison"),
-        is_weak(source) & (size <= 99),
+        weak & (size <= 99),
     ]
     return reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in signs])
 
@@ -140,7 +156,7 @@ def agreement(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> Da
     text = F.concat(F.col("s_family"), F.coalesce(F.concat(F.lit(" ("), F.nullif("s_label", F.lit("")), F.lit(")")), F.lit("")), F.lit(": "), F.format_number("s_value", 0))
     rank = F.array_position(F.array(*map(F.lit, FAMILY_ORDER)), F.col("s_family"))
     others = F.array_sort(F.collect_set(F.when(~same, F.struct(rank.alias("r"), F.col("s_value").alias("v"), text.alias("t")))))
-    distinct = lambda c: F.countDistinct(F.when(c, F.col("s_family")))
+    distinct = lambda c: F.size(F.collect_set(F.when(c, F.col("s_family")))).cast("long")  # noqa: E731  a handful of families
     counts = rows.groupBy(*on).agg(F.count("*").alias("reads"), distinct(same).alias("agree"), distinct(same & paired).alias("agree_paired"), F.count(F.when(paired, 1)).alias("paired"), distinct(same & credible).alias("agree_credible"), F.count(F.when(credible, 1)).alias("credible"), F.max((credible & ~same).cast("int")).alias("differ"), others.alias("others"))
     numbers = ["reads", "agree", "agree_paired", "paired", "agree_credible", "credible", "differ"]
     out = cells.join(counts, on, "left").fillna(0, numbers)
@@ -148,34 +164,33 @@ def agreement(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> Da
     return out.withColumn("material", material).withColumn("other_reads", F.when(F.size("others") > 0, F.concat(F.lit("Other reads: "), F.array_join(F.transform("others", lambda o: o["t"]), " · ")))).drop("others", "differ", "credible", "agree_credible")
 
 
-def trusted_single(source: Column, confidence: Column) -> Column:
-    s = said(source)
-    return F.when(is_authoritative(source), confidence >= LEAST_CONFIDENCE).otherwise((s.rlike("(?i)comparison") & (confidence >= 84)) | s.rlike("(?i)structured financial") | (s.rlike(r"(?i)^Operating expenses \(top-8") & (confidence >= 70)) | (s.rlike("(?i)^Coherence:") & (confidence >= 80)))
+def trusted_single(confidence: Column, f: dict[str, Column]) -> Column:
+    return F.when(f["sure"], confidence >= LEAST_CONFIDENCE).otherwise((f["comparison"] & (confidence >= 84)) | f["structured"] | (f["top8"] & (confidence >= 70)) | (f["coherence"] & (confidence >= 80)))
 
 
 def any_flag(flags: Column, pattern: str) -> Column:
     return F.exists(flags, lambda f: f.rlike(pattern))
 
 
-def trust_tier(field: Column, value: Column, source: Column, confidence: Column, shown: Column, agree: Column, flags: Column, year: Column) -> Column:
-    """The first of ten tiers that fits a cell, from empty to confirmed."""
+def trust_tier(value: Column, source: Column, confidence: Column, shown: Column, agree: Column, flags: Column, odd: Column, f: dict[str, Column]) -> Column:
+    """The first of ten tiers that fits a cell, from empty to confirmed; ``odd`` says whether it is suspicious."""
     s, by = said(source), lambda test, yes, no: F.when(test, F.lit(yes)).otherwise(F.lit(no))
     steps = [
         (value.isNull(), "empty"),
         (s.rlike("(?i)^user correction|user confirmed|user selected"), "user-confirmed"),
         (any_flag(flags, r"(?i)exceeds sales|does not balance|structural-mismatch|formula-disagreement|high-confidence-no-closure|Subtractive formula"), "math-warning"),
         (any_flag(flags, r"(?i)Other reads|Sources disagree"), "moderate"),
-        (suspicious(field, value, source, year), "low"),
+        (odd, "low"),
         (any_flag(flags, r"(?i)verify manually|verify against|inferred from|residual"), by(confidence >= 80, "moderate", "low")),
-        (is_residual(source) | s.rlike(r"(?i)verify|residual|post-verification|inferred"), by(shown >= 80, "moderate", "low")),
-        (s.rlike(r"(?i)^Operating expenses \(") & (confidence >= 70), by(shown >= 75, "single-good", "moderate")),
+        (f["residual"] | s.rlike(r"(?i)verify|residual|post-verification|inferred"), by(shown >= 80, "moderate", "low")),
+        (f["expenses"] & (confidence >= 70), by(shown >= 75, "single-good", "moderate")),
         (agree >= 2, "multi-source"),
-        ((family(source) == "ocr") | is_weak(source), "ocr-only"),
+        ((f["family"] == "ocr") | f["weak"], "ocr-only"),
         (confidence < LEAST_CONFIDENCE, "low"),
-        (is_authoritative(source), by(shown >= 80, "authoritative", "single-good")),
+        (f["sure"], by(shown >= 80, "authoritative", "single-good")),
         (s.rlike(r"(?i)closes\s+stmt|detail\s+sum|summed\s+detail|misc\s+detail") & (confidence >= 85), "single-good"),
-        (s.rlike("(?i)comparison") & trusted_single(source, confidence), "comparison"),
-        (trusted_single(source, confidence), by(shown >= 70, "single-good", "moderate")),
+        (f["comparison"] & trusted_single(confidence, f), "comparison"),
+        (trusted_single(confidence, f), by(shown >= 70, "single-good", "moderate")),
     ]
     return reduce(lambda c, x: c.when(*x) if c is not None else F.when(*x), steps, None).otherwise(F.lit("moderate"))
 
@@ -222,14 +237,15 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
         rows = rows.withColumn("unclosed", F.lit(False))
 
     field, value, source, y = F.col("field_id"), F.col("value"), F.col("source"), F.col(year)
-    conf, s, fam = F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)), said(source), family(source)
-    line18, closes, subtractive = s.rlike(LINE_18), s.rlike(CLOSES), s.rlike(SUBTRACTIVE)
-    rows = rows.withColumn("isolated", line18 & (F.col("agree_paired") == 0))
+    rows, f = with_facts(rows)
+    conf, fam = F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)), f["family"]
+    line18, closes, subtractive = f["line18"], f["closes"], f["subtractive"]
+    rows = rows.withColumn("__odd", suspicious(field, value, source, y, f)).withColumn("isolated", line18 & (F.col("agree_paired") == 0))
     isolated, material = F.col("isolated"), F.col("material")
     agree = F.when(isolated, F.col("agree_paired")).otherwise(F.col("agree"))
-    single, residual, odd = ~line18 & trusted_single(source, conf), is_residual(source), suspicious(field, value, source, y)
+    single, residual, odd = ~line18 & trusted_single(conf, f), f["residual"], F.col("__odd")
     alone = F.when(agree < 2, decided([
-        ("OCR label match only — no corroboration", (fam == "ocr") | is_weak(source)),
+        ("OCR label match only — no corroboration", (fam == "ocr") | f["weak"]),
         ("Subtractive formula — verify against detail lines", subtractive),
         ("Statement Line 18 — corroborating source disagrees", line18 & (F.col("reads") > 0) & material),
         ("Low-trust source — verify manually", ~residual & ~single & ~closes),
@@ -250,9 +266,9 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
     rows = rows.withColumn("flags", flags).withColumn("agreement", agree).withColumn("shown", F.least(conf, cap))
     hard = any_flag(F.col("flags"), r"(?i)exceeds sales|does not balance|structural-mismatch|formula-disagreement|high-confidence-no-closure")
     weakly = (agree < 2) & ~single & ~closes & ~((fam == "statement") & (conf >= 88) & ~subtractive & ~line18)
-    review = hard | odd | material | (conf < LEAST_CONFIDENCE) | ((fam == "ocr") & (agree < 2)) | is_weak(source) | isolated | weakly
+    review = hard | odd | material | (conf < LEAST_CONFIDENCE) | ((fam == "ocr") & (agree < 2)) | f["weak"] | isolated | weakly
     status = F.when(value.isNull(), "missing").when(review, "review").otherwise("verified")
-    tier = trust_tier(field, value, source, conf, F.col("shown"), F.col("agreement"), F.col("flags"), y)
+    tier = trust_tier(value, source, conf, F.col("shown"), F.col("agreement"), F.col("flags"), odd, f)
     return rows.select(*on, "field_id", "value", F.array_sort("flags").alias("flags"), status.alias("status"), F.when(value.isNotNull(), F.col("shown")).alias("confidence"), F.when(value.isNotNull(), F.col("agreement")).alias("agreement"), tier.alias("tier"))
 
 
