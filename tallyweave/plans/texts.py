@@ -22,13 +22,13 @@ def rule_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", labels.first_rule(subject, PART_RULES, "other").alias("category"))
 
 
-TEXT_RULES = (("the_end", r"the\.$"), ("question", r"\?"), ("address", r"[\w.]+@[\w.]+"), ("license", r"(?i)licen[cs]e"), ("digits", r"\d{3,}"))
-LINES_SQL = r"select doc_id, i as line_no, trim(regexp_replace(parts[i + 1], '[ \t\n\v\f\r]+', ' ', 'g')) as line from (select doc_id, string_split_regex(text, '\r?\n') as parts from documents), range(0, 100000) r(i) where i < len(parts)"
+TEXT_RULES = (("the_end", r"the\.$"), ("question", r"\?"), ("address", r"[\w.]@[\w.]"), ("license", r"(?i)licen[cs]e"), ("digits", r"\d{3,}"))
+LINES_SQL = r"select doc_id, i as line_no, trim(regexp_replace(parts[i + 1], '[ \t\n\v\f\r]+', ' ', 'g')) as line from (select doc_id, parts, unnest(range(0, len(parts))) as i from (select doc_id, string_split_regex(text, '\r?\n') as parts from documents))"
 
 
 @query(rf"""
 with l as (select * from ({LINES_SQL}) where line <> '')
-select doc_id, line_no, rule from l, (values ('the_end', 'the\.$'), ('question', '\?'), ('address', '[\w.]+@[\w.]+'), ('license', '(?i)licen[cs]e'), ('digits', '\d{{3,}}')) r(rule, p) where regexp_matches(line, p)
+select doc_id, line_no, rule from l, (values ('the_end', 'the\.$'), ('question', '\?'), ('address', '[\w.]@[\w.]'), ('license', '(?i)licen[cs]e'), ('digits', '\d{{3,}}')) r(rule, p) where regexp_matches(line, p)
 """)
 def regex_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents.lines(table(spark, sf_dir, "documents"), ["doc_id"])
