@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mainhtml, mixing, quality, repeats, tokens, toxicity, urls
+from . import chat, codes, decontaminate, jaccard, mainhtml, mixing, periods, quality, repeats, tokens, toxicity, urls
 from .runtime import fresh_path, written
 
 
@@ -74,5 +74,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op3_toxicity, op4_url_filters, op5_benchmark_decontamination, op6_html_extraction, op7_source_mixing, op8_suffix_dedup, op9_quality_rules, op10_chat_formatting)}
-SQL: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL, "op7_source_mixing": mixing.sql(), "op10_chat_formatting": chat.SQL}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = codes.compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    rows = codes.label_errors(got.rows.drop("embedding"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(codes.books_sha256(got.books)).alias("codebooks_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periods.periodic_runs(docs.select("doc_id", periods.tail_repeated(F.col("doc_id"), F.col("text")).alias("text")))
+    best = periods.longest_run(F.col("runs"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(periods.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op3_toxicity, op4_url_filters, op5_benchmark_decontamination, op6_html_extraction, op7_source_mixing, op8_suffix_dedup, op9_quality_rules, op10_chat_formatting, op12_vector_codes, op13_periodic_runs)}
+SQL: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL, "op7_source_mixing": mixing.sql(), "op10_chat_formatting": chat.SQL, "op12_vector_codes": codes.SQL}

@@ -134,6 +134,22 @@ def words(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tup
     return start, end, np.searchsorted(offs, start, side="right") - 1
 
 
+def joined_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, keep: np.ndarray, n_docs: int) -> pa.Array:
+    """The kept words of each document, joined by one space, as strings."""
+    start, end, doc = start[keep], end[keep], doc[keep]
+    size = end - start + 1  # with the space behind
+    at = np.concatenate([[0], np.cumsum(size)])
+    take = np.repeat(start - at[:-1], size) + np.arange(at[-1])
+    out = np.append(buf, np.uint8(0x20))[np.minimum(take, len(buf))]
+    out[at[1:] - 1] = 0x20
+    last = np.concatenate([doc[1:] != doc[:-1], [True]]) if len(doc) else np.zeros(0, bool)
+    solid = np.ones(len(out), bool)
+    solid[at[1:][last] - 1] = False
+    offs = np.zeros(n_docs + 1, np.int64)
+    offs[1:] = np.cumsum(np.bincount(doc, weights=size, minlength=n_docs).astype(np.int64) - (np.bincount(doc, minlength=n_docs) > 0))
+    return pa.StringArray.from_buffers(n_docs, pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(out[solid].tobytes()))
+
+
 def word_counts(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Words of each document, and the offsets of its words."""
     count = np.bincount(doc, minlength=n_docs).astype(np.int64)
