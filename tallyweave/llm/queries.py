@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontaminate, jaccard, mainhtml, mixing, periods, quality, repeats, tokens, toxicity, urls
+from . import chat, codes, decontaminate, jaccard, mainhtml, mixing, periods, quality, repeats, substrings, tokens, toxicity, urls
 from .runtime import fresh_path, written
 
 
@@ -74,6 +74,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cover = substrings.Cover(length=13)
+    got = substrings.shared_words(table(spark, sf_dir, "documents"), cover=cover)
+    digests = written(got.texts.select("key", "first", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "word-digests")
+    spark.sql(f"drop table {got.table}")
+    return substrings.of_rows(got.documents, digests, cover.length, {"kept_sha256": F.sha2(F.lit(""), 256)})
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = codes.compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     rows = codes.label_errors(got.rows.drop("embedding"))
@@ -89,5 +97,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op3_toxicity, op4_url_filters, op5_benchmark_decontamination, op6_html_extraction, op7_source_mixing, op8_suffix_dedup, op9_quality_rules, op10_chat_formatting, op12_vector_codes, op13_periodic_runs)}
-SQL: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL, "op7_source_mixing": mixing.sql(), "op10_chat_formatting": chat.SQL, "op12_vector_codes": codes.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op3_toxicity, op4_url_filters, op5_benchmark_decontamination, op6_html_extraction, op7_source_mixing, op8_suffix_dedup, op9_quality_rules, op10_chat_formatting, op11_substring_dedup, op12_vector_codes, op13_periodic_runs)}
+SQL: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.SQL, "op7_source_mixing": mixing.sql(), "op10_chat_formatting": chat.SQL, "op11_substring_dedup": substrings.SQL, "op12_vector_codes": codes.SQL}
