@@ -1,7 +1,7 @@
 """Competing candidates for one amount: scored by closure and evidence, ranked, and the one to paste.
 
 A candidate row has (keys, value, source, ord) with ``ord`` its place among
-the generators, and per sheet what it is held against: ``total`` (the printed
+the candidates, and per sheet what it is held against: ``total`` (the printed
 total), ``known`` (the sum of known lines), ``closes_income`` (whether it makes
 the income identity close; null where there is none).
 """
@@ -38,19 +38,43 @@ DETAIL = r"(?i)summed detail|detail lines|other deductions \(office|office\/supp
 WEAK_RESIDUAL = r"(?i)comparison.*residual|document-wide exclusion residual|stmt 2 residual|form line 20 residual"
 OFFICE = r"(?i)office\/supplies|telephone\/travel\/bank detail"
 IDENTITY_SOURCE = r"(?i)total minus bank|OTHER DEDUCTIONS residual|Form line 20 residual|itemized closure|partition|stmtTOTAL|stmtInTop8"
-# Amounts that another field has already.
-RIVALS = ("interest_expense", "depreciation", "amortization", "bank_credit_card", "professional_fees", "utilities")
+OFFICE_DETAIL = r"(?i)other deductions \(office|office\/supplies|telephone\/travel\/bank detail"
+PARTIAL = r"(?i)comparison.*OTHER DEDUCTIONS residual|document-wide exclusion residual"
+# Flags, in the order in which a candidate has them; those of the income identity.
+HARD_FLAGS = ("pnl_collision", "implausible", "stmt2_total_trap", "form_line_total_trap", "comparison_reject", "weak_block_closure")
+CLOSES, MISSES = "pnl_identity_close", "pnl_identity_gap"
 
 
-def united(generators: Mapping[str, DataFrame], keys: Sequence[str], deduped: str = r"(?i)comparison") -> DataFrame:
-    """Candidates of all generators in order; of equal values from sources that match ``deduped`` the first stays."""
-    rows = reduce(DataFrame.unionByName, [df.select(*keys, whole(F.col("value").cast("double")).alias("value"), F.lit(source).alias("source"), F.lit(i).alias("ord")) for i, (source, df) in enumerate(generators.items())]).where("value is not null")
-    group = F.when(F.col("source").rlike(deduped), F.lit(-1)).otherwise(F.col("ord"))
-    return best(rows.withColumn("__g", group), [*keys, "value", "__g"], [F.asc("ord")]).drop("__g")
+def distinct_candidates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates of one frame (keys, value, source, ord, ...), null values left out.
 
+    A comparison read whose value a candidate before it has already is dropped.
+    """
+    rows = rows.where("value is not null")
+    first = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("value").alias("__value")).agg(F.min("ord").alias("__first"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("value") == F.col("__value"))
+    later = F.col("source").rlike("(?i)comparison") & (F.col("ord") > F.col("__first"))
+    return rows.join(first, same).where(~F.coalesce(later, F.lit(False))).select(*rows.columns)
+
+
+def united(generators: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Candidates of several frames (keys, value), one for each source, in order.
+
+    Where one frame holds the reads of all sources, ``distinct_candidates``
+    takes it as it is and scans it once.
+    """
+    rows = reduce(DataFrame.unionByName, [df.select(*keys, whole(F.col("value").cast("double")).alias("value"), F.lit(source).alias("source"), F.lit(i).alias("ord")) for i, (source, df) in enumerate(generators.items())])
+    return distinct_candidates(rows, keys)
+
+
+def evidence(source: Column, detail: Column | bool = False) -> Column:
+    """Points of a source's wording; ``detail`` says whether the generator prefers it as detail."""
+    detail = F.lit(detail) if isinstance(detail, bool) else F.coalesce(detail, F.lit(False))
+    return F.coalesce(*[F.when(source.rlike(p), F.when(detail, preferred).otherwise(points)) for p, points, preferred in EVIDENCE], F.lit(NO_EVIDENCE))
 
-def evidence(source: Column, detail: bool = False) -> Column:
-    return F.coalesce(*[F.when(source.rlike(p), F.lit(preferred if detail else points)) for p, points, preferred in EVIDENCE], F.lit(NO_EVIDENCE))
+
+def near(a: Column, b: Column) -> Column:
+    return F.coalesce(F.abs(a - b) <= TOLERANCE, F.lit(False))
 
 
 def plausible(value: Column, total: Column, known: Column) -> Column:
@@ -60,54 +84,95 @@ def plausible(value: Column, total: Column, known: Column) -> Column:
     return (size == 0) | ~F.coalesce((total > 0) & echo, F.lit(False))
 
 
-def scored(candidates: DataFrame, rivals: Column | None = None, detail: bool = False) -> DataFrame:
+def no_residual(value: Column, total: Column, known: Column) -> Column:
+    """A read that is the printed total, or beyond it, or the known lines themselves; one that completes the total is none of these."""
+    return near(value, total) | (~near(known + value, total) & (F.coalesce(value >= total, F.lit(False)) | (F.coalesce(known >= 1, F.lit(False)) & near(F.abs(value), known))))
+
+
+def scored(candidates: DataFrame, rivals: Column | None = None, detail: Column | bool = False, form_total: Column | None = None, incomplete: Column | None = None) -> DataFrame:
     """Candidates with flags, closure, evidence, score and whether they are valid.
 
-    ``rivals`` is an array of the sheet's other amounts.
+    ``rivals`` is an array of the sheet's other amounts, ``form_total`` the
+    total on the form's own line, ``incomplete`` says that the comparison
+    worksheet lacks rows.  Of the flags, those of the identity do not make a
+    candidate invalid; each flag comes once.
     """
     value, total, known, source = F.col("value"), F.col("total"), F.coalesce("known", F.lit(0)), F.col("source")
-    near = lambda a, b: F.coalesce(F.abs(a - b) <= TOLERANCE, F.lit(False))
     closure = ((total > 0) & near(known + value, total)).cast("int")
     office = source.rlike(OFFICE) & (total > 0) & ((value >= total) | ((known > 0) & (known + value > total)))
-    hard = F.array_compact(F.array(
-        F.when(F.array_contains(rivals, value), F.lit("pnl_collision")) if rivals is not None else F.lit(None).cast("string"),
-        F.when(~plausible(value, total, known), F.lit("implausible")),
-        F.when(near(value, total), F.lit("total_trap")),
-        F.when(F.coalesce(office, F.lit(False)), F.lit("weak_block_closure")),
-    ))
-    soft = F.array_compact(F.array(F.when(F.col("closes_income"), F.lit("identity_close")), F.when(~F.col("closes_income"), F.lit("identity_gap"))))
-    points = F.when(F.col("closes_income"), IDENTITY).when(~F.col("closes_income"), GAP).otherwise(0)
+    partial = F.coalesce(incomplete, F.lit(False)) & source.rlike(PARTIAL) if incomplete is not None else F.lit(False)
+    hard = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(flag)) for flag, test in zip(HARD_FLAGS, (
+        F.array_contains(rivals, value) if rivals is not None else F.lit(False),
+        ~plausible(value, total, known),
+        near(value, total),
+        near(value, form_total) if form_total is not None else F.lit(False),
+        no_residual(value, total, known) | partial,
+        office,
+    ), strict=True)]))
+    closes = F.col("closes_income")
+    soft = F.array_compact(F.array(F.when(closes, F.lit(CLOSES)), F.when(~closes, F.lit(MISSES))))
+    points = F.when(closes, IDENTITY).when(~closes, GAP).otherwise(0)
     out = candidates.withColumn("closure", F.coalesce(closure, F.lit(0))).withColumn("evidence", evidence(source, detail)).withColumn("hard", hard)
     return out.withColumn("score", F.col("closure") * CLOSURE + F.col("evidence") + points).withColumn("flags", F.concat("hard", soft)).withColumn("valid", F.size("hard") == 0).drop("hard")
 
 
-def preference() -> list[Column]:
-    """Closure, then detail, then evidence, then the later generator."""
-    return [F.desc("closure"), F.desc(F.col("source").rlike(DETAIL)), F.desc("evidence"), F.desc("ord")]
-
-
 def ranked(scored_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The winner of each sheet.
-
-    Valid candidates come first: those that close the income identity, among
-    them exact closers, then by preference; a weak residual gives way to a
-    federal table less its slots.  Without a valid one, trap-free detail and
-    then comparison reads are tried.
+    """The winner of each sheet, a row of ``scored``; a sheet without any has none.
+
+    Candidates stand in the order of their scores, equal ones in that of their
+    generators.  One is preferred to another by closure, then as detail, then
+    by evidence; of equals the later.  Valid candidates come first: those that
+    close the income identity, among them exact closers.  The winner then
+    gives way, in this order: a weak residual to a federal table less its
+    slots; an exact subtractive residual to misc detail that closes; a sum of
+    misc detail and reverse math to the preferred detail; a residual of the
+    comparison to office detail, or else to a structural read, that is
+    preferred to it; a total less utilities to summed lines preferred to it.
+    Without a valid candidate, detail and then comparison reads are tried.
+
+    One aggregation finds the best row of each kind, so a sheet's candidates
+    are never gathered; all rest is done on one row for each sheet.
     """
-    source, flags = F.col("source"), F.col("flags")
+    source, flags, valid = F.col("source"), F.col("flags"), F.col("valid")
     free = lambda *names: ~F.arrays_overlap(flags, F.array(*map(F.lit, names)))
-    pool = (
-        F.when(F.col("valid"), 0)
-        .when(source.rlike(r"(?i)summed detail|detail lines|misc detail closes|total minus|federal table") & free("comparison_reject"), 1)
-        .when(source.rlike("(?i)comparison") & (F.col("value") >= 1) & free("pnl_collision", "total_trap"), 2)
-    )
-    rows = scored_rows.withColumn("pool", pool).where("pool is not null").withColumn("identity", F.array_contains(flags, "identity_close") & F.col("valid"))
-    first = best(rows, keys, [F.asc("pool"), F.desc("identity"), *preference()])
-    federal = best(rows.where(F.col("valid") & source.rlike("(?i)federal table minus slot")), keys, [F.asc("ord")])
-    instead = federal.select(*keys, F.struct(*[c for c in first.columns if c not in keys]).alias("other"))
-    both = first.join(instead, list(keys), "left")
-    swap = F.col("other").isNotNull() & F.col("valid") & source.rlike(WEAK_RESIDUAL)
-    return both.select(*keys, *[F.when(swap, F.col(f"other.{c}")).otherwise(F.col(c)).alias(c) for c in first.columns if c not in (*keys, "pool", "identity")])
+    own = [c for c in scored_rows.columns if c not in keys]
+    closes = F.array_contains(flags, CLOSES)
+    detail = source.rlike(DETAIL)
+    preferred = [F.col("closure"), detail.cast("int"), F.col("evidence"), -F.col("score"), F.col("ord")]
+    first = [F.col("score"), -F.col("ord")]
+    row = F.struct(*own, detail.alias("__detail"))
+    top = lambda test, order: F.max_by(row, F.when(test, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])))
+    kinds = {
+        "winner": top(valid, [closes.cast("int"), *preferred]),
+        "federal": top(valid & source.rlike("(?i)federal table minus slot"), first),
+        "misc": top(valid & source.rlike("(?i)misc detail closes") & (F.col("closure") >= 1), first),
+        "detail": top(valid & detail, preferred),
+        "listed": top(valid & detail & ~source.rlike("(?i)misc detail sum"), preferred),
+        "office": top(valid & source.rlike(OFFICE_DETAIL), first),
+        "structural": top(valid & source.rlike("(?i)total minus util|statement 3|federal table minus slot"), first),
+        "summed": top(valid & source.rlike("(?i)summed detail lines"), first),
+        "unsure": top(~valid & source.rlike("(?i)summed detail|detail lines|misc detail closes|total minus|federal table") & free("comparison_reject"), preferred),
+        "compared": top(~valid & source.rlike("(?i)comparison") & (F.col("value") >= 1) & free("pnl_collision", "form_line_total_trap"), preferred),
+    }
+    best_of = scored_rows.groupBy(*keys).agg(*[c.alias(k) for k, c in kinds.items()])
+
+    at = lambda name, field: F.col(f"{name}.{field}")
+    order = lambda name: F.struct(at(name, "closure"), at(name, "__detail"), at(name, "evidence"))
+    rather = lambda name: F.col(name).isNotNull() & (order(name) >= order("winner"))
+    won = at("winner", "source")
+    steps = [
+        (won.rlike(WEAK_RESIDUAL), ["federal"], False),
+        (won.rlike("(?i)residual") & (at("winner", "closure") >= 1), ["misc"], False),
+        (won.rlike("(?i)misc detail sum"), ["listed"], False),
+        (won.rlike("(?i)P&L reverse math"), ["detail"], False),
+        (won.rlike("(?i)comparison.*OTHER DEDUCTIONS residual"), ["office", "structural"], True),
+        (won.rlike("(?i)total minus util"), ["summed"], True),
+    ]
+    for when, names, must_be_preferred in steps:
+        instead = F.coalesce(*[F.when(rather(n), F.col(n)) if must_be_preferred else F.col(n) for n in names])
+        best_of = best_of.withColumn("winner", F.when(when, F.coalesce(instead, F.col("winner"))).otherwise(F.col("winner")))
+    chosen = best_of.withColumn("winner", F.coalesce("winner", "unsure", "compared")).where("winner is not null")
+    return chosen.select(*keys, *[at("winner", c).alias(c) for c in own])
 
 
 def pasted(scored_rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -237,26 +237,50 @@ def snapshot_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.picked_read(reads, ["client", "year"]).drop("confidence").join(agree, ["client", "year", "field_id"])
 
 
-GENERATORS = ("Statement 2 (summed detail lines)", "comparison OTHER OPERATING", "comparison OTHER DEDUCTIONS residual", "Form line 20 residual", "federal table minus slot", "P&L reverse math")
-CANDIDATES_SQL = f"""base as (select l_orderkey as k, l_linenumber as ord, cast(floor(l_extendedprice + 0.5) as bigint) as p, cast(l_quantity as bigint) as q, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice, l_quantity) as rn from lineitem where l_linenumber <= 6),
-sheet as (select k, sum(p) as total, max(p) filter (ord = 1) as known, max(p) filter (ord = 2) as rival, max(q) as q from base where rn = 1 group by 1),
-g as (select b.k, s.total, s.known, s.rival, b.ord - 1 as ord, case when (b.p + b.ord) % 4 = 0 then s.total - s.known when b.ord = 3 then s.total when b.ord = 4 then s.rival else b.p end as value, case when s.q % 3 = 0 then null else (b.p % 5 = 0) end as closes_income from base b join sheet s using (k) where b.rn = 1),
-c as (select * from (select *, row_number() over (partition by k, value, case when ord in (1, 2) then -1 else ord end order by ord) as dup from g where value is not null) where dup = 1),
-s as (select *, case when total > 0 and abs(coalesce(known, 0) + value - total) <= 1 then 1 else 0 end as closure, [95, 82, 88, 85, 93, 72][1 + ord] as evidence, list_filter([case when value = rival then 'pnl_collision' end, case when value = total and abs(coalesce(known, 0) + value - total) > 1 then 'implausible' end, case when abs(value - total) <= 1 then 'total_trap' end], lambda x: x is not null) as hard from c),
-z as (select *, closure * 1000 + evidence + case when closes_income then 25 when not closes_income then -8 else 0 end as score, array_to_string(list_concat(hard, case when closes_income then ['identity_close'] when not closes_income then ['identity_gap'] else [] end), ',') as flags, len(hard) = 0 as valid from s)"""
+#: Sources of candidates, and what each is worth: (evidence, detail, weak residual, residual, comparison).
+CANDIDATE_SOURCES = (
+    ("Statement 2 (summed detail lines)", 95, True, False, False, False),
+    ("Two-year comparison (OTHER OPERATING EXPENSES)", 82, False, False, False, True),
+    ("Two-year comparison (OTHER DEDUCTIONS residual, full exclusions)", 88, False, True, True, True),
+    ("Form line 20 residual (Stmt 2 attachment total)", 85, False, True, True, False),
+    ("Statement 2 (federal table minus slot lines)", 93, True, False, False, False),
+    ("P&L reverse math (Form ordinary income)", 72, False, False, False, False),
+    ("Statement 2 (misc detail closes Stmt 2 total)", 95, True, False, False, False),
+    ("Statement 2 (misc detail sum)", 95, False, False, False, False),
+    ("Statement other deductions (office/supplies/telephone/travel/bank detail)", 96, True, False, False, False),
+    ("Statement 2 (total minus util/auto/licenses)", 75, True, False, False, False),
+    ("Statement 3 (total minus util/merchant/auto/licenses)", 94, True, False, False, False),
+    ("Document-wide exclusion residual", 68, False, True, True, False),
+    ("Stmt 2 residual (minus known attachment lines)", 72, False, True, True, False),
+    ("manual entry", 65, False, False, False, False),
+)
+_KINDS = ", ".join(f"({i}, {e}, {str(d).lower()}, {str(w).lower()}, {str(r).lower()}, {str(c).lower()})" for i, (_, e, d, w, r, c) in enumerate(CANDIDATE_SOURCES))
+CANDIDATES_SQL = f"""src(i, evidence, detail, weak, resid, comp) as (values {_KINDS}),
+base as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 as ord, cast(floor(l_extendedprice + 0.5) as bigint) as p, cast(l_quantity as bigint) as q, l_partkey % {len(CANDIDATE_SOURCES)} as i from lineitem),
+sheet as (select k, sum(p) as total, max(p) filter (ord = 0) as known, max(p) filter (ord = 1) as rival, max(p) as form, max(q) as q from base group by 1),
+g as (select b.k, s.total, s.known, s.rival, s.form, b.ord, b.i, case when (b.p + b.ord) % 4 = 0 then s.total - s.known when b.q % 9 = 1 then s.total when b.q % 9 = 2 then s.rival when b.q % 9 = 3 then s.form when b.q % 9 = 4 then s.known else b.p end as value, case when s.q % 3 = 0 then null else (b.q % 3 = 0) end as closes_income, s.q % 5 = 0 as incomplete from base b join sheet s using (k)),
+c as (select g.*, src.* exclude (i) from g join src using (i) where value is not null and not (comp and exists (select 1 from g o where o.k = g.k and o.value = g.value and o.ord < g.ord))),
+f as (select *, abs(known + value - total) <= 1 as fits, abs(value - total) <= 1 as echo from c),
+s as (select *, case when total > 0 and fits then 1 else 0 end as closure, list_filter([case when value = rival then 'pnl_collision' end, case when value = total and not fits and total > 0 and value <> 0 then 'implausible' end, case when echo then 'stmt2_total_trap' end, case when abs(value - form) <= 1 then 'form_line_total_trap' end,
+  case when echo or (not fits and (value >= total or (known >= 1 and abs(value - known) <= 1))) or (incomplete and i in (2, 11)) then 'comparison_reject' end, case when i = 8 and total > 0 and (value >= total or (known > 0 and known + value > total)) then 'weak_block_closure' end], lambda x: x is not null) as hard from f),
+z as (select *, closure * 1000 + evidence + case when closes_income then 25 when not closes_income then -8 else 0 end as score, array_to_string(list_concat(hard, case when closes_income then ['pnl_identity_close'] when not closes_income then ['pnl_identity_gap'] else [] end), ',') as flags, len(hard) = 0 as valid from s),
+o as (select *, row_number() over (partition by k order by score desc, ord) as place, closure * 1000 + detail::int * 500 + evidence as rather from z)"""
 
 
 def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 6").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min_by(F.struct(whole(F.col("l_extendedprice")).alias("p"), F.col("l_quantity").cast("long").alias("q")), F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).alias("x")).select("k", "n", "x.p", "x.q")
-    at = lambda n: F.max(F.when(F.col("n") == n, F.col("p")))
-    sheet = rows.groupBy("k").agg(F.sum("p").alias("total"), at(1).alias("known"), at(2).alias("rival"), F.max("q").alias("mq"))
-    rows = rows.join(sheet, "k")
-    value = F.when((F.col("p") + F.col("n")) % 4 == 0, F.col("total") - F.col("known")).when(F.col("n") == 3, F.col("total")).when(F.col("n") == 4, F.col("rival")).otherwise(F.col("p"))
-    rows = rows.select("k", "n", value.alias("value"), "total", "known", "rival", F.when(F.col("mq") % 3 != 0, F.col("p") % 5 == 0).alias("closes_income"))
-    united = candidates.united({s: rows.where(F.col("n") == i + 1) for i, s in enumerate(GENERATORS)}, ["k"])
-    facts = rows.select("k", F.col("n").alias("__n"), "total", "known", "rival", "closes_income")
-    out = united.join(facts, ["k"]).where(F.col("__n") == F.col("ord") + 1).drop("__n")
-    return candidates.scored(out, rivals=F.array("rival"))
+    """Every line of every order is a candidate, from one of fourteen sources; some are the total, the remainder or another field."""
+    from pyspark.sql.window import Window
+
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), *LINE_KEYS[1:], "l_extendedprice", "l_quantity", whole(F.col("l_extendedprice")).alias("p"), F.col("l_quantity").cast("long").alias("q"))
+    of_order = Window.partitionBy("k")
+    lines = lines.withColumn("ord", F.row_number().over(of_order.orderBy(*LINE_KEYS[1:], "l_extendedprice", "l_quantity")) - 1)
+    at = lambda n: F.max(F.when(F.col("ord") == n, F.col("p"))).over(of_order)
+    rows = lines.select("k", "ord", "p", "q", "l_partkey", F.sum("p").over(of_order).alias("total"), at(0).alias("known"), at(1).alias("rival"), F.max("p").over(of_order).alias("form"), F.max("q").over(of_order).alias("mq"))
+    k = F.col("q") % 9
+    value = F.when((F.col("p") + F.col("ord")) % 4 == 0, F.col("total") - F.col("known")).when(k == 1, F.col("total")).when(k == 2, F.col("rival")).when(k == 3, F.col("form")).when(k == 4, F.col("known")).otherwise(F.col("p"))
+    source = pick(tuple(s[0] for s in CANDIDATE_SOURCES), F.col("l_partkey") % len(CANDIDATE_SOURCES))
+    rows = rows.select("k", value.alias("value"), source.alias("source"), "ord", "total", "known", "rival", "form", F.when(F.col("mq") % 3 != 0, F.col("q") % 3 == 0).alias("closes_income"), (F.col("mq") % 5 == 0).alias("incomplete"))
+    return candidates.scored(candidates.distinct_candidates(rows, ["k"]), rivals=F.array("rival"), form_total=F.col("form"), incomplete=F.col("incomplete"))
 
 
 @query(f"with {CANDIDATES_SQL} select k, ord, value, closure, evidence, score, flags, valid from z")
@@ -264,15 +288,32 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_rows(spark, sf_dir).select("k", "ord", "value", "closure", "evidence", "score", F.array_join("flags", ",").alias("flags"), "valid")
 
 
-@query(f"""with {CANDIDATES_SQL}, p as (select *, case when valid then 0 when ord in (0, 4) then 1 when ord in (1, 2) and value >= 1 and flags not like '%collision%' and flags not like '%total_trap%' then 2 end as pool from z),
-w as (select *, row_number() over (partition by k order by pool, (valid and contains(flags, 'identity_close')) desc, closure desc, ord in (0, 4) desc, evidence desc, ord desc) as rn from p where pool is not null),
-f as (select k, min(ord) as o from z where valid and ord = 4 group by 1)
-select w.k, case when valid and ord in (2, 3) and f.o is not null then (select any_value(z.value) from z where z.k = w.k and z.ord = 4) else value end as value, case when valid and ord in (2, 3) and f.o is not null then 4 else ord end as ord from w left join f on f.k = w.k where rn = 1""")
+def _ranking_sql() -> str:
+    """The winner step by step: a table of the places of each kind, then one join for each way in which it gives way."""
+    first = lambda name, test: f"{name} as (select k, arg_min(ord, place) as ord, arg_min(rather, place) as rather from o where valid and {test} group by 1)"
+    liked = lambda name, test: f"{name} as (select k, arg_max(ord, rather * 100000 + place) as ord, max(rather) as rather from o where {test} group by 1)"
+    step = lambda n, join, case: f"w{n} as (select w.k, case {case} else w.ord end as ord from w{n - 1} w join o on o.k = w.k and o.ord = w.ord {join})"
+    with_ = lambda *names: " ".join(f"left join {n} on {n}.k = w.k" for n in names)
+    parts = [
+        liked("shut", "valid and closes_income"), liked("open", "valid"), first("fed", "i = 4"), first("misc", "i = 6 and closure = 1"), liked("det", "valid and detail"), first("office", "i = 8"), first("struct", "i in (4, 9, 10)"), first("summed", "i = 0"),
+        liked("unsure", "not valid and i in (0, 4, 6, 9, 10) and not contains(flags, 'comparison_reject')"), liked("compared", "not valid and comp and value >= 1 and not contains(flags, 'pnl_collision') and not contains(flags, 'form_line_total_trap')"),
+        "w0 as (select open.k, coalesce(shut.ord, open.ord) as ord from open left join shut using (k))",
+        step(1, with_("fed"), "when o.weak and fed.k is not null then fed.ord"),
+        step(2, with_("misc"), "when o.resid and o.closure = 1 and misc.k is not null then misc.ord"),
+        step(3, with_("det"), "when o.i in (5, 7) and det.k is not null then det.ord"),
+        step(4, with_("office", "struct"), "when o.i = 2 and office.rather >= o.rather then office.ord when o.i = 2 and struct.rather >= o.rather then struct.ord"),
+        step(5, with_("summed"), "when o.i in (9, 10) and summed.rather >= o.rather then summed.ord"),
+        "won as (select k, coalesce(w5.ord, unsure.ord, compared.ord) as ord from (select distinct k from o) left join w5 using (k) left join unsure using (k) left join compared using (k))",
+    ]
+    return f"with {CANDIDATES_SQL}, {', '.join(parts)} select k, o.value, ord from won join o using (k, ord)"
+
+
+@query(_ranking_sql())
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.ranked(candidate_rows(spark, sf_dir), ["k"]).select("k", "value", "ord")
 
 
-@query(f"""with {CANDIDATES_SQL}, p as (select *, closure >= 1 and flags not like '%collision%' as exact, ord in (2, 3) and flags not like '%collision%' and flags not like '%implausible%' as identity from z)
+@query(f"""with {CANDIDATES_SQL}, p as (select *, closure >= 1 and not contains(flags, 'pnl_collision') and not contains(flags, 'comparison_reject') as exact, i in (2, 3) and not contains(flags, 'pnl_collision') and not contains(flags, 'implausible') as identity from z)
 select k, value, exact from (select *, row_number() over (partition by k order by exact desc, case when exact then evidence end desc nulls last, ord) as rn from p where exact or identity) where rn = 1""")
 def candidate_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.pasted(candidate_rows(spark, sf_dir), ["k"]).select("k", "value", "exact")

@@ -51,13 +51,35 @@ def test_candidates(spark):
     df = spark.createDataFrame(rows, "k int, value long, source string, ord int, total long, known long, closes_income boolean")
     scored = candidates.scored(df, rivals=F.array(F.lit(99).cast("long")))
     got = {(r.k, r.ord): (r.closure, r.evidence, r.score, r.valid, r.flags) for r in scored.collect()}
-    assert got[1, 0] == (1, 95, 1095, True, []) and got[1, 1][3:] == (False, ["implausible", "total_trap"]) and got[3, 0] == (0, 85, 110, True, ["identity_close"])
+    assert got[1, 0] == (1, 95, 1095, True, []) and got[1, 1][3:] == (False, ["implausible", "stmt2_total_trap", "comparison_reject"]) and got[3, 0] == (0, 85, 110, True, ["pnl_identity_close"])
     assert {r.k: r.value for r in candidates.ranked(scored, ["k"]).collect()} == {1: 40, 2: 25, 3: 7}
     assert {r.k: (r.value, r.exact) for r in candidates.pasted(scored, ["k"]).collect()} == {1: (40, True), 2: (30, False), 3: (7, False)}
     conf = scored.select("k", "ord", candidates.confidence(F.col("closure"), F.col("evidence"), F.col("flags"), F.col("source")).alias("c")).collect()
     assert {(r.k, r.ord): r.c for r in conf} == {(1, 0): 92, (1, 1): 72, (2, 0): 77, (2, 1): 78, (3, 0): 72, (3, 1): 72}
 
 
+RANKINGS = (
+    # an exact reverse-math read beside a valid summed detail gives the detail
+    ([(40, "P&L reverse math (Form ordinary income)", True), (30, "Statement 2 (summed detail lines)", False)], 30),
+    ([(40, "Statement 2 (misc detail sum)", None), (30, "Statement 3 (total minus util/merchant/auto/licenses)", None)], 30),
+    ([(40, "Form line 20 residual", None), (40, "Statement 2 (misc detail closes Stmt 2 total)", None)], 40),
+    ([(35, "Two-year comparison (OTHER DEDUCTIONS residual)", True), (30, "Statement other deductions (office/supplies/telephone/travel/bank detail)", None)], 30),
+    ([(35, "Two-year comparison (OTHER DEDUCTIONS residual)", True), (30, "Statement 2 (total minus util/auto/licenses)", None)], 30),
+    ([(35, "Statement 2 (total minus util/auto/licenses)", True), (30, "Statement 2 (summed detail lines)", None)], 30),
+    ([(35, "Stmt 2 residual (minus known attachment lines)", True), (30, "Statement 2 (federal table minus slot lines)", None)], 30),
+    ([(100, "Two-year comparison (OTHER OPERATING)", None), (100, "Statement 3", None)], 100),
+    ([(60, "Two-year comparison (OTHER OPERATING)", None), (7, "Form line 20 residual", None), (60, "Two-year comparison (OTHER OPERATING)", None)], 7),
+)
+
+
+def test_ranking_gives_way(spark):
+    rows = [(k, v, s, i, 100, 60, c) for k, (reads, _) in enumerate(RANKINGS) for i, (v, s, c) in enumerate(reads)]
+    df = spark.createDataFrame(rows, "k int, value long, source string, ord int, total long, known long, closes_income boolean")
+    got = {r.k: r for r in candidates.ranked(candidates.scored(candidates.distinct_candidates(df, ["k"])), ["k"]).collect()}
+    assert {k: r.value for k, r in got.items()} == {k: want for k, (_, want) in enumerate(RANKINGS)}
+    assert got[2].source.startswith("Statement 2 (misc") and got[7].source.startswith("Two-year")
+
+
 def test_small_rules(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(rules.key_quality(F.lit(k).cast("string"))) for k in ("", None, "schedule a", "smith smith", "hill services", "hill")] == ["unreliable", "unreliable", "unreliable", "unreliable", "strong-entity", "plausible"]
