@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, labels
 from ..functions.amounts import whole
 from ..operators import candidates, compare, formulas, rules, trust
-from .registry import query, table
+from .registry import query, spread, table
 
 FIELDS = ("sales", "cogs", "rent", "depreciation", "amortization", "officer_compensation", "salaries_wages", "advertising", "taxes_licenses", "bank_credit_card", "professional_fees", "utilities", "interest_expense", "taxes_paid", "other_income", "other_operating_expenses", "cash", "accounts_receivable", "inventory", "other_current_assets", "gross_fixed_assets", "accumulated_depreciation", "accumulated_amortization", "other_assets", "accounts_payable", "short_term_debt", "other_current_liabilities", "notes_minus_short_term", "common_stock", "other_stock_equity", "unclassified_equity")
 SOURCES = ("Form 1120 page 1 block", "Two-year comparison (rent row)", "OCR label match", "Schedule L line 14", "Statement (line 18)", "Statement 2 (total minus util)", "Summed detail lines", "Structured financial report", "Coherence: cleared", "Operating expenses (top-8 slot 3)", "manual entry")
@@ -74,13 +74,13 @@ def snapshots(rows: DataFrame) -> DataFrame:
 with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_orderkey + l_linenumber) % 6 as k, cast(floor(l_extendedprice + 0.5) as bigint) as p from lineitem),
 f as (select *, case when p in (1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220) then [] else [p] end as amount from r)
 select l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  array_to_string(case when k = 1 then list_concat([20 + l_linenumber], amount) when k = 5 then list_concat(amount, amount, [500]) else amount end, ' ') as tokens,
+  array_to_string(case when k = 1 then list_concat([20 + l_linenumber], amount) when k = 5 then list_concat([12], amount, amount, [500]) else amount end, ' ') as tokens,
   array_to_string(case when k = 5 then list_concat(amount, amount, [500]) else amount end, ' ') as substantial,
   case when k = 5 then 500 else list_last(case when k = 1 then list_concat([20 + l_linenumber], amount) else amount end) end as tail
 from f
 """)
 def money_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("p", whole(F.col("l_extendedprice"))).withColumn("k", (F.col("l_orderkey") + F.col("l_linenumber")) % 6)
+    rows = spread(table(spark, sf_dir, "lineitem").select(*LINE_KEYS, whole(F.col("l_extendedprice")).alias("p"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 6).alias("k")))
     comma, n = F.format_number("p", 0), F.col("l_linenumber").cast("string")
     say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     line = (
@@ -93,10 +93,7 @@ def money_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumn("line", line)
     show = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
-    own = amounts.money_tokens(F.col("line"), 2)
-    # "Statement 3 [12]": 12 has two digits and is a token, but refers to a row.
-    tokens = F.when(F.col("k") == 5, F.filter(own, lambda v: v != 12)).otherwise(F.when(F.col("k") == 2, own).otherwise(own))
-    return rows.select(*LINE_KEYS, show(tokens).alias("tokens"), show(amounts.substantial_tokens(F.col("line"))).alias("substantial"), amounts.tail_amount(F.col("line")).alias("tail"))
+    return rows.select(*LINE_KEYS, show(amounts.money_tokens(F.col("line"), 2)).alias("tokens"), show(amounts.substantial_tokens(F.col("line"))).alias("substantial"), amounts.tail_amount(F.col("line")).alias("tail"))
 
 
 def _formula_sql() -> str:
@@ -502,22 +499,25 @@ def tax_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_orderkey + l_linenumber) % 5 as k, l_suppkey % 2 as col, 2000 + cast(floor(l_extendedprice + 0.5) as bigint) as p, 2100 + cast(floor(l_extendedprice * (1 - l_discount) / 2 + 0.5) as bigint) as q from lineitem)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when k = 0 and col = 1 then null when k = 0 then p when k = 1 then p when col = 0 then p else q end as amount
-from r where not (p in (1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220) or q in (1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220) or p - q in (0, 1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220) or abs(p - q) < 2100 or p between 1990 and 2035 or q between 1990 and 2035)
+with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_orderkey + l_linenumber) % 5 as k, l_suppkey % 2 as col, cast(floor(l_extendedprice + 0.5) as bigint) as p, cast(floor(l_extendedprice * (1 - l_discount) / 2 + 0.5) as bigint) as q from lineitem),
+c as (select *, case k when 0 then [p, p] when 1 then [p] when 2 then [p, q] when 3 then [p, q, abs(p - q)] else [p, q, p + q] end as cells from r),
+t as (select *, list_filter(cells, lambda x: x > 9 and x not in (1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220) and x not between 1990 and 2035 and not (k >= 3 and q < 1000 and x = q)) as t from c)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when k = 0 and col = 1 and p >= 1000 then null else t[1 + least(col, len(t) - 1)] end as amount from t
 """)
 def comparison_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Worksheet rows of two years, some with a column of changes or totals, some with a blank current year; form numbers and years are left to ``money_tokens``."""
-    rows = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).alias("k"), (F.col("l_suppkey") % 2).cast("int").alias("col"), (2000 + whole(F.col("l_extendedprice"))).alias("p"), (2100 + whole(F.col("l_extendedprice") * (1 - F.col("l_discount")) / 2)).alias("q"))
-    gap = F.abs(F.col("p") - F.col("q"))
-    rows = rows.where(~(amounts.is_form_number(F.col("p")) | amounts.is_form_number(F.col("q")) | amounts.is_form_number(gap) | (gap < 2100) | amounts.is_year(F.col("p")) | amounts.is_year(F.col("q"))))
+    """Worksheet rows of two years, some with a column of changes or totals, some with a blank current year.
+
+    Form numbers and years are no amounts, and neither is a short number
+    between bars, which refers to a row; a row may be left with one column.
+    """
+    rows = spread(table(spark, sf_dir, "lineitem").select(*LINE_KEYS, ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).alias("k"), (F.col("l_suppkey") % 2).cast("int").alias("col"), whole(F.col("l_extendedprice")).alias("p"), whole(F.col("l_extendedprice") * (1 - F.col("l_discount")) / 2).alias("q")))
     n = lambda c: F.format_number(c, 0)
     p, q = F.col("p"), F.col("q")
     line = (
         F.when(F.col("k") == 0, F.concat(F.lit("Rents "), n(p), F.lit("  -"), n(p)))
         .when(F.col("k") == 1, F.concat(F.lit("Rents "), n(p)))
         .when(F.col("k") == 2, F.concat(F.lit("Rents "), n(p), F.lit(" | "), n(q)))
-        .when(F.col("k") == 3, F.concat(F.lit("Rents "), n(p), F.lit(" | "), n(q), F.lit(" | "), n(gap)))
+        .when(F.col("k") == 3, F.concat(F.lit("Rents "), n(p), F.lit(" | "), n(q), F.lit(" | "), n(F.abs(p - q))))
         .otherwise(F.concat(F.lit("Rents "), n(p), F.lit(" | "), n(q), F.lit(" | "), n(p + q)))
     )
     return rows.select(*LINE_KEYS, compare.comparison_amount(line, F.col("col")).alias("amount"))
