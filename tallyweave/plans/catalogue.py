@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import facts, returns, texts
+from . import blocks, facts, returns, texts
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP: Query = facts.shared_topn_residual
-__all__ = ["FLAGSHIP", "facts", "oracle_sql", "queries", "returns", "texts"]
+__all__ = ["FLAGSHIP", "blocks", "facts", "oracle_sql", "queries", "returns", "texts"]
 
 
 def queries() -> dict[str, Query]:
