@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def best(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
@@ -66,25 +70,65 @@ def residual(df: DataFrame, keys: Sequence[str], amount: str, chosen: Column) ->
     return sums.withColumn("residual", F.greatest(F.lit(0), F.col("total") - F.col("chosen")))
 
 
-def capped_sum(df: DataFrame, keys: Sequence[str], amount: str, order: Sequence[str], cap: int, most_rows: int = 100_000) -> DataFrame:
+def skipping_sum(amounts: np.ndarray, room: int) -> tuple[int, int]:
+    """(sum, number) of the amounts that fit into what is left, one after the other; one that does not is skipped."""
+    taken = used = 0
+    if (amounts < 0).any():
+        for v in amounts.tolist():
+            if taken + v <= room:
+                taken, used = taken + v, used + 1
+        return taken, used
+    left = amounts
+    while len(left := left[left <= room - taken]):  # what is larger than the room never fits again
+        sums = np.cumsum(left)
+        n = int(np.searchsorted(sums, room - taken, side="right"))
+        taken, used, left = taken + int(sums[n - 1]), used + n, left[n:]
+    return taken, used
+
+
+def capped_sum(df: DataFrame, keys: Sequence[str], amount: str, order: Sequence[str], cap: int) -> DataFrame:
     """(keys, claimed, used): rows in order are added while the sum stays within ``cap``; one that would exceed it is skipped.
 
-    Which rows count depends on those before them, so it folds over each key's
-    ordered amounts: for keys of bounded size, such as the lines of an order.
-    A key of more than ``most_rows`` is an error.
+    Which rows count depends on those before them, so a key's rows are read in
+    order by one task, as a stream: what is kept of them is the sum so far,
+    whatever their number.  Null amounts are skipped.
     """
-    too_many = df.groupBy(*keys).count().where(F.col("count") > most_rows).limit(1).collect()
-    if too_many:
-        raise ValueError(f"more than {most_rows} rows of one key: {too_many[0].asDict()}")
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(amount).alias("amt"))))
-    start = F.struct(F.lit(0).cast("long").alias("claimed"), F.lit(0).cast("long").alias("used"))
-
-    def step(acc: Column, row: Column) -> Column:
-        fits = acc["claimed"] + row["amt"] <= cap
-        return F.struct((acc["claimed"] + F.when(fits, row["amt"]).otherwise(0)).cast("long").alias("claimed"), (acc["used"] + fits.cast("long")).alias("used"))
-
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, start, step).alias("f"))
-    return folded.select(*keys, "f.claimed", "f.used")
+    fields = [df.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("claimed", T.LongType()), T.StructField("used", T.LongType())])
+    n = len(keys)
+    tag = F.xxhash64(*[F.col(k).cast("string") for k in keys], *[F.col(k).isNull() for k in keys])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        claimed = used = 0
+
+        def out(key: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(key, types, strict=True)] + [pa.array([claimed], pa.int64()), pa.array([used], pa.int64())], [*keys, "claimed", "used"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types = [b.column(i).type for i in range(n)]
+            new = np.zeros(b.num_rows, dtype=bool)
+            new[0] = True
+            for c in b.columns[: n + 1]:
+                new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+                new[1:] |= pc.not_equal(c[1:].is_null(), c[:-1].is_null()).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                key = tuple(b.column(i)[int(lo)].as_py() for i in range(n))
+                if now is not None and key != now:
+                    yield out(now)
+                if key != now:
+                    now, claimed, used = key, 0, 0
+                taken, more = skipping_sum(b.column(n + 1).slice(lo, hi - lo).drop_null().to_numpy(), cap - claimed)
+                claimed, used = claimed + taken, used + more
+        if now is not None:
+            yield out(now)
+
+    rows = df.select(*keys, tag.alias("__tag"), F.col(amount).cast("long").alias("__amount"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    rows = rows.repartition("__tag").sortWithinPartitions("__tag", *keys, *[f"__o{i}" for i in range(len(order))], "__amount")
+    return rows.select(*keys, "__tag", "__amount").mapInArrow(run, schema)
 
 
 def max_then_sum(df: DataFrame, outer: Sequence[str], inner: Sequence[str], amount: str) -> DataFrame:

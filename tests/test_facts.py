@@ -127,3 +127,22 @@ def test_inferred_year(spark):
     df = spark.createDataFrame(cases, "t string, f string, y int")
     for r in df.select("y", verify.inferred_year(F.col("t"), [r"tax year (\d{4})"], F.col("f")).alias("g")).collect():
         assert r.y == r.g
+
+
+def test_capped_sum_streams_keys_of_any_size(spark):
+    import random
+
+    rnd = random.Random(3)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(rnd.choice(["a", "b", None]), i, rnd.choice([None, 0, 1, 5, 30, 200, -4 if i % 2 else 9])) for i in range(300)] + [("c", 1, 500), ("d", 1, None)]
+        got = {r.k: (r.claimed, r.used) for r in ranking.capped_sum(spark.createDataFrame(rows, "k string, i int, v int").repartition(4), ["k"], "v", ["i"], 400).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    want = {}
+    for k, _, v in sorted(rows, key=lambda r: r[1]):
+        claimed, used = want.setdefault(k, (0, 0))
+        if v is not None and claimed + v <= 400:
+            want[k] = (claimed + v, used + 1)
+    assert got == want
