@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ FOLDS = 3
 #: The models are fitted on at most so many labelled rows (those with the
 #: smallest hashes of their ids); all counts below the classes cover all rows.
 MOST_LABELLED = 20_000
-#: Most rows of a model's table that workers hold; pairs with the least evidence go first.
+#: Models of more rows are joined with the words of the texts instead of being sent to the workers.
 MOST_ROWS = 3_000_000
 BROADCAST_LABELS = 2_000_000
 U64 = np.uint64
@@ -96,17 +97,6 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(s[first].view(np.int64)), pa.array(sketch.view(np.int64)), pa.array(np.bincount(at[once], minlength=len(words)).astype(np.int64))], ["w", "s", "sketch", "docs"])
 
 
-def at_most(df: DataFrame, evidence: str, most: int) -> DataFrame:
-    """The rows above the least evidence for which no more than ``most`` are left."""
-    sizes = df.groupBy(F.least(evidence, F.lit(10_000)).alias("e")).count().orderBy(F.desc("e")).collect()  # 10,000 rows at most
-    left, floor = 0, 10_001
-    for r in sizes:
-        if left + r["count"] > most:
-            break
-        left, floor = left + r["count"], r["e"]
-    return df.where(F.col(evidence) >= floor)
-
-
 @dataclass
 class Table:
     """Values by hash; ``find`` gives positions, one past the end for what is not there."""
@@ -181,12 +171,25 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, most: i
     return rows.join(known, rows["id"] == known["label_id"]).select("text", "toxic", "fold")
 
 
-def fitted(docs: DataFrame, train: DataFrame, text: str = "text") -> list[Model]:
-    """The model of all of ``train``, then for each fold the one without it.
+@dataclass
+class Counts:
+    """What the classes have above the discounts: words, stems, pairs, what follows a word, and sums over all.
 
-    Counted together: a column for each model and class.  What comes to the
-    driver is bounded by ``MOST_ROWS`` for each table and by the labelled rows.
+    ``rows`` is their number, by which a model is sent to the workers or joined.
     """
+
+    words: DataFrame
+    stems: DataFrame
+    pairs: DataFrame
+    before: DataFrame
+    sums_w: dict[str, float]
+    sums_s: dict[str, float]
+    everything: float
+    rows: int
+
+
+def count_classes(docs: DataFrame, train: DataFrame, text: str = "text") -> Counts:
+    """Counts of all of ``train`` and of each part without a fold, a column for each model and class."""
     models = range(FOLDS + 1)  # the last one leaves out nothing
     # Dealt out before they are summed: a column for each model would make wide rows of the shuffle.
     counted = train.mapInArrow(count_pairs, "v long, w long, s long, kind int, n int").repartition("v", "w", "s").groupBy("v", "w", "s")
@@ -201,15 +204,9 @@ def fitted(docs: DataFrame, train: DataFrame, text: str = "text") -> list[Model]
     everything = float(of_stems.agg(F.sum("stem_follows")).first()[0] or 1)
 
     names = [f"n{c}_{m}" for m in models for c in (0, 1)]
-    evidence = (F.col(f"n0_{FOLDS}") + F.col(f"n1_{FOLDS}")).alias("evidence")
+    evidence = F.col(f"n0_{FOLDS}") + F.col(f"n1_{FOLDS}")
     above = lambda x, d: F.greatest(F.col(x) - d, F.lit(0))
 
-    def some(df: DataFrame, keys: list[str], discount: int, own: DataFrame | None = None) -> dict[str, np.ndarray]:
-        """What one class or the other has above the discount, by name: at most MOST_ROWS rows."""
-        rows = at_most(df.select(*keys, *names, evidence).where(f"evidence > {discount}"), "evidence", MOST_ROWS).drop("evidence")
-        got = (rows if own is None else rows.join(own, keys[0])).toArrow()
-        return {c: got[c].to_numpy() for c in got.column_names}
-
     def totals(df: DataFrame) -> dict[str, float]:
         got = df.agg(*[F.sum(x).alias(f"c_{x}") for x in names], *[F.sum(above(x, DISCOUNT)).alias(f"d_{x}") for x in names]).first()
         return {c: float(v or 0) for c, v in got.asDict().items()}
@@ -218,11 +215,64 @@ def fitted(docs: DataFrame, train: DataFrame, text: str = "text") -> list[Model]
     stems = written(words.groupBy("s").agg(*[F.sum(x).alias(x) for x in names]), "class-stems")
     # Only words that some pair above the discount follows need their own share to hand down.
     mass = [x for n in names for x in (F.sum(n).alias(n), F.sum(above(n, PAIR_DISCOUNT)).alias(f"d_{n}"))]
-    first = pairs.groupBy("v").agg(*mass).where(" or ".join(f"d_{n} > 0" for n in names))
-    before = at_most(first.withColumn("evidence", evidence), "evidence", MOST_ROWS).drop("evidence").toArrow()
-    tables = {"w": some(words, ["w", "s"], DISCOUNT, corpus.select("w", "follows")), "s": some(stems, ["s"], DISCOUNT, of_stems), "p": some(pairs, ["v", "w"], PAIR_DISCOUNT), "v": {c: before[c].to_numpy() for c in before.column_names}}
-    sums_w, sums_s = totals(words), totals(stems)
-    return [model_of(tables, sums_w, sums_s, everything, m) for m in (FOLDS, *range(FOLDS))]
+    before = pairs.groupBy("v").agg(*mass).where(" or ".join(f"d_{n} > 0" for n in names))
+    tables = [
+        written(words.where(evidence > DISCOUNT).join(corpus.select("w", "follows"), "w"), "model-words"), written(stems.where(evidence > DISCOUNT).join(of_stems, "s"), "model-stems"),
+        written(pairs.where(evidence > PAIR_DISCOUNT).drop("s"), "model-pairs"), written(before, "model-before"),
+    ]
+    return Counts(*tables, totals(words), totals(stems), everything, sum(t.count() for t in tables))
+
+
+def fitted(docs: DataFrame, train: DataFrame, text: str = "text") -> list[Model]:
+    """The model of all of ``train``, then for each fold the one without it, as tables for the workers."""
+    return models_of(count_classes(docs, train, text))
+
+
+def models_of(counts: Counts) -> list[Model]:
+    """All models as sorted tables: ``counts.rows`` rows come to the driver, so ask for their number before."""
+    arrays = lambda df: {c: t[c].to_numpy() for t in [df.toArrow()] for c in t.column_names}
+    tables = {k: arrays(df) for k, df in zip("wspv", (counts.words, counts.stems, counts.pairs, counts.before), strict=True)}
+    return [model_of(tables, counts.sums_w, counts.sums_s, counts.everything, m) for m in (FOLDS, *range(FOLDS))]
+
+
+def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (row, text): each different word after a word of a text, and how often it is there."""
+    for b in batches:
+        for i, j in tk.row_chunks(b.column(1)):
+            w, s, v, doc = expressions(*tk.buffers(b.column(1).slice(i, j - i)))
+            _, first, n = np.unique(tk.with_doc(pair(v, w), doc), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(doc[first])), *[pa.array(x[first].view(np.int64)) for x in (v, w, s)], pa.array(n)], ["row", "v", "w", "s", "n"])
+
+
+def joined_features(rows: DataFrame, counts: Counts, m: int) -> DataFrame:
+    """(row, strongest, whole) of ``rows`` (row, text) by the model ``m``, found by joins: for models of any size.
+
+    The same numbers as ``Model.features`` gives.  Every table has one row for
+    a word, so a frequent word is split by the adaptive join.  Texts without
+    words are not in the result.
+    """
+    names = [f"n{c}_{m}" for c in (0, 1)]
+    positive = lambda c: F.greatest(c, F.lit(0.0))
+
+    def level(sums: dict[str, float], c: int, lower: Column) -> Column:
+        share = 1 - sum(sums[f"d_{x}"] for x in names) / max(sum(sums[f"c_{x}"] for x in names), 1)
+        return (1 - share) * positive(F.col(names[c]) - DISCOUNT) / max(sums[f"d_{names[c]}"], 1) + share * lower
+
+    shared = F.col("stem_follows") / counts.everything
+    stems = counts.stems.select("s", *[(level(counts.sums_s, c, shared) / shared).alias(f"f{c}") for c in (0, 1)])
+    words = counts.words.join(stems, "s", "left").select("w", *[level(counts.sums_w, c, F.col("follows") / counts.everything * F.coalesce(f"f{c}", F.lit(1.0))).alias(f"l{c}") for c in (0, 1)])
+    before = counts.before.select("v", *[(1 - F.col(f"d_{x}") / F.greatest(x, F.lit(1))).alias(f"b{c}") for c, x in enumerate(names)], *[F.col(x).alias(f"m{c}") for c, x in enumerate(names)])
+    tops = counts.pairs.join(before, "v", "left").select("v", "w", *[F.coalesce(positive(F.col(x) - PAIR_DISCOUNT) / F.greatest(f"m{c}", F.lit(1)), F.lit(0.0)).alias(f"t{c}") for c, x in enumerate(names)])
+
+    listed = rows.mapInArrow(list_words, "row long, v long, w long, s long, n long")
+    all_ = listed.join(words, "w", "left").join(stems, "s", "left").join(before.drop("m0", "m1"), "v", "left").join(tops, ["v", "w"], "left")
+    both = [F.when(F.col("l0").isNull(), F.coalesce(f"f{c}", F.lit(1.0))).otherwise(F.coalesce(f"t{c}", F.lit(0.0)) + F.coalesce(f"b{c}", F.lit(1.0)) * F.col(f"l{c}")) for c in (0, 1)]
+    ratio = F.log(both[1] / both[0])
+    each = all_.select("row", "n", ratio.alias("llr"))
+    strong = F.slice(F.sort_array(F.collect_list(F.when(F.col("llr") > 0, F.struct("llr", "n"))), asc=False), 1, STRONGEST)
+    step = lambda acc, x: F.struct((acc["sum"] + x["llr"] * F.least(x["n"], acc["room"])).alias("sum"), (acc["room"] - F.least(x["n"], acc["room"])).alias("room"))
+    top = F.aggregate(strong, F.struct(F.lit(0.0).alias("sum"), F.lit(STRONGEST).cast("long").alias("room")), step)["sum"] / STRONGEST
+    return each.groupBy("row").agg(top.alias("strongest"), (F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("whole"))
 
 
 def model_of(tables: dict[str, dict[str, np.ndarray]], sums_w: dict[str, float], sums_s: dict[str, float], everything: float, m: int) -> Model:
@@ -278,17 +328,30 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """A row for each document: doc_id, held_out and a score from 0 to 1.
 
     Only texts enter a score.  A null or empty text, or one without known
-    expressions, has ratios of 0.  Repeated rows count and come back as often
+    expressions, has ratios of 0.  Columns beside id and text are not read.
+    Models of up to ``MOST_ROWS`` rows are sent to the workers, larger ones
+    joined; the scores are the same.  Repeated rows count and come back as often
     as they are there; very long texts are scored whole.  Where the labels to
     learn from are of one class only or missing, every score is the share of
     toxic ones (or 0).
     """
     prepare(docs.sparkSession)
     train = labelled(docs, labels, doc_id, text, most_labelled)
-    model, *others = fitted(docs, train, text)
-    seen = written(train.mapInArrow(without_fold(docs, others), ", ".join(f"{c} double" for c in (*FEATURES.names, "label"))), "ratios")
+    counts = count_classes(docs, train, text)
+    ids = [F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out")]
+    if counts.rows <= MOST_ROWS:
+        model, *others = models_of(counts)
+        seen = written(train.mapInArrow(without_fold(docs, others), ", ".join(f"{c} double" for c in (*FEATURES.names, "label"))), "ratios")
+        rows = docs.select(*ids, scorer(docs, model)(F.col(text)).alias("x"))
+    else:
+        numbered = lambda df, *more: written(df.select(*more, F.col("text")).withColumn("row", F.monotonically_increasing_id()), "numbered")
+        zero = {c: 0.0 for c in FEATURES.names}
+        own = numbered(train, "toxic", "fold")
+        parts = [own.where(F.col("fold") == f).join(joined_features(own.where(F.col("fold") == f).select("row", "text"), counts, f), "row", "left") for f in range(FOLDS)]
+        seen = written(reduce(DataFrame.unionByName, parts).select(*FEATURES.names, F.col("toxic").cast("double").alias("label")).fillna(zero), "ratios")
+        every = numbered(docs.select(*ids, F.col(text).alias("text")), "doc_id", "held_out")
+        rows = every.drop("text").join(joined_features(every.select("row", "text"), counts, FOLDS), "row", "left").fillna(zero, FEATURES.names).select("doc_id", "held_out", F.struct(*FEATURES.names).alias("x"))
     classes = {r.label: r["count"] for r in seen.groupBy("label").count().collect()}
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), scorer(docs, model)(F.col(text)).alias("x"))
     if len(classes) < 2:
         return rows.select("doc_id", "held_out", F.lit(float(max(classes, default=0.0))).alias("score"))
     curve = LogisticRegression(maxIter=100, regParam=1e-4).fit(VectorAssembler(inputCols=FEATURES.names, outputCol="features").transform(seen))

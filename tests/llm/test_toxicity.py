@@ -138,6 +138,15 @@ def test_pairs_of_ordinary_words_are_found(spark):
     assert sum(p == y for p, y in out) >= 0.95 * len(out)
 
 
+def test_joined_models_score_alike(spark, monkeypatch):
+    docs, labels = corpus()
+    docs = [*docs, (10_001, None), (10_002, ""), (10_003, docs[0][1]), (10_003, docs[0][1])]
+    score = lambda: sorted((r.doc_id, round(r.score, 4)) for r in toxicity.toxicity(*frames(spark, docs, labels)).collect())
+    sent = score()
+    monkeypatch.setattr(toxicity, "MOST_ROWS", 0)
+    assert score() == sent
+
+
 def test_query(spark, sf_dir):
     rows = op3_toxicity(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
