@@ -10,7 +10,9 @@ open block takes the label of the nearest decided neighbours.
 ``article`` and ``main`` elements are no proof.  Only if most of the text that
 the first pass accepts (``MOST_IN_MAIN``) stands inside them, what stands
 outside is taken for the page's frame; a page whose only ``article`` is a teaser
-keeps its body.
+keeps its body.  Without such an element the innermost one that holds nearly all
+accepted text (``MOST_IN_ONE``) takes its place, so that notices and comments
+around the prose go without a name that tells them.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ MOST_LINKED = 0.5
 SHORT_CHARS = 70
 LONG_CHARS = 200
 STOPS_NONE, STOPS_LOW, STOPS_HIGH = 0.05, 0.2, 0.3
-MOST_IN_MAIN = 2 / 3
+MOST_IN_MAIN, MOST_IN_ONE = 2 / 3, 0.85
 
 STOP_WORDS = frozenset(
     "the of and to a in that is was for it with as his on be at by i this had not are but from or have an they which you were her all she there would their we him been has when who will more no if out so "
@@ -43,6 +45,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CONTAINERS = frozenset("address article aside blockquote body button center dialog dd details div dl dt fieldset figure footer form header html li main menu nav ol section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("aside button dialog fieldset footer form menu nav".split())
 MAIN = frozenset(("article", "main"))
+WHOLE = frozenset(("html", "body"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 NAMES = frozenset(
     "ad ads adbox adslot advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
@@ -69,6 +72,7 @@ class Block:
     main: int
     never: bool
     heading: bool
+    inside: tuple[int, ...] = ()
     label: bool | None = None
 
 
@@ -92,15 +96,15 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with all that the rules look at."""
     found: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, unwanted, number of the main element or 0
-    linked, in_link, mains, heading, at = 0, 0, 0, False, 0
+    stack: list[tuple[str, bool, int, int]] = []  # tag, unwanted, number of the main element or 0, own number
+    linked, in_link, mains, heading, at, opens = 0, 0, 0, False, 0, 0
     dropped: int | None = None  # depth of the outermost dropped element that is open
 
     def close() -> None:
         nonlocal parts, linked, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, linked, stack[-1][2] if stack else 0, any(s[1] for s in stack[:dropped]), heading))
+            found.append(Block(text, linked, stack[-1][2] if stack else 0, any(s[1] for s in stack[:dropped]), heading, tuple(s[3] for s in stack)))
         parts, linked = [], 0
 
     def leave(depth: int) -> None:
@@ -146,7 +150,7 @@ def blocks(page: str) -> list[Block]:
             elif (tag in DROPPED or tag in CONTAINERS or tag in HOLDS_BLOCKS) and not m[4].endswith("/"):
                 if dropped is None:
                     dropped = len(stack)
-                stack.append((tag, True, stack[-1][2] if stack else 0))
+                stack.append((tag, True, stack[-1][2] if stack else 0, -1))
             continue
         if tag == "a":
             in_link = 0 if m[2] else 1
@@ -170,7 +174,8 @@ def blocks(page: str) -> list[Block]:
             if tag in MAIN and not inside:
                 mains += 1
                 inside = mains
-            stack.append((tag, unwanted(tag, m[4], bool(inside)), inside))
+            opens += 1
+            stack.append((tag, unwanted(tag, m[4], bool(inside)), inside, -1 if tag in WHOLE else opens))
     add(page[at:])
     close()
     return found
@@ -207,6 +212,24 @@ def classified(found: list[Block]) -> None:
         for b in found:
             if not b.main:
                 b.label = False
+    elif (body := holder(found)) is not None:
+        for b in found:
+            if body in b.inside:
+                b.main = b.main or -1
+                b.label = first_pass(b, known)
+            else:
+                b.label = False
+
+
+def holder(found: list[Block]) -> int | None:
+    """The innermost element, but for the page itself, that holds nearly all text that the first pass accepts."""
+    held: dict[int, int] = {}
+    total = sum(len(b.text) for b in found if b.label)
+    for b in found:
+        if b.label:
+            for e in {*b.inside} - {-1}:
+                held[e] = held.get(e, 0) + len(b.text)
+    return max((e for e, n in held.items() if n >= MOST_IN_ONE * total), default=None)
 
 
 def second_pass(found: list[Block]) -> list[bool]:

@@ -1,6 +1,7 @@
 import html
 import re
 import time
+from collections import Counter
 
 from tallyweave.llm import mainhtml
 from tallyweave.llm.queries import op6_html_extraction
@@ -94,3 +95,39 @@ def test_stop_words_decide_long_blocks():
     assert mainhtml.main_text(page).split("\n") == [PROSE.strip()] * 2
     assert mainhtml.main_text(f"<body><article><p>{PROSE}</p><p>{names}</p></article></body>").split("\n") == [PROSE.strip(), names.strip()]
     assert mainhtml.main_text(f"<body><p>{names}</p></body>") == names.strip()  # no language that the list knows
+
+
+def stripped(page):
+    """A page without names: articles are plain elements, and class, id and role are gone."""
+    page = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page, flags=re.IGNORECASE)
+    for _ in range(3):
+        page = re.sub(r"(<[a-zA-Z][^>]*?)\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", r"\1", page)
+    return page
+
+
+def compared(pages):
+    """(share of the articles' characters that stays, foreign characters by them) on pages without names."""
+    kept = foreign = whole = 0
+    for page in pages:
+        inside = re.search(r"<article\b.*?</article>", page, re.DOTALL | re.IGNORECASE)
+        want = Counter(mainhtml.main_text(inside[0]).split("\n"))
+        got = Counter(mainhtml.main_text(stripped(page)).split("\n"))
+        kept += sum(len(x) * n for x, n in (want & got).items())
+        foreign += sum(len(x) * n for x, n in (got - want).items())
+        whole += sum(len(x) * n for x, n in want.items())
+    return kept / whole, foreign / whole
+
+
+def test_density_decides_where_names_are_gone(spark, sf_dir, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").where("html like '%<article%</article>%'").collect()]
+    kept, foreign = compared(pages)
+    assert kept >= 0.95 and foreign < 0.005, (kept, foreign)
+    monkeypatch.setattr(mainhtml, "STOPS_LOW", 2.0)
+    monkeypatch.setattr(mainhtml, "STOPS_HIGH", 2.0)
+    assert compared(pages)[1] > max(0.01, 3 * foreign)  # without stop words nothing tells notices from prose
+
+
+def test_repeated_rows_and_empty_table(spark):
+    df = spark.createDataFrame([("<p>Of the and to a in that is was for it with as his on be at by.",)] * 3, "html string")
+    assert len({r.text for r in mainhtml.extract(df).collect()}) == 1 and mainhtml.extract(df).count() == 3
+    assert mainhtml.extract(df.where("false")).collect() == []
