@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import blocks, facts, pools, returns, texts
+from . import blocks, evidences, facts, pools, returns, texts
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP: Query = facts.shared_topn_residual
-__all__ = ["FLAGSHIP", "blocks", "facts", "oracle_sql", "pools", "queries", "returns", "texts"]
+__all__ = ["FLAGSHIP", "blocks", "evidences", "facts", "oracle_sql", "pools", "queries", "returns", "texts"]
 
 
 def queries() -> dict[str, Query]:
