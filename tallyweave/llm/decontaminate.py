@@ -186,7 +186,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text leaks any item; columns unchanged."""
+    """``docs`` without the rows whose text leaks any item; columns unchanged.
+
+    Null and empty texts leak nothing and stay; very long ones are searched
+    whole.  Null and empty items match nothing, repeated ones match once.
+    Repeated rows share their fate, and ids are not looked at; columns may
+    have any name.  Empty tables of either kind give ``docs`` as it is.
+    """
     key = free_name(docs, "text_key")
     found = leaks(docs, benchmark, text=text, **options).select(F.col("text_key").alias(key)).distinct()
     return docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(sized(found), key, "left_anti").select(*docs.columns)

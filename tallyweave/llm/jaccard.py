@@ -472,8 +472,10 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 8, den: int = 10, k: int = 5) -> DataFrame:
     """``df`` without all rows but one of each class: the smallest doc_id stays.
 
-    Rows without words are all kept.  Among rows that tie in doc_id and
-    text exactly one stays.
+    Rows without words, null and empty texts among them, are all kept.  Among
+    rows that tie in doc_id and text exactly one stays; null ids come last.
+    Very long texts are compared whole; other columns pass through, whatever
+    their names.  An empty table gives an empty one.
     """
     linked, brief = classes(df, F.col(text), num, den, k, boilerplate=True)
     node, n, rn, keep_node, keep_id, x = (free_name(df, c) for c in ("node", "n_sh", "rn", "keep_node", "keep_id", "described"))

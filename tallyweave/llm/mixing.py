@@ -125,13 +125,25 @@ def decided(rows: DataFrame, n: dict[str, str], doc_id: str, source: str, lang:
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``df``, columns unchanged."""
+    """The sampled rows of ``df``, columns unchanged.
+
+    Null sources, languages and topics are categories of their own.  Texts
+    without words (null and empty ones too) have no tokens to weigh and stay;
+    very long ones count with all their tokens.  The draw depends on the id,
+    so rows with equal ids share their fate, whatever their texts; null ids
+    are one id.  An empty table gives an empty one.
+    """
     rows, n = with_decisions(df, **options)
     return rows.where(F.col(n["kept"])).select(*df.columns)
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, rate: float = RATE, seed: int = 7) -> DataFrame:
-    """A row for each document: its cell, tokens, probability and decision; texts are read once."""
+    """A row for each document: its cell, tokens, probability and decision; texts are read once.
+
+    Null and empty texts have no tokens and are kept; null categories are
+    categories; repeated rows come back as often as they are there, with equal
+    decisions.  Other columns are not read.
+    """
     prepare(df.sparkSession)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(lang).alias("lang"), n_words(F.col(text)).alias("tokens"), F.col(text).alias("text"), *([F.col(topic).alias("topic")] if topic else []))
     kind = F.col("topic") if topic else shape(F.col("text"), F.col("tokens"))

@@ -173,13 +173,23 @@ def judged_by(df: DataFrame, measured: DataFrame, m: str, kept: str, lang: str,
 
 
 def quality_filter(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 100, spread: int = 3) -> DataFrame:
-    """The rows that the rules keep, with the columns of ``df`` unchanged."""
+    """The rows that the rules keep, with the columns of ``df`` unchanged.
+
+    Null and empty texts fail the base rules and go; very long ones are
+    measured whole.  Null languages and sources are groups of their own, and
+    small groups take the fences of all rows.  Repeated rows share their fate;
+    columns may have any name.  An empty table gives an empty one.
+    """
     out, _, kept = judged(df, text, lang, source, min_docs, spread)
     return out.where(F.col(kept)).select(*[out[c] for c in df.columns])
 
 
 def quality_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 100, spread: int = 3) -> DataFrame:
-    """A row for each document: measures and verdicts, without its text."""
+    """A row for each document: measures and verdicts, without its text.
+
+    A null text has no words, fails the base rules and is not kept; repeated
+    rows come back as often as they are there.  Other columns are not read.
+    """
     prepare(df.sparkSession)
     narrow = written(df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), measures(F.col(text)).alias("m")), "quality")
     out, m, kept = judged_by(narrow, narrow, "m", "kept", "lang", "source", ("l_key", "s_key", "fence"), min_docs, spread)

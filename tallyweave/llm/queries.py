@@ -23,7 +23,7 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = fresh_path(spark, "token-files")
-    tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1, apart=True, lower=True)
     read = tokens.read_tokens(spark, path)
     return read.select("doc_id", "start", "n_tokens", tokens.ids_crc32("tokens").alias("ids_crc32"))
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .runindex import MOST_TEXTS, RunIndex
-from .runtime import prepare, written
+from .runtime import fresh_path, prepare, written
 
 GROUP_BYTES = 1 << 20
 INDEX_BYTES = 1 << 20
@@ -277,14 +277,14 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     Null texts are empty; rows with equal texts repeat each other, whatever
     their ids; texts shorter than ``length`` have nothing to remove, very long
     ones are cut whole, in one task.  Other columns are not read.  Spans are half-open byte
-    ranges that neither overlap nor touch.  ``table`` is a scratch table of
-    the session's warehouse, to be dropped when the result has been used.
+    ranges that neither overlap nor touch.  ``table`` is a scratch table in
+    the shared folder, to be dropped when the result has been used.
     """
     spark = prepare(df.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     table = f"tallyweave_texts_{uuid.uuid4().hex}"
-    rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).write.bucketBy(n, "key").sortBy("key").format("parquet").saveAsTable(table)
+    rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).write.bucketBy(n, "key").sortBy("key").format("parquet").option("path", fresh_path(spark, "distinct-texts")).saveAsTable(table)
     texts = spark.table(table)
     narrow = rows.select("doc_id", "key")
 

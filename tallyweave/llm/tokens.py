@@ -134,6 +134,21 @@ def encoder(path: str, apart: bool, lower: bool) -> WordEncoder:
     return WordEncoder(path, apart, lower)
 
 
+#: Texts that tell tokenizers apart: white space of all kinds, case, stops, marks, digits, other scripts, special strings.
+PROBES = (
+    "Hello, World. It's 3.14 (or so)!\nNew line\tand  two blanks ", "ÄÖÜ straße Über naïve café É", "THE end.Not the END. U.S.A. a.b.c", "x=1;y=2 #tag @user a_b-c/d\\e", "日本語 テキスト и русский العربية", "don't stop... we'll \"quote\" 'it'", "<|endoftext|> </s> [CLS] <unk>",
+    "emoji 😀 e\u0301 \u00a0nbsp", "1,234,567.89 10% $5 2020-01-31", "ALLCAPS MixedCase lower A.", " leading and trailing ", "tab\there\x0bvertical\x0cfeed\r\n", "",
+)
+
+
+def check_words(vocabulary: str, lower: bool) -> None:
+    """Raises where encoding word by word differs from encoding whole texts."""
+    probes = pa.array(PROBES)
+    (a, i), (b, j) = WordEncoder(vocabulary, True, lower)(probes), WordEncoder(vocabulary, False, False)(probes)
+    if not (np.array_equal(a, b) and np.array_equal(i, j)):
+        raise ValueError(f"{vocabulary} does not cut at white space before it merges{' or tells capitals apart' if lower else ''}: encode whole texts")
+
+
 def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """An end id after each document."""
     if end_id is None:
@@ -157,15 +172,22 @@ def encoded(path: str, end_id: int | None, apart: bool, lower: bool):
     return run
 
 
-def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = (), apart: bool = True, lower: bool = True, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 2000) -> None:
+def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = (), apart: bool = False, lower: bool = False, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 2000) -> None:
     """Encode every row of ``df`` and write the folder ``path``.
 
     Rows come in ascending doc_id order, null doc_ids first, rows with equal
     doc_ids by a hash of their text; equal rows are all written.  A null or
-    empty text has no ids but the end id.  Metadata columns may have any name:
-    they go into a struct.  An empty table gives an empty folder.
+    empty text has no ids but the end id; a very long one is encoded whole, by
+    one task.  Metadata columns may have any name: they go into a struct; other
+    columns are left out.  An empty table gives an empty folder.
+
+    Texts are encoded whole.  ``apart`` and ``lower`` encode each distinct word
+    once, which is right for some tokenizers only (see ``WordEncoder``): one
+    that gives other ids for ``PROBES`` is refused.
     """
     spark = prepare(df.sparkSession)
+    if apart:
+        check_words(vocabulary, lower)
     meta = F.struct(*[F.col(c) for c in metadata]) if metadata else F.struct(F.lit(None).cast("int").alias("none"))
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), meta.alias("meta"), F.xxhash64(text).alias("h"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

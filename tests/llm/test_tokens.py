@@ -39,7 +39,7 @@ def test_round_trip_and_layout(spark, encoding, tmp_path):
     docs = [(i * 7 % 50, t, "m") for i, t in enumerate(ODD * 4)] + [(None, "null id", "m")]
     df = spark.createDataFrame(docs, "doc_id long, text string, shard string")
     path = f"file://{tmp_path}/{encoding}"
-    tokens.write_tokens(df, path, VOCABULARY, end_id=1, metadata=("shard",), encoding=encoding)
+    tokens.write_tokens(df, path, VOCABULARY, end_id=1, metadata=("shard",), encoding=encoding, apart=True, lower=True)
     got = tokens.read_tokens(spark, path, ("tokens", "meta.shard")).orderBy("start").collect()
     assert len(got) == len(docs) and got[0].doc_id is None and got[0].shard == "m"
     t, at = Tokenizer.from_file(VOCABULARY), 0
@@ -55,6 +55,21 @@ def test_round_trip_and_layout(spark, encoding, tmp_path):
     assert ("DELTA_BINARY_PACKED" in column.encodings) == (encoding == "delta") and column.has_offset_index
 
 
+def test_whole_texts_by_default_and_words_only_where_right(spark, tmp_path):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", "Hello, World. It's  3.14!", "tab\there\nA.B"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n, vocabulary in enumerate((VOCABULARY, other)):
+        path = f"file://{tmp_path}/whole{n}"
+        tokens.write_tokens(df, path, vocabulary)
+        t = Tokenizer.from_file(vocabulary)
+        assert [r.tokens for r in tokens.read_tokens(spark, path).orderBy("doc_id").collect()] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    tokens.check_words(VOCABULARY, True)
+    for lower in (True, False):
+        with pytest.raises(ValueError, match="whole texts"):
+            tokens.write_tokens(df, f"file://{tmp_path}/never", other, apart=True, lower=lower)
+
+
 def test_empty_table(spark):
     path = fresh_path(spark, "none")
     tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, VOCABULARY)
