@@ -37,6 +37,12 @@ BALANCE = ("cash", "accounts_receivable", "inventory", "other_current_assets", "
 # Caps of confidence.
 CAP_SUSPICIOUS, CAP_RESIDUAL, CAP_ZERO, CAP_SUBTRACTIVE, CAP_SINGLE, CAP_HIGH, CAP_TRUSTED, CAP_AGREED = 42, 58, 68, 78, 85, 92, 95, 99
 DEFAULT_CONFIDENCE, LEAST_CONFIDENCE = 70, 65
+# What is said of odd values, and of profits that do not close.
+ODD_VALUE = "Likely form line number or OCR noise — verify"
+ODD_FIELDS = {"depreciation": "Value looks like OCR noise or form line number — verify", "amortization": "Value looks like balance-sheet line or OCR noise — verify"}
+PROFITS, PROFIT_FLAG, OPEN_PROFIT = ("net_profit_before_taxes", "net_income", "operating_profit"), "math-warning — workbook total vs Form ordinary income", r"(?i)P&L does not close|Net income .+ ≠ Form ordinary"
+#: Fields of a form at most.
+MOST_FIELDS = 1000
 
 
 def said(source: Column) -> Column:
@@ -220,13 +226,17 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
 
     ``fields`` lists the input fields, ``warnings`` has (keys, year, warning).
     A field without a value is ``missing``.  One row for each sheet and field
-    goes through one join with the counts of its reads.
+    goes through one join with the counts of its reads.  Cells may have a
+    column ``persisted``, an agreement found before, which counts where a cell
+    has no reads.  Sheets whose profit does not close by a warning have rows
+    of their profits too, without values, with the warning's flag and tier.
     """
     on = [*keys, year]
     closed = r"P&L does not close|other_operating_expenses may be wrong"
     sheets = cells.select(*on).distinct()
-    grid = sheets.join(F.broadcast(fields.select("field_id")))  # the fields of a form: a fixed list
-    rows = grid.join(cells.select(*on, "field_id", "value", "confidence", "source"), [*on, "field_id"], "left")
+    grid = sheets.withColumn("field_id", F.explode(F.array(*map(F.lit, listed(fields)))))
+    persisted = F.col("persisted") if "persisted" in cells.columns else F.lit(0)
+    rows = grid.join(cells.select(*on, "field_id", "value", "confidence", "source", persisted.cast("long").alias("persisted")), [*on, "field_id"], "left")
     rows = agreement(rows, snapshots, on)
     across = cross_field_flags(cells, keys, year).groupBy(*on, "field_id").agg(F.array_sort(F.collect_set("flag")).alias("across"))
     rows = rows.join(across, [*on, "field_id"], "left")
@@ -242,7 +252,7 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
     line18, closes, subtractive = f["line18"], f["closes"], f["subtractive"]
     rows = rows.withColumn("__odd", suspicious(field, value, source, y, f)).withColumn("isolated", line18 & (F.col("agree_paired") == 0))
     isolated, material = F.col("isolated"), F.col("material")
-    agree = F.when(isolated, F.col("agree_paired")).otherwise(F.col("agree"))
+    agree = F.when(F.col("reads") == 0, F.coalesce("persisted", F.lit(0))).when(isolated, F.col("agree_paired")).otherwise(F.col("agree"))
     single, residual, odd = ~line18 & trusted_single(conf, f), f["residual"], F.col("__odd")
     alone = F.when(agree < 2, decided([
         ("OCR label match only — no corroboration", (fam == "ocr") | f["weak"]),
@@ -257,7 +267,8 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
         F.when(other & subtractive & ~closes, F.lit("formula-disagreement — subtractive vs detail lines may diverge")),
         F.when(other & residual & F.col("unclosed"), F.lit("Residual opex — verify against statement detail")),
         F.when(other & F.col("unclosed"), F.lit("P&L does not close to Form ordinary income — verify other opex")),
-        F.when(odd, F.lit("Likely form line number or OCR noise — verify")),
+        F.when(odd, F.lit(ODD_VALUE)),
+        *[F.when(odd & (field == name), F.lit(text)) for name, text in ODD_FIELDS.items()],
         F.when(material, F.col("other_reads")),
     )
     flags = F.when(value.isNotNull(), F.array_union(F.coalesce("across", F.array().cast("array<string>")), F.array_compact(own))).otherwise(F.array().cast("array<string>"))
@@ -269,7 +280,22 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
     review = hard | odd | material | (conf < LEAST_CONFIDENCE) | ((fam == "ocr") & (agree < 2)) | f["weak"] | isolated | weakly
     status = F.when(value.isNull(), "missing").when(review, "review").otherwise("verified")
     tier = trust_tier(value, source, conf, F.col("shown"), F.col("agreement"), F.col("flags"), odd, f)
-    return rows.select(*on, "field_id", "value", F.array_sort("flags").alias("flags"), status.alias("status"), F.when(value.isNotNull(), F.col("shown")).alias("confidence"), F.when(value.isNotNull(), F.col("agreement")).alias("agreement"), tier.alias("tier"))
+    out = rows.select(*on, "field_id", "value", F.array_sort("flags").alias("flags"), status.alias("status"), F.when(value.isNotNull(), F.col("shown")).alias("confidence"), F.when(value.isNotNull(), F.col("agreement")).alias("agreement"), tier.alias("tier"))
+    return out if warnings is None else out.unionByName(profit_rows(warnings, on), allowMissingColumns=True)
+
+
+def profit_rows(warnings: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of the profits of sheets that do not close by a warning, flagged and with its tier."""
+    open_sheets = warnings.where(F.col("warning").rlike(OPEN_PROFIT)).select(*on).distinct()
+    return open_sheets.select(*on, F.explode(F.array(*map(F.lit, PROFITS))).alias("field_id"), F.array(F.lit(PROFIT_FLAG)).alias("flags"), F.lit("math-warning").alias("tier"))
+
+
+def listed(fields: DataFrame) -> list[str]:
+    """The names of a form's fields, which are a short list."""
+    names = [r.field_id for r in fields.select("field_id").distinct().limit(MOST_FIELDS + 1).collect()]
+    if len(names) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields")
+    return names
 
 
 def picked_read(snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -205,6 +205,7 @@ f as (select *, list_sort(list_filter([
   case when agree >= 2 then null when fam = 'ocr' then 'OCR label match only — no corroboration' when subt then 'Subtractive formula — verify against detail lines' when l18 and n_reads > 0 and material then 'Statement Line 18 — corroborating source disagrees' when not resid and not single and not closes then 'Low-trust source — verify manually' end,
   case when field_id = 'other_operating_expenses' and subt then 'formula-disagreement — subtractive vs detail lines may diverge' end,
   case when odd then 'Likely form line number or OCR noise — verify' end,
+  case when odd and field_id = 'depreciation' then 'Value looks like OCR noise or form line number — verify' end, case when odd and field_id = 'amortization' then 'Value looks like balance-sheet line or OCR noise — verify' end,
   case when material then others end], lambda x: x is not null)) as flags,
   least(conf, case when resid then 58 when isolated then 85 when agree >= 2 then 99 when material then 85 when single then case when conf >= 92 then 92 else 95 end when closes then 95 when subt then 78 else 85 end) as shown from q),
 h as (select *, len(list_filter(flags, lambda x: contains(x, 'exceeds sales') or contains(x, 'does not balance') or contains(x, 'formula-disagreement'))) > 0 as hard from f)
