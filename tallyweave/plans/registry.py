@@ -27,7 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Narrow rows dealt over all cores for a costly step, where their files make fewer splits than there are cores."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows dealt over all cores for a costly step.
+
+    With ``keys`` by them, for windows that need that shuffle anyway and would
+    else run in as few tasks as the rows' size asks for; without, only where
+    the files make fewer splits than there are cores.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if keys:
+        return rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
