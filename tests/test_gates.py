@@ -23,7 +23,7 @@ def test_gated_patterns_find_what_plain_ones_find(spark):
     assert set(odd) == {0}
 
 
-def test_pieces():
+def test_pieces(spark):
     assert pieces(r"(?i)other\s+(?:deduct|ions|expense)") == ("other",)
     assert pieces(r"(?i)totals?\s*2|stmt") == ("stmt", "total")
     assert pieces(r"\d+|other") is None and pieces(r"(?:other)?x") is None
