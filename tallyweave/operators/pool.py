@@ -2,8 +2,8 @@
 
 Pool lines are (sheet keys, ord, label, amount, source).  Every line that does
 not end up in the pool keeps the reason why, so each rewrite can be traced.
-The best line of a group is found by one aggregation; the passes then work on
-a line for each group, as windows over the sheet that all share one exchange.
+Lines are dealt out by sheet and judged once; the best line of a group is found
+by a window, and the passes are windows over the sheet that share that exchange.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts as A
 from ..functions import labels as L
 from ..functions.labels import POSITION_LABEL, ROW, blanks, is_anchor, is_footer
+from .dealing import spread
 from .rules import illogical
 
 # Repairs of labels as scans spoil them, in order.
@@ -239,17 +240,27 @@ def judged(lines: DataFrame, sheet: Sequence[str], year: Column, anchors: Mappin
 
 
 def best_of_groups(rows: DataFrame, sheet: Sequence[str]) -> DataFrame:
-    """The best line of each group: plain utilities, then quality, of equal ones the first; ``ord`` is that of the group's first line."""
-    line = F.struct("label", "amount", "source", "category", "rest")
-    rows = rows.withColumn("quality", quality(line))
+    """Lines without a reason that are not the best of their group get one: plain utilities, then quality, of equal ones the first.
+
+    ``ord`` of the best line becomes that of the group's first line.  Other
+    lines keep their reason, and no line is left out.
+    """
+    live = F.col("reason").isNull()
+    rows = rows.withColumn("quality", quality(F.struct("label", "amount", "source", "category", "rest")))
     plain = ((F.col("category") == "utilities") & F.col("label").rlike(r"(?i)^utilities\b")).cast("int")
-    kept = F.struct("label", "amount", "source", "category", "rest", "quality")
-    return rows.groupBy(*sheet, "key").agg(F.min("ord").alias("ord"), F.max_by(kept, F.struct(F.coalesce(plain, F.lit(0)).alias("plain"), "quality", (-F.col("ord")).alias("ord"))).alias("l")).select(*sheet, "key", "ord", "l.*")
+    rows = rows.withColumn("__order", F.when(live, F.struct(F.coalesce(plain, F.lit(0)).alias("plain"), "quality", (-F.col("ord")).alias("ord"), F.struct("label", "amount", "source").alias("line"))))
+    w = Window.partitionBy(*sheet, "key")
+    rows = rows.withColumns({"__best": F.max("__order").over(w), "__ord": F.min(F.when(live, F.col("ord"))).over(w)})
+    best = F.col("__order").eqNullSafe(F.col("__best"))
+    rows = rows.withColumn("reason", F.when(live & ~best, "another line of its group").otherwise(F.col("reason")))
+    return rows.withColumn("ord", F.when(F.col("reason").isNull(), F.col("__ord")).otherwise(F.col("ord"))).drop("__order", "__best", "__ord")
 
 
 def override_passes(groups: DataFrame, sheet: Sequence[str], taxes: Column) -> DataFrame:
     """The rewrite passes over a sheet's groups, in order; ``reason`` names the pass that drops a line.
 
+    Lines that have a reason before take no part and keep it.
+
     1. A category's line and its worksheet row become one, under the row.
     2. A scan's repairs go where a form or statement has some.
     3. A statement's rent goes where a worksheet or form has one.
@@ -262,7 +273,7 @@ def override_passes(groups: DataFrame, sheet: Sequence[str], taxes: Column) -> D
     line = F.struct("key", "label", "amount", "source", "category", "quality", "ord")
     key, category, source = F.col("key"), F.col("category"), F.col("source")
     alive = F.col("reason").isNull()
-    rows = groups.withColumn("reason", F.lit(None).cast("string"))
+    rows = groups
 
     def drop(rows: DataFrame, test: Column, name: str) -> DataFrame:
         return rows.withColumn("reason", F.when(alive & F.coalesce(test, F.lit(False)), name).otherwise(F.col("reason")))
@@ -283,9 +294,9 @@ def override_passes(groups: DataFrame, sheet: Sequence[str], taxes: Column) -> D
     both = F.col("__row").isNotNull() & F.col("__cat").isNotNull()
     label_ok = F.col("__cat.label").rlike(EXPENSE_WORD) & ~is_anchor(F.col("__cat.label"))
     take = ((F.col("__row.amount") != F.col("__cat.amount")) & F.col("__cat.source").rlike(ITEMIZED) & F.col("__row.source").rlike(ANY_ROW) & label_ok) | better(F.col("__cat"), F.col("__row"))
-    rows = rows.withColumn("__take", F.when(both, take))
-    rows = rows.withColumn("reason", F.when(F.col("__take") & key.startswith("row:"), "merged into its row").when(~F.col("__take") & key.startswith("cat:"), "merged into its row"))
+    rows = rows.withColumn("__take", F.when(both & alive, take))
     moved = F.coalesce(F.col("__take") & key.startswith("cat:"), F.lit(False))
+    rows = drop(rows, (F.col("__take") & key.startswith("row:")) | (~F.col("__take") & key.startswith("cat:")), "merged into its row")
     rows = rows.withColumn("ord", F.when(moved, F.col("__row.ord")).otherwise(F.col("ord"))).withColumn("key", F.when(moved, F.col("__row.key")).otherwise(key)).drop("__row", "__cat", "__take")
 
     ref = first((category == "repairs") & source.rlike(r"(?i)form\s*1120|statement\s*\d|stmt\s*\d"))
@@ -324,13 +335,10 @@ def rank_pool(lines: DataFrame, slots: DataFrame, sheet: Sequence[str], year: st
     anchors = ("sales", "cogs", "gross_fixed_assets", "inventory", "officer_compensation", "salaries_wages")
     taxes = F.max(F.when((F.col("field_id") == "taxes_licenses") & said(F.col("source")).rlike(TAX_SOURCE), A.whole(F.abs(F.col("value").cast("double")))))
     wide = slots.groupBy(*sheet).agg(*[of(f).alias(f"__{f}") for f in anchors], taxes.alias("__taxes"))
-    rows = with_slots(lines.withColumn("label", F.coalesce("label", F.lit(""))), slots, sheet, titles).groupBy(*sheet, "label", "amount", "source").agg(F.min("ord").alias("ord"), F.max("replaced").alias("replaced")).join(wide, list(sheet), "left")
-    rows = judged(rows, sheet, F.col(year), {f: F.col(f"__{f}") for f in anchors})
-    groups = best_of_groups(rows.where("reason is null"), sheet).join(wide.select(*sheet, "__taxes"), list(sheet), "left")
-    passed = override_passes(groups, sheet, F.col("__taxes"))
-    out = [*sheet, "ord", "key", "label", "amount", "source", "rest", "reason"]
-    beaten = rows.where("reason is null").join(groups.select(*sheet, "key", F.struct("label", "amount", "source").alias("__best")), [*sheet, "key"]).where(~F.struct("label", "amount", "source").eqNullSafe(F.col("__best"))).withColumn("reason", F.lit("another line of its group"))
-    return passed.select(*out).unionByName(rows.where("reason is not null").select(*out)).unionByName(beaten.select(*out))
+    rows = with_slots(lines.withColumn("label", F.coalesce("label", F.lit(""))), slots, sheet, titles)
+    rows = spread(rows, *sheet).groupBy(*sheet, "label", "amount", "source").agg(F.min("ord").alias("ord"), F.max("replaced").alias("replaced")).join(wide, list(sheet), "left")
+    rows = best_of_groups(judged(rows, sheet, F.col(year), {f: F.col(f"__{f}") for f in anchors}), sheet)
+    return override_passes(rows, sheet, F.col("__taxes")).select(*sheet, "ord", "key", "label", "amount", "source", "rest", "reason")
 
 
 def partition_rest(pool: DataFrame, tops: DataFrame, totals: DataFrame, sheet: Sequence[str]) -> DataFrame:
