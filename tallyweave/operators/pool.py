@@ -214,8 +214,9 @@ def judged(lines: DataFrame, sheet: Sequence[str], year: Column, anchors: Mappin
     """Pool lines with category, group, ``rest`` (for the remainder only) and ``reason``, why a line does not count."""
     w = Window.partitionBy(*sheet)
     rows = lines.withColumn("amount", A.whole(F.abs(F.col("amount").cast("double")))).withColumn("source", said(F.col("source"))).withColumn("category", L.expense_category(F.col("label")))
-    label, source, category, amount = repaired(F.col("label")), F.col("source"), F.col("category"), F.col("amount")
-    rows = rows.withColumn("__label", label)
+    source, category, amount = F.col("source"), F.col("category"), F.col("amount")
+    # long chains of patterns stand inside ``let``: inlined into one generated method they are too long to be compiled
+    rows = rows.withColumn("__label", A.let(F.col("label"), repaired))
     label = F.col("__label")
     detail, fine = source.rlike(STATEMENT_DETAIL), keepable(amount)
     # what other lines of the sheet say
@@ -236,7 +237,7 @@ def judged(lines: DataFrame, sheet: Sequence[str], year: Column, anchors: Mappin
     rest = fine & (source.contains(CRUMB) | crumb | doubled | label.rlike(PAGE_ONE))
     rows = rows.withColumn("reason", reason).withColumn("rest", F.coalesce(rest, F.lit(False)) & F.col("reason").isNull())
     rows = rows.withColumn("source", F.when(F.col("rest") & ~source.contains(CRUMB), F.concat_ws(" ", F.coalesce(F.nullif(source, F.lit("")), F.lit("expense")), F.lit(CRUMB))).otherwise(source))
-    return rows.withColumn("key", group_key(F.col("label"), F.col("source"), category, amount)).drop("__label")
+    return rows.withColumn("key", A.let(F.struct("label", "source", "category", "amount"), lambda x: group_key(x["label"], x["source"], x["category"], x["amount"]))).drop("__label")
 
 
 def best_of_groups(rows: DataFrame, sheet: Sequence[str]) -> DataFrame:
@@ -246,7 +247,7 @@ def best_of_groups(rows: DataFrame, sheet: Sequence[str]) -> DataFrame:
     lines keep their reason, and no line is left out.
     """
     live = F.col("reason").isNull()
-    rows = rows.withColumn("quality", quality(F.struct("label", "amount", "source", "category", "rest")))
+    rows = rows.withColumn("quality", F.when(live, A.let(F.struct("label", "amount", "source", "category", "rest"), quality)))
     plain = ((F.col("category") == "utilities") & F.col("label").rlike(r"(?i)^utilities\b")).cast("int")
     rows = rows.withColumn("__order", F.when(live, F.struct(F.coalesce(plain, F.lit(0)).alias("plain"), "quality", (-F.col("ord")).alias("ord"), F.struct("label", "amount", "source").alias("line"))))
     w = Window.partitionBy(*sheet, "key")
@@ -285,7 +286,7 @@ def override_passes(groups: DataFrame, sheet: Sequence[str], taxes: Column) -> D
         """Lines that the reference beats go; it goes itself if one is not beaten."""
         rows = rows.withColumn("__ref", ref)
         other = F.coalesce(alive & others & (key != F.col("__ref.key")) & F.col("__ref").isNotNull(), F.lit(False))
-        rows = rows.withColumn("__beaten", F.when(other, better(F.col("__ref"), line)))
+        rows = rows.withColumn("__beaten", F.when(other, A.let(F.struct(F.col("__ref").alias("a"), line.alias("b")), lambda x: better(x["a"], x["b"]))))
         lost = F.coalesce((key == F.col("__ref.key")) & F.max(F.when(~F.col("__beaten"), 1)).over(w).isNotNull(), F.lit(False))
         return drop(rows, F.col("__beaten") | lost, name).drop("__ref", "__beaten")
 
