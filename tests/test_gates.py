@@ -31,9 +31,9 @@ def test_pieces(spark):
 
 
 def test_lines_of_the_block_queries_are_dealt_over_all_cores(spark, sf_dir):
-    """A shuffle of small rows that are widened later was read by one task."""
+    """A shuffle of small rows that are widened or judged later was read by one task."""
     cores = spark.sparkContext.defaultParallelism
-    for name in ("statement_total", "block_buckets", "page_block"):
+    for name in ("statement_total", "block_buckets", "page_block", "rank_pool"):
         df = catalogue.queries()[name](spark, sf_dir)
         df.collect()
         assert df.rdd.getNumPartitions() >= cores, name
