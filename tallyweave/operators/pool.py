@@ -349,18 +349,22 @@ def partition_rest(pool: DataFrame, tops: DataFrame, totals: DataFrame, sheet: S
     top rows and ``totals`` (sheet, total).  Amortization leaves the total
     first; a statement's line counts as inside if its amount is a top row's,
     each amount once.  Without a total, or where more is inside than it has,
-    the rest is the pool without the top rows.  It is never below 0.
+    the rest is the pool without the top rows.  It is never below 0.  All three
+    are brought together by unions, which leave inputs that were dealt by the
+    same keys where they lie.
     """
     label, source, amount = blanks(F.col("label")), said(F.col("source")), F.col("amount")
     detail = source.rlike(STATEMENT_DETAIL)
     written_off = label.rlike(r"(?i)^amortization\b")
-    top = tops.select(*sheet, F.col("amount").alias("amount")).where(keepable(F.col("amount")))
-    counted = pool.withColumn("__off", detail & written_off & (amount > 99) & ((amount != 100) | source.rlike(r"(?i)form\s*4562")) & keepable(amount)).withColumn("__in", detail & ~written_off)
-    distinct = counted.groupBy(*sheet, "amount").agg(F.max("__off").alias("off"), F.max("__in").alias("in"), F.count("*").alias("n"))
-    marked = distinct.join(top.distinct().withColumn("__top", F.lit(True)), [*sheet, "amount"], "left")
-    sums = marked.groupBy(*sheet).agg(F.coalesce(F.sum(F.when(F.col("off"), F.col("amount"))), F.lit(0)).alias("__off"), F.coalesce(F.sum(F.when(F.col("in") & F.col("__top"), F.col("amount"))), F.lit(0)).alias("inside"), F.sum(F.col("amount") * F.col("n")).alias("__pool"))
-    tops_sum = top.groupBy(*sheet).agg(F.sum("amount").alias("__tops"))
-    rows = sums.join(totals.select(*sheet, "total"), list(sheet), "left").join(tops_sum, list(sheet), "left").withColumn("total", F.when(F.col("total").isNotNull(), F.greatest(F.lit(0), F.col("total") - F.col("__off"))))
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in sheet])
+    top = tops.where(keepable(F.col("amount")) & known).select(*sheet, "amount", F.lit(1).alias("top"))
+    counted = pool.select(*sheet, "amount", (detail & written_off & (amount > 99) & ((amount != 100) | source.rlike(r"(?i)form\s*4562")) & keepable(amount)).alias("off"), (detail & ~written_off).alias("in"), F.lit(1).alias("n"))
+    distinct = counted.unionByName(top, allowMissingColumns=True).groupBy(*sheet, "amount").agg(F.max("off").alias("off"), F.max("in").alias("in"), F.count("n").alias("n"), F.count("top").alias("top"))
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("amount"))), F.lit(0))
+    sums = distinct.groupBy(*sheet).agg(of(F.col("off")).alias("__off"), of(F.col("in") & (F.col("top") > 0)).alias("inside"), F.sum(F.when(F.col("n") > 0, F.col("amount") * F.col("n"))).alias("__pool"), F.sum(F.col("amount") * F.col("top")).alias("__tops"), F.max(F.when(F.col("n") > 0, 1)).alias("__there"))
+    both = sums.unionByName(totals.where(known).select(*sheet, "total"), allowMissingColumns=True)
+    rows = both.groupBy(*sheet).agg(*[F.max(c).alias(c) for c in ("__off", "inside", "__pool", "__tops", "__there", "total")]).where("__there = 1")
+    rows = rows.withColumn("total", F.when(F.col("total").isNotNull(), F.greatest(F.lit(0), F.col("total") - F.col("__off"))))
     split = keepable(F.col("total")) & keepable(F.col("inside")) & (F.col("total") >= F.col("inside"))
     rest = F.when(split, F.col("total") - F.col("inside")).otherwise(F.greatest(F.lit(0), F.col("__pool") - F.coalesce("__tops", F.lit(0))))
     said_ = F.when(split, "Operating expenses (stmt total − stmt lines in top-8)").otherwise("Operating expenses residual (sum(pool) − sum(top-8))")

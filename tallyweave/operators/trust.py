@@ -83,9 +83,18 @@ def with_facts(df: DataFrame, source: str = "source") -> tuple[DataFrame, dict[s
 
 
 def suspicious(field: Column, value: Column, source: Column, year: Column, facts: dict[str, Column] | None = None) -> Column:
-    """Values that are more likely a form, year or row number, or a crumb, than dollars."""
-    size, s = F.abs(A.whole(value.cast("double"))), said(source)
-    weak, sure = (facts["weak"], facts["sure"]) if facts else (is_weak(source), is_authoritative(source))
+    """Values that are more likely a form, year or row number, or a crumb, than dollars.
+
+    Inside ``let``: inlined into one generated method, several times over, the
+    patterns are too long to be compiled.
+    """
+    known = {"weak": facts["weak"], "sure": facts["sure"]} if facts else {"weak": is_weak(source), "sure": is_authoritative(source)}
+    given = F.struct(field.alias("field"), value.alias("value"), said(source).alias("source"), year.alias("year"), *[c.alias(k) for k, c in known.items()])
+    return A.let(given, lambda x: _suspicious(x["field"], x["value"], x["source"], x["year"], x["weak"], x["sure"]))
+
+
+def _suspicious(field: Column, value: Column, s: Column, year: Column, weak: Column, sure: Column) -> Column:
+    size = F.abs(A.whole(value.cast("double")))
     crumb = lambda most: size.between(1, most)
     row = F.nullif(F.regexp_extract(s, r"(?i)\bline\s*(\d{1,3})\b", 1), F.lit("")).cast("long")
     of_interest = s.rlike(r"(?i)^\s*\d{1,3}\s+interest|million|form\s*8990|163\s*\(\s*j\s*\)|section\s*163|business\s+interest\s+limitation") | ((size == 163) & s.rlike(r"(?i)(?:^|[^\d])163(?:[^\d]|$)|8990|limitation"))

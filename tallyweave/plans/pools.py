@@ -13,7 +13,7 @@ from ..functions.amounts import FORM_NUMBERS, whole
 from ..operators import finalize as final
 from ..operators import pool, ranking
 from . import returns
-from .registry import query, table
+from .registry import query, spread, table
 
 #: (label, source, category, group, fate): a fate is why the line is out, or "rest" for the remainder only.
 LINES = (
@@ -46,11 +46,13 @@ SLOT_LINES = (("Taxes and Licenses", "Form 1120 line 12", "taxes_licenses", "spo
 TITLES = {"taxes_licenses": "Taxes and Licenses"}
 
 
-def pool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pool_lines(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """The lines of each customer's years, dealt ``by`` them while they are numbers, if at all."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("client"), F.year("o_orderdate").alias("year"))
     i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % len(LINES)).cast("int").alias("i"), whole(F.col("l_extendedprice")).alias("amount"))
     at = lambda n: F.get(F.array(*[F.lit(x[n]) for x in LINES]), F.col("i"))
-    return i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("client", "year", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), at(0).alias("label"), "amount", at(1).alias("source"))
+    rows = i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("client", "year", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "i", "amount")
+    return (spread(rows, *by) if by else rows).select("client", "year", "ord", at(0).alias("label"), "amount", at(1).alias("source"))
 
 
 def slots(lines: DataFrame) -> DataFrame:
@@ -125,22 +127,26 @@ select client, year, t.total::bigint as total, inside::bigint as inside, (case w
 from (select *, t.total not in {FORM_NUMBERS} and t.total not between 1990 and 2035 and inside >= 1 and inside not in {FORM_NUMBERS} and inside not between 1990 and 2035 and t.total >= inside as split from x join t using (client, year)) t
 """)
 def partition_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = pool_lines(spark, sf_dir)
     sheet = ["client", "year"]
+    lines = pool_lines(spark, sf_dir, *sheet)
     tops = ranking.top_distinct(lines, sheet, "amount", 8)
     totals = lines.groupBy(*sheet).agg(F.floor(F.sum("amount") / 2).cast("long").alias("total"))
     return pool.partition_rest(lines, tops, totals, sheet)
 
 
 def final_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Read cells with some edits, each year's worksheet of the year before, the pool, and printed totals."""
+    """Read cells with some edits, each year's worksheet of the year before, the pool, and printed totals, dealt by sheet and client.
+
+    Totals go by way of the labels' sums, so that they read the pool's lines as they were dealt.
+    """
     own = returns.cells(spark, sf_dir)
     edited = (F.col("field_id") == "rent") & ((F.col("client") + F.col("year")) % 11 == 0)
     base = own.select("client", "year", "field_id", F.col("value").alias("baseline"), F.col("confidence").alias("baseline_confidence"), F.col("source").alias("baseline_source"))
     state = base.withColumns({"value": F.when(edited, 4242).otherwise(7).cast("long"), "confidence": F.lit(99), "source": F.when(edited, "manual entry").otherwise("an earlier run"), "edited": edited})
     comparisons = own.select("client", "year", (F.col("year") - 1).alias("prior_year"), "field_id", (F.col("value") + 5).alias("value"))
-    lines = pool_lines(spark, sf_dir)
-    return state, comparisons, lines, lines.groupBy("client", "year").agg(F.floor(F.sum("amount") / 2).cast("long").alias("total"))
+    lines = pool_lines(spark, sf_dir, "client")
+    sums = lines.groupBy("client", "year", "label").agg(F.sum("amount").alias("amount"))
+    return state, comparisons, lines, sums.groupBy("client", "year").agg(F.floor(F.sum("amount") / 2).cast("long").alias("total"))
 
 
 _SLOTS = ", ".join(f"({i + 1}, '{f}')" for i, f in enumerate(final.SLOTS))

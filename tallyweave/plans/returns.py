@@ -51,14 +51,20 @@ SUSPICIOUS_SQL = """(abs(value) in (1040, 1099, 1120, 1125, 4562, 8990, 3800, 70
   or (field_id = 'common_stock' and value between 1 and 99 and i <> 3) or (weak and abs(value) <= 99))"""
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(client, year, field_id, value, confidence, source): the last line of each customer's year and field."""
+def cells(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """(client, year, field_id, value, confidence, source): the last line of each customer's year and field.
+
+    Lines are dealt as numbers, by sheet or ``by`` less than that, and cells
+    stay where they lie: what is grouped by sheet later needs no other shuffle.
+    """
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("client"), F.year("o_orderdate").alias("year"))
     rows = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = spread(rows.select("client", "year", *LINE_KEYS, "l_extendedprice", "l_quantity"), *(by or ("client", "year")))
+    field = ((F.col("l_partkey") * 3 + F.col("l_linenumber")) % len(FIELDS)).alias("field")
+    last = rows.groupBy("client", "year", field).agg(F.max(F.struct(*LINE_KEYS, "l_extendedprice", "l_quantity")).alias("w")).select("client", "year", "field", "w.*")
     value = F.when(F.col("l_partkey") % 7 == 0, F.col("l_quantity").cast("long")).otherwise(whole(F.col("l_extendedprice")))
-    rows = rows.withColumn("field_id", pick(FIELDS, (F.col("l_partkey") * 3 + F.col("l_linenumber")) % len(FIELDS))).withColumn("source", pick(SOURCES, (F.col("l_suppkey") + F.col("l_linenumber")) % len(SOURCES)))
-    last = F.max_by(F.struct(value.alias("value"), (55 + F.col("l_quantity") % 45).cast("int").alias("confidence"), "source"), F.struct(*LINE_KEYS, "l_extendedprice", "l_quantity"))
-    return rows.groupBy("client", "year", "field_id").agg(last.alias("w")).select("client", "year", "field_id", "w.*")
+    source = pick(SOURCES, (F.col("l_suppkey") + F.col("l_linenumber")) % len(SOURCES))
+    return last.select("client", "year", pick(FIELDS, F.col("field")).alias("field_id"), value.alias("value"), (55 + F.col("l_quantity") % 45).cast("int").alias("confidence"), source.alias("source"))
 
 
 def snapshots(rows: DataFrame) -> DataFrame:
