@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Groups of up to so many rows are added side by side.
+SHORT = 64
+
 
 def best(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key.  ``order`` must end in something unique.
@@ -86,12 +89,37 @@ def skipping_sum(amounts: np.ndarray, room: int) -> tuple[int, int]:
     return taken, used
 
 
+def capped_groups(amounts: np.ndarray, there: np.ndarray, starts: np.ndarray, cap: int, first: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, numbers) of ``skipping_sum`` for each group of amounts; the first group starts from ``first``.
+
+    Short groups are added place by place, all of them at once.
+    """
+    n = np.diff(starts, append=len(amounts))
+    sums, used = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    sums[0], used[0] = first
+    for g in np.flatnonzero(n > SHORT):
+        part = slice(starts[g], starts[g] + n[g])
+        taken, more = skipping_sum(amounts[part][there[part]], cap - int(sums[g]))
+        sums[g], used[g] = sums[g] + taken, used[g] + more
+    live = np.flatnonzero(n <= SHORT)
+    for place in range(SHORT):
+        live = live[n[live] > place]
+        if not len(live):
+            break
+        at = starts[live] + place
+        fits = live[there[at] & (amounts[at] <= cap - sums[live])]
+        sums[fits] += amounts[starts[fits] + place]
+        used[fits] += 1
+    return sums, used
+
+
 def capped_sum(df: DataFrame, keys: Sequence[str], amount: str, order: Sequence[str], cap: int) -> DataFrame:
     """(keys, claimed, used): rows in order are added while the sum stays within ``cap``; one that would exceed it is skipped.
 
     Which rows count depends on those before them, so a key's rows are read in
     order by one task, as a stream: what is kept of them is the sum so far,
-    whatever their number.  Null amounts are skipped.
+    whatever their number.  Null amounts are skipped.  The keys that end in a
+    batch of rows go out as one batch.
     """
     fields = [df.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("claimed", T.LongType()), T.StructField("used", T.LongType())])
@@ -99,32 +127,36 @@ def capped_sum(df: DataFrame, keys: Sequence[str], amount: str, order: Sequence[
     tag = F.xxhash64(*[F.col(k).cast("string") for k in keys], *[F.col(k).isNull() for k in keys])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple | None = None
+        open_key: tuple | None = None
         claimed = used = 0
 
-        def out(key: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(key, types, strict=True)] + [pa.array([claimed], pa.int64()), pa.array([used], pa.int64())], [*keys, "claimed", "used"])
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(open_key, types, strict=True)] + [pa.array([claimed], pa.int64()), pa.array([used], pa.int64())], [*keys, "claimed", "used"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             types = [b.column(i).type for i in range(n)]
             new = np.zeros(b.num_rows, dtype=bool)
-            new[0] = True
             for c in b.columns[: n + 1]:
                 new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
                 new[1:] |= pc.not_equal(c[1:].is_null(), c[:-1].is_null()).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(new)
-            for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
-                key = tuple(b.column(i)[int(lo)].as_py() for i in range(n))
-                if now is not None and key != now:
-                    yield out(now)
-                if key != now:
-                    now, claimed, used = key, 0, 0
-                taken, more = skipping_sum(b.column(n + 1).slice(lo, hi - lo).drop_null().to_numpy(), cap - claimed)
-                claimed, used = claimed + taken, used + more
-        if now is not None:
-            yield out(now)
+            amounts = b.column(n + 1)
+            there = amounts.is_valid().to_numpy(zero_copy_only=False)
+            values = pc.fill_null(amounts, 0).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(new)])
+            at = lambda i: tuple(b.column(j)[i].as_py() for j in range(n))
+            continued = open_key is not None and at(0) == open_key
+            if open_key is not None and not continued:
+                yield row()
+            first = (claimed, used) if continued else (0, 0)
+            sums, counts = capped_groups(values, there, starts, cap, first)
+            # the last key may go on in the next batch
+            if len(starts) > 1:
+                yield pa.RecordBatch.from_arrays([*[b.column(j).take(pa.array(starts[:-1])) for j in range(n)], pa.array(sums[:-1]), pa.array(counts[:-1])], [*keys, "claimed", "used"])
+            open_key, claimed, used = at(int(starts[-1])), int(sums[-1]), int(counts[-1])
+        if open_key is not None:
+            yield row()
 
     rows = df.select(*keys, tag.alias("__tag"), F.col(amount).cast("long").alias("__amount"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
     rows = rows.repartition("__tag").sortWithinPartitions("__tag", *keys, *[f"__o{i}" for i in range(len(order))], "__amount")

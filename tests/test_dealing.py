@@ -1,9 +1,11 @@
 """What is dealt by its keys once is not dealt again."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyweave.operators import pool
+from tallyweave.operators import pool, ranking
 from tallyweave.operators.dealing import spread
 
 
@@ -42,3 +44,25 @@ def test_unknown_keys_meet_nothing(spark):
     p = spark.createDataFrame([(None, "Bank", 500, "Statement 2"), (1, "Bank", None, "Statement 2")], "k int, label string, amount long, source string")
     got = pool.partition_rest(p, spark.createDataFrame([(None, 500), (2, 700)], "k int, amount long"), spark.createDataFrame([(None, 900), (2, 900)], "k int, total long"), ["k"])
     assert {r.k: (r.total, r.inside, r.rest) for r in got.collect()} == {None: (None, 0, 500), 1: (None, 0, 0)}
+
+
+def test_capped_groups_are_added_as_one_by_one():
+    rng = np.random.default_rng(3)
+    n = np.concatenate([rng.integers(1, 9, 300), [ranking.SHORT, ranking.SHORT + 1, 500, 1]])
+    amounts, there = rng.integers(-5, 40, n.sum()), rng.random(n.sum()) < 0.9
+    starts = np.cumsum(n) - n
+    sums, used = ranking.capped_groups(amounts, there, starts, 60, (13, 2))
+    want = [ranking.skipping_sum(amounts[a : a + k][there[a : a + k]], 60 - (13 if a == 0 else 0)) for a, k in zip(starts, n, strict=True)]
+    want[0] = (want[0][0] + 13, want[0][1] + 2)
+    assert list(zip(sums.tolist(), used.tolist(), strict=True)) == want
+
+
+def test_capped_sum_sends_keys_in_batches(spark, monkeypatch):
+    """Of 20,000 keys of a task, not each in a batch of its own."""
+    rows = spark.range(60000, numPartitions=1).select((F.col("id") % 20000).alias("k"), F.col("id").alias("i"), (F.col("id") % 41).alias("v"))
+    sent = {}
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: sent.setdefault("run", run) and self)
+    ranking.capped_sum(rows, ["k"], "v", ["i"], 60)
+    batch = pa.RecordBatch.from_pydict({"k": [i // 3 for i in range(6000)], "__tag": [i // 3 for i in range(6000)], "__amount": list(range(6000))})
+    out = list(sent["run"](iter([batch, batch.slice(5999)])))
+    assert sum(b.num_rows for b in out) == 2000 and len(out) <= 4
