@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts as A
 from ..functions.labels import first_rule
 from . import formulas
+from .dealing import beside
 from .verify import decided
 
 # What the wording of a source says of it.
@@ -166,7 +167,7 @@ def agreement(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> Da
     """
     on = [*keys, "field_id"]
     s = snapshots.select(*on, F.col("family").alias("s_family"), F.col("value").alias("s_value"), F.col("label").alias("s_label"))
-    rows = cells.select(*on, A.whole(F.col("value").cast("double")).alias("chosen")).where("chosen is not null").join(s, on)
+    rows = beside(s, cells.select(*on, A.whole(F.col("value").cast("double")).alias("chosen")).where("chosen is not null"), on).where("chosen is not null")
     same, credible, paired = F.col("s_value") == F.col("chosen"), F.col("s_family").isin(*CROSS_CHECKS), F.col("s_family").isin("form", "comparison")
     text = F.concat(F.col("s_family"), F.coalesce(F.concat(F.lit(" ("), F.nullif("s_label", F.lit("")), F.lit(")")), F.lit("")), F.lit(": "), F.format_number("s_value", 0))
     rank = F.array_position(F.array(*map(F.lit, FAMILY_ORDER)), F.col("s_family"))
@@ -174,7 +175,7 @@ def agreement(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> Da
     distinct = lambda c: F.size(F.collect_set(F.when(c, F.col("s_family")))).cast("long")  # noqa: E731  a handful of families
     counts = rows.groupBy(*on).agg(F.count("*").alias("reads"), distinct(same).alias("agree"), distinct(same & paired).alias("agree_paired"), F.count(F.when(paired, 1)).alias("paired"), distinct(same & credible).alias("agree_credible"), F.count(F.when(credible, 1)).alias("credible"), F.max((credible & ~same).cast("int")).alias("differ"), others.alias("others"))
     numbers = ["reads", "agree", "agree_paired", "paired", "agree_credible", "credible", "differ"]
-    out = cells.join(counts, on, "left").fillna(0, numbers)
+    out = beside(cells, counts, on).fillna(0, numbers)
     material = (F.col("credible") >= 2) & (F.col("agree_credible") < 2) & (F.col("differ") == 1)
     return out.withColumn("material", material).withColumn("other_reads", F.when(F.size("others") > 0, F.concat(F.lit("Other reads: "), F.array_join(F.transform("others", lambda o: o["t"]), " · ")))).drop("others", "differ", "credible", "agree_credible")
 
@@ -234,8 +235,8 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
     """(keys, year, field_id, value, flags, status, confidence, agreement, tier) of every field of every sheet.
 
     ``fields`` lists the input fields, ``warnings`` has (keys, year, warning).
-    A field without a value is ``missing``.  One row for each sheet and field
-    goes through one join with the counts of its reads.  Cells may have a
+    A field without a value is ``missing``.  Cells and reads that were dealt by
+    sheet stay as they lie.  Cells may have a
     column ``persisted``, an agreement found before, which counts where a cell
     has no reads.  Sheets whose profit does not close by a warning have rows
     of their profits too, without values, with the warning's flag and tier.
@@ -245,10 +246,10 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
     sheets = cells.select(*on).distinct()
     grid = sheets.withColumn("field_id", F.explode(F.array(*map(F.lit, listed(fields)))))
     persisted = F.col("persisted") if "persisted" in cells.columns else F.lit(0)
-    rows = grid.join(cells.select(*on, "field_id", "value", "confidence", "source", persisted.cast("long").alias("persisted")), [*on, "field_id"], "left")
+    rows = beside(grid, cells.select(*on, "field_id", "value", "confidence", "source", persisted.cast("long").alias("persisted")), [*on, "field_id"])
     rows = agreement(rows, snapshots, on)
     across = cross_field_flags(cells, keys, year).groupBy(*on, "field_id").agg(F.array_sort(F.collect_set("flag")).alias("across"))
-    rows = rows.join(across, [*on, "field_id"], "left")
+    rows = beside(rows, across, [*on, "field_id"])
     if warnings is not None:
         open_sheets = warnings.where(F.col("warning").rlike(f"(?i){closed}")).select(*on).distinct().withColumn("unclosed", F.lit(True))
         rows = rows.join(open_sheets, on, "left").withColumn("unclosed", F.coalesce("unclosed", F.lit(False)))

@@ -2,11 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from tallyweave.operators import pool, ranking
-from tallyweave.operators.dealing import spread
+from tallyweave.operators.dealing import beside, spread
 
 
 def more_shuffles(df):
@@ -34,6 +35,18 @@ def test_finalize_shuffles_only_the_tables_join(spark, sf_dir):
     assert set(keys) <= {"l_orderkey", "o_orderkey"}
 
 
+@pytest.mark.parametrize("name", ["sheet_fill", "coherence_gates", "reconcile_year"])
+def test_sheets_shuffle_only_the_tables_join(spark, sf_dir, name):
+    keys = without_broadcasts(spark, lambda: shuffled_keys(__spark_entry__.queries()[name](spark, sf_dir)))
+    assert set(keys) <= {"l_orderkey", "o_orderkey", "field_id"}  # the list of fields has its own
+
+
+def test_beside_is_a_left_join(spark):
+    a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, None, 3), (2, "a", 4)], "k int, f string, v int")
+    b = spark.createDataFrame([(1, "a", "x"), (1, None, "y"), (3, "a", "z"), (2, "a", None)], "k int, f string, w string")
+    assert sorted(map(str, beside(a, b, ["k", "f"]).collect())) == sorted(map(str, a.join(b, ["k", "f"], "left").select("k", "f", "v", "w").collect()))
+
+
 def test_partition_of_dealt_rows_stays(spark):
     p = spread(spark.range(40).select((F.col("id") % 4).alias("k"), F.lit("Bank").alias("label"), F.col("id").alias("amount"), F.lit("Statement 2").alias("source")), "k")
     sums = p.groupBy("k").agg(F.sum("amount").alias("total"))
