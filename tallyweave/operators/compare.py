@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import amounts as A
 from . import trust
+from .dealing import known
 from .extract import islands
 from .ranking import best
 
@@ -108,19 +110,19 @@ def coherent(cells: DataFrame, keys: Sequence[str], year: str) -> DataFrame:
 
     Suspicious values, expenses that equal a balance-sheet amount, and weak
     reads of stock that repeat another equity amount.  The amounts of a sheet
-    are put beside its few suspects by one join.
+    are put beside its few suspects by one window.
     """
     on = [*keys, year]
     rounded = A.whole(F.col("value").cast("double"))
-    suspects = F.explode(F.array(*[F.struct(F.lit(f).alias("field_id"), F.lit(o).alias("other")) for f, others in BALANCE_TRAPS.items() for o in others])).alias("p")
-    pairs = cells.sparkSession.range(1).select(suspects).select("p.*")
-    others = cells.select(*on, F.col("field_id").alias("other"), rounded.alias("amount")).join(F.broadcast(pairs), "other")  # a fixed list of field pairs
-    beside = others.groupBy(*on, "field_id").agg(F.collect_set("amount").alias("amounts"))
+    traps = sorted({o for others in BALANCE_TRAPS.values() for o in others})  # a few fields of each sheet
+    trap = F.when(F.col("field_id").isin(*traps) & known(on), F.struct(F.col("field_id").alias("other"), rounded.alias("amount")))
+    cells_beside = cells.withColumn("__traps", F.collect_set(trap).over(Window.partitionBy(*on)))
+    among = reduce(lambda c, x: c.when(F.col("field_id") == x[0], F.array(*map(F.lit, x[1]))), BALANCE_TRAPS.items(), F.when(F.lit(False), F.array().cast("array<string>")))
     odd = trust.suspicious(F.col("field_id"), F.col("value"), F.col("source"), F.col(year))
     weak = ~F.col("field_id").isin(*WEAK_ONLY) | (trust.is_weak(F.col("source")) & (F.col("value") > 0))
-    repeats = F.coalesce(F.array_contains("amounts", rounded), F.lit(False)) & weak
+    repeats = F.coalesce(F.exists("__traps", lambda t: F.array_contains("__among", t["other"]) & (t["amount"] == F.col("__rounded"))), F.lit(False)) & weak
     reason = F.when(F.col("value").isNull(), F.lit(None).cast("string")).when(odd, "suspicious magnitude/source").when(repeats & F.col("field_id").isin(*WEAK_ONLY), "weak duplicate").when(repeats, "matched balance-sheet line")
-    return cells.join(beside, [*on, "field_id"], "left").withColumn("cleared", reason).drop("amounts")
+    return cells_beside.withColumns({"__among": among, "__rounded": rounded}).withColumn("cleared", reason).drop("__traps", "__among", "__rounded")
 
 
 def rolled_par(retained: Column, gap: Column, others: Sequence[str], nominal: Sequence[int] = (100, 500, 1000, 5000, 10000)) -> Column:
