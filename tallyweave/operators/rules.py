@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts as A
 from ..functions.labels import ROW, blanks, is_anchor, is_footer
+from .dealing import known
 from .ranking import best
 from .verify import decided
 
@@ -214,10 +215,15 @@ def aliased(rows: DataFrame, label: str, aliases: DataFrame, into: str = "field_
 
 def filled(cells: DataFrame, catalogue: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n_filled, n_fields, ratio, missing): how much of a sheet's catalogue has values."""
-    grid = cells.select(*keys).distinct().join(F.broadcast(catalogue.select("field_id", "label")))  # the fields of a form: a fixed list
-    rows = grid.join(cells.where("value is not null").select(*keys, "field_id", F.lit(1).alias("there")), [*keys, "field_id"], "left")
-    missing = F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("label"))))
-    return rows.groupBy(*keys).agg(F.count("there").alias("n_filled"), F.count("*").alias("n_fields"), missing.alias("missing")).withColumn("ratio", F.round(F.col("n_filled") / F.col("n_fields"), 6))
+    fields = catalogue.select("field_id", "label")  # the fields of a form: a fixed list
+    known_fields = F.broadcast(fields.select("field_id").distinct().withColumn("__known", F.lit(True)))
+    there = F.when(known(keys) & F.col("value").isNotNull() & F.col("__known"), F.col("field_id"))
+    sheets = cells.join(known_fields, "field_id", "left").groupBy(*keys).agg(F.collect_set(there).alias("__there"))
+    rows = sheets.crossJoin(F.broadcast(fields.agg(F.collect_list(F.struct("field_id", "label")).alias("__all")))).where(F.size("__all") > 0)
+    filled = lambda f: F.coalesce(F.array_contains("__there", f["field_id"]), F.lit(False))
+    missing = F.array_sort(F.array_compact(F.transform(F.filter("__all", lambda f: ~filled(f)), lambda f: f["label"])))
+    rows = rows.select(*keys, F.size(F.filter("__all", filled)).cast("long").alias("n_filled"), F.size("__all").cast("long").alias("n_fields"), missing.alias("missing"))
+    return rows.withColumn("ratio", F.round(F.col("n_filled") / F.col("n_fields"), 6))
 
 
 def duplicate_periods(files: DataFrame, period: str, name: str) -> DataFrame:
