@@ -72,7 +72,7 @@ def blank_current(line: Column) -> Column:
 
 def comparison_amount(line: Column, column: Column) -> Column:
     """The amount of a worksheet row in a year's column (0 or 1); none in a blank current cell."""
-    blank = F.coalesce(blank_current(line), F.lit(False)) & (column == 1)
+    blank = (column == 1) & F.contains(line, F.lit("-")) & F.coalesce(blank_current(line), F.lit(False))
     return F.when(~blank, F.get(year_columns(A.keepable_tokens(line)), column))
 
 

@@ -6,11 +6,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import amounts as A
+from ..functions.gates import gated
 from ..functions.labels import blanks
+from .dealing import known
 
 # Reads by caption alone, which need a line that has their amount: what such a line matches and must not match.
 CAPTION_ONLY = "OCR label match"
@@ -69,9 +71,9 @@ HINTS = (
 )
 
 
-def caption_amounts(lines: DataFrame, keys: Sequence[str], line: str = "line") -> DataFrame:
-    """(keys, field_id, amount): an index of the amounts that lines with a field's caption have."""
-    c = F.col(line)
+def _caption_rows(lines: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
+    """(keys, field_id, amount) of every line with a field's caption; amounts are read of these lines alone."""
+    c = gated(F.col(line))
 
     def fits(needs: Sequence[str], unless: str | None) -> Column:
         test = reduce(Column.__and__, [c.rlike(p) for p in needs])
@@ -79,10 +81,16 @@ def caption_amounts(lines: DataFrame, keys: Sequence[str], line: str = "line") -
 
     tests = {f: fits(*t) for f, t in CORROBORATION.items()} | {"__total": fits(TOTAL_ROW, None), "__line_14": c.rlike(LINE_14)}
     fields = F.array_compact(F.array(*[F.when(t, F.lit(f)) for f, t in tests.items()]))
-    rows = lines.select(*keys, fields.alias("f"), F.coalesce(A.schedule_amount(c), A.tail_amount(c)).alias("one"), A.money_tokens(c).alias("every")).where(F.size("f") > 0)
-    rows = rows.select(*keys, F.explode("f").alias("field_id"), "one", "every")
-    each = F.explode(F.when(F.col("field_id") == "__total", F.col("every")).when(F.col("field_id") == "__line_14", F.array(F.lit(0).cast("long"))).otherwise(F.array("one")))
-    return rows.select(*keys, "field_id", each.alias("amount")).where("amount is not null").distinct()
+    rows = lines.select(*keys, F.col(line).alias("__line"), F.explode(fields).alias("field_id"))
+    text = F.col("__line")
+    one = F.coalesce(A.schedule_amount(text), A.tail_amount(text))
+    each = F.when(F.col("field_id") == "__total", A.money_tokens(text)).when(F.col("field_id") == "__line_14", F.array(F.lit(0).cast("long"))).otherwise(F.array(one))
+    return rows.select(*keys, "field_id", F.explode(each).alias("amount")).where("amount is not null")
+
+
+def caption_amounts(lines: DataFrame, keys: Sequence[str], line: str = "line") -> DataFrame:
+    """(keys, field_id, amount): an index of the amounts that lines with a field's caption have."""
+    return _caption_rows(lines, keys, line).distinct()
 
 
 def corroborated(cells: DataFrame, lines: DataFrame, keys: Sequence[str], line: str = "line") -> DataFrame:
@@ -91,20 +99,22 @@ def corroborated(cells: DataFrame, lines: DataFrame, keys: Sequence[str], line:
     A value read by its caption alone needs a line of its field with that
     amount; intangibles and equity never stand on a caption.  Other assets
     that are the total of all assets go where no line 14 is printed.  A value
-    that another cell of the sheet has counts once.  Amounts are looked up in
-    an index of (sheet, field, amount), not line by line.
+    that another cell of the sheet has counts once.  Lines' amounts come
+    beside the cells of the same sheet, field and amount by windows over one
+    sort; where both were dealt by the keys they stay as they lie.
     """
-    index = caption_amounts(lines, keys, line).withColumn("__there", F.lit(True))
+    said = F.col("field_id")
+    index = _caption_rows(lines, keys, line).where(known(keys)).select(*keys, F.when(said == "__total", "other_assets").otherwise(said).alias("field_id"), F.col("amount").alias("__amount"), F.when(said.isin("__total", "__line_14"), said).otherwise("__own").alias("__kind"))
+    both = cells.withColumn("__amount", A.whole(F.col("value").cast("double"))).unionByName(index, allowMissingColumns=True)
+    mine, sure = F.col("__kind").isNull(), known(keys)  # unknown keys meet nothing
+    amounts = Window.partitionBy(*keys, "field_id", "__amount")
+    seen = lambda kind: F.max(F.when(F.col("__kind") == kind, True))
+    rows = both.withColumns({"__own": seen("__own").over(amounts), "__total": seen("__total").over(amounts)})
+    of = lambda f, c: F.max(F.when(mine & sure & (said == f), F.col(c)))
+    sheet = {"__printed": seen("__line_14"), "__debt": of("short_term_debt", "value"), "__equity": of("unclassified_equity", "value"), "__said": of("unclassified_equity", "source")}
+    rows = rows.withColumns({name: c.over(Window.partitionBy(*keys)) for name, c in sheet.items()}).where(mine)
     value, field, source = F.col("value"), F.col("field_id"), F.coalesce("source", F.lit(""))
     by_caption = source == CAPTION_ONLY
-    rows = cells.withColumn("__amount", A.whole(value.cast("double")))
-    own = index.where(~F.col("field_id").startswith("__")).withColumnsRenamed({"amount": "__amount", "__there": "__own"})
-    totals = index.where(F.col("field_id") == "__total").select(*keys, F.col("amount").alias("__amount"), F.lit("other_assets").alias("field_id"), F.lit(True).alias("__total"))
-    printed = index.where(F.col("field_id") == "__line_14").select(*keys, F.lit(True).alias("__printed")).distinct()
-    rows = rows.join(own, [*keys, "field_id", "__amount"], "left").join(totals, [*keys, "field_id", "__amount"], "left").join(printed, list(keys), "left")
-    of = lambda f, c: F.max(F.when(F.col("field_id") == f, F.col(c)))
-    twins = cells.groupBy(*keys).agg(of("short_term_debt", "value").alias("__debt"), of("unclassified_equity", "value").alias("__equity"), of("unclassified_equity", "source").alias("__said"))
-    rows = rows.join(twins, list(keys), "left")
     no = lambda c: F.col(c).isNull()
     reason = (
         F.when((field == "other_assets") & F.col("__total").isNotNull() & no("__printed"), "total of assets")

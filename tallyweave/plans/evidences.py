@@ -21,12 +21,12 @@ select k, ['inventory', 'other_assets', 'other_current_assets', 'gross_intangibl
 """)
 def uncorroborated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of an order, and a line for each of its items, a third of them a dollar off."""
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", whole(F.col("l_extendedprice")).alias("p"), (F.col("l_partkey") % 7).cast("int").alias("i"))
+    r = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", whole(F.col("l_extendedprice")).alias("p")), "k").withColumn("i", (F.col("l_partkey") % 7).cast("int"))
     at = lambda xs: F.get(F.array(*map(F.lit, xs)), F.col("i"))
-    first = F.min_by(F.struct(F.col("p").alias("value"), F.when(F.col("l_suppkey") % 2 == 0, evidence.CAPTION_ONLY).otherwise("Schedule L").alias("source")), F.struct("l_linenumber", "l_partkey", "l_suppkey", "p"))
-    cells = r.groupBy("k", "i").agg(first.alias("w")).select("k", at(FIELDS).alias("field_id"), "w.value", "w.source")
+    first = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p"))
+    cells = r.groupBy("k", "i").agg(first.alias("w")).select("k", at(FIELDS).alias("field_id"), F.col("w.p").alias("value"), F.when(F.col("w.l_suppkey") % 2 == 0, evidence.CAPTION_ONLY).otherwise("Schedule L").alias("source"))
     lines = r.select("k", F.concat(at(CAPTIONS), F.lit(" "), F.format_number(F.col("p") + F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0), 0)).alias("line"))
-    return evidence.corroborated(cells, spread(lines), ["k"]).select("k", "field_id", "cleared")
+    return evidence.corroborated(cells, lines, ["k"]).select("k", "field_id", "cleared")
 
 
 @query("""

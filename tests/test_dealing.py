@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyweave.operators import pool, ranking
+from tallyweave.operators import evidence, pool, ranking
 from tallyweave.operators.dealing import beside, spread
 
 
@@ -41,6 +41,17 @@ def test_sheets_shuffle_only_the_tables_join(spark, sf_dir, name):
     assert set(keys) <= {"l_orderkey", "o_orderkey", "field_id"}  # the list of fields has its own
 
 
+def test_uncorroborated_deals_each_side_once(spark, sf_dir):
+    """Amounts of lines come beside the cells of their sheet where both lie."""
+    assert without_broadcasts(spark, lambda: more_shuffles(__spark_entry__.queries()["uncorroborated"](spark, sf_dir))) == 0
+
+
+def test_unknown_sheets_have_no_lines(spark):
+    cells = spark.createDataFrame([(k, "inventory", 500, evidence.CAPTION_ONLY) for k in (1, None)], "k int, field_id string, value long, source string")
+    lines = spark.createDataFrame([(1, "3 Inventories 500"), (1, "3 Inventories 500"), (None, "3 Inventories 500")], "k int, line string")
+    assert {r.k: r.cleared for r in evidence.corroborated(cells, lines, ["k"]).collect()} == {1: None, None: "uncorroborated caption"}
+
+
 def test_beside_is_a_left_join(spark):
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, None, 3), (2, "a", 4)], "k int, f string, v int")
     b = spark.createDataFrame([(1, "a", "x"), (1, None, "y"), (3, "a", "z"), (2, "a", None)], "k int, f string, w string")
