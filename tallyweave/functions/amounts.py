@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .gates import pieces
+from .gates import Text
 
 # Numbers on a line that name a form and are no amounts.
 FORM_NUMBERS = (1040, 1099, 1120, 1125, 4562, 8990, 3800, 7004, 2220)
@@ -120,16 +120,21 @@ def leading_number(line: Column) -> Column:
     return number(F.regexp_extract(line, LEADING, 1))
 
 
-def numbers_where(line: Column, low: Column, pattern: str) -> Column:
-    """The numbers of a pattern's group, which is looked for in lines that hold a piece it needs."""
-    there = reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in pieces(pattern)])
-    return F.when(there, F.transform(all_of(line, pattern, 1), lambda x: x.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+def holds(line: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern is in a line; looked for only where ``low`` (the line in lower case) has a piece that it needs."""
+    return F.coalesce(Text(line, low).rlike(pattern), F.lit(False))
+
+
+def numbers_where(line: Column, pattern: str) -> Column:
+    return F.transform(all_of(line, pattern, 1), lambda x: x.cast("long"))
 
 
 def references(line: Column) -> Column:
     """Numbers that refer to rows, lines, pages or statements rather than amounts."""
-    found = lambda low: F.concat(F.array(leading_number(line)), *[numbers_where(line, low, p) for p in REFERENCES])
-    return F.array_distinct(F.array_compact(let(F.lower(line), found)))
+    lead = F.array(leading_number(line))
+    every = F.array_distinct(F.array_compact(F.concat(lead, *[numbers_where(line, p) for p in REFERENCES])))
+    there = lambda low: reduce(Column.__or__, [holds(line, low, p) for p in REFERENCES])
+    return F.when(let(F.lower(line), there), every).otherwise(F.array_compact(lead))
 
 
 def substantial_tokens(line: Column) -> Column:
@@ -165,7 +170,7 @@ def tail_amount(line: Column) -> Column:
 
     def of(tokens: Column) -> Column:
         sizes = F.array_distinct(F.transform(tokens, F.abs))
-        own = F.coalesce(leading_number(line) == F.get(sizes, 0), F.lit(False)) | F.array_contains(numbers_where(line, line, BRACKETED), F.get(sizes, 0))
+        own = F.coalesce(leading_number(line) == F.get(sizes, 0), F.lit(False)) | (F.contains(line, F.lit("[")) & F.array_contains(numbers_where(line, BRACKETED), F.get(sizes, 0)))
         return F.when((F.size(sizes) == 1) & F.coalesce(own, F.lit(False)), F.lit(None).cast("long")).otherwise(last(tokens))
 
     return let(money_tokens(line), of)

@@ -527,7 +527,8 @@ def comparison_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("k") == 3, F.concat(F.lit("Rents "), n(p), F.lit(" | "), n(q), F.lit(" | "), n(F.abs(p - q))))
         .otherwise(F.concat(F.lit("Rents "), n(p), F.lit(" | "), n(q), F.lit(" | "), n(p + q)))
     )
-    return rows.select(*LINE_KEYS, compare.comparison_amount(line, F.col("col")).alias("amount"))
+    rows = rows.select(*LINE_KEYS, "col", line.alias("line"))  # written once, however often it is read
+    return rows.select(*LINE_KEYS, compare.comparison_amount(F.col("line"), F.col("col")).alias("amount"))
 
 
 @query("""

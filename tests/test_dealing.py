@@ -52,6 +52,12 @@ def test_unknown_sheets_have_no_lines(spark):
     assert {r.k: r.cleared for r in evidence.corroborated(cells, lines, ["k"]).collect()} == {1: None, None: "uncorroborated caption"}
 
 
+def test_comparison_lines_are_written_once(spark, sf_dir):
+    """A line is a column before it is read: each of its five forms formats its numbers once, nine in all."""
+    plan = __spark_entry__.queries()["comparison_columns"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("format_number") <= 11
+
+
 def test_beside_is_a_left_join(spark):
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, None, 3), (2, "a", 4)], "k int, f string, v int")
     b = spark.createDataFrame([(1, "a", "x"), (1, None, "y"), (3, "a", "z"), (2, "a", None)], "k int, f string, w string")
