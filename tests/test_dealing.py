@@ -58,6 +58,13 @@ def test_comparison_lines_are_written_once(spark, sf_dir):
     assert 0 < plan.count("format_number") <= 11
 
 
+def test_taxes_split_deals_numbers_not_lines(spark, sf_dir):
+    """The items and the orders' keys are dealt, before any line is written; no mark has a scan of its own."""
+    df = __spark_entry__.queries()["taxes_split"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and without_broadcasts(spark, lambda: more_shuffles(df)) == 0
+
+
 def test_beside_is_a_left_join(spark):
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, None, 3), (2, "a", 4)], "k int, f string, v int")
     b = spark.createDataFrame([(1, "a", "x"), (1, None, "y"), (3, "a", "z"), (2, "a", None)], "k int, f string, w string")
