@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import whole
+from ..functions.gates import Text, gated
 from .ranking import best
 
 # The evidence that a source's wording carries (the first that fits; with detail preferred second).
@@ -49,12 +50,11 @@ def distinct_candidates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates of one frame (keys, value, source, ord, ...), null values left out.
 
     A comparison read whose value a candidate before it has already is dropped.
+    Rows that were dealt by the keys stay as they lie.
     """
-    rows = rows.where("value is not null")
-    first = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("value").alias("__value")).agg(F.min("ord").alias("__first"))
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("value") == F.col("__value"))
-    later = F.col("source").rlike("(?i)comparison") & (F.col("ord") > F.col("__first"))
-    return rows.join(first, same).where(~F.coalesce(later, F.lit(False))).select(*rows.columns)
+    rows = rows.where("value is not null").withColumn("__first", F.min("ord").over(Window.partitionBy(*keys, "value")))
+    later = (F.col("ord") > F.col("__first")) & gated(F.col("source")).rlike("(?i)comparison")
+    return rows.where(~F.coalesce(later, F.lit(False))).drop("__first")
 
 
 def united(generators: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -67,9 +67,10 @@ def united(generators: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFram
     return distinct_candidates(rows, keys)
 
 
-def evidence(source: Column, detail: Column | bool = False) -> Column:
+def evidence(source: Column | Text, detail: Column | bool = False) -> Column:
     """Points of a source's wording; ``detail`` says whether the generator prefers it as detail."""
     detail = F.lit(detail) if isinstance(detail, bool) else F.coalesce(detail, F.lit(False))
+    source = gated(source)
     return F.coalesce(*[F.when(source.rlike(p), F.when(detail, preferred).otherwise(points)) for p, points, preferred in EVIDENCE], F.lit(NO_EVIDENCE))
 
 
@@ -97,9 +98,11 @@ def scored(candidates: DataFrame, rivals: Column | None = None, detail: Column |
     worksheet lacks rows.  Of the flags, those of the identity do not make a
     candidate invalid; each flag comes once.
     """
-    value, total, known, source = F.col("value"), F.col("total"), F.coalesce("known", F.lit(0)), F.col("source")
+    value, total, known = F.col("value"), F.col("total"), F.coalesce("known", F.lit(0))
+    candidates = candidates.withColumn("__low", F.lower("source"))
+    source = Text(F.col("source"), F.col("__low"))
     closure = ((total > 0) & near(known + value, total)).cast("int")
-    office = source.rlike(OFFICE) & (total > 0) & ((value >= total) | ((known > 0) & (known + value > total)))
+    office = (total > 0) & ((value >= total) | ((known > 0) & (known + value > total))) & source.rlike(OFFICE)
     partial = F.coalesce(incomplete, F.lit(False)) & source.rlike(PARTIAL) if incomplete is not None else F.lit(False)
     hard = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(flag)) for flag, test in zip(HARD_FLAGS, (
         F.array_contains(rivals, value) if rivals is not None else F.lit(False),
@@ -113,7 +116,7 @@ def scored(candidates: DataFrame, rivals: Column | None = None, detail: Column |
     soft = F.array_compact(F.array(F.when(closes, F.lit(CLOSES)), F.when(~closes, F.lit(MISSES))))
     points = F.when(closes, IDENTITY).when(~closes, GAP).otherwise(0)
     out = candidates.withColumn("closure", F.coalesce(closure, F.lit(0))).withColumn("evidence", evidence(source, detail)).withColumn("hard", hard)
-    return out.withColumn("score", F.col("closure") * CLOSURE + F.col("evidence") + points).withColumn("flags", F.concat("hard", soft)).withColumn("valid", F.size("hard") == 0).drop("hard")
+    return out.withColumn("score", F.col("closure") * CLOSURE + F.col("evidence") + points).withColumn("flags", F.concat("hard", soft)).withColumn("valid", F.size("hard") == 0).drop("hard", "__low")
 
 
 def ranked(scored_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -133,28 +136,37 @@ def ranked(scored_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     One aggregation finds the best row of each kind, so a sheet's candidates
     are never gathered; all rest is done on one row for each sheet.
     """
-    source, flags, valid = F.col("source"), F.col("flags"), F.col("valid")
+    flags, valid = F.col("flags"), F.col("valid")
     free = lambda *names: ~F.arrays_overlap(flags, F.array(*map(F.lit, names)))
     own = [c for c in scored_rows.columns if c not in keys]
+    says = {
+        "detail": DETAIL, "federal": "(?i)federal table minus slot", "misc": "(?i)misc detail closes", "sum": "(?i)misc detail sum", "office": OFFICE_DETAIL, "structural": "(?i)total minus util|statement 3|federal table minus slot",
+        "summed": "(?i)summed detail lines", "unsure": "(?i)summed detail|detail lines|misc detail closes|total minus|federal table", "compared": "(?i)comparison",
+    }
+    source = Text(F.col("source"), F.col("__low"))
+    rows = scored_rows.withColumn("__low", F.lower("source"))
+    rows = rows.select(*scored_rows.columns, *[source.rlike(p).alias(f"__{k}") for k, p in says.items()])  # asked once for each row
+    of = {k: F.col(f"__{k}") for k in says}
     closes = F.array_contains(flags, CLOSES)
-    detail = source.rlike(DETAIL)
-    preferred = [F.col("closure"), detail.cast("int"), F.col("evidence"), -F.col("score"), F.col("ord")]
+    preferred = [F.col("closure"), of["detail"].cast("int"), F.col("evidence"), -F.col("score"), F.col("ord")]
     first = [F.col("score"), -F.col("ord")]
-    row = F.struct(*own, detail.alias("__detail"))
+    row = F.struct(*own, "__detail")
     top = lambda test, order: F.max_by(row, F.when(test, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])))
     kinds = {
         "winner": top(valid, [closes.cast("int"), *preferred]),
-        "federal": top(valid & source.rlike("(?i)federal table minus slot"), first),
-        "misc": top(valid & source.rlike("(?i)misc detail closes") & (F.col("closure") >= 1), first),
-        "detail": top(valid & detail, preferred),
-        "listed": top(valid & detail & ~source.rlike("(?i)misc detail sum"), preferred),
-        "office": top(valid & source.rlike(OFFICE_DETAIL), first),
-        "structural": top(valid & source.rlike("(?i)total minus util|statement 3|federal table minus slot"), first),
-        "summed": top(valid & source.rlike("(?i)summed detail lines"), first),
-        "unsure": top(~valid & source.rlike("(?i)summed detail|detail lines|misc detail closes|total minus|federal table") & free("comparison_reject"), preferred),
-        "compared": top(~valid & source.rlike("(?i)comparison") & (F.col("value") >= 1) & free("pnl_collision", "form_line_total_trap"), preferred),
+        "federal": top(valid & of["federal"], first),
+        "misc": top(valid & of["misc"] & (F.col("closure") >= 1), first),
+        "detail": top(valid & of["detail"], preferred),
+        "listed": top(valid & of["detail"] & ~of["sum"], preferred),
+        "office": top(valid & of["office"], first),
+        "structural": top(valid & of["structural"], first),
+        "summed": top(valid & of["summed"], first),
+        "unsure": top(~valid & of["unsure"] & free("comparison_reject"), preferred),
+        "compared": top(~valid & of["compared"] & (F.col("value") >= 1) & free("pnl_collision", "form_line_total_trap"), preferred),
     }
-    best_of = scored_rows.groupBy(*keys).agg(*[c.alias(k) for k, c in kinds.items()])
+    best_of = rows.groupBy(*keys).agg(*[c.alias(k) for k, c in kinds.items()])
+    # asked before the steps, none of which takes a winner away: a test after them would be moved here with all of them inside
+    best_of = best_of.where("coalesce(winner, unsure, compared) is not null")
 
     at = lambda name, field: F.col(f"{name}.{field}")
     order = lambda name: F.struct(at(name, "closure"), at(name, "__detail"), at(name, "evidence"))
@@ -171,7 +183,7 @@ def ranked(scored_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     for when, names, must_be_preferred in steps:
         instead = F.coalesce(*[F.when(rather(n), F.col(n)) if must_be_preferred else F.col(n) for n in names])
         best_of = best_of.withColumn("winner", F.when(when, F.coalesce(instead, F.col("winner"))).otherwise(F.col("winner")))
-    chosen = best_of.withColumn("winner", F.coalesce("winner", "unsure", "compared")).where("winner is not null")
+    chosen = best_of.withColumn("winner", F.coalesce("winner", "unsure", "compared"))
     return chosen.select(*keys, *[at("winner", c).alias(c) for c in own])
 
 

@@ -275,7 +275,8 @@ def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every order is a candidate, from one of fourteen sources; some are the total, the remainder or another field."""
     from pyspark.sql.window import Window
 
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), *LINE_KEYS[1:], "l_extendedprice", "l_quantity", whole(F.col("l_extendedprice")).alias("p"), F.col("l_quantity").cast("long").alias("q"))
+    lines = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), *LINE_KEYS[1:], "l_extendedprice", "l_quantity"), "k")
+    lines = lines.withColumns({"p": whole(F.col("l_extendedprice")), "q": F.col("l_quantity").cast("long")})
     of_order = Window.partitionBy("k")
     lines = lines.withColumn("ord", F.row_number().over(of_order.orderBy(*LINE_KEYS[1:], "l_extendedprice", "l_quantity")) - 1)
     at = lambda n: F.max(F.when(F.col("ord") == n, F.col("p"))).over(of_order)
@@ -314,7 +315,8 @@ def _ranking_sql() -> str:
 
 @query(_ranking_sql())
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.ranked(candidate_rows(spark, sf_dir), ["k"]).select("k", "value", "ord")
+    rows = candidate_rows(spark, sf_dir).drop("total", "known", "rival", "form", "closes_income", "incomplete")  # what the winner does not need
+    return candidates.ranked(rows, ["k"]).select("k", "value", "ord")
 
 
 @query(f"""with {CANDIDATES_SQL}, p as (select *, closure >= 1 and not contains(flags, 'pnl_collision') and not contains(flags, 'comparison_reject') as exact, i in (2, 3) and not contains(flags, 'pnl_collision') and not contains(flags, 'implausible') as identity from z)

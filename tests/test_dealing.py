@@ -65,6 +65,13 @@ def test_taxes_split_deals_numbers_not_lines(spark, sf_dir):
     assert plan.count("FileScan") == 2 and without_broadcasts(spark, lambda: more_shuffles(df)) == 0
 
 
+def test_candidates_are_dealt_once_and_their_filter_is_short(spark, sf_dir):
+    df = __spark_entry__.queries()["candidate_ranking"](spark, sf_dir)
+    asked = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if " Filter " in x]
+    assert asked and max(x.count("RLIKE") + x.count("winner") for x in asked) <= 2  # the steps that choose a winner are not moved into it
+    assert without_broadcasts(spark, lambda: more_shuffles(df)) == 0
+
+
 def test_beside_is_a_left_join(spark):
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, None, 3), (2, "a", 4)], "k int, f string, v int")
     b = spark.createDataFrame([(1, "a", "x"), (1, None, "y"), (3, "a", "z"), (2, "a", None)], "k int, f string, w string")
