@@ -72,6 +72,14 @@ def test_candidates_are_dealt_once_and_their_filter_is_short(spark, sf_dir):
     assert without_broadcasts(spark, lambda: more_shuffles(df)) == 0
 
 
+def test_pages_are_grouped_where_they_are_dealt(spark, sf_dir):
+    """No group is held on the reading side, where a split has as many as rows."""
+    df = __spark_entry__.queries()["scoped_facts"](spark, sf_dir)
+    reading = df._jdf.queryExecution().executedPlan().toString().split("Exchange")
+    assert len(reading) == 2 and "Aggregate" not in reading[1]
+    assert without_broadcasts(spark, lambda: more_shuffles(df)) == 0
+
+
 def test_beside_is_a_left_join(spark):
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, None, 3), (2, "a", 4)], "k int, f string, v int")
     b = spark.createDataFrame([(1, "a", "x"), (1, None, "y"), (3, "a", "z"), (2, "a", None)], "k int, f string, w string")
