@@ -8,7 +8,10 @@ threshold ``num / den``.  The plan, which loses no link:
    ``d`` shingles at most, so when hashes are dealt into ``d + K`` parts, at
    least K parts are equal.  A node emits a signature for every choice of K
    parts of its band, and of the next band if a larger partner may be there.
-   Shingles that many documents have (boilerplate) are left out of them.
+   Shingles that many documents have (boilerplate) are left out of them.  For
+   low thresholds, with many signatures for each node, 40 bits of each are
+   dealt out first, packed, and only signatures that may come twice travel
+   with their nodes.
 3. Nodes that share a signature form clusters, and each cluster is cut into
    tiles by set size.  Within tiles and from each tile to the next all pairs
    are compared: hashed bitmaps bound the overlap from above by bit counts,
@@ -48,6 +51,10 @@ COMMON_DOCS = 20
 MOST_COMMON = 1_000_000
 BLOCK_SHINGLES = 1_500_000
 NODE_BITS = 1 << 27
+#: Prints are the leading bits of signatures: those that choose a bucket, and those that are packed.  A task packs so many at a time.
+BUCKET_BITS, PRINT_BITS = 12, 28
+PRINTS = 2_000_000
+REPEAT_BITS = 27
 FEW_NODES = 32
 BITS = 1024
 TILE_DOCS = 1000
@@ -145,43 +152,119 @@ def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
     return tk.mix(sums + size).view(np.int64)
 
 
-def described(k: int) -> object:
-    """A UDF: text -> (size, node)."""
+def described(k: int, bits=None) -> object:
+    """A UDF: text -> (size, node), and with a bitmap of nodes whether the node may be in it."""
 
-    @F.arrow_udf("struct<n:bigint,node:bigint>")
+    @F.arrow_udf("struct<n:bigint,node:bigint>" if bits is None else "struct<n:bigint,node:bigint,maybe:boolean>")
     def udf(text: pa.Array) -> pa.Array:
         size, node = [], [np.zeros(0, np.int64)]
         for chunk in tk.chunks(text):
             sets = tk.shingle_sets(*chunk, k)
             size += [len(s) for s in sets]
             node.append(nodes_of(sets))
-        return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(np.concatenate(node))], ["n", "node"])
+        n, nodes = np.array(size, dtype=np.int64), np.concatenate(node)
+        if bits is None:
+            return pa.StructArray.from_arrays([pa.array(n), pa.array(nodes)], ["n", "node"])
+        maybe = np.zeros(len(n), bool)
+        maybe[maybe_in(bits.value, nodes, n)] = True
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(nodes), pa.array(maybe)], ["n", "node", "maybe"])
 
     return udf
 
 
-def signed(num: int, den: int, k: int, common):
-    """mapInArrow over texts: (sig, node), once for equal sets of a task."""
+def signatures_of(batches: Iterator[pa.RecordBatch], scheme: Scheme, k: int, common) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The signatures of each batch's texts with their nodes, once for equal sets of a task."""
+    seen: set[int] = set()
+    boilerplate = None if common is None else common.value
+    for b in batches:
+        for chunk in tk.chunks(b.column(0)):
+            sets = tk.shingle_sets(*chunk, k)
+            sigs, nodes = [], []
+            for s, node in zip(sets, nodes_of(sets).tolist(), strict=True):
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    sigs.append(scheme.signatures(s, boilerplate))
+                    nodes.append(np.full(len(sigs[-1]), node))
+            if sigs:
+                yield np.concatenate(sigs), np.concatenate(nodes)
+
+
+def signed(num: int, den: int, k: int, common, repeated=None):
+    """mapInArrow over texts: (sig, node), without signatures that the bitmap of repeated ones rules out."""
     scheme = Scheme(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        boilerplate = None if common is None else common.value
-        for b in batches:
-            for chunk in tk.chunks(b.column(0)):
-                sets = tk.shingle_sets(*chunk, k)
-                sigs, nodes = [], []
-                for s, node in zip(sets, nodes_of(sets).tolist(), strict=True):
-                    if len(s) and node not in seen:
-                        seen.add(node)
-                        sigs.append(scheme.signatures(s, boilerplate))
-                        nodes.append(np.full(len(sigs[-1]), node))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+        for sigs, nodes in signatures_of(batches, scheme, k, common):
+            if repeated is not None:
+                at = sigs >> U64(64 - REPEAT_BITS)
+                take = ((repeated.value[at >> U64(6)] >> (at & U64(63))) & U64(1)).astype(bool)
+                sigs, nodes = sigs[take], nodes[take]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(nodes)], ["sig", "node"])
+
+    return run
+
+
+def printed(num: int, den: int, k: int, common):
+    """mapInArrow over texts: (bucket, prints), the leading bits of all signatures; a row for each bucket and PRINTS signatures."""
+    scheme = Scheme(num, den)
+
+    def dealt(block: list[np.ndarray]) -> pa.RecordBatch:
+        prints = np.sort(np.concatenate(block) >> U64(64 - BUCKET_BITS - PRINT_BITS))
+        third = np.zeros(len(prints), bool)
+        third[2:] = prints[2:] == prints[:-2]
+        prints = prints[~third]  # two tell all
+        buckets, first = np.unique(prints >> U64(PRINT_BITS), return_index=True)
+        each = np.split((prints & U64((1 << PRINT_BITS) - 1)).astype(np.uint32), first[1:])
+        return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([packed_prints(x) for x in each], pa.binary())], ["bucket", "prints"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = [], 0
+        for sigs, _ in signatures_of(batches, scheme, k, common):
+            block.append(sigs)
+            held += len(sigs)
+            if held >= PRINTS:
+                yield dealt(block)
+                block, held = [], 0
+        if held:
+            yield dealt(block)
 
     return run
 
 
+def packed_prints(sorted_prints: np.ndarray) -> bytes:
+    """Sorted numbers of 32 bits as steps, the same byte of each together, compressed."""
+    steps = np.diff(sorted_prints, prepend=np.uint32(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(sorted_prints).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def unpacked_prints(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed[4:], n * 4, asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def repeated_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (bucket, prints), sorted by bucket: each bucket's part of the bitmap of prints that come twice or more."""
+    for g in tk.groups(batches, ["bucket"]):
+        prints = np.sort(np.concatenate([unpacked_prints(x) for x in g["prints"].to_pylist()]))
+        at = prints[1:][prints[1:] == prints[:-1]] >> np.uint32(PRINT_BITS + BUCKET_BITS - REPEAT_BITS)
+        part = np.zeros(1 << (REPEAT_BITS - BUCKET_BITS), bool)
+        part[at] = True
+        yield pa.RecordBatch.from_arrays([g["bucket"][:1].combine_chunks().cast(pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+
+
+def repeats(texts: DataFrame, num: int, den: int, k: int, common) -> np.ndarray:
+    """A bitmap of 2^REPEAT_BITS bits, by the leading bits of signatures: those that come twice have theirs, whatever the corpus' size."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = texts.mapInArrow(printed(num, den, k, common), "bucket int, prints binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    parts = prints.mapInArrow(repeated_prints, "bucket int, bits binary").toArrow()
+    out = np.zeros((1 << BUCKET_BITS, 1 << (REPEAT_BITS - BUCKET_BITS - 6)), U64)
+    for bucket, bits in zip(parts["bucket"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        out[bucket] = np.frombuffer(bits, U64)
+    return out.ravel()
+
+
 def sketched(k: int, bits):
     """mapInArrow over texts: (node, n, bitmap) of those whose node may be in the bitmap of nodes."""
 
@@ -382,14 +465,16 @@ def classes(df: DataFrame, text: Column, num: int = 9, den: int = 10, k: int = 3
     """(node, component) of every node that links to another, and the UDF for nodes.
 
     Nodes without a link are not listed.  Texts without words have n = 0 and
-    are no nodes.  ``boilerplate`` finds common shingles first, by one more
-    pass: worth it for low thresholds, where signatures rest on few shingles.
+    are no nodes.  ``boilerplate`` finds common shingles first, and then which
+    signatures come twice, by a pass for each: worth it for low thresholds,
+    where signatures rest on few shingles and are many.
     """
     spark = prepare(df.sparkSession)
     sc = spark.sparkContext
     rows = df.select(text.alias("text"))
     common = sc.broadcast(common_shingles(rows, k)) if boilerplate else None
-    sigs = rows.mapInArrow(signed(num, den, k, common), "sig long, node long")
+    repeated = sc.broadcast(repeats(rows, num, den, k, common)) if boilerplate else None
+    sigs = rows.mapInArrow(signed(num, den, k, common, repeated), "sig long, node long")
     by_sig = Window.partitionBy("sig")
     shared = sigs.withColumn("least", F.min("node").over(by_sig)).withColumn("most", F.max("node").over(by_sig)).withColumn("size", F.count("*").over(by_sig)).where("least <> most")
     if boilerplate:
@@ -478,13 +563,17 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     their names.  An empty table gives an empty one.
     """
     linked, brief = classes(df, F.col(text), num, den, k, boilerplate=True)
-    node, n, rn, keep_node, keep_id, x = (free_name(df, c) for c in ("node", "n_sh", "rn", "keep_node", "keep_id", "described"))
+    node, rn, keep_node, keep_id, x = (free_name(df, c) for c in ("node", "rn", "keep_node", "keep_id", "described"))
     sized = df.withColumn(x, brief(F.col(text)))
-    nodes = written(sized.where(F.col(f"{x}.n") > 0).groupBy(F.col(f"{x}.node").alias("node")).agg(F.min(doc_id).alias("least")), "nodes")
+    nodes = written(sized.where(F.col(f"{x}.n") > 0).groupBy(F.col(f"{x}.node").alias("node")).agg(F.min(doc_id).alias("least"), F.count("*").alias("rows")), "nodes")
+    linked = written(linked, "linked")
     named = nodes.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     best = named.groupBy("component").agg(F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node")).alias("k"))
     best = best.select(F.col("k.node").alias(keep_node), F.col("k.least").alias(keep_id))
-    rows = sized.withColumn(node, F.col(f"{x}.node")).withColumn(n, F.col(f"{x}.n"))
-    kept = rows.where(F.col(n) > 0).join(best, (F.col(node) == F.col(keep_node)) & F.col(doc_id).eqNullSafe(F.col(keep_id)))
+    # A text that has no copy and no link stays where it is; a bitmap of bounded size tells most of them, the join decides of the rest.
+    bits = df.sparkSession.sparkContext.broadcast(node_bits(nodes.where("rows > 1").select("node").unionByName(linked.select("node"))))
+    sized = df.withColumn(x, described(k, bits)(F.col(text)))
+    rows = sized.where(F.col(f"{x}.maybe")).withColumn(node, F.col(f"{x}.node"))
+    kept = rows.join(best, (F.col(node) == F.col(keep_node)) & F.col(doc_id).eqNullSafe(F.col(keep_id)))
     kept = kept.withColumn(rn, F.row_number().over(Window.partitionBy(node).orderBy(text))).where(F.col(rn) == 1)
-    return kept.select(*df.columns).unionByName(rows.where(F.col(n) == 0).select(*df.columns))
+    return kept.select(*df.columns).unionByName(sized.where(~F.col(f"{x}.maybe")).select(*df.columns))

@@ -80,6 +80,38 @@ def test_boilerplate_and_pruning_keep_the_classes(spark, monkeypatch, few):
             assert {j for j, (m, c) in enumerate(got) if m and c == got[i][1]} == set(members)
 
 
+def test_only_signatures_that_come_twice_travel(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    docs = near_copies(6, 50)
+    batches = [pa.RecordBatch.from_arrays([pa.array([t for _, t in docs[i : i + 40]])], ["text"]) for i in range(0, len(docs), 40)]
+    of = lambda repeated=None: [(s, n) for b in jaccard.signed(8, 10, 5, None, repeated)(iter(batches)) for s, n in zip(b["sig"].to_pylist(), b["node"].to_pylist(), strict=True)]
+    every = of()
+    monkeypatch.setattr(jaccard, "PRINTS", 500)  # several rows for a bucket
+    rows = pa.Table.from_batches(jaccard.printed(8, 10, 5, None)(iter(batches))).sort_by("bucket")
+    assert rows.num_rows > len(set(rows["bucket"].to_pylist()))
+    parts = pa.Table.from_batches(jaccard.repeated_prints(iter(rows.to_batches())))
+    bits = jaccard.repeats(spark.createDataFrame(docs, "id long, text string").select("text"), 8, 10, 5, None)
+    assert sum(np.bitwise_count(np.frombuffer(x, np.uint8)).sum() for x in parts["bits"].to_pylist()) == np.bitwise_count(bits).sum()
+    nodes: dict[int, set[int]] = {}
+    for s, n in every:
+        nodes.setdefault(s, set()).add(n)
+    shared = {(s, n) for s, n in every if len(nodes[s]) > 1}
+    sent = of(type("Sent", (), {"value": bits}))
+    assert shared and shared <= set(sent) and len(sent) < len(shared) + len(every) / 10 < len(every)
+    numbers = np.sort(np.array([0, 0, 5, 2**28 - 1, 7, 2**28 - 1], np.uint32))
+    assert jaccard.unpacked_prints(jaccard.packed_prints(numbers)).tolist() == numbers.tolist()
+
+
+def test_texts_without_copy_or_link_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(50)] + [(90, "a b c d e f g"), (91, "a b c d e f g")], "doc_id long, text string")
+    out = jaccard.one_of_each(df)
+    assert sorted(r.doc_id for r in out.collect()) == [*range(50), 90]
+    brief = jaccard.described(5, spark.sparkContext.broadcast(jaccard.node_bits(df.where("doc_id > 89").select(jaccard.described(5)("text")["node"].alias("node")))))
+    assert [r.doc_id for r in df.where(brief("text")["maybe"]).orderBy("doc_id").collect()] == [90, 91]
+
+
 @pytest.mark.parametrize("tile_docs", [2, 4, 7])
 def test_tiles_split_a_large_cluster(spark, monkeypatch, tile_docs):
     monkeypatch.setattr(jaccard, "TILE_DOCS", tile_docs)
