@@ -21,6 +21,7 @@ HISTORICAL = r"(?i)gross\s+receipts\s+for\s+20\d{2}"
 HISTORICAL_CONTEXT = r"(?i)8990\s+gross\s+receipts\s+for\s+20\d{2}|section\s+448|3\s+tax\s+years|aggregate\s+average"
 INTEREST_CRUMB = r"(?i)million|form\s*8990|see instructions|163\s*\(\s*j\s*\)|section\s*163|business\s+interest\s+(?:expense\s+)?limitation|irc\s*§?\s*163"
 PAYMENT = r"(?i)\b(?:fein|ein|employer\s+ident|tax\s+period|payment\s+type|credit\s+card\s*\(fees)\b|(?=.*\bcredit\s+card\b)(?=.*(?:payment|instruction|apply|banking\s+information))"
+EMPLOYER_NUMBER = r"\b(\d{2})-(\d{7})\b"
 BAD_KEY = r"identification|incorporation|stock\s+owned|schedule\s*[a-z]|form\s*\d"
 PREPARER_KEY = r"^(\S+)\s+\1$|\b(pllc|cpa|p\.?c\.?)\b"
 ENTITY_KEY = r"\b(llc|inc|corp|corporation|company|services|service|supply)\b"
@@ -119,36 +120,45 @@ def rolled_up(label: Column, amount: Column) -> Column:
     return label.rlike(r"~~|\[\s*[~\d,]{3,}") | F.coalesce(A.let(runs, of), F.lit(False))
 
 
-def employer_number(label: Column, amount: Column) -> Column:
-    """Whether an amount is the end of an employer's number on its line, or the line is about payment."""
-    number = F.regexp_extract(label, r"\b(\d{2})-(\d{7})\b", 2)
+def ends_employer_number(label: Column, amount: Column) -> Column:
+    """Whether an amount is the end of an employer's number on its line, or all of it."""
+    number = F.regexp_extract(label, EMPLOYER_NUMBER, 2)
     digits = A.whole(F.abs(amount.cast("double"))).cast("string")
-    ends = (number != "") & (F.endswith(number, digits) | (digits == F.concat(F.regexp_extract(label, r"\b(\d{2})-(\d{7})\b", 1), number)))
-    return label.rlike(PAYMENT) | F.coalesce(ends, F.lit(False))
+    ends = (number != "") & (F.endswith(number, digits) | (digits == F.concat(F.regexp_extract(label, EMPLOYER_NUMBER, 1), number)))
+    return F.coalesce(ends, F.lit(False))
 
 
-def illogical(label: Column, amount: Column, sheet: dict[str, Column], source: Column | None = None) -> Column:
+def caption_says(label: Column, source: Column | None = None) -> dict[str, Column]:
+    """What ``illogical`` asks of a caption and its source alone, whatever the amount."""
+    said = F.coalesce(source, F.lit("")) if source is not None else F.lit("")
+    return {
+        "payment": label.rlike(PAYMENT), "employer": label.rlike(EMPLOYER_NUMBER), "footer": is_footer(label), "anchor": ~said.rlike(ROW) & is_anchor(label) if source is not None else F.lit(False),
+        **{f: label.rlike(p) for f, p in ANCHORS}, "pay": (label.rlike(r"(?i)salar|\bwage") | said.rlike(r"(?i)salaries_wages\s+row")) & ~said.rlike(r"(?i)form\s*1120"), "columns": label.rlike(r"~~|\[\s*[~\d,]{3,}|\d{1,3}(?:,\d{3})+"),
+    }
+
+
+def illogical(label: Column, amount: Column, sheet: dict[str, Column], source: Column | None = None, says: dict[str, Column] | None = None) -> Column:
     """Why a pool line's amount makes no sense beside the sheet's own values, or null; the first reason counts.
 
     ``sheet`` has columns of sales, cogs, gross_fixed_assets, inventory,
     officer_compensation and salaries_wages, as far as they are known.
     ``source`` is what the line was read from: rows of a worksheet with a
     field's name are trusted whatever their caption, and forms may sum up pay.
+    ``says`` is what ``caption_says`` has found before, if it was asked.
     """
+    says = says or caption_says(label, source)
     v = A.whole(amount.cast("double"))
-    said = F.coalesce(source, F.lit("")) if source is not None else F.lit("")
     known = lambda f: A.whole(sheet[f].cast("double")) if f in sheet else F.lit(None).cast("long")
-    pay = (label.rlike(r"(?i)salar|\bwage") | said.rlike(r"(?i)salaries_wages\s+row")) & ~said.rlike(r"(?i)form\s*1120")
     steps = [
         ("below_min_amount", (v < 1) | A.is_form_number(v) | A.is_year(v)),
         ("unreasonable_digits", ~A.is_reasonable(v)),
-        ("ein_or_payment_bleed", employer_number(label, v)),
-        ("mailing_or_form_footer_noise", is_footer(label)),
-        ("non_expense_anchor", ~said.rlike(ROW) & is_anchor(label) if source is not None else F.lit(False)),
+        ("ein_or_payment_bleed", says["payment"] | (says["employer"] & ends_employer_number(label, v))),
+        ("mailing_or_form_footer_noise", says["footer"]),
+        ("non_expense_anchor", says["anchor"]),
         ("collides_with_sales", (known("sales") >= 1) & (v > known("sales"))),
-        *[(f"collides_with_{f}", label.rlike(p) & (known(f) == v)) for f, p in ANCHORS],
+        *[(f"collides_with_{f}", says[f] & (known(f) == v)) for f, _ in ANCHORS],
         ("collides_with_payroll_sum", (known("officer_compensation") >= 1) & (known("salaries_wages") >= 1) & (v == known("officer_compensation") + known("salaries_wages"))),
-        ("uncorroborated_mega_payroll", pay & rolled_up(label, v)),
+        ("uncorroborated_mega_payroll", says["pay"] & says["columns"] & rolled_up(label, v)),
     ]
     return F.nullif(decided([(name, F.coalesce(test, F.lit(False))) for name, test in steps], ""), F.lit(""))
 

@@ -41,6 +41,17 @@ def test_every_pass_names_its_reason(spark):
     assert len(got) == 10
 
 
+def test_captions_are_judged_once(spark):
+    """Each line was judged by all patterns, whatever its caption had been judged before."""
+    lines = spark.createDataFrame([(c, 2020, i, label, 100 + i, source) for c in range(40) for i, (label, source) in enumerate([("Rents", "Statement 2"), ("Rents", "document scan"), (None, None), ("Payroll tax", "Statement 2"), ("Refund 12-3456789", "")])], LINE)
+    rows = pool.with_slots(lines, spark.createDataFrame([], SLOT), ["client", "year"], {})
+    marks = {(r.label, r.source): r for r in pool.captions(rows).select("*", *[pool.marked(k).alias(k) for k in ("detail", "scan", "employer", "excluded")]).collect()}
+    assert len(marks) == 5 and marks["Rents", "Statement 2"].detail and marks["Rents", "document scan"].scan and marks["Refund 12-3456789", ""].employer
+    assert marks["Rents", "Statement 2"].name == "spot:stmt2:rent" and marks["Payroll tax", "Statement 2"].noise == "payroll tax" and marks["", ""].name is None
+    got = pool.rank_pool(lines, spark.createDataFrame([], SLOT), ["client", "year"], "year", {})
+    assert got.count() == 200 and got.where("key = 'spot:stmt2:rent' and reason is null").count() == 40
+
+
 def test_rank_pool_of_nothing(spark):
     assert pool.rank_pool(spark.createDataFrame([], LINE), spark.createDataFrame([], SLOT), ["client", "year"], "year", {}).collect() == []
 
