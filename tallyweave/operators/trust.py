@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts as A
+from ..functions.gates import Text, gated as gate
 from ..functions.labels import first_rule
 from . import formulas
-from .dealing import beside
+from .dealing import beside, known
 from .verify import decided
 
 # What the wording of a source says of it.
@@ -68,51 +69,68 @@ def family(source: Column) -> Column:
     return first_rule(said(source), FAMILIES, "other")
 
 
-def facts_of(source: Column) -> dict[str, Column]:
-    """What a source's wording says, by name: to be projected once where several rules ask for it."""
-    s = said(source)
+def facts_of(source: Column | Text) -> dict[str, Column]:
+    """What a source's wording says, by name: to be projected once where several rules ask for it.
+
+    Patterns are asked only of sources that hold a piece of them.
+    """
+    s = gate(source)
+    residual = ~s.rlike(NO_RESIDUAL) & s.rlike(RESIDUAL)
+    names = reduce(lambda c, r: c.when(s.rlike(r[1]), F.lit(r[0])), FAMILIES[1:], F.when(s.rlike(FAMILIES[0][1]), F.lit(FAMILIES[0][0]))).otherwise(F.lit("other"))
     return {
-        "weak": is_weak(source), "residual": is_residual(source), "sure": is_authoritative(source), "family": family(source), "closes": s.rlike(CLOSES), "subtractive": s.rlike(SUBTRACTIVE), "line18": s.rlike(LINE_18),
+        "weak": s.rlike(WEAK), "residual": residual, "sure": ~residual & s.rlike(AUTHORITATIVE), "family": names, "closes": s.rlike(CLOSES), "subtractive": s.rlike(SUBTRACTIVE), "line18": s.rlike(LINE_18),
         "comparison": s.rlike("(?i)comparison"), "structured": s.rlike("(?i)structured financial"), "top8": s.rlike(r"(?i)^Operating expenses \(top-8"), "expenses": s.rlike(r"(?i)^Operating expenses \("), "coherence": s.rlike("(?i)^Coherence:"),
+        "user": s.rlike("(?i)^user correction|user confirmed|user selected"), "inferred": s.rlike(r"(?i)verify|residual|post-verification|inferred"), "detail": s.rlike(r"(?i)closes\s+stmt|detail\s+sum|summed\s+detail|misc\s+detail"),
+        **odd_facts(s),
+    }
+
+
+def odd_facts(s: Column | Text) -> dict[str, Column]:
+    """What ``suspicious`` asks of a source's wording, besides whether it is weak or sure."""
+    s = s if isinstance(s, Text) else Text(s, s)
+    plain = s.text
+    return {
+        "row": F.nullif(F.regexp_extract(plain, r"(?i)\bline\s*(\d{1,3})\b", 1), F.lit("")).cast("long"),
+        "of_interest": plain.rlike(r"(?i)^\s*\d{1,3}\s+interest|million|form\s*8990|163\s*\(\s*j\s*\)|section\s*163|business\s+interest\s+limitation"), "of_163": plain.rlike(r"(?i)(?:^|[^\d])163(?:[^\d]|$)|8990|limitation"),
+        "line31": plain.rlike(r"(?i)form\s*1120\s*line\s*31"), "adjustment": plain.rlike(r"(?i)post[-\s]?1986|1986\s+depreciation\s+adjustment"), "schedule_l": plain.rlike(r"(?i)schedule\s*l"), "zero": plain.rlike(r"(?i)summary zero|multi-line") & ~plain.rlike(r"(?i)form 1120 line 10|comparison"),
     }
 
 
 def with_facts(df: DataFrame, source: str = "source") -> tuple[DataFrame, dict[str, Column]]:
     """``df`` with a column for each of the source's facts, and those columns."""
-    facts = facts_of(F.col(source))
-    return df.withColumns({f"__{k}": c for k, c in facts.items()}), {k: F.col(f"__{k}") for k in facts}
+    df = df.withColumn("__said", said(F.col(source))).withColumn("__low", F.lower("__said"))
+    facts = facts_of(Text(F.col("__said"), F.col("__low")))
+    return df.withColumns({f"__{k}": c for k, c in facts.items()}).drop("__said", "__low"), {k: F.col(f"__{k}") for k in facts}
 
 
 def suspicious(field: Column, value: Column, source: Column, year: Column, facts: dict[str, Column] | None = None) -> Column:
     """Values that are more likely a form, year or row number, or a crumb, than dollars.
 
-    Inside ``let``: inlined into one generated method, several times over, the
-    patterns are too long to be compiled.
+    Without ``facts`` inside ``let``: inlined into one generated method,
+    several times over, the patterns are too long to be compiled.
     """
-    known = {"weak": facts["weak"], "sure": facts["sure"]} if facts else {"weak": is_weak(source), "sure": is_authoritative(source)}
-    given = F.struct(field.alias("field"), value.alias("value"), said(source).alias("source"), year.alias("year"), *[c.alias(k) for k, c in known.items()])
-    return A.let(given, lambda x: _suspicious(x["field"], x["value"], x["source"], x["year"], x["weak"], x["sure"]))
+    if facts:
+        return _suspicious(field, value, year, facts)
+    given = F.struct(field.alias("field"), value.alias("value"), said(source).alias("source"), year.alias("year"), is_weak(source).alias("weak"), is_authoritative(source).alias("sure"))
+    return A.let(given, lambda x: _suspicious(x["field"], x["value"], x["year"], {"weak": x["weak"], "sure": x["sure"], **odd_facts(x["source"])}))
 
 
-def _suspicious(field: Column, value: Column, s: Column, year: Column, weak: Column, sure: Column) -> Column:
+def _suspicious(field: Column, value: Column, year: Column, says: dict[str, Column]) -> Column:
     size = F.abs(A.whole(value.cast("double")))
     crumb = lambda most: size.between(1, most)
-    row = F.nullif(F.regexp_extract(s, r"(?i)\bline\s*(\d{1,3})\b", 1), F.lit("")).cast("long")
-    of_interest = s.rlike(r"(?i)^\s*\d{1,3}\s+interest|million|form\s*8990|163\s*\(\s*j\s*\)|section\s*163|business\s+interest\s+limitation") | ((size == 163) & s.rlike(r"(?i)(?:^|[^\d])163(?:[^\d]|$)|8990|limitation"))
-    weak_crumbs = field.isin("cogs", "rent", "sales", "depreciation") & crumb(99) & ~sure
     signs = [
         A.is_form_number(size),
         F.coalesce((size == year) | (size == year % 100) | (year.isNotNull() & size.between(2020, 2035)), F.lit(False)) & (year != 0),
-        size == row,
-        weak_crumbs,
-        (field == "taxes_paid") & crumb(99) & s.rlike(r"(?i)form\s*1120\s*line\s*31"),
-        (field == "interest_expense") & crumb(999) & ((size <= 50) | of_interest),
-        field.isin("depreciation", "amortization") & (size.isin(1986, 1987) | s.rlike(r"(?i)post[-\s]?1986|1986\s+depreciation\s+adjustment")),
+        size == says["row"],
+        field.isin("cogs", "rent", "sales", "depreciation") & crumb(99) & ~says["sure"],
+        (field == "taxes_paid") & crumb(99) & says["line31"],
+        (field == "interest_expense") & crumb(999) & ((size <= 50) | says["of_interest"] | ((size == 163) & says["of_163"])),
+        field.isin("depreciation", "amortization") & (size.isin(1986, 1987) | says["adjustment"]),
         field.isin(*MATERIAL) & (size == 1),
         field.isin(*TRAPS) & crumb(99),
-        field.isin("common_stock", "preferred_stock") & crumb(99) & ~s.rlike(r"(?i)schedule\s*l"),
-        (field == "other_income") & (value == 0) & s.rlike(r"(?i)summary zero|multi-line") & ~s.rlike(r"(?i)form 1120 line 10|comparison"),
-        weak & (size <= 99),
+        field.isin("common_stock", "preferred_stock") & crumb(99) & ~says["schedule_l"],
+        (field == "other_income") & (value == 0) & says["zero"],
+        says["weak"] & (size <= 99),
     ]
     return reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in signs])
 
@@ -188,23 +206,23 @@ def any_flag(flags: Column, pattern: str) -> Column:
     return F.exists(flags, lambda f: f.rlike(pattern))
 
 
-def trust_tier(value: Column, source: Column, confidence: Column, shown: Column, agree: Column, flags: Column, odd: Column, f: dict[str, Column]) -> Column:
+def trust_tier(value: Column, confidence: Column, shown: Column, agree: Column, flags: Column, odd: Column, f: dict[str, Column]) -> Column:
     """The first of ten tiers that fits a cell, from empty to confirmed; ``odd`` says whether it is suspicious."""
-    s, by = said(source), lambda test, yes, no: F.when(test, F.lit(yes)).otherwise(F.lit(no))
+    by = lambda test, yes, no: F.when(test, F.lit(yes)).otherwise(F.lit(no))
     steps = [
         (value.isNull(), "empty"),
-        (s.rlike("(?i)^user correction|user confirmed|user selected"), "user-confirmed"),
+        (f["user"], "user-confirmed"),
         (any_flag(flags, r"(?i)exceeds sales|does not balance|structural-mismatch|formula-disagreement|high-confidence-no-closure|Subtractive formula"), "math-warning"),
         (any_flag(flags, r"(?i)Other reads|Sources disagree"), "moderate"),
         (odd, "low"),
         (any_flag(flags, r"(?i)verify manually|verify against|inferred from|residual"), by(confidence >= 80, "moderate", "low")),
-        (f["residual"] | s.rlike(r"(?i)verify|residual|post-verification|inferred"), by(shown >= 80, "moderate", "low")),
+        (f["residual"] | f["inferred"], by(shown >= 80, "moderate", "low")),
         (f["expenses"] & (confidence >= 70), by(shown >= 75, "single-good", "moderate")),
         (agree >= 2, "multi-source"),
         ((f["family"] == "ocr") | f["weak"], "ocr-only"),
         (confidence < LEAST_CONFIDENCE, "low"),
         (f["sure"], by(shown >= 80, "authoritative", "single-good")),
-        (s.rlike(r"(?i)closes\s+stmt|detail\s+sum|summed\s+detail|misc\s+detail") & (confidence >= 85), "single-good"),
+        (f["detail"] & (confidence >= 85), "single-good"),
         (f["comparison"] & trusted_single(confidence, f), "comparison"),
         (trusted_single(confidence, f), by(shown >= 70, "single-good", "moderate")),
     ]
@@ -243,10 +261,13 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
     """
     on = [*keys, year]
     closed = r"P&L does not close|other_operating_expenses may be wrong"
-    sheets = cells.select(*on).distinct()
-    grid = sheets.withColumn("field_id", F.explode(F.array(*map(F.lit, listed(fields)))))
+    # most fields of most sheets have no value: only those that have one are judged
+    names, there = listed(fields), F.col("value").isNotNull() & known(on)
     persisted = F.col("persisted") if "persisted" in cells.columns else F.lit(0)
-    rows = beside(grid, cells.select(*on, "field_id", "value", "confidence", "source", persisted.cast("long").alias("persisted")), [*on, "field_id"])
+    read = F.struct("value", "confidence", "source", persisted.cast("long").alias("persisted"))
+    rows = cells.where(there & F.col("field_id").isin(*names)).groupBy(*on, "field_id").agg(F.max(read).alias("c")).select(*on, "field_id", "c.*")
+    missing = cells.groupBy(*on).agg(F.collect_set(F.when(there, F.col("field_id"))).alias("there"))
+    missing = missing.select(*on, F.explode(F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), "there")).alias("field_id"), F.array().cast("array<string>").alias("flags"), F.lit("missing").alias("status"), F.lit("empty").alias("tier"))
     rows = agreement(rows, snapshots, on)
     across = cross_field_flags(cells, keys, year).groupBy(*on, "field_id").agg(F.array_sort(F.collect_set("flag")).alias("across"))
     rows = beside(rows, across, [*on, "field_id"])
@@ -256,11 +277,11 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
     else:
         rows = rows.withColumn("unclosed", F.lit(False))
 
-    field, value, source, y = F.col("field_id"), F.col("value"), F.col("source"), F.col(year)
+    field, value, y = F.col("field_id"), F.col("value"), F.col(year)
     rows, f = with_facts(rows)
     conf, fam = F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)), f["family"]
     line18, closes, subtractive = f["line18"], f["closes"], f["subtractive"]
-    rows = rows.withColumn("__odd", suspicious(field, value, source, y, f)).withColumn("isolated", line18 & (F.col("agree_paired") == 0))
+    rows = rows.withColumn("__odd", suspicious(field, value, F.col("source"), y, f)).withColumn("isolated", line18 & (F.col("agree_paired") == 0))
     isolated, material = F.col("isolated"), F.col("material")
     agree = F.when(F.col("reads") == 0, F.coalesce("persisted", F.lit(0))).when(isolated, F.col("agree_paired")).otherwise(F.col("agree"))
     single, residual, odd = ~line18 & trusted_single(conf, f), f["residual"], F.col("__odd")
@@ -281,16 +302,17 @@ def reconciled(cells: DataFrame, snapshots: DataFrame, keys: Sequence[str], fiel
         *[F.when(odd & (field == name), F.lit(text)) for name, text in ODD_FIELDS.items()],
         F.when(material, F.col("other_reads")),
     )
-    flags = F.when(value.isNotNull(), F.array_union(F.coalesce("across", F.array().cast("array<string>")), F.array_compact(own))).otherwise(F.array().cast("array<string>"))
+    flags = F.array_union(F.coalesce("across", F.array().cast("array<string>")), F.array_compact(own))
     high = F.when(conf >= 92, CAP_HIGH).otherwise(CAP_TRUSTED)
     cap = F.when(residual, CAP_RESIDUAL).when(isolated, CAP_SINGLE).when(agree >= 2, CAP_AGREED).when(material, CAP_SINGLE).when(single, high).when(closes, CAP_TRUSTED).when(subtractive, CAP_SUBTRACTIVE).otherwise(CAP_SINGLE)
     rows = rows.withColumn("flags", flags).withColumn("agreement", agree).withColumn("shown", F.least(conf, cap))
     hard = any_flag(F.col("flags"), r"(?i)exceeds sales|does not balance|structural-mismatch|formula-disagreement|high-confidence-no-closure")
     weakly = (agree < 2) & ~single & ~closes & ~((fam == "statement") & (conf >= 88) & ~subtractive & ~line18)
     review = hard | odd | material | (conf < LEAST_CONFIDENCE) | ((fam == "ocr") & (agree < 2)) | f["weak"] | isolated | weakly
-    status = F.when(value.isNull(), "missing").when(review, "review").otherwise("verified")
-    tier = trust_tier(value, source, conf, F.col("shown"), F.col("agreement"), F.col("flags"), odd, f)
-    out = rows.select(*on, "field_id", "value", F.array_sort("flags").alias("flags"), status.alias("status"), F.when(value.isNotNull(), F.col("shown")).alias("confidence"), F.when(value.isNotNull(), F.col("agreement")).alias("agreement"), tier.alias("tier"))
+    status = F.when(review, "review").otherwise("verified")
+    tier = trust_tier(value, conf, F.col("shown"), F.col("agreement"), F.col("flags"), odd, f)
+    out = rows.select(*on, "field_id", "value", F.array_sort("flags").alias("flags"), status.alias("status"), F.col("shown").alias("confidence"), "agreement", tier.alias("tier"))
+    out = out.unionByName(missing, allowMissingColumns=True)
     return out if warnings is None else out.unionByName(profit_rows(warnings, on), allowMissingColumns=True)
 
 

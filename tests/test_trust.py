@@ -69,6 +69,17 @@ def test_profits_odd_fields_and_persisted_agreement(spark):
     assert {c for c, f in got if f == "net_income"} == {1, 2} and got[2, "operating_profit"].tier == "math-warning" and got[1, "net_income"].flags == [trust.PROFIT_FLAG] and got[1, "net_income"].value is None
 
 
+def test_fields_without_a_value_are_not_judged(spark):
+    """Every field of every sheet went through all windows and patterns, whether it had a value or not."""
+    cells = spark.createDataFrame([(1, 2019, "rent", 5000, 90, "Form 1120 page 1 block"), (1, 2019, "cash", None, 90, "x"), (1, 2019, "elsewhere", 4, 90, "x"), (None, 2019, "rent", 7, 90, "x"), (2, 2019, "rent", None, None, None)], CELL)
+    fields = spark.createDataFrame([("rent",), ("cash",), ("sales",)], "field_id string")
+    out = trust.reconciled(cells, spark.createDataFrame([], READ), ["client"], fields)
+    got = {(r.client, r.field_id): (r.value, r.flags, r.status, r.confidence, r.agreement, r.tier) for r in out.collect()}
+    assert len(got) == out.count() == 9 and got.pop((1, "rent")) == (5000, [], "verified", 90, 0, "authoritative")
+    assert all(v == (None, [], "missing", None, None, "empty") for v in got.values())
+    assert "array_except" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 RANKINGS = (
     # an exact reverse-math read beside a valid summed detail gives the detail
     ([(40, "P&L reverse math (Form ordinary income)", True), (30, "Statement 2 (summed detail lines)", False)], 30),
