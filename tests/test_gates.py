@@ -43,3 +43,16 @@ def test_a_null_line_fits_nothing_and_has_no_length(spark):
     rows = [(1, 0, "Comparison worksheet"), (1, 1, None), (1, 2, "x" * 590), (1, 3, "y"), (1, 4, "z")]
     got = {r.line_no: (r.offset, r.near.comparison) for r in S.near(spark.createDataFrame(rows, "doc int, line_no int, line string"), ["doc"], "line_no", "line").collect()}
     assert got == {0: (0, True), 1: (21, True), 2: (21, True), 3: (612, False), 4: (614, False)}
+
+
+def test_expense_lines_are_read_once(spark):
+    """The test of an amount moved below the reading of it, which was read again for each question."""
+    rnd = random.Random(2)
+    docs = [(d, i, " ".join(x for x in rnd.choices(WORDS, k=rnd.randint(1, 6)) if x)) for d in range(40) for i in range(20)] + [(90, 0, "Statement 2 Other deductions"), (90, 1, "Travel 1,234"), (90, 2, None), (90, 3, "Total 1,234"), (90, 4, "-- Telephone 77,001")]
+    lines = spark.createDataFrame(docs, "doc int, line_no int, line string")
+    out = choice.expense_lines(lines, ["doc"])
+    assert [(r.line_no, r.label, r.amount) for r in out.where("doc = 90").orderBy("line_no").collect()] == [(1, "travel", 1234), (4, "telephone", 77001)]
+    filters = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if x.strip(" +-:").startswith("Filter")]
+    assert filters and not any("transform(" in x for x in filters)
+    rows, c, both = S.with_texts(S.near(lines, ["doc"], "line_no", "line"), "line")
+    assert rows.where(~S.is_header(c, F.col("near"), both=both).eqNullSafe(S.is_header(F.col("line"), F.col("near")))).count() == 0
