@@ -53,7 +53,7 @@ BLOCK_SHINGLES = 1_500_000
 NODE_BITS = 1 << 27
 #: Prints are the leading bits of signatures: those that choose a bucket, and those that are packed.  A task packs so many at a time.
 BUCKET_BITS, PRINT_BITS = 12, 28
-PRINTS = 2_000_000
+PRINTS = 500_000
 REPEAT_BITS = 27
 FEW_NODES = 32
 BITS = 1024
